@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelwatch.functions.times import whole_days
+from modelwatch.functions.times import micros, whole_days
+from modelwatch.operators.ordered import BUCKET, plan_cuts, previous_values, with_bucket
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -99,3 +100,27 @@ def label_conflicts(
         F.max(label).alias("_hi"),
     )
     return seen.filter(F.col("_lo") != F.col("_hi")).drop("_lo", "_hi")
+
+
+def label_history(
+    history: DataFrame,
+    key: str = "prediction_id",
+    label: str = "true_label",
+    time: str = "updated_at",
+    rows_per_bucket: int | None = None,
+) -> DataFrame:
+    """Every stored version with the label before it and whether the two differ.
+
+    Versions are cut along their time, so an id with very many versions is spread over tasks.
+    """
+    cuts = plan_cuts(history, {"t": micros(time)}, rows_per_bucket, distinct=False)["t"]
+    placed = with_bucket(history, micros(time), cuts)
+    bucket = BUCKET if cuts else None
+    paired = previous_values(placed, [key], [time], {"previous_label": label}, bucket=bucket).drop(BUCKET)
+    changed = F.col("previous_label").isNotNull() & (F.col("previous_label") != F.col(label))
+    return paired.withColumn("conflict", changed)
+
+
+def shared_ids(left: DataFrame, right: DataFrame, key: str = "prediction_id") -> DataFrame:
+    """One row: how many ids two sets have in common (0 when they are disjoint)."""
+    return left.select(key).intersect(right.select(key)).agg(F.count(F.lit(1)).alias("n_common"))
