@@ -193,7 +193,7 @@ def drift_after_scaling(spark, sf):
                 CAST(count(*) FILTER (statistic >= 0.1) AS INTEGER) AS num_drifted_features,
                 string_agg(feature, ',' ORDER BY list_position(['l_quantity', 'l_extendedprice', 'l_discount',
                   'l_tax'], feature)) FILTER (statistic >= 0.1) AS drifted_features,
-                round(count(*) FILTER (statistic >= 0.1) / count(*), 6) AS feature_drift_ratio,
+                round(count(*) FILTER (statistic >= 0.1) / count(*) + 1e-9, 6) AS feature_drift_ratio,
                 0.5e0 AS drift_share_threshold,
                 count(*) FILTER (statistic >= 0.1) / count(*) >= 0.5 AS dataset_drift_detected, 'ok' AS status
          FROM v_selected""",
@@ -349,8 +349,8 @@ def recent_drift_alerts(spark, sf):
                   / nullif(2 * count(*) FILTER (prediction = 1 AND true_label = 1)
                            + count(*) FILTER (prediction <> true_label), 0) AS f1_base
                   FROM v_scored JOIN v_labels USING (prediction_id))
-         SELECT "day", round(coalesce(f1_score, 0), 6) AS f1_score,
-                round((coalesce(f1_score, 0) - f1_base) / f1_base * 100, 6) + 0.0 AS f1_change_pct,
+         SELECT "day", round(coalesce(f1_score, 0) + 1e-9, 6) AS f1_score,
+                round((coalesce(f1_score, 0) - f1_base) / f1_base * 100 + 1e-9, 6) AS f1_change_pct,
                 CASE WHEN (coalesce(f1_score, 0) - f1_base) / f1_base * 100 <= -10 THEN 'critical'
                      WHEN (coalesce(f1_score, 0) - f1_base) / f1_base * 100 <= -5 THEN 'warning'
                      ELSE 'normal' END AS f1_level

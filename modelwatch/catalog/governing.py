@@ -175,7 +175,7 @@ def cooldown(spark, sf):
     "segment_regression",
     v.with_views(*ev.SEGMENT_VIEWS)
     + f"""SELECT p.segment_feature, p.segment, {v.r6('p.f1_score', 'prod_f1')}, {v.r6('s.f1_score', 'shadow_f1')},
-                 round(CASE WHEN p.f1_score > 0 THEN (s.f1_score - p.f1_score) / p.f1_score * 100 END, 6) + 0.0
+                 round(CASE WHEN p.f1_score > 0 THEN (s.f1_score - p.f1_score) / p.f1_score * 100 END + 1e-9, 6)
                    AS change_pct,
                  s.f1_score IS NULL AS missing_in_shadow,
                  coalesce(p.f1_score > 0 AND (s.f1_score - p.f1_score) / p.f1_score * 100 < -5, FALSE) AS regressed
@@ -400,7 +400,7 @@ def count_by_action(spark, sf):
     v.with_views(D)
     + """SELECT model_name, count(*) FILTER (action = 'reject') AS rejected,
                 count(*) FILTER (action = 'promote') AS promoted,
-                round(count(*) FILTER (action = 'reject') / count(*) FILTER (action IN ('reject', 'promote')), 6)
+                round(count(*) FILTER (action = 'reject') / count(*) FILTER (action IN ('reject', 'promote')) + 1e-9, 6)
                   AS rejection_rate
          FROM v_decisions GROUP BY model_name""",
 )

@@ -36,7 +36,7 @@ def duplicate_count(spark, sf):
 @query(
     "labeled_predictions",
     v.with_views(*BASE)
-    + """SELECT prediction_id, "timestamp", model_version, prediction, round(probability, 6) AS probability,
+    + """SELECT prediction_id, "timestamp", model_version, prediction, round(probability + 1e-9, 6) AS probability,
                 true_label, days_delayed
          FROM v_scored JOIN v_labels USING (prediction_id)""",
 )
@@ -47,7 +47,7 @@ def labeled_predictions(spark, sf):
 
 
 COVERAGE_SQL = """count(*) AS total_predictions, count(l.prediction_id) AS labeled_predictions,
-  round(count(l.prediction_id) / count(*), 6) AS coverage_rate,
+  round(count(l.prediction_id) / count(*) + 1e-9, 6) AS coverage_rate,
   count(*) - count(l.prediction_id) AS unlabeled_predictions
   FROM v_scored s LEFT JOIN (SELECT DISTINCT prediction_id FROM v_labels) l USING (prediction_id)"""
 
@@ -94,7 +94,7 @@ def split_overlap(spark, sf):
 @query(
     "accuracy_by_version",
     v.with_views(*BASE)
-    + """SELECT model_version, round(avg(CASE WHEN prediction = true_label THEN 1.0e0 ELSE 0.0e0 END), 6) AS accuracy,
+    + """SELECT model_version, round(avg(CASE WHEN prediction = true_label THEN 1.0e0 ELSE 0.0e0 END) + 1e-9, 6) AS accuracy,
                 count(*) AS n
          FROM v_scored JOIN v_labels USING (prediction_id) GROUP BY model_version""",
 )

@@ -71,7 +71,7 @@ def clamp_features(spark, sf):
                 CASE WHEN l_linestatus <> 'F' THEN l_extendedprice END AS l_extendedprice FROM lineitem),
        mids AS (SELECT median(l_quantity) AS mq, median(l_extendedprice) AS mp FROM gaps)
        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, coalesce(l_quantity, mq) AS l_quantity,
-              round(coalesce(l_extendedprice, mp), 6) AS l_extendedprice
+              round(coalesce(l_extendedprice, mp) + 1e-9, 6) AS l_extendedprice
        FROM gaps CROSS JOIN mids""",
 )
 def median_impute(spark, sf):
@@ -108,7 +108,7 @@ def label_delay_days(spark, sf):
 # ---- time filters --------------------------------------------------------------------------------------
 
 LOG_COLUMNS = ["prediction_id", "timestamp", "model_version", "prediction", "probability"]
-LOG_SQL = 'SELECT prediction_id, "timestamp", model_version, prediction, round(probability, 6) AS probability'
+LOG_SQL = 'SELECT prediction_id, "timestamp", model_version, prediction, round(probability + 1e-9, 6) AS probability'
 
 
 @query(
@@ -194,7 +194,7 @@ def split_dynamic_counts(spark, sf):
 @query(
     "id_membership",
     v.with_views(v.SCORED_SQL, v.LABELS_SQL)
-    + """SELECT prediction_id, "timestamp", prediction, round(probability, 6) AS probability FROM v_scored
+    + """SELECT prediction_id, "timestamp", prediction, round(probability + 1e-9, 6) AS probability FROM v_scored
          WHERE prediction_id IN (SELECT prediction_id FROM v_labels WHERE toxic = 1)""",
 )
 def id_membership(spark, sf):
@@ -308,9 +308,9 @@ def proxy_report(spark, sf):
                   epoch_us("timestamp" - lag("timestamp") OVER w) / 3600000000.0 AS h
            FROM v_runs WINDOW w AS (PARTITION BY model_version ORDER BY "timestamp"))
          SELECT model_version, "timestamp",
-                round(CASE WHEN h > 0 THEN (positive_rate - pr) / h WHEN h <= 0 THEN 0.0 END, 6) + 0.0
+                round(CASE WHEN h > 0 THEN (positive_rate - pr) / h WHEN h <= 0 THEN 0.0 END + 1e-9, 6)
                   AS positive_rate_change_per_hour,
-                round(CASE WHEN h > 0 THEN (probability_mean - pm) / h WHEN h <= 0 THEN 0.0 END, 6) + 0.0
+                round(CASE WHEN h > 0 THEN (probability_mean - pm) / h WHEN h <= 0 THEN 0.0 END + 1e-9, 6)
                   AS probability_mean_change_per_hour,
                 h AS time_delta_hours, CASE WHEN h IS NULL THEN 'insufficient_data' ELSE 'ok' END AS status
          FROM paired""".lstrip(),
@@ -334,7 +334,7 @@ def last_100_stats(spark, sf):
     v.with_views(P)
     + """, hourly AS (SELECT date_trunc('hour', "timestamp") AS "hour", sum(prediction) AS s, avg(probability) AS m
                       FROM v_predictions GROUP BY 1)
-         SELECT c."hour", CAST(coalesce(s, 0) AS BIGINT) AS positives, round(m, 6) AS probability_mean
+         SELECT c."hour", CAST(coalesce(s, 0) AS BIGINT) AS positives, round(m + 1e-9, 6) AS probability_mean
          FROM (SELECT unnest(generate_series((SELECT min("hour") FROM hourly), (SELECT max("hour") FROM hourly),
                                              INTERVAL 1 HOUR)) AS "hour") c LEFT JOIN hourly h ON h."hour" = c."hour"
       """.lstrip(),
@@ -345,7 +345,7 @@ def hourly_resample(spark, sf):
 
 @query(
     "class_balance",
-    "SELECT quality, count(*) AS n, round(count(*) / (SELECT count(*) FROM labels), 6) AS share FROM labels GROUP BY 1",
+    "SELECT quality, count(*) AS n, round(count(*) / (SELECT count(*) FROM labels) + 1e-9, 6) AS share FROM labels GROUP BY 1",
 )
 def class_balance(spark, sf):
     return rounded(proxy.class_balance(v.table(spark, sf, "labels"), "quality"))

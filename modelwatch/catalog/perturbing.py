@@ -26,7 +26,7 @@ def unit_sql(text: str, seed) -> str:
 
 @query(
     "freeze_reference",
-    f"""SELECT o_orderkey, o_orderdate, round(o_totalprice, 6) AS o_totalprice FROM (
+    f"""SELECT o_orderkey, o_orderdate, round(o_totalprice + 1e-9, 6) AS o_totalprice FROM (
           SELECT o_orderkey, o_orderdate, coalesce(price, (SELECT median(price) FROM (
                    SELECT CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price FROM orders))) AS o_totalprice,
                  row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS rk, count(*) OVER () AS n
@@ -68,13 +68,13 @@ def seeded_sample_large(spark, sf):
 
 @query(
     "scale_feature",
-    f"SELECT {KEY_SQL}, round(l_quantity * 1.3e0, 6) AS l_quantity FROM lineitem",
+    f"SELECT {KEY_SQL}, round(l_quantity * 1.3e0 + 1e-9, 6) AS l_quantity FROM lineitem",
 )
 def scale_feature(spark, sf):
     return rounded(perturb.scale_feature(v.lines(spark, sf), "l_quantity", 1.3).select(*KEY, "l_quantity"))
 
 
-@query("shift_feature", f"SELECT {KEY_SQL}, round(l_discount + 0.05e0, 6) AS l_discount FROM lineitem")
+@query("shift_feature", f"SELECT {KEY_SQL}, round(l_discount + 0.05e0 + 1e-9, 6) AS l_discount FROM lineitem")
 def shift_feature(spark, sf):
     return rounded(perturb.shift_feature(v.lines(spark, sf), "l_discount", 0.05).select(*KEY, "l_discount"))
 
@@ -82,8 +82,8 @@ def shift_feature(spark, sf):
 @query(
     "perturbation_event",
     """SELECT 'covariate_shift_scaling' AS drift_type, 'l_quantity' AS affected_features, 1.3e0 AS magnitude,
-              'income grows' AS reason, round(avg(l_quantity), 6) AS original_mean,
-              round(avg(l_quantity * 1.3e0), 6) AS new_mean FROM lineitem""",
+              'income grows' AS reason, round(avg(l_quantity) + 1e-9, 6) AS original_mean,
+              round(avg(l_quantity * 1.3e0) + 1e-9, 6) AS new_mean FROM lineitem""",
 )
 def perturbation_event(spark, sf):
     before = v.lines(spark, sf)
@@ -137,7 +137,7 @@ def label_flip(spark, sf):
 @query(
     "gaussian_noise",
     f"""SELECT {KEY_SQL}, round(l_extendedprice + 500.0e0 * sqrt(-2.0e0 * ln(1.0e0 - {unit_sql(KEY_TEXT, '42r')}))
-               * cos(6.283185307179586e0 * {unit_sql(KEY_TEXT, '42a')}), 6) AS l_extendedprice
+               * cos(6.283185307179586e0 * {unit_sql(KEY_TEXT, '42a')}) + 1e-9, 6) AS l_extendedprice
         FROM lineitem""",
 )
 def gaussian_noise(spark, sf):
@@ -204,7 +204,7 @@ def _stress_sql() -> str:
         {_clip(f"late30 + 1 + floor({u(12)} * 4)", 0, 10, True)} AS late30,
         {_clip(f"lines * (0.2e0 + {u(13)} * 0.3e0)", 0, 50, True)} AS lines FROM p2)"""
     return v.with_views(STRESS_SOURCE, one, two, three) + (
-        "SELECT c_custkey, round(debt, 6) AS debt, round(income, 6) AS income, round(util, 6) AS util, late90, late60, "
+        "SELECT c_custkey, round(debt + 1e-9, 6) AS debt, round(income + 1e-9, 6) AS income, round(util + 1e-9, 6) AS util, late90, late60, "
         "late30, lines FROM p3"
     )
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+NUDGE = 1e-9
+
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -28,11 +30,15 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every double column and turn -0.0 into 0.0, so that engines agree on the last digits."""
+    """Round every double column, so that engines agree on the last digits.
+
+    Means of decimal values often end in an exact half at the last place, where the order of summation
+    decides; the nudge puts such halves on one side. It also removes negative zero.
+    """
     out: list[Column] = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if field.dataType.typeName() == "double":
-            c = (F.round(c, places) + F.lit(0.0)).alias(field.name)
+            c = F.round(c + F.lit(NUDGE), places).alias(field.name)
         out.append(c)
     return df.select(*out)

@@ -1 +1,273 @@
-"""Queries."""
+"""Streaming jobs drained over the sample tables; the SQL is the batch counterpart on closed windows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from modelwatch.catalog import views as v
+from modelwatch.catalog.checking import LOG_FEATURES, LOG_SQL, REASONS_SQL, log_with_features
+from modelwatch.catalog.registry import query, rounded
+from modelwatch.functions.bins import left_closed_bin
+from modelwatch.operators.drift import binned_counts
+from modelwatch.operators.labels import keep_last
+from modelwatch.operators.validate import prediction_rules
+from modelwatch.session import scratch_dir
+from modelwatch.streaming import jobs, monitor
+
+P = v.PREDICTIONS_SQL
+NTZ = "timestamp_ntz"
+
+
+def _stream(spark, sf, name):
+    schema = v.table(spark, sf, name).schema
+    return jobs.file_stream(spark, sf, schema, glob=f"{name}.parquet")
+
+
+def prediction_stream(spark, sf):
+    """The event table as a stream of scored rows."""
+    return _stream(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("prediction_id"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
+        F.col("event_type").alias("model_version"),
+        F.when(F.col("value") >= 50, 1).otherwise(0).alias("prediction"),
+        F.least(F.col("value") / 100.0, F.lit(1.0)).alias("probability"),
+        (F.col("user_id") % 5).cast("string").alias("segment"),
+    )
+
+
+def _run_append(spark, stream, name):
+    """Drain into a file sink and read the sink back."""
+    root = scratch_dir(spark, name)
+    jobs.drain(jobs.append_to(stream, f"{root}/out", f"{root}/checkpoint"))
+    return jobs.read_sink(spark, f"{root}/out", stream.schema)
+
+
+CLOSED = '(SELECT max("timestamp") FROM v_predictions) - INTERVAL 1 HOUR'
+
+
+@query(
+    "stream_hourly",
+    v.with_views(P)
+    + f"""SELECT date_trunc('hour', "timestamp") AS "hour", model_version, count(*) AS n,
+                 CAST(sum(prediction) AS BIGINT) AS positives, {v.r6('avg(probability)', 'mean_score')}
+          FROM v_predictions GROUP BY 1, 2 HAVING date_trunc('hour', min("timestamp")) + INTERVAL 1 HOUR <= {CLOSED}""",
+)
+def stream_hourly(spark, sf):
+    out = _run_append(spark, monitor.hourly_metrics(prediction_stream(spark, sf)), "hourly")
+    return rounded(out.withColumn("hour", F.col("hour").cast(NTZ)))
+
+
+@query("stream_dedup", v.with_views(P) + "SELECT model_version, count(*) AS n FROM v_predictions GROUP BY model_version")
+def stream_dedup(spark, sf):
+    """Every row arrives twice, a minute apart, and is kept once."""
+    rows = prediction_stream(spark, sf)
+    later = F.col("timestamp") + F.expr("INTERVAL 1 MINUTE")
+    copies = F.array(F.col("timestamp"), later)
+    doubled = rows.select("prediction_id", "model_version", F.explode(copies).alias("timestamp"))
+    out = _run_append(spark, monitor.deduplicated(doubled, "2 hours"), "dedup")
+    return out.groupBy("model_version").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _panes(spark, sf):
+    return _run_append(spark, monitor.panes(prediction_stream(spark, sf), "1 hour", "1 hour"), "panes")
+
+
+SLIDING_SQL = f"""v_hours AS (
+  SELECT DISTINCT date_trunc('hour', "timestamp") + INTERVAL 1 HOUR AS window_end FROM v_predictions
+  WHERE date_trunc('hour', "timestamp") + INTERVAL 1 HOUR <= {CLOSED}),
+v_sliding AS (
+  SELECT h.window_end, p.* FROM v_hours h JOIN v_predictions p
+    ON p."timestamp" < h.window_end AND p."timestamp" >= h.window_end - INTERVAL 24 HOUR)"""
+
+
+@query(
+    "stream_sliding",
+    v.with_views(P, SLIDING_SQL)
+    + f"""SELECT window_end, model_version, count(*) AS num_predictions, {v.r6('avg(prediction)', 'positive_rate')},
+                 {v.r6('avg(probability)', 'probability_mean')}, {v.r6('stddev_samp(probability)', 'probability_std')}
+          FROM v_sliding GROUP BY window_end, model_version""",
+)
+def stream_sliding(spark, sf):
+    """A day's lookback, stepping by the hour, from hourly panes."""
+    out = monitor.lookback_from_panes(_panes(spark, sf), "1 HOUR", 24).drop("entropy")
+    return rounded(out.withColumn("window_end", F.col("window_end").cast(NTZ)))
+
+
+PANE_TRENDS = f"""v_last AS (
+  SELECT max(date_trunc('hour', "timestamp") + INTERVAL 1 HOUR) AS last_end FROM v_predictions
+  WHERE date_trunc('hour', "timestamp") + INTERVAL 1 HOUR <= {CLOSED}),
+v_recent AS (
+  SELECT w.window_hours, p.* FROM v_predictions p CROSS JOIN v_last
+    JOIN (SELECT unnest([1, 6, 24]) AS window_hours) w
+      ON p."timestamp" < last_end AND p."timestamp" >= last_end - to_hours(w.window_hours))"""
+
+
+@query(
+    "stream_trends",
+    v.with_views(P, PANE_TRENDS)
+    + f"""SELECT window_hours, num_predictions, positive_rate, probability_mean, probability_std, {v.r6('entropy')}
+          FROM (SELECT window_hours, count(*) AS num_predictions, {v.r6('avg(prediction)', 'positive_rate')},
+                       {v.r6('avg(probability)', 'probability_mean')},
+                       {v.r6('stddev_samp(probability)', 'probability_std')}
+                FROM v_recent GROUP BY window_hours)
+          JOIN {v.entropy_sql('v_recent', 'window_hours')} e USING (window_hours)""",
+)
+def stream_trends(spark, sf):
+    return rounded(monitor.trends_from_panes(_panes(spark, sf)))
+
+
+STREAM_DRIFT = f"""v_items AS (
+  SELECT "timestamp", date_trunc('day', "timestamp") AS "start", CAST({v.left_bin_sql('probability')} AS VARCHAR)
+    AS score, segment FROM v_predictions),
+v_melted AS (
+  SELECT "timestamp", "start", 'score' AS feature, score AS bin FROM v_items
+  UNION ALL SELECT "timestamp", "start", 'segment' AS feature, segment AS bin FROM v_items),
+v_ref AS (
+  SELECT feature, bin, count(*) / sum(count(*)) OVER (PARTITION BY feature) AS q
+  FROM v_melted WHERE "timestamp" < TIMESTAMP '{v.RUN_REFERENCE_END}' GROUP BY feature, bin),
+v_cur AS (
+  SELECT "start", feature, bin, count(*) / sum(count(*)) OVER (PARTITION BY "start", feature) AS p FROM v_melted
+  GROUP BY "start", feature, bin),
+v_grid AS (
+  SELECT "start", feature, bin, max(p) AS p, max(q) AS q FROM (
+    SELECT "start", feature, bin, p, 0.0 AS q FROM v_cur
+    UNION ALL SELECT k."start", r.feature, r.bin, 0.0 AS p, r.q FROM v_ref r
+      JOIN (SELECT DISTINCT "start" FROM v_cur) k ON TRUE) GROUP BY "start", feature, bin),
+v_js AS (
+  SELECT "start", feature, sqrt(greatest(0.0, sum(
+    CASE WHEN p > 0 THEN 0.5 * p * ln(p / ((p + q) / 2)) ELSE 0 END
+    + CASE WHEN q > 0 THEN 0.5 * q * ln(q / ((p + q) / 2)) ELSE 0 END))) AS drift_score
+  FROM v_grid GROUP BY "start", feature)"""
+
+
+@query(
+    "stream_drift",
+    v.with_views(P, STREAM_DRIFT)
+    + f"""SELECT "start", feature, {v.r6('drift_score')}, drift_score >= 0.1 AS drift_detected FROM v_js
+          WHERE "start" + INTERVAL 1 DAY <= {CLOSED}""",
+)
+def stream_drift(spark, sf):
+    """Daily drift of score and segment against the first week."""
+    root = scratch_dir(spark, "drift")
+    items = v.run_items(spark, sf)
+    before = items.filter(F.col("timestamp") < F.lit(v.RUN_REFERENCE_END).cast(NTZ))
+    reference = binned_counts(before, v.RUN_FEATURES).persist()
+    rows = prediction_stream(spark, sf).withColumn("score", left_closed_bin("probability").cast("string"))
+    jobs.drain(monitor.drift_stream(rows, reference, v.RUN_FEATURES, f"{root}/out", f"{root}/checkpoint"))
+    reference.unpersist()
+    schema = T.StructType.fromDDL("start timestamp, feature string, drift_score double, drift_detected boolean")
+    out = jobs.read_sink(spark, f"{root}/out", schema)
+    return rounded(out.withColumn("start", F.col("start").cast(NTZ)))
+
+
+def label_stream(spark, sf):
+    start = F.lit("2024-01-03 06:00:00").cast("timestamp")
+    offset = F.make_dt_interval(hours=(F.col("doc_id") + F.col("doc_id") % 90).cast("int"))
+    return _stream(spark, sf, "labels").select(
+        F.col("doc_id").cast("string").alias("prediction_id"),
+        F.col("quality").alias("true_label"),
+        (start + offset).alias("label_timestamp"),
+    )
+
+
+def document_stream(spark, sf):
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return _stream(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("prediction_id"),
+        (start + F.make_dt_interval(hours=F.col("doc_id").cast("int"))).alias("timestamp"),
+    )
+
+
+@query(
+    "stream_late_labels",
+    v.with_views(v.SCORED_SQL, v.LABELS_SQL)
+    + """SELECT s.prediction_id, s."timestamp", l.true_label
+         FROM v_scored s JOIN v_labels l ON l.prediction_id = s.prediction_id
+           AND l.label_timestamp >= s."timestamp" AND l.label_timestamp <= s."timestamp" + INTERVAL 4 DAY""",
+)
+def stream_late_labels(spark, sf):
+    """Labels that come within four days of their prediction; the others are left to the batch join."""
+    joined = monitor.attach_labels(document_stream(spark, sf), label_stream(spark, sf), bound="4 days")
+    out = _run_append(spark, joined.select("prediction_id", "timestamp", "true_label"), "late-labels")
+    return out.filter("true_label IS NOT NULL").withColumn("timestamp", F.col("timestamp").cast(NTZ))
+
+
+@query(
+    "stream_latest_label",
+    v.with_views(v.LABELS_SQL)
+    + "SELECT prediction_id, true_label, label_timestamp FROM v_labels",
+)
+def stream_latest_label(spark, sf):
+    """Each label arrives three times with older and newer values; the newest is kept."""
+    root = scratch_dir(spark, "latest-labels")
+    rows = label_stream(spark, sf)
+    versions = F.array(
+        F.struct((1 - F.col("true_label")).alias("true_label"), (F.col("label_timestamp") - F.expr("INTERVAL 2 DAY")).alias("label_timestamp")),
+        F.struct(F.col("true_label"), F.col("label_timestamp")),
+        F.struct((1 - F.col("true_label")).alias("true_label"), (F.col("label_timestamp") - F.expr("INTERVAL 1 DAY")).alias("label_timestamp")),
+    )
+    stream = rows.select("prediction_id", F.inline(versions))
+    jobs.drain(
+        monitor.latest_labels(stream, f"{root}/out", f"{root}/checkpoint", time="label_timestamp")
+    )
+    log = jobs.read_sink(spark, f"{root}/out", stream.schema)
+    latest = keep_last(log, ["prediction_id"], ["label_timestamp"])
+    return latest.withColumn("label_timestamp", F.col("label_timestamp").cast(NTZ))
+
+
+@query(
+    "stream_ingest",
+    v.with_views(LOG_SQL)
+    + f"""SELECT CASE WHEN len({REASONS_SQL}) = 0 THEN 'accepted' ELSE 'rejected' END AS sink, count(*) AS n
+          FROM v_log GROUP BY 1""",
+)
+def stream_ingest(spark, sf):
+    """Scored rows into an accepted and a rejected table."""
+    root = scratch_dir(spark, "ingest")
+    batch = log_with_features(spark, sf)
+    lines = _stream(spark, sf, "lineitem")
+    stream = lines.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("prediction_id"),
+        F.col("l_shipdate").alias("timestamp"),
+        F.when(F.col("l_quantity") < 49, F.col("l_returnflag")).alias("model_version"),
+        (F.col("l_linenumber") % 3).alias("prediction"),
+        (F.col("l_quantity") / 45.0).alias("probability"),
+        (F.col("l_quantity") + 12).cast("int").alias("age"),
+        (F.col("l_discount") - 0.01).alias("DebtRatio"),
+        (F.col("l_tax") * 100).alias("MonthlyIncome"),
+    )
+    rules = prediction_rules(LOG_FEATURES)
+    jobs.drain(monitor.ingest(stream, rules, f"{root}/good", f"{root}/bad", f"{root}/checkpoint"))
+    out = None
+    for sink, folder in (("accepted", "good"), ("rejected", "bad")):
+        rows = jobs.read_sink(spark, f"{root}/{folder}", batch.schema)
+        part = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(sink).alias("sink"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "stream_alerts",
+    v.with_views(P, v.RUNS_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, drifted AS (SELECT model_version, "timestamp" AS t FROM v_runs WHERE dataset_drift_detected),
+         picked AS (
+           SELECT model_version, min(t) AS alert_at FROM drifted GROUP BY model_version
+           UNION ALL
+           SELECT p.model_version, (SELECT min(d.t) FROM drifted d WHERE d.model_version = p.model_version
+                                    AND d.t >= p.alert_at + INTERVAL 72 HOUR) AS alert_at
+           FROM picked p WHERE p.alert_at IS NOT NULL)
+         SELECT model_version, alert_at FROM picked WHERE alert_at IS NOT NULL""".lstrip(),
+)
+def stream_alerts(spark, sf):
+    """Drifted runs to alerts, at most one per model in three days."""
+    root = scratch_dir(spark, "alerts")
+    runs = v.runs(spark, sf).filter("dataset_drift_detected").select(
+        "model_version", F.col("timestamp").cast("timestamp").alias("timestamp")
+    )
+    runs.write.mode("overwrite").parquet(f"{root}/runs")
+    stream = jobs.file_stream(spark, f"{root}/runs", runs.schema)
+    alerts = monitor.alerts_with_cooldown(stream, 72)
+    jobs.drain(jobs.append_to(alerts, f"{root}/out", f"{root}/checkpoint"))
+    out = jobs.read_sink(spark, f"{root}/out", alerts.schema)
+    return out.withColumn("alert_at", F.col("alert_at").cast(NTZ))

@@ -20,8 +20,8 @@ def with_views(*views: str) -> str:
 
 
 def r6(expr: str, name: str | None = None) -> str:
-    """Round to six places in SQL, without negative zero."""
-    return f"round({expr}, 6) + 0.0 AS {name or expr}"
+    """Round to six places in SQL, the way ``rounded`` does."""
+    return f"round({expr} + 1e-9, 6) AS {name or expr}"
 
 
 # ---- prediction log from events ------------------------------------------------------------------------
