@@ -158,18 +158,32 @@ def drift_ztest(spark, sf):
     return rounded(_flag_stats(spark, sf).select("feature", "n_reference", "n_current", "z", "z_p"))
 
 
-SELECTED_SQL = """v_selected AS (
-  SELECT *, CASE WHEN n_distinct <= 5 THEN js_distance ELSE w1 / greatest(ref_std, 0.001) END AS statistic,
-         CASE WHEN n_distinct <= 5 THEN 'jensenshannon' ELSE 'wasserstein' END AS test
-  FROM v_stats)"""
+SELECTED_SQL = f"""v_picked AS (
+  SELECT *, CASE WHEN n_reference <= 1000 THEN
+                   CASE WHEN n_distinct <= 2 THEN 'z' WHEN n_distinct <= 5 THEN 'chisquare' ELSE 'ks' END
+                 WHEN n_distinct <= 5 THEN 'jensenshannon' ELSE 'wasserstein' END AS test,
+         {Z_SQL} AS z, {KS_P_SQL} AS ks_p, {CHI_P_SQL} AS chi2_p
+  FROM v_stats),
+v_scored_tests AS (
+  SELECT *, CASE WHEN n_reference <= 1000 THEN 0.05e0 ELSE 0.1e0 END AS threshold,
+         CASE test WHEN 'z' THEN z WHEN 'chisquare' THEN chi2 WHEN 'ks' THEN ks_distance
+                   WHEN 'jensenshannon' THEN js_distance ELSE w1 / greatest(ref_std, 0.001) END AS statistic,
+         CASE test WHEN 'z' THEN {gamma_tail_sql('(z * z)', '1')} WHEN 'chisquare' THEN chi2_p WHEN 'ks' THEN ks_p END
+           AS p_value
+  FROM v_picked),
+v_selected AS (
+  SELECT *, coalesce(p_value, statistic) AS drift_score,
+         CASE WHEN test = 'ks' THEN p_value <= threshold WHEN p_value IS NOT NULL THEN p_value < threshold
+              ELSE statistic >= threshold END AS drifted
+  FROM v_scored_tests)"""
 
 
 def selected_views(exprs=None):
     return (v.REFERENCE_SQL, v.CURRENT_SQL, melt_sql(exprs=exprs), CDF_SQL, STATS_SQL, SELECTED_SQL)
 
 
-SELECTED_OUT = f"""SELECT feature, test, 0.1e0 AS threshold, {v.r6('statistic')}, {v.r6('statistic', 'drift_score')},
-  statistic >= 0.1 AS drift_detected, n_reference, n_current FROM v_selected"""
+SELECTED_OUT = f"""SELECT feature, test, threshold, {v.r6('statistic')}, {v.r6('drift_score')},
+  drifted AS drift_detected, n_reference, n_current FROM v_selected"""
 JUDGED = ["feature", "test", "threshold", "statistic", "drift_score", "drift_detected", "n_reference", "n_current"]
 
 
@@ -190,12 +204,12 @@ def drift_after_scaling(spark, sf):
     v.with_views(*selected_views(SCALED))
     + """SELECT CAST(5 AS INTEGER) AS num_features_total, CAST(count(*) AS INTEGER) AS num_features_evaluated,
                 CAST(5 - count(*) AS INTEGER) AS num_features_excluded, 'l_missing' AS excluded_features,
-                CAST(count(*) FILTER (statistic >= 0.1) AS INTEGER) AS num_drifted_features,
+                CAST(count(*) FILTER (drifted) AS INTEGER) AS num_drifted_features,
                 string_agg(feature, ',' ORDER BY list_position(['l_quantity', 'l_extendedprice', 'l_discount',
-                  'l_tax'], feature)) FILTER (statistic >= 0.1) AS drifted_features,
-                round(count(*) FILTER (statistic >= 0.1) / count(*) + 1e-9, 6) AS feature_drift_ratio,
+                  'l_tax'], feature)) FILTER (drifted) AS drifted_features,
+                round(count(*) FILTER (drifted) / count(*) + 1e-9, 6) AS feature_drift_ratio,
                 0.5e0 AS drift_share_threshold,
-                count(*) FILTER (statistic >= 0.1) / count(*) >= 0.5 AS dataset_drift_detected, 'ok' AS status
+                count(*) FILTER (drifted) / count(*) >= 0.5 AS dataset_drift_detected, 'ok' AS status
          FROM v_selected""",
 )
 def drift_summary(spark, sf):

@@ -73,9 +73,12 @@ def _panes(spark, sf):
     return _run_append(spark, monitor.panes(prediction_stream(spark, sf), "1 hour", "1 hour"), "panes")
 
 
-SLIDING_SQL = f"""v_hours AS (
-  SELECT DISTINCT date_trunc('hour', "timestamp") + INTERVAL 1 HOUR AS window_end FROM v_predictions
+SLIDING_SQL = f"""v_ends AS (
+  SELECT date_trunc('hour', "timestamp") + INTERVAL 1 HOUR AS pane_end FROM v_predictions
   WHERE date_trunc('hour', "timestamp") + INTERVAL 1 HOUR <= {CLOSED}),
+v_hours AS (
+  SELECT unnest(generate_series((SELECT min(pane_end) FROM v_ends), (SELECT max(pane_end) FROM v_ends),
+                                INTERVAL 1 HOUR)) AS window_end),
 v_sliding AS (
   SELECT h.window_end, p.* FROM v_hours h JOIN v_predictions p
     ON p."timestamp" < h.window_end AND p."timestamp" >= h.window_end - INTERVAL 24 HOUR)"""
