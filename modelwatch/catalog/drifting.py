@@ -277,8 +277,7 @@ v_signal AS (
 
 
 def run_reports(spark, sf):
-    runs = v.runs(spark, sf)
-    newest = runs.agg(F.max("timestamp")).scalar()
+    runs, newest = v.runs(spark, sf), v.newest_run(spark, sf)
     recent = runs.filter(F.col("timestamp") >= newest - F.expr("INTERVAL 72 HOUR"))
     names = F.filter(F.split("drifted_features", ","), lambda x: x != "")
     return recent.select(
@@ -376,8 +375,8 @@ def f1_alert_levels(spark, sf):
 
     rows = labeled_predictions(v.scored(spark, sf), v.labels(spark, sf))
     daily = classification_metrics(rows.withColumn("day", F.date_trunc("day", "timestamp")), ["day"])
-    overall = classification_metrics(rows).select("f1_score").scalar()
-    return rounded(f1_alerts(daily, overall).select("day", "f1_score", "f1_change_pct", "f1_level"))
+    overall = classification_metrics(rows).first()["f1_score"]
+    return rounded(f1_alerts(daily, F.lit(overall)).select("day", "f1_score", "f1_change_pct", "f1_level"))
 
 
 @query(

@@ -132,11 +132,8 @@ def calibration_curve(spark, sf):
     + f"SELECT model, {v.r6('expected_calibration_error')}, {v.r6('weighted_error')} FROM v_ece",
 )
 def ece(spark, sf):
-    rows = v.evaluated(spark, sf)
-    plain = evaluate.expected_calibration_error(rows, ["model"])
-    weighted = evaluate.expected_calibration_error(rows, ["model"], weighted=True)
-    both = plain.join(weighted.withColumnRenamed("expected_calibration_error", "weighted_error"), "model")
-    return rounded(both)
+    both = evaluate.expected_calibration_error(v.evaluated(spark, sf), ["model"])
+    return rounded(both.withColumnRenamed("weighted_calibration_error", "weighted_error"))
 
 
 @query(

@@ -185,8 +185,7 @@ def cooldown(spark, sf):
 )
 def segment_regression(spark, sf):
     found = evaluate.segment_metrics(v.evaluated(spark, sf), ["lang", "source"], ["model"])
-    production, shadow = found.filter("model = 'production'"), found.filter("model = 'shadow'")
-    return rounded(gates.segment_regression(production, shadow))
+    return rounded(gates.segment_regression(found))
 
 
 @query(

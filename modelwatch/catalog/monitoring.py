@@ -382,8 +382,7 @@ def recent_monitoring_query(spark, sf):
           FROM v_runs WHERE v_runs."timestamp" > (SELECT max("timestamp") FROM v_runs) - INTERVAL 7 DAY""",
 )
 def drift_trend(spark, sf):
-    runs = v.runs(spark, sf)
-    return rounded(trend(runs, _now(runs), 7, order=["timestamp", "model_version"]))
+    return rounded(trend(v.runs(spark, sf), v.newest_run(spark, sf), 7, order=["timestamp", "model_version"]))
 
 
 @query(

@@ -223,6 +223,12 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def newest_run(spark: SparkSession, sf_dir: str):
+    """Time of the newest run, read from the log's newest row rather than from the computed runs."""
+    newest = table(spark, sf_dir, "events").agg(F.max("ts")).scalar()
+    return F.date_trunc("day", newest) + F.expr("INTERVAL 1 DAY")
+
+
 RUNS_SQL = f"""v_items AS (
   SELECT *, date_trunc('day', "timestamp") AS "day", CAST({left_bin_sql('probability')} AS VARCHAR) AS score
   FROM v_predictions),

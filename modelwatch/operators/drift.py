@@ -114,7 +114,7 @@ def _frequency_aggregates() -> list[Column]:
     p, q = F.col("n_ref") / F.col("all_ref"), F.col("n_cur") / F.col("all_cur")
     expected = F.col("n_ref") * F.col("all_cur") / F.col("all_ref")
     gap = F.col("n_cur") - expected
-    top = F.max_by(F.struct("n_ref", "n_cur"), F.when(F.col("n_ref") > 0, F.col("value")))
+    known = F.when(F.col("n_ref") > 0, F.col("value"))
     return [
         F.max("all_ref").alias("n_reference"),
         F.max("all_cur").alias("n_current"),
@@ -122,7 +122,8 @@ def _frequency_aggregates() -> list[Column]:
         F.sqrt(F.greatest(F.lit(0.0), F.sum(_divergence(p, q)))).alias("js_distance"),
         F.sum(F.when(expected > 0, gap * gap / expected)).alias("chi2"),
         F.max((F.col("n_ref") == 0) & (F.col("n_cur") > 0)).alias("unseen"),
-        top.alias("top"),
+        F.max_by("n_ref", known).alias("top_ref"),
+        F.max_by("n_cur", known).alias("top_cur"),
     ]
 
 
@@ -152,7 +153,7 @@ def numeric_statistics(values: DataFrame, bucketed: bool = True) -> DataFrame:
             "ks_p": kolmogorov_tail(F.col("ks_distance"), F.col("n_reference"), F.col("n_current")),
             **_frequency_tests(),
         }
-    ).drop("top")
+    ).drop("top_ref", "top_cur")
 
 
 def categorical_statistics(values: DataFrame) -> DataFrame:
@@ -170,15 +171,15 @@ def categorical_statistics(values: DataFrame) -> DataFrame:
             "ks_p": nothing,
             **_frequency_tests(),
         }
-    ).drop("top")
+    ).drop("top_ref", "top_cur")
 
 
 def _frequency_tests() -> dict[str, Column]:
     """chi-square p-value and the two-proportion z test on the largest reference value."""
     n, m = F.col("n_reference").cast("double"), F.col("n_current").cast("double")
-    pooled = (F.col("top.n_ref") + F.col("top.n_cur")) / (n + m)
+    pooled = (F.col("top_ref") + F.col("top_cur")) / (n + m)
     spread = F.sqrt(pooled * (1.0 - pooled) * (1.0 / n + 1.0 / m))
-    z = F.coalesce(F.try_divide(F.col("top.n_ref") / n - F.col("top.n_cur") / m, spread), F.lit(0.0))
+    z = F.coalesce(F.try_divide(F.col("top_ref") / n - F.col("top_cur") / m, spread), F.lit(0.0))
     degrees = F.col("n_distinct") - 1
     chi_p = F.when(F.col("unseen"), F.lit(0.0)).when(degrees < 1, F.lit(1.0))
     return {

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelwatch.functions.bins import right_closed_bin
-from modelwatch.operators.ordered import BUCKET, join_on, plan_cuts, running_totals, with_bucket
+from modelwatch.operators.ordered import BUCKET, plan_cuts, running_totals, with_bucket
 
 MIN_SEGMENT_ROWS = 30
 MIN_EVAL_ROWS = 30
@@ -88,12 +88,8 @@ def roc_auc(
     scores = with_bucket(rows, "_p", cuts).groupBy(*by, BUCKET, "_p").agg(
         F.count(F.when(F.col("_y") == 1, True)).alias("_pos"), F.count(F.when(F.col("_y") == 0, True)).alias("_neg")
     )
-    return _auc_from_scores(scores, by, bool(cuts))
-
-
-def _auc_from_scores(scores: DataFrame, by: Sequence[str], bucketed: bool) -> DataFrame:
     ordered = running_totals(
-        scores, list(by), ["_p"], sums={"_below": "_neg"}, bucket=BUCKET if bucketed else None, exclusive=True
+        scores, by, ["_p"], sums={"_below": "_neg"}, bucket=BUCKET if cuts else None, exclusive=True
     )
     pairs = F.sum(F.col("_pos").cast("double") * (F.col("_below") + F.col("_neg") * 0.5))
     possible = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
@@ -121,17 +117,15 @@ def calibration_curve(
 
 
 def expected_calibration_error(
-    df: DataFrame,
-    by: Sequence[str] = (),
-    label: str = "true_label",
-    score: str = "probability",
-    weighted: bool = False,
+    df: DataFrame, by: Sequence[str] = (), label: str = "true_label", score: str = "probability"
 ) -> DataFrame:
-    """Mean gap of the calibration curve over non-empty bins; ``weighted`` weighs bins by their rows."""
+    """Mean gap of the calibration curve over its non-empty bins: unweighted, and weighted by rows."""
     curve = calibration_curve(df, by, label, score)
     gap = F.abs(F.col("fraction_of_positives") - F.col("mean_predicted_value"))
-    ece = F.sum(gap * F.col("n")) / F.sum("n") if weighted else F.avg(gap)
-    return curve.groupBy(*by).agg(ece.alias("expected_calibration_error"))
+    return curve.groupBy(*by).agg(
+        F.avg(gap).alias("expected_calibration_error"),
+        (F.sum(gap * F.col("n")) / F.sum("n")).alias("weighted_calibration_error"),
+    )
 
 
 def evaluate(
@@ -142,44 +136,49 @@ def evaluate(
     score: str = "probability",
     rows_per_bucket: int | None = None,
 ) -> DataFrame:
-    """All metrics per group from one scan.
+    """All metrics per group from one scan and one chain of aggregations.
 
-    Rows are combined map-side to distinct (group, score, prediction) with label counts. Every metric follows
-    from those counts: the area under the curve from ordered scores, the rest from at most ten score bins
-    per group. An empty input gives one row with status ``no_labels`` when there are no groups.
+    Rows are combined map-side to one per distinct (group, score) with the four label/prediction counts. The
+    area under the curve needs them in score order; every other metric is a sum over at most ten score bins
+    per group. Rows without a score are left out. An empty input without groups gives one row with status
+    ``no_labels``.
     """
     by = list(by)
-    rows = _labeled(df, by, label, prediction, score)
+    rows = _labeled(df, by, label, prediction, score).filter("_p IS NOT NULL")
     cuts = plan_cuts(rows, ["_p"], rows_per_bucket)["_p"]
-    cells = with_bucket(rows, "_p", cuts).groupBy(*by, BUCKET, "_p", "_yhat").agg(
-        F.count(F.when(F.col("_y") == 1, True)).alias("_pos"), F.count(F.when(F.col("_y") == 0, True)).alias("_neg")
+    y, yhat = F.col("_y"), F.col("_yhat")
+    counts = {f"_n{i}{j}": F.count(F.when((y == i) & (yhat == j), True)) for i in (0, 1) for j in (0, 1)}
+    cells = with_bucket(rows, "_p", cuts).groupBy(*by, BUCKET, "_p").agg(
+        F.count(F.when(y == 1, True)).alias("_pos"),
+        F.count(F.when(y == 0, True)).alias("_neg"),
+        *[c.alias(n) for n, c in counts.items()],
+    )
+    ordered = running_totals(
+        cells, by, ["_p"], sums={"_below": "_neg"}, bucket=BUCKET if cuts else None, exclusive=True
     )
     pos, neg, p = F.col("_pos"), F.col("_neg"), F.col("_p")
     n = pos + neg
-    on, off = F.col("_yhat") == 1, F.col("_yhat") == 0
-    zero = F.lit(0).cast("bigint")
-    binned = cells.groupBy(*by, right_closed_bin("_p").alias("_bin")).agg(
+    binned = ordered.groupBy(*by, right_closed_bin("_p").alias("_bin")).agg(
         F.sum(n).alias("num_samples"),
-        F.sum(F.when(off, neg).otherwise(zero)).alias("true_negatives"),
-        F.sum(F.when(on, neg).otherwise(zero)).alias("false_positives"),
-        F.sum(F.when(off, pos).otherwise(zero)).alias("false_negatives"),
-        F.sum(F.when(on, pos).otherwise(zero)).alias("true_positives"),
+        F.sum("_n00").alias("true_negatives"),
+        F.sum("_n01").alias("false_positives"),
+        F.sum("_n10").alias("false_negatives"),
+        F.sum("_n11").alias("true_positives"),
+        F.sum(pos).alias("_pos"),
+        F.sum(neg).alias("_neg"),
         F.sum(pos * (p - 1.0) * (p - 1.0) + neg * p * p).alias("_squared"),
+        F.sum(pos.cast("double") * (F.col("_below") + neg * 0.5)).alias("_pairs"),
         F.abs(F.sum(pos) / F.sum(n) - F.sum(n * p) / F.sum(n)).alias("_gap"),
     )
+    zero = F.lit(0).cast("bigint")
     totals = binned.groupBy(*by).agg(
         *[F.coalesce(F.sum(c), zero).alias(c) for c in COUNTS],
         F.try_divide(F.sum("_squared"), F.sum("num_samples")).alias("brier_score"),
         F.avg("_gap").alias("expected_calibration_error"),
+        F.try_divide(F.sum("_pairs"), F.sum("_pos").cast("double") * F.sum("_neg").cast("double")).alias("roc_auc"),
     )
-    scores = cells.groupBy(*by, BUCKET, "_p").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
-    auc = _auc_from_scores(scores, by, bool(cuts))
-    keys = by or ["_k"]
-    if not by:
-        totals, auc = totals.withColumn("_k", F.lit(0)), auc.withColumn("_k", F.lit(0))
-    out = join_on(totals.withColumns(_rates()), auc, keys, "left")
     status = F.when(F.col("num_samples") == 0, "no_labels").otherwise("ok")
-    return out.withColumn("status", status).drop("_k")
+    return totals.withColumns({**_rates(), "status": status})
 
 
 def melt_segments(df: DataFrame, segments: Sequence[str], keep: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelwatch.functions.times import micros, whole_days
-from modelwatch.operators.ordered import BUCKET, join_on, plan_cuts, running_totals, with_bucket
+from modelwatch.operators.ordered import BUCKET, plan_cuts, running_totals, with_bucket
 
 
 @dataclass(frozen=True)
@@ -103,14 +103,18 @@ def cooldown(rows: DataFrame, days: int = 7, now: str = "timestamp") -> DataFram
 
 
 def segment_regression(
-    production: DataFrame, shadow: DataFrame, by: Sequence[str] = (), max_drop_pct: float = 5.0
+    segments: DataFrame, by: Sequence[str] = (), max_drop_pct: float = 5.0, model: str = "model"
 ) -> DataFrame:
-    """Compare segment F1 of both models: regressed, and missing in the challenger (listed, not blocking)."""
+    """Compare segment F1 of ``production`` and ``shadow`` rows: regressed, and missing in the challenger
+    (listed, not blocking). Both sides come from one grouped pass instead of a self-join.
+    """
     keys = [*by, "segment_feature", "segment"]
-    prod = production.select(*keys, F.col("f1_score").alias("prod_f1"))
-    chal = shadow.select(*keys, F.col("f1_score").alias("shadow_f1"))
+    sides = segments.groupBy(*keys).agg(
+        F.max(F.when(F.col(model) == "production", F.col("f1_score"))).alias("prod_f1"),
+        F.max(F.when(F.col(model) == "shadow", F.col("f1_score"))).alias("shadow_f1"),
+    )
     change = F.when(F.col("prod_f1") > 0, (F.col("shadow_f1") - F.col("prod_f1")) / F.col("prod_f1") * 100.0)
-    return join_on(prod, chal, keys, "left").withColumns(
+    return sides.filter("prod_f1 IS NOT NULL").withColumns(
         {
             "change_pct": change,
             "missing_in_shadow": F.col("shadow_f1").isNull(),

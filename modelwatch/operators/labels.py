@@ -91,7 +91,7 @@ def label_conflicts(
 
     Plain mergeable aggregates, so an id with very many versions is combined map-side.
     """
-    moment: Column = F.struct(*order)
+    moment: Column = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     seen = history.groupBy(key).agg(
         F.min_by(label, moment).alias("old_label"),
         F.max_by(label, moment).alias("new_label"),

@@ -132,7 +132,8 @@ def running_totals(
     aggs = [F.sum(c).alias(f"_s_{n}") for n, c in sums.items()]
     aggs += [F.max(c).alias(f"_m_{n}") for n, c in maxima.items()]
     aggs += [F.sum(c).alias(f"_t_{n}") for n, c in totals.items()]
-    aggs += [F.min_by(s, F.struct(*order)).alias(f"_n_{n}") for n, s in next_value.items()]
+    first = order[0] if len(order) == 1 else F.struct(*order)
+    aggs += [F.min_by(s, first).alias(f"_n_{n}") for n, s in next_value.items()]
     per_bucket = df.groupBy(*inside_keys).agg(*(aggs or [F.count(F.lit(1)).alias("_rows")]))
     across = Window.partitionBy(*groups).orderBy(bucket)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
@@ -238,25 +239,27 @@ def exact_quantiles(
         return clean.groupBy(*groups).agg(*[F.percentile(value, q).alias(n) for n, q in probabilities.items()])
     counts = value_counts(df, groups, value, cuts)
     ranked = running_totals(counts, groups, [value], sums={"_upto": "n"}, totals={"_all": "n"})
-    picks = []
-    for i, q in enumerate(probabilities.values()):
+    picks, interpolated = quantile_picks(value, probabilities)
+    return ranked.groupBy(*groups).agg(*picks).select(*groups, *[c.alias(n) for n, c in interpolated.items()])
+
+
+def quantile_picks(value: str, probabilities: Mapping[str, float]) -> tuple[list[Column], dict[str, Column]]:
+    """Aggregates over ranked distinct values (``_upto`` running count, ``_all`` total) and the interpolation
+    between the two neighbouring values that they find."""
+    picks, interpolated = [], {}
+    for i, (name, q) in enumerate(probabilities.items()):
         position = F.lit(q) * (F.col("_all") - 1)
         picks.append(F.min(F.when(F.col("_upto") > F.floor(position), F.col(value))).alias(f"_lo{i}"))
         picks.append(F.min(F.when(F.col("_upto") > F.ceil(position), F.col(value))).alias(f"_hi{i}"))
         picks.append(F.max(position - F.floor(position)).alias(f"_fr{i}"))
-    wide = ranked.groupBy(*groups).agg(*picks)
-    return wide.select(
-        *groups,
-        *[
-            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}")).alias(n)
-            for i, n in enumerate(probabilities)
-        ],
-    )
+        interpolated[name] = F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}")
+    return picks, interpolated
 
 
 def value_at_rank(df: DataFrame, value: str, rank: Column, cuts: Sequence[float], number: Column) -> DataFrame:
     """One row: the value at a 0-based rank (an expression over ``_all``, the row count), and that count."""
     keyed = with_bucket(df.filter(F.col(value).isNotNull()), number, cuts)
     counts = keyed.groupBy(BUCKET, value).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(counts, [], [value], sums={"_upto": "n"}, totals={"_all": "n"})
+    bucket = BUCKET if cuts else None
+    ranked = running_totals(counts, [], [value], sums={"_upto": "n"}, totals={"_all": "n"}, bucket=bucket)
     return ranked.agg(F.min(F.when(F.col("_upto") > rank, F.col(value))).alias("value"), F.max("_all").alias("n"))

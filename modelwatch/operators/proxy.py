@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwatch.functions.bins import N_BINS, histogram_counts, histogram_entropy
 from modelwatch.functions.times import interval, micros
-from modelwatch.operators.ordered import exact_quantiles, join_on, plan_cuts, previous_values
+from modelwatch.operators.ordered import (
+    BUCKET,
+    plan_cuts,
+    previous_values,
+    quantile_picks,
+    running_totals,
+    with_bucket,
+)
 
 QUARTILES = {"probability_q25": 0.25, "probability_median": 0.5, "probability_q75": 0.75}
 
@@ -29,8 +36,8 @@ def distribution_stats(
 ) -> DataFrame:
     """Moments and exact quartiles per group, with a ``status`` that is ``no_data`` for an empty input.
 
-    With few distinct scores everything is one aggregation. Beyond that, moments and quartiles are two
-    aggregations joined on the group, the quartiles from bucketed ranks.
+    With few distinct scores everything is one aggregation with the built-in exact percentile. Beyond that,
+    rows are combined to distinct scores, ranked in buckets, and moments and quartiles follow from those.
     """
     by = list(by)
     cuts = plan_cuts(predictions, ["probability"], rows_per_bucket)["probability"]
@@ -38,16 +45,36 @@ def distribution_stats(
         quartiles = [F.percentile("probability", q).alias(n) for n, q in QUARTILES.items()]
         stats = predictions.groupBy(*by).agg(*moment_columns(), *quartiles)
     else:
-        moments = predictions.groupBy(*by).agg(*moment_columns())
-        quartiles = exact_quantiles(predictions, by, "probability", QUARTILES, cuts)
-        if by:
-            stats = join_on(moments, quartiles, by, "left")
-        else:
-            stats = join_on(moments.withColumn("_k", F.lit(0)), quartiles.withColumn("_k", F.lit(0)), ["_k"], "left")
-            stats = stats.drop("_k")
+        stats = _ranked_stats(predictions, by, cuts)
     return stats.withColumn("status", F.when(F.col("num_predictions") == 0, "no_data").otherwise("ok"))
 
 
+def _ranked_stats(predictions: DataFrame, by: Sequence[str], cuts: Sequence[float]) -> DataFrame:
+    """Moments and quartiles from one scan: distinct scores with their counts, in bucketed order."""
+    p = F.col("probability")
+    counts = with_bucket(predictions, "probability", cuts).groupBy(*by, BUCKET, "probability").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.count(p).alias("_n"),
+        F.sum("prediction").alias("_pos"),
+        F.count("prediction").alias("_judged"),
+    )
+    ranked = running_totals(
+        counts, by, ["probability"], sums={"_upto": "_n"}, totals={"_all": "_n", "_sum": F.col("_n") * p}
+    )
+    off = p - F.col("_sum") / F.col("_all")
+    picks, interpolated = quantile_picks("probability", QUARTILES)
+    n = F.max("_all")
+    wide = ranked.groupBy(*by).agg(
+        F.sum("_rows").alias("num_predictions"),
+        F.try_divide(F.sum("_pos"), F.sum("_judged")).alias("positive_rate"),
+        F.try_divide(F.max("_sum"), n).alias("probability_mean"),
+        F.when(n > 1, F.sqrt(F.sum(F.col("_n") * off * off) / (n - 1))).alias("probability_std"),
+        *picks,
+    )
+    moments = ["num_predictions", "positive_rate", "probability_mean", "probability_std"]
+    return wide.select(*by, *moments, *[c.alias(name) for name, c in interpolated.items()])
+
+
 def probability_entropy(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Entropy of the ten-bin score histogram: one aggregation, merged map-side."""
     names = [f"bin_{i}" for i in range(N_BINS)]
@@ -163,9 +190,9 @@ def hourly_resample(predictions: DataFrame, time: str = "timestamp") -> DataFram
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
-    """Rows and share per class."""
+    """Rows and share per class. The total is taken over the class counts, not over the rows again."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / df.agg(F.count(F.lit(1))).scalar())
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
 def calibration_gap(labeled: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -70,11 +70,14 @@ def split_points(
 ) -> DataFrame:
     """One row of cut points: training ends at the date of rank int(fraction * n), evaluation starts one
     second later and ends one second after the newest row. Counts include the rows that fall in the gap.
+
+    The date at the rank is read first (one value), so the counts are a plain aggregation.
     """
     number = micros(date)
     cuts = plan_cuts(df, {"d": number}, rows_per_bucket)["d"]
     rank = F.floor(F.lit(fraction) * F.col("_all"))
-    cut = value_at_rank(df, date, rank, cuts, number).select("value").scalar()
+    found = value_at_rank(df, date, rank, cuts, number).first()["value"]
+    cut = F.lit(None if found is None else str(found)).cast(df.schema[date].dataType)
     second = F.expr("INTERVAL 1 SECOND")
     at = F.col(date)
     counted = df.filter(at.isNotNull()).agg(

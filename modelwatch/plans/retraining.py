@@ -63,11 +63,7 @@ def retraining_round(
     found = None
     if segments:
         per_segment = evaluate.segment_metrics(scored, segments, ["model"])
-        found = gates.segment_regression(
-            per_segment.filter("model = 'production'"),
-            per_segment.filter("model = 'shadow'"),
-            max_drop_pct=limits.max_segment_regression_pct,
-        )
+        found = gates.segment_regression(per_segment, max_drop_pct=limits.max_segment_regression_pct)
         issues = F.coalesce(gates.segment_issues(found, []).select("segment_issues").scalar(), issues)
     last = F.lit(None).cast("timestamp_ntz")
     if decisions is not None:

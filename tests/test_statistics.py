@@ -205,7 +205,7 @@ def test_unweighted_calibration_error(spark):
     # Two bins: gaps 0.05 (one row) and 0.25 (three rows).
     rows = labeled(spark, [0, 1, 1, 1], [0.05, 0.75, 0.75, 0.75])
     assert evaluate.expected_calibration_error(rows).first()[0] == pytest.approx(0.15)
-    weighted = evaluate.expected_calibration_error(rows, weighted=True).first()[0]
+    weighted = evaluate.expected_calibration_error(rows).first()[1]
     assert weighted == pytest.approx((0.05 + 3 * 0.25) / 4)
 
 
