@@ -229,6 +229,10 @@ def split_metrics(spark, sf):
 DOC_FEATURES = ["n_chars", "n_words", "n_lines", "n_digits", "n_upper"]
 
 
+DIGITS = "0123456789"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def documents_with_features(spark, sf):
     """Labeled documents with numeric text measures, over whole texts."""
     docs = v.table(spark, sf, "documents").select(
@@ -237,8 +241,8 @@ def documents_with_features(spark, sf):
         "n_chars",
         F.size(F.split("text", r"\s+")).alias("n_words"),
         F.size(F.split("text", "\n")).alias("n_lines"),
-        F.length(F.regexp_replace("text", "[^0-9]", "")).alias("n_digits"),
-        F.length(F.regexp_replace("text", "[^A-Z]", "")).alias("n_upper"),
+        (F.length("text") - F.length(F.translate("text", DIGITS, ""))).alias("n_digits"),
+        (F.length("text") - F.length(F.translate("text", CAPITALS, ""))).alias("n_upper"),
     )
     known = v.labels(spark, sf).select("prediction_id", F.col("toxic").alias("true_label"))
     return docs.join(known, "prediction_id")

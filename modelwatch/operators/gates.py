@@ -196,46 +196,50 @@ def gate_decision(candidates: DataFrame, limits: GateLimits | None = None, now:
     """
     limits = limits or GateLimits()
     judged = _judge(limits)
+    names = [name for name, _, _, _ in judged]
+    flags = [f"_gate{i}" for i in range(len(judged))]
     ready = cooldown(candidates, limits.cooldown_days, now)
-    raw = F.array(
+    rows = ready.withColumns({flag: passed for flag, (_, passed, _, _) in zip(flags, judged)})
+    # The first failing gate, as a chain of conditions on plain boolean columns.
+    position = F.lit(len(judged))
+    for i in reversed(range(len(judged))):
+        position = F.when(~F.col(flags[i]), F.lit(i)).otherwise(position)
+    rows = rows.withColumn("_first", position)
+
+    def of_first(values: Sequence[Column | str]) -> Column:
+        chain = None
+        for i, value in enumerate(values):
+            value = F.lit(value) if isinstance(value, str) else value
+            hit = F.col("_first") == i
+            chain = F.when(hit, value) if chain is None else chain.when(hit, value)
+        return chain
+
+    results = F.array(
         *[
             F.struct(
                 F.lit(i).alias("position"),
                 F.lit(name).alias("gate"),
-                passed.alias("passed"),
-                reason.alias("reason"),
-                F.lit(code).alias("code"),
+                (F.col("_first") >= i).alias("evaluated"),
+                F.when(F.col("_first") >= i, F.col(flags[i])).alias("passed"),
             )
-            for i, (name, passed, reason, code) in enumerate(judged)
+            for i, name in enumerate(names)
         ]
     )
-    rows = ready.withColumn("_raw", raw).withColumn("_failed", F.filter("_raw", lambda g: ~g["passed"]))
-    rows = rows.withColumn("_first", F.get("_failed", F.lit(0)))
-    last = F.coalesce(F.col("_first.position"), F.lit(len(judged)))
-    results = F.transform(
-        "_raw",
-        lambda g: F.struct(
-            g["position"].alias("position"),
-            g["gate"].alias("gate"),
-            (g["position"] <= last).alias("evaluated"),
-            F.when(g["position"] <= last, g["passed"]).alias("passed"),
-        ),
-    )
-    promoted = F.col("_first").isNull()
     summary = F.format_string(
         "All gates passed. F1 improved %.2f%%, calibration maintained (Brier: %+.4f), no segment regression.",
         F.col("f1_improvement_pct"),
         F.col("brier_change"),
     )
+    promoted = F.col("_first") == len(judged)
     return rows.withColumns(
         {
             "gate_results": results,
             "action": F.when(promoted, "promote").otherwise("reject"),
-            "failed_gate": F.col("_first.gate"),
-            "reason_code": F.col("_first.code"),
-            "reason": F.when(promoted, summary).otherwise(F.col("_first.reason")),
+            "failed_gate": of_first(names),
+            "reason_code": of_first([code for _, _, _, code in judged]),
+            "reason": F.coalesce(of_first([reason for _, _, reason, _ in judged]), summary),
         }
-    ).drop("_raw", "_failed", "_first")
+    ).drop("_first", *flags)
 
 
 def gate_rows(decisions: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -61,7 +62,12 @@ def fit_forest(
             seed=seed,
         ),
     ]
-    return Pipeline(stages=stages).fit(rows)
+    # Growing a forest passes over the rows many times.
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Pipeline(stages=stages).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def score(df: DataFrame, fitted: Transformer) -> DataFrame:

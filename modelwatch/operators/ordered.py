@@ -21,8 +21,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 8192
+ROWS_PER_BUCKET = 100_000
+MAX_BUCKETS = 20_000
+# The second pass looks at about this many rows per wanted cut; fewer rows make coarser, still valid cuts.
+ROWS_PER_CUT = 2_000
 BUCKET = "_bucket"
 
 Cuts = Mapping[str, Sequence[float]]
@@ -38,13 +40,15 @@ def plan_cuts(
 
     ``distinct`` says that rows will be pre-aggregated to distinct values, so only those count towards the
     size of a bucket; otherwise every row does. Runs one small aggregation, and a second one (quantile
-    sketches) only for the columns that need cutting. Brings back a few numbers per column.
+    sketches over a sample) only for the columns that need cutting. The sample decides where work is split,
+    never what is computed. Brings back a few numbers per column.
     """
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
     exprs = dict(columns) if isinstance(columns, Mapping) else {c: F.col(c) for c in columns}
     names = list(exprs)
     size = F.approx_count_distinct if distinct else F.count
-    sizes = df.agg(*[size(exprs[c]).alias(f"n{i}") for i, c in enumerate(names)]).first()
+    counts = [size(exprs[c]).alias(f"n{i}") for i, c in enumerate(names)]
+    sizes = df.agg(*counts, F.count(F.lit(1)).alias("rows")).first()
     wanted = {c: min(MAX_BUCKETS, -(-int(sizes[i]) // rows_per_bucket)) for i, c in enumerate(names)}
     large = [c for c in names if wanted[c] > 1]
     cuts: dict[str, list[float]] = {c: [] for c in names}
@@ -53,11 +57,13 @@ def plan_cuts(
             F.percentile_approx(
                 exprs[c].cast("double"),
                 [k / wanted[c] for k in range(1, wanted[c])],
-                max(10_000, 4 * wanted[c]),
+                max(10_000, 2 * wanted[c]),
             ).alias(f"q{i}")
             for i, c in enumerate(large)
         ]
-        found = df.agg(*probes).first()
+        share = min(1.0, ROWS_PER_CUT * max(wanted[c] for c in large) / sizes["rows"])
+        source = df if share > 0.5 else df.sample(share, seed=7)
+        found = source.agg(*probes).first()
         for i, c in enumerate(large):
             cuts[c] = sorted({float(v) for v in (found[i] or [])})
     return cuts
