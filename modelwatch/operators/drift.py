@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwatch.functions.special import chi_square_tail, kolmogorov_tail, normal_two_sided
-from modelwatch.operators.ordered import BUCKET, Cuts, plan_cuts, running_totals, with_bucket
+from modelwatch.operators.ordered import BUCKET, Cuts, bucket_bound, plan_cuts, running_totals, with_bucket
 
 # Report names of the tests.
 TEST_NAMES = {
@@ -127,7 +127,7 @@ def _frequency_aggregates() -> list[Column]:
     ]
 
 
-def numeric_statistics(values: DataFrame, bucketed: bool = True) -> DataFrame:
+def numeric_statistics(values: DataFrame, bucketed: bool = True, offset_rows: int | None = None) -> DataFrame:
     """Every statistic per numeric feature, from one pass over the ordered values."""
     ordered = running_totals(
         values,
@@ -137,6 +137,7 @@ def numeric_statistics(values: DataFrame, bucketed: bool = True) -> DataFrame:
         totals={"all_ref": "n_ref", "all_cur": "n_cur", "sum_ref": F.col("n_ref") * F.col("value")},
         next_value={"following": "value"},
         bucket=BUCKET if bucketed else None,
+        offset_rows=offset_rows,
     )
     gap = F.abs(F.col("upto_ref") / F.col("all_ref") - F.col("upto_cur") / F.col("all_cur"))
     off = F.col("value") - F.col("sum_ref") / F.col("all_ref")
@@ -203,7 +204,8 @@ def feature_statistics(
     if numeric:
         cuts = cuts if cuts is not None else plan_feature_cuts(reference, current, numeric, rows_per_bucket)
         values = value_table(reference, current, numeric, cuts)
-        stats = numeric_statistics(values, bucketed=any(cuts.values()))
+        bound = sum(bucket_bound(cuts.get(f, ())) for f in numeric)
+        stats = numeric_statistics(values, bucketed=any(cuts.values()), offset_rows=bound)
         parts.append(stats.withColumn("categorical", F.lit(False)))
     if categorical:
         stats = categorical_statistics(category_table(reference, current, list(categorical)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelwatch.functions.bins import right_closed_bin
-from modelwatch.operators.ordered import BUCKET, plan_cuts, running_totals, with_bucket
+from modelwatch.operators.ordered import BUCKET, bucket_bound, plan_cuts, running_totals, with_bucket
 
 MIN_SEGMENT_ROWS = 30
 MIN_EVAL_ROWS = 30
@@ -88,11 +88,19 @@ def roc_auc(
     scores = with_bucket(rows, "_p", cuts).groupBy(*by, BUCKET, "_p").agg(
         F.count(F.when(F.col("_y") == 1, True)).alias("_pos"), F.count(F.when(F.col("_y") == 0, True)).alias("_neg")
     )
+    # The group totals keep both count columns in the offset branch, so both branches read one shuffle.
     ordered = running_totals(
-        scores, by, ["_p"], sums={"_below": "_neg"}, bucket=BUCKET if cuts else None, exclusive=True
+        scores,
+        by,
+        ["_p"],
+        sums={"_below": "_neg"},
+        totals={"_all_pos": "_pos", "_all_neg": "_neg"},
+        bucket=BUCKET if cuts else None,
+        exclusive=True,
+        offset_rows=None if by else bucket_bound(cuts),
     )
     pairs = F.sum(F.col("_pos").cast("double") * (F.col("_below") + F.col("_neg") * 0.5))
-    possible = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
+    possible = F.max("_all_pos").cast("double") * F.max("_all_neg").cast("double")
     return ordered.groupBy(*by).agg(F.try_divide(pairs, possible).alias("roc_auc"))
 
 
@@ -140,32 +148,37 @@ def evaluate(
 
     Rows are combined map-side to one per distinct (group, score) with the four label/prediction counts. The
     area under the curve needs them in score order; every other metric is a sum over at most ten score bins
-    per group. Rows without a score are left out. An empty input without groups gives one row with status
+    per group. Rows without a score or a prediction are left out. An empty input without groups gives one row with status
     ``no_labels``.
     """
     by = list(by)
-    rows = _labeled(df, by, label, prediction, score).filter("_p IS NOT NULL")
+    rows = _labeled(df, by, label, prediction, score).filter("_p IS NOT NULL AND _yhat IS NOT NULL")
     cuts = plan_cuts(rows, ["_p"], rows_per_bucket)["_p"]
     y, yhat = F.col("_y"), F.col("_yhat")
     counts = {f"_n{i}{j}": F.count(F.when((y == i) & (yhat == j), True)) for i in (0, 1) for j in (0, 1)}
     cells = with_bucket(rows, "_p", cuts).groupBy(*by, BUCKET, "_p").agg(
-        F.count(F.when(y == 1, True)).alias("_pos"),
-        F.count(F.when(y == 0, True)).alias("_neg"),
-        *[c.alias(n) for n, c in counts.items()],
+        *[c.alias(n) for n, c in counts.items()]
     )
+    pos, neg, p = F.col("_n10") + F.col("_n11"), F.col("_n00") + F.col("_n01"), F.col("_p")
+    n = pos + neg
     ordered = running_totals(
-        cells, by, ["_p"], sums={"_below": "_neg"}, bucket=BUCKET if cuts else None, exclusive=True
+        cells,
+        by,
+        ["_p"],
+        sums={"_below": neg},
+        totals={"_all_pos": pos, "_all_neg": neg},
+        bucket=BUCKET if cuts else None,
+        exclusive=True,
+        offset_rows=None if by else bucket_bound(cuts),
     )
-    pos, neg, p = F.col("_pos"), F.col("_neg"), F.col("_p")
-    n = pos + neg
     binned = ordered.groupBy(*by, right_closed_bin("_p").alias("_bin")).agg(
         F.sum(n).alias("num_samples"),
         F.sum("_n00").alias("true_negatives"),
         F.sum("_n01").alias("false_positives"),
         F.sum("_n10").alias("false_negatives"),
         F.sum("_n11").alias("true_positives"),
-        F.sum(pos).alias("_pos"),
-        F.sum(neg).alias("_neg"),
+        F.max("_all_pos").alias("_all_pos"),
+        F.max("_all_neg").alias("_all_neg"),
         F.sum(pos * (p - 1.0) * (p - 1.0) + neg * p * p).alias("_squared"),
         F.sum(pos.cast("double") * (F.col("_below") + neg * 0.5)).alias("_pairs"),
         F.abs(F.sum(pos) / F.sum(n) - F.sum(n * p) / F.sum(n)).alias("_gap"),
@@ -175,7 +188,9 @@ def evaluate(
         *[F.coalesce(F.sum(c), zero).alias(c) for c in COUNTS],
         F.try_divide(F.sum("_squared"), F.sum("num_samples")).alias("brier_score"),
         F.avg("_gap").alias("expected_calibration_error"),
-        F.try_divide(F.sum("_pairs"), F.sum("_pos").cast("double") * F.sum("_neg").cast("double")).alias("roc_auc"),
+        F.try_divide(F.sum("_pairs"), F.max("_all_pos").cast("double") * F.max("_all_neg").cast("double")).alias(
+            "roc_auc"
+        ),
     )
     status = F.when(F.col("num_samples") == 0, "no_labels").otherwise("ok")
     return totals.withColumns({**_rates(), "status": status})

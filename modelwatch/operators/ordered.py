@@ -25,6 +25,7 @@ ROWS_PER_BUCKET = 100_000
 MAX_BUCKETS = 20_000
 # The second pass looks at about this many rows per wanted cut; fewer rows make coarser, still valid cuts.
 ROWS_PER_CUT = 2_000
+BROADCAST_ROWS = 500_000
 BUCKET = "_bucket"
 
 Cuts = Mapping[str, Sequence[float]]
@@ -81,6 +82,11 @@ def with_bucket(df: DataFrame, value: str | Column, cuts: Sequence[float], name:
     return out.withColumn(name, F.col(name).cast("int")).drop(source)
 
 
+def bucket_bound(cuts: Sequence[float]) -> int:
+    """The most buckets that cuts can make, with one for values that are not numbers."""
+    return len(cuts) + 2
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that treats NULL keys as equal and keeps one copy of the keys."""
     renamed = right.select(
@@ -103,13 +109,16 @@ def running_totals(
     next_value: Mapping[str, str] | None = None,
     bucket: str | None = BUCKET,
     exclusive: bool = False,
+    offset_rows: int | None = None,
 ) -> DataFrame:
     """Add running sums, running maxima, group totals and next values in sorted order.
 
     ``df`` has a bucket column that grows with the first order column (see ``with_bucket``); ``bucket=None``
     states that every group is small enough for one task. ``exclusive`` leaves the current row out of sums
     and maxima. ``totals`` adds the whole group's sum to every row. ``next_value`` maps an output name to the
-    column whose following value (in order) is wanted.
+    column whose following value (in order) is wanted. ``offset_rows`` is the caller's bound on the number of
+    (group, bucket) pairs, where there is one: a small offset table is then broadcast, otherwise the
+    optimizer chooses the join from its run-time size.
     """
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     sums = {k: as_col(v) for k, v in (sums or {}).items()}
@@ -151,6 +160,8 @@ def running_totals(
         *[F.sum(f"_t_{n}").over(whole).alias(n) for n in totals],
         *[F.lead(f"_n_{n}").over(across).alias(f"_e_{n}") for n in next_value],
     )
+    if offset_rows is not None and offset_rows <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     joined = join_on(df.withColumns(local), offsets, inside_keys)
     final: dict[str, Column] = {}
     for name in sums:
@@ -210,7 +221,13 @@ def row_ranks(
     heads = with_bucket(df, numbers[0], cuts[keys[0]]).groupBy(*groups, BUCKET, head)
     counted = heads.agg(F.count(F.lit(1)).alias("_n"))
     before = running_totals(
-        counted, groups, [head], sums={"_before": "_n"}, totals={total: "_n"} if total else None, exclusive=True
+        counted,
+        groups,
+        [head],
+        sums={"_before": "_n"},
+        totals={total: "_n"} if total else None,
+        exclusive=True,
+        offset_rows=None if groups else bucket_bound(cuts[keys[0]]),
     ).drop(BUCKET, "_n")
     if len(order) == 1:
         return join_on(df, before, [*groups, head]).withColumnRenamed("_before", name)
@@ -244,7 +261,8 @@ def exact_quantiles(
         clean = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         return clean.groupBy(*groups).agg(*[F.percentile(value, q).alias(n) for n, q in probabilities.items()])
     counts = value_counts(df, groups, value, cuts)
-    ranked = running_totals(counts, groups, [value], sums={"_upto": "n"}, totals={"_all": "n"})
+    bound = None if groups else bucket_bound(cuts)
+    ranked = running_totals(counts, groups, [value], sums={"_upto": "n"}, totals={"_all": "n"}, offset_rows=bound)
     picks, interpolated = quantile_picks(value, probabilities)
     return ranked.groupBy(*groups).agg(*picks).select(*groups, *[c.alias(n) for n, c in interpolated.items()])
 
@@ -267,5 +285,7 @@ def value_at_rank(df: DataFrame, value: str, rank: Column, cuts: Sequence[float]
     keyed = with_bucket(df.filter(F.col(value).isNotNull()), number, cuts)
     counts = keyed.groupBy(BUCKET, value).agg(F.count(F.lit(1)).alias("n"))
     bucket = BUCKET if cuts else None
-    ranked = running_totals(counts, [], [value], sums={"_upto": "n"}, totals={"_all": "n"}, bucket=bucket)
+    ranked = running_totals(
+        counts, [], [value], sums={"_upto": "n"}, totals={"_all": "n"}, bucket=bucket, offset_rows=bucket_bound(cuts)
+    )
     return ranked.agg(F.min(F.when(F.col("_upto") > rank, F.col(value))).alias("value"), F.max("_all").alias("n"))

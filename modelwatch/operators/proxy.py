@@ -11,6 +11,7 @@ from modelwatch.functions.bins import N_BINS, histogram_counts, histogram_entrop
 from modelwatch.functions.times import interval, micros
 from modelwatch.operators.ordered import (
     BUCKET,
+    bucket_bound,
     plan_cuts,
     previous_values,
     quantile_picks,
@@ -58,15 +59,27 @@ def _ranked_stats(predictions: DataFrame, by: Sequence[str], cuts: Sequence[floa
         F.sum("prediction").alias("_pos"),
         F.count("prediction").alias("_judged"),
     )
+    # All counts are totalled, so that the offset branch needs the same columns and reads the same shuffle.
     ranked = running_totals(
-        counts, by, ["probability"], sums={"_upto": "_n"}, totals={"_all": "_n", "_sum": F.col("_n") * p}
+        counts,
+        by,
+        ["probability"],
+        sums={"_upto": "_n"},
+        totals={
+            "_all": "_n",
+            "_sum": F.col("_n") * p,
+            "_all_rows": "_rows",
+            "_all_pos": "_pos",
+            "_all_judged": "_judged",
+        },
+        offset_rows=None if by else bucket_bound(cuts),
     )
     off = p - F.col("_sum") / F.col("_all")
     picks, interpolated = quantile_picks("probability", QUARTILES)
     n = F.max("_all")
     wide = ranked.groupBy(*by).agg(
-        F.sum("_rows").alias("num_predictions"),
-        F.try_divide(F.sum("_pos"), F.sum("_judged")).alias("positive_rate"),
+        F.max("_all_rows").alias("num_predictions"),
+        F.try_divide(F.max("_all_pos"), F.max("_all_judged")).alias("positive_rate"),
         F.try_divide(F.max("_sum"), n).alias("probability_mean"),
         F.when(n > 1, F.sqrt(F.sum(F.col("_n") * off * off) / (n - 1))).alias("probability_std"),
         *picks,
