@@ -82,14 +82,15 @@ def score(df: DataFrame, fitted: Transformer) -> DataFrame:
 
 
 def score_with_python(df: DataFrame, predict_proba, features: Sequence[str], cut: float = 0.5) -> DataFrame:
-    """Score with any Python callable that maps a feature frame to P(1); Arrow batches, shipped once per worker."""
-    shipped = df.sparkSession.sparkContext.broadcast(predict_proba)
+    """Score with any Python callable that maps a feature frame to P(1), in Arrow batches.
+
+    The callable travels with the function; Spark broadcasts it when it is large.
+    """
 
     @F.pandas_udf("double")
     def proba(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        fn = shipped.value
         for frame in batches:
-            yield pd.Series(fn(frame))
+            yield pd.Series(predict_proba(frame))
 
     out = df.drop("prediction", "probability").withColumn("probability", proba(F.struct(*features)))
     return out.withColumn("prediction", (F.col("probability") >= cut).cast("int"))

@@ -16,6 +16,7 @@ from modelwatch.tables import (
     DRIFT_SUMMARY,
     FEATURE_SCHEMA,
     LABEL_STORE,
+    PERTURBATION_EVENT,
     PERTURBATION_LOG,
     PREDICTION_LOG,
     REFERENCE_METADATA,
@@ -119,9 +120,13 @@ def read_summaries(
     return usable.drop(CORRUPT, "_file").orderBy(F.col("report_time").desc())
 
 
-def read_decision_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Decision records of every kind under one schema; ``at`` is the parsed time."""
-    docs = spark.read.schema(DECISION_RECORD).option("multiLine", "true").json(folder)
+def read_decision_records(spark: SparkSession, folder: str, documents: bool = False) -> DataFrame:
+    """Decision records of every kind under one schema; ``at`` is the parsed time.
+
+    Records are JSON lines as ``write_records`` leaves them, or with ``documents`` one formatted document per
+    file.
+    """
+    docs = spark.read.schema(DECISION_RECORD).option("multiLine", str(documents).lower()).json(folder)
     return docs.withColumn("at", F.try_to_timestamp("timestamp").cast("timestamp_ntz"))
 
 
@@ -130,10 +135,13 @@ def deployment_history(records: DataFrame, limit: int = 10) -> DataFrame:
     return records.orderBy(F.col("at").desc(), "action").limit(limit)
 
 
-def read_perturbations(spark: SparkSession, path: str) -> DataFrame:
-    """One row per event of the perturbation log, which is either one document or a table of rows."""
-    docs = spark.read.schema(PERTURBATION_LOG).option("multiLine", "true").json(path)
-    events = docs.select(F.inline("drift_events"))
+def read_perturbations(spark: SparkSession, path: str, documents: bool = False) -> DataFrame:
+    """One row per perturbation event, from JSON lines or, with ``documents``, from a document with an event array."""
+    if documents:
+        events = spark.read.schema(PERTURBATION_LOG).option("multiLine", "true").json(path)
+        events = events.select(F.inline("drift_events"))
+    else:
+        events = spark.read.schema(PERTURBATION_EVENT).json(path)
     return events.withColumn("at", F.try_to_timestamp("timestamp").cast("timestamp_ntz"))
 
 
