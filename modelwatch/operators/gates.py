@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelwatch.functions.times import micros, whole_days
-from modelwatch.operators.ordered import BUCKET, plan_cuts, running_totals, with_bucket
+from modelwatch.operators.ordered import BUCKET, join_on, plan_cuts, running_totals, with_bucket
 
 
 @dataclass(frozen=True)
@@ -73,16 +73,27 @@ def promotion_before(
 ) -> DataFrame:
     """Replay form: for every decision the newest earlier promotion of its model.
 
-    A running maximum in time order, cut along time, so a model with a long history is spread over tasks.
+    The running maximum is taken over distinct times per model, cut along time, so neither a model with a long
+    history nor a time with very many decisions sits on one task. Decisions at the same time are ordered by
+    the tie break: a promotion with a smaller one counts as earlier.
     """
-    cuts = plan_cuts(decisions, {"t": micros(time)}, rows_per_bucket, distinct=False)["t"]
-    placed = with_bucket(decisions, micros(time), cuts)
-    promoted_at = F.when(F.col("action") == "promote", F.col(time))
+    cuts = plan_cuts(decisions, {"t": micros(time)}, rows_per_bucket)["t"]
+    promoted = F.col("action") == "promote"
+    moments = with_bucket(decisions, micros(time), cuts).groupBy(*by, BUCKET, time).agg(
+        F.min(F.when(promoted, F.col(tie_break))).alias("_first_promoted")
+    )
     carried = running_totals(
-        placed, by, [time, tie_break], maxima={"last_promotion": promoted_at}, bucket=BUCKET if cuts else None,
+        moments,
+        by,
+        [time],
+        maxima={"_before": F.when(F.col("_first_promoted").isNotNull(), F.col(time))},
+        bucket=BUCKET if cuts else None,
         exclusive=True,
     )
-    return carried.drop(BUCKET)
+    found = join_on(decisions, carried.drop(BUCKET), [*by, time], "left")
+    same_time = F.col("_first_promoted") < F.col(tie_break)
+    last = F.when(same_time, F.col(time)).otherwise(F.col("_before"))
+    return found.withColumn("last_promotion", last).drop("_first_promoted", "_before")
 
 
 def cooldown(rows: DataFrame, days: int = 7, now: str = "timestamp") -> DataFrame:

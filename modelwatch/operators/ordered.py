@@ -71,7 +71,10 @@ def plan_cuts(
 
 
 def with_bucket(df: DataFrame, value: str | Column, cuts: Sequence[float], name: str = BUCKET) -> DataFrame:
-    """Add the bucket number of a numeric value: how many cuts lie at or below it."""
+    """Add the bucket number of a numeric value: how many cuts lie at or below it.
+
+    NULL gets the lowest bucket and NaN the highest, which is where an ascending sort puts them.
+    """
     value = F.col(value) if isinstance(value, str) else value
     if not cuts:
         return df.withColumn(name, F.lit(0))
@@ -79,22 +82,26 @@ def with_bucket(df: DataFrame, value: str | Column, cuts: Sequence[float], name:
     source = f"{name}_value"
     bucketizer = Bucketizer(splits=splits, inputCol=source, outputCol=name, handleInvalid="keep")
     out = bucketizer.transform(df.withColumn(source, value.cast("double")))
-    return out.withColumn(name, F.col(name).cast("int")).drop(source)
+    return out.withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(-1))).drop(source)
 
 
 def bucket_bound(cuts: Sequence[float]) -> int:
-    """The most buckets that cuts can make, with one for values that are not numbers."""
-    return len(cuts) + 2
+    """The most buckets that cuts can make, with one for NULL and one for NaN."""
+    return len(cuts) + 3
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join that treats NULL keys as equal and keeps one copy of the keys."""
+    """Equi-join that treats NULL keys as equal and keeps one copy of the keys.
+
+    Keys that cannot be NULL are compared plainly, so an existing hash partitioning on them is kept.
+    """
     renamed = right.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys], *[F.col(c) for c in right.columns if c not in keys]
     )
     condition = None
     for k in keys:
-        term = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        never_null = k == BUCKET or not (left.schema[k].nullable and right.schema[k].nullable)
+        term = F.col(k) == F.col(f"_r_{k}") if never_null else F.col(k).eqNullSafe(F.col(f"_r_{k}"))
         condition = term if condition is None else condition & term
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 

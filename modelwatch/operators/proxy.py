@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelwatch.functions.bins import N_BINS, histogram_counts, histogram_entropy
@@ -130,18 +130,21 @@ def trailing_trends(
     )
 
 
-def rate_of_change(runs: DataFrame, by: Sequence[str] = ("model_version",), time: str = "timestamp") -> DataFrame:
+def rate_of_change(
+    runs: DataFrame,
+    by: Sequence[str] = ("model_version",),
+    time: str = "timestamp",
+    rows_per_bucket: int | None = None,
+) -> DataFrame:
     """Change per hour of positive rate and mean score against the previous run of the same group.
 
-    A run table has one row per group and time step, so a group is small; pass a run table, not a log.
+    A run table has one row per group and time step, so a group is small. For a very long run table give
+    ``rows_per_bucket``: groups are then cut along time.
     """
-    paired = previous_values(
-        runs,
-        by,
-        [time],
-        {"_time": time, "_rate": "positive_rate", "_mean": "probability_mean"},
-        bucket=None,
-    )
+    cuts = plan_cuts(runs, {"t": micros(time)}, rows_per_bucket, distinct=False)["t"] if rows_per_bucket else []
+    placed = with_bucket(runs, micros(time), cuts)
+    before = {"_time": time, "_rate": "positive_rate", "_mean": "probability_mean"}
+    paired = previous_values(placed, by, [time], before, bucket=BUCKET if cuts else None)
     hours = (micros(time) - micros("_time")) / F.lit(3_600_000_000)
 
     def change(now: str, before: str) -> Column:
@@ -203,9 +206,9 @@ def hourly_resample(predictions: DataFrame, time: str = "timestamp") -> DataFram
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
-    """Rows and share per class. The total is taken over the class counts, not over the rows again."""
+    """Rows and share per class; the total is a scalar over the class counts."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def calibration_gap(labeled: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -8,8 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.functions.times import instant, interval
-from modelwatch.operators.ordered import join_on
+from modelwatch.functions.times import instant, interval, micros
+from modelwatch.operators.ordered import BUCKET, plan_cuts, running_totals, with_bucket
 
 VERSION_KEY = ["model_name", "version"]
 # Columns that an existing version takes over from an update; all others keep their first value.
@@ -161,33 +161,33 @@ def rejection_rate(decisions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return counted.withColumn("rejection_rate", F.try_divide("rejected", F.col("rejected") + F.col("promoted")))
 
 
-def production_at(rows: DataFrame, versions: DataFrame, time: str = "timestamp") -> DataFrame:
+def production_at(
+    rows: DataFrame, versions: DataFrame, time: str = "timestamp", rows_per_bucket: int | None = None
+) -> DataFrame:
     """Which version of the row's model was in Production at the row's time.
 
-    As-of lookup without a range join: version starts and rows are merged in time order per model and the
-    last start is carried forward.
+    As-of lookup without a range join: promotion times and the rows' distinct times are merged in time order
+    per model and the last promotion is carried forward (cut along time, so a model with a long history is
+    spread over tasks). Rows then pick up their version by an equi-join on model and time.
     """
-    from modelwatch.functions.times import micros
-    from modelwatch.operators.ordered import BUCKET, plan_cuts, running_totals, with_bucket
-
-    marks = versions.filter("promoted_at IS NOT NULL").select(
-        "model_name",
-        F.col("promoted_at").cast("timestamp").alias("_at"),
-        F.struct(F.col("promoted_at").cast("timestamp").alias("since"), F.col("version").alias("version")).alias("_v"),
-        F.lit(0).alias("_row"),
-        F.lit(None).cast(rows.select(F.struct("*")).schema[0].dataType).alias("_r"),
+    asked = rows.filter(F.col(time).isNotNull()).select("model_name", F.col(time).alias("_at")).distinct()
+    starts = versions.filter("promoted_at IS NOT NULL").groupBy("model_name", F.col("promoted_at").alias("_at")).agg(
+        F.max("version").alias("_version")
     )
-    asked = rows.select(
-        "model_name",
-        F.col(time).cast("timestamp").alias("_at"),
-        F.lit(None).cast(marks.schema["_v"].dataType).alias("_v"),
-        F.lit(1).alias("_row"),
-        F.struct(*rows.columns).alias("_r"),
+    both = asked.withColumn("_version", F.lit(None).cast("int")).unionByName(
+        starts.select("model_name", "_at", F.col("_version").cast("int"))
     )
-    both = marks.unionByName(asked)
-    cuts = plan_cuts(both, {"at": micros("_at")}, distinct=False)["at"]
-    placed = with_bucket(both, micros("_at"), cuts)
-    carried = running_totals(placed, ["model_name"], ["_at", "_row"], maxima={"_last": "_v"})
-    return carried.filter("_row = 1").select("_r.*", F.col("_last.version").alias("production_version"))
-
-
+    moments = both.groupBy("model_name", "_at").agg(F.max("_version").alias("_version"))
+    cuts = plan_cuts(both, {"t": micros("_at")}, rows_per_bucket, distinct=True)["t"]
+    start = F.when(F.col("_version").isNotNull(), F.struct("_at", "_version"))
+    carried = running_totals(
+        with_bucket(moments, micros("_at"), cuts),
+        ["model_name"],
+        ["_at"],
+        maxima={"_last": start},
+        bucket=BUCKET if cuts else None,
+    )
+    known = carried.select(
+        "model_name", F.col("_at").alias(time), F.col("_last._version").alias("production_version")
+    )
+    return rows.join(known, ["model_name", time], "left").select(*rows.columns, "production_version")

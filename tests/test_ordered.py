@@ -91,3 +91,12 @@ def test_empty_input(spark):
     empty = spark.createDataFrame([], "g string, v double, id long")
     assert ordered.plan_cuts(empty, ["v"]) == {"v": []}
     assert ordered.row_ranks(empty, ["g"], ["v", "id"]).count() == 0
+
+
+@pytest.mark.parametrize("size", [3, 10**6])
+def test_null_order_and_group_values_are_kept(spark, size):
+    data = [(None, None, i) for i in range(4)] + [("a", float(i % 5), i + 4) for i in range(20)]
+    df = spark.createDataFrame(data, "g string, v double, id long")
+    out = ordered.row_ranks(df, ["g"], ["v", "id"], name="rk", rows_per_bucket=size)
+    assert sorted(r["rk"] for r in out.filter("g IS NULL").collect()) == [0, 1, 2, 3]
+    assert sorted(r["rk"] for r in out.filter("g = 'a'").collect()) == list(range(20))
