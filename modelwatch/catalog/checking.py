@@ -147,13 +147,13 @@ def uniqueness_checks(spark, sf):
     """SELECT CAST(sum(n) AS BIGINT) AS dataset_rows, 5 AS dataset_columns, CAST(sum(n * nulls) AS BIGINT) AS missing_cells,
               CAST(sum(n - 1) AS BIGINT) AS duplicate_rows
        FROM (SELECT count(*) AS n, max(CASE WHEN l_quantity IS NULL THEN 1 ELSE 0 END) AS nulls FROM (
-         SELECT l_orderkey % 500 AS l_orderkey, l_linenumber,
+         SELECT l_discount, l_linenumber,
                 CASE WHEN l_returnflag <> 'A' THEN l_quantity END AS l_quantity, l_returnflag, l_linestatus
-         FROM lineitem) GROUP BY l_orderkey, l_linenumber, l_quantity, l_returnflag, l_linestatus)""",
+         FROM lineitem) GROUP BY l_discount, l_linenumber, l_quantity, l_returnflag, l_linestatus)""",
 )
 def dataset_profile(spark, sf):
     rows = v.lines(spark, sf).select(
-        (F.col("l_orderkey") % 500).alias("l_orderkey"),
+        "l_discount",
         "l_linenumber",
         F.when(F.col("l_returnflag") != "A", F.col("l_quantity")).alias("l_quantity"),
         "l_returnflag",

@@ -319,13 +319,13 @@ def rollback_candidates(spark, sf):
 @query(
     "version_upsert",
     v.with_views(D, VER)
-    + f"""SELECT model_name, version, CASE WHEN version % 3 = 0 THEN 'Archived' ELSE stage END AS stage, trained_at,
-                 promoted_at, CASE WHEN version % 3 = 0 THEN {AT_SQL} ELSE archived_at END AS archived_at,
-                 {v.r6('f1_score')}, CASE WHEN version % 3 = 0 THEN {AT_SQL} ELSE updated_at END AS updated_at
+    + f"""SELECT model_name, version, CASE WHEN f1_score >= 0.6 THEN 'Archived' ELSE stage END AS stage, trained_at,
+                 promoted_at, CASE WHEN f1_score >= 0.6 THEN {AT_SQL} ELSE archived_at END AS archived_at,
+                 {v.r6('f1_score')}, CASE WHEN f1_score >= 0.6 THEN {AT_SQL} ELSE updated_at END AS updated_at
           FROM v_versions
           UNION ALL
-          SELECT model_name, CAST(version + 100000 AS INTEGER), 'Archived', {AT_SQL}, NULL, {AT_SQL}, 0.5e0, {AT_SQL}
-          FROM v_versions WHERE version % 3 = 1""",
+          SELECT model_name, CAST(-version AS INTEGER), 'Archived', {AT_SQL}, NULL, {AT_SQL}, 0.5e0, {AT_SQL}
+          FROM v_versions""",
 )
 def version_upsert(spark, sf):
     """Updates of known versions change stage and times only; unknown versions are inserted whole."""
@@ -339,10 +339,8 @@ def version_upsert(spark, sf):
         "updated_at": moment,
         "f1_score": F.lit(0.5),
     }
-    known = versions.filter("version % 3 = 0").withColumns(changed)
-    new = versions.filter("version % 3 = 1").withColumns(changed).withColumn(
-        "version", (F.col("version") + 100000).cast("int")
-    )
+    known = versions.filter("f1_score >= 0.6").withColumns(changed)
+    new = versions.withColumns(changed).withColumn("version", (-F.col("version")).cast("int"))
     out = registry.upsert_versions(versions, known.unionByName(new))
     columns = ["model_name", "version", "stage", "trained_at", "promoted_at", "archived_at", "f1_score", "updated_at"]
     return rounded(out.select(*columns))

@@ -104,28 +104,26 @@ def accuracy_by_version(spark, sf):
 
 UPDATES_SQL = """v_updates AS (
   SELECT prediction_id, toxic AS true_label, updated_at + INTERVAL 5 DAY AS updated_at FROM v_labels
-  WHERE CAST(prediction_id AS BIGINT) % 2 = 0
+  WHERE days_delayed >= 3
   UNION ALL
   SELECT prediction_id, 1 - toxic AS true_label, updated_at + INTERVAL 6 DAY AS updated_at FROM v_labels
-  WHERE CAST(prediction_id AS BIGINT) % 4 = 0
+  WHERE days_delayed >= 5
   UNION ALL
-  SELECT 'new-' || prediction_id, toxic AS true_label, updated_at FROM v_labels
-  WHERE CAST(prediction_id AS BIGINT) % 3 = 0)"""
+  SELECT 'new-' || prediction_id, toxic AS true_label, updated_at FROM v_labels)"""
 
 
 def _updates(spark, sf):
-    """Changed labels for some ids (some twice), and labels of new ids."""
+    """Changed labels for late ids (for very late ones twice), and as many new ids as there are labels."""
     known = v.labels(spark, sf)
-    ident = F.col("prediction_id").cast("bigint")
 
     def part(rows, label, days, key="prediction_id"):
         moved = F.col("updated_at") + F.expr(f"INTERVAL {days} DAY")
         return rows.select(F.expr(key).alias("prediction_id"), F.expr(label).alias("true_label"), moved.alias("updated_at"))
 
     return (
-        part(known.filter(ident % 2 == 0), "toxic", 5)
-        .unionByName(part(known.filter(ident % 4 == 0), "1 - toxic", 6))
-        .unionByName(part(known.filter(ident % 3 == 0), "toxic", 0, "concat('new-', prediction_id)"))
+        part(known.filter("days_delayed >= 3"), "toxic", 5)
+        .unionByName(part(known.filter("days_delayed >= 5"), "1 - toxic", 6))
+        .unionByName(part(known, "toxic", 0, "concat('new-', prediction_id)"))
     )
 
 

@@ -58,9 +58,10 @@ def _melt(df: DataFrame, features: Sequence[str], cuts: Cuts, reference: bool) -
         if cuts.get(f):
             wide = with_bucket(wide, f, cuts[f], f"_b{i}")
             buckets[f] = F.col(f"_b{i}")
+    # Features travel as numbers: their names would be the widest part of a shuffled row.
     cells = [
-        F.struct(F.lit(f).alias("feature"), buckets[f].alias(BUCKET), (F.col(f) + F.lit(0.0)).alias("value"))
-        for f in features
+        F.struct(F.lit(i).alias("feature"), buckets[f].alias(BUCKET), (F.col(f) + F.lit(0.0)).alias("value"))
+        for i, f in enumerate(features)
     ]
     finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != F.lit(float("inf")))
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
@@ -83,10 +84,21 @@ def plan_feature_cuts(
     return plan_cuts(both, finite, rows_per_bucket)
 
 
-def value_table(reference: DataFrame, current: DataFrame, features: Sequence[str], cuts: Cuts) -> DataFrame:
-    """Distinct (feature, value) with the reference and current counts; NULL, NaN and infinite values left out."""
+def value_table(
+    reference: DataFrame, current: DataFrame, features: Sequence[str], cuts: Cuts, named: bool = True
+) -> DataFrame:
+    """Distinct (feature, value) with the reference and current counts; NULL, NaN and infinite values left out.
+
+    With ``named=False`` a feature is its position in the list.
+    """
     both = _melt(reference, features, cuts, True).unionByName(_melt(current, features, cuts, False))
-    return both.groupBy("feature", BUCKET, "value").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+    counts = both.groupBy("feature", BUCKET, "value").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+    return _name_features(counts, features) if named else counts
+
+
+def _name_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    names = F.array(*[F.lit(f) for f in features])
+    return df.withColumn("feature", F.element_at(names, F.col("feature") + 1))
 
 
 def category_table(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -203,10 +215,10 @@ def feature_statistics(
     parts = []
     if numeric:
         cuts = cuts if cuts is not None else plan_feature_cuts(reference, current, numeric, rows_per_bucket)
-        values = value_table(reference, current, numeric, cuts)
+        values = value_table(reference, current, numeric, cuts, named=False)
         bound = sum(bucket_bound(cuts.get(f, ())) for f in numeric)
         stats = numeric_statistics(values, bucketed=any(cuts.values()), offset_rows=bound)
-        parts.append(stats.withColumn("categorical", F.lit(False)))
+        parts.append(_name_features(stats, numeric).withColumn("categorical", F.lit(False)))
     if categorical:
         stats = categorical_statistics(category_table(reference, current, list(categorical)))
         parts.append(stats.withColumn("categorical", F.lit(True)))

@@ -47,9 +47,11 @@ def plan_cuts(
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
     exprs = dict(columns) if isinstance(columns, Mapping) else {c: F.col(c) for c in columns}
     names = list(exprs)
-    size = F.approx_count_distinct if distinct else F.count
-    counts = [size(exprs[c]).alias(f"n{i}") for i, c in enumerate(names)]
-    sizes = df.agg(*counts, F.count(F.lit(1)).alias("rows")).first()
+    rows = F.count(F.lit(1))
+    counts = [
+        (F.approx_count_distinct(exprs[c]) if distinct else rows).alias(f"n{i}") for i, c in enumerate(names)
+    ]
+    sizes = df.agg(*counts, rows.alias("rows")).first()
     wanted = {c: min(MAX_BUCKETS, -(-int(sizes[i]) // rows_per_bucket)) for i, c in enumerate(names)}
     large = [c for c in names if wanted[c] > 1]
     cuts: dict[str, list[float]] = {c: [] for c in names}

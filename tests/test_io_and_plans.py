@@ -317,3 +317,17 @@ def test_custom_drift_test(spark):
         return pd.DataFrame({"feature": [frame["feature"].iloc[0]], "n": [int(frame["n_ref"].sum())]})
 
     assert {r["n"] for r in drift.custom_test(values, fn, "feature string, n long").collect()} == {300}
+
+
+def test_importance_table_and_time_based_id(spark, tmp_path):
+    from modelwatch.operators.cleaning import time_based_id
+
+    log, label_table = scored_log(spark, 300)
+    fitted = model.fit_forest(log.join(label_table.select("prediction_id", "true_label"), "prediction_id"), X, num_trees=5)
+    table = model.feature_importance(spark, fitted, X)
+    writers.write_importance(table, f"{tmp_path}/importance")
+    lines = [r["value"] for r in spark.read.text(f"{tmp_path}/importance").collect()]
+    assert lines[0] == "feature,importance" and lines[1].startswith("x1,")
+    assert model.top_features(table, 2).count() == 2
+    got = spark.sql("SELECT timestamp'2024-01-02 03:04:05.678901' AS t").select(time_based_id("t")).first()[0]
+    assert got == "pred_20240102_030405_678901"
