@@ -299,7 +299,7 @@ def drift_signal(spark, sf):
     out = folded.withColumns(
         {
             "drifted_feature_names": F.array_join("drifted_feature_names", ","),
-            "n_drift_timestamps": F.size("drift_timestamps"),
+            "n_drift_timestamps": F.size("drift_timestamps").cast("bigint"),
         }
     ).drop("drift_timestamps")
     return rounded(out)

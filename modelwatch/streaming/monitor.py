@@ -196,7 +196,8 @@ def alerts_with_cooldown(
                 last = t
         if last is not None:
             state.update((last.value // 1000,))
-        yield pd.DataFrame({by: [key[0]] * len(alerts), "alert_at": pd.Series(alerts, dtype="datetime64[ns]")})
+        if alerts:
+            yield pd.DataFrame({by: [key[0]] * len(alerts), "alert_at": pd.Series(alerts, dtype="datetime64[ns]")})
 
     return (
         stream.withWatermark(time, delay)

@@ -24,7 +24,7 @@ def oracle(sf_dir):
 def plain(v):
     if isinstance(v, (float, decimal.Decimal)):
         v = float(v)
-        return "nan" if math.isnan(v) else round(v, 6) + 0.0
+        return "nan" if math.isnan(v) else v + 0.0
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None)
     if isinstance(v, (list, tuple)):
