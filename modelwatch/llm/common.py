@@ -51,7 +51,7 @@ def row_key(*names: str):
     """128-bit key of a row's content, as two longs; equal rows share it."""
     columns = [F.col(f"`{n}`") for n in names]
     return F.struct(
-        F.xxhash64(*columns).alias("a"), F.xxhash64(*columns[::-1], F.lit(len(names))).alias("b")
+        F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(len(names)), *columns[::-1]).alias("b")
     )
 
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwatch.llm import license_scans, quality_rules, secret_scans, sentence_pieces
-from modelwatch.llm.common import table
+from modelwatch.llm import decontamination, license_scans, quality_rules, secret_scans, sentence_pieces, warc
+from modelwatch.llm.common import stored, table
+from modelwatch.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,3 +53,18 @@ def op9_license_scans(spark, sf_dir):
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 6).alias("score"),
         F.size("notices").cast("long").alias("n_notices"),
     )
+
+
+@query
+def op3_decontamination(spark, sf_dir):
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query
+def op5_warc(spark, sf_dir):
+    path = scratch_dir(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    resolved = warc.resolve(stored(warc.read_archives(spark, path, payloads=False), "warc-records"))
+    as_id = lambda name: F.col(name).cast("long").alias(name)
+    return resolved.select(as_id("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to"))

@@ -205,4 +205,4 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]"
 def row_key_of(struct: str):
     """As ``row_key`` over the fields id, body, repo, own of a struct column."""
     c = [F.col(struct)[n] for n in ("id", "body", "repo", "own")]
-    return F.struct(F.xxhash64(*c).alias("a"), F.xxhash64(*c[::-1], F.lit(4)).alias("b"))
+    return F.struct(F.xxhash64(*c).alias("a"), F.xxhash64(F.lit(4), *c[::-1]).alias("b"))
