@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwatch.llm import decontamination, license_scans, quality_rules, secret_scans, sentence_pieces, warc
+from modelwatch.llm import decontamination, license_scans, minhash, quality_rules, secret_scans, sentence_pieces, warc
 from modelwatch.llm.common import stored, table
 from modelwatch.session import scratch_dir
 
@@ -68,3 +68,9 @@ def op5_warc(spark, sf_dir):
     resolved = warc.resolve(stored(warc.read_archives(spark, path, payloads=False), "warc-records"))
     as_id = lambda name: F.col(name).cast("long").alias(name)
     return resolved.select(as_id("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to"))
+
+
+@query
+def op2_minhash_near_dedup(spark, sf_dir):
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
