@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwatch.llm import decontamination, license_scans, minhash, quality_rules, secret_scans, sentence_pieces, warc
+from modelwatch.llm import decontamination, license_scans, minhash, quality_rules, secret_scans, sentence_pieces, suffix_dedup, warc
 from modelwatch.llm.common import stored, table
 from modelwatch.session import scratch_dir
 
@@ -74,3 +74,9 @@ def op5_warc(spark, sf_dir):
 def op2_minhash_near_dedup(spark, sf_dir):
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op10_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
