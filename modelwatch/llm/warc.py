@@ -83,14 +83,14 @@ def write_archives(
     payload, a null url leaves its header out. Other columns do not matter. An empty table writes no record.
     """
     page, url, digest = F.col("page"), F.col("url"), F.col("digest")
-    verdicts = resolve_revisits(pages, id_col, html_col, least_bytes).select(
-        F.col("page").alias("of_page"), F.col("digest").alias("of_digest"), "first", "resolved"
-    )
+    # A null page gets a key as well: with plain equality the window below needs no second shuffle of the payloads.
+    page_key = F.struct(page.isNull().alias("none"), F.coalesce(page.cast("string"), F.lit("")).alias("text")).alias("page_key")
+    verdicts = resolve_revisits(pages, id_col, html_col, least_bytes).select(page_key, "digest", "first", "resolved")
     source = pages.select(
         F.col(f"`{id_col}`").alias("page"), F.col(f"`{url_col}`").alias("url"), payload_of(html_col).alias("payload")
     ).withColumn("digest", payload_digest(F.col("payload")))
-    joined = source.join(verdicts, page.eqNullSafe(F.col("of_page")) & (digest == F.col("of_digest")))
-    copy = F.row_number().over(W.Window.partitionBy("page", "digest").orderBy(F.col("url").asc_nulls_last()))
+    joined = source.withColumn("page_key", page_key).join(verdicts, ["page_key", "digest"])
+    copy = F.row_number().over(W.Window.partitionBy("page_key", "digest").orderBy(F.col("url").asc_nulls_last()))
     rows = joined.withColumn("copy", F.when(F.col("resolved"), copy).otherwise(F.lit(1)))
     rows = rows.withColumn(
         "revisit", F.coalesce(F.col("resolved"), F.lit(False)) & (~page.eqNullSafe(F.col("first")) | (F.col("copy") > 1))
