@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwatch.llm import decontamination, license_scans, minhash, quality_classifier, quality_rules, secret_scans, sentence_pieces, suffix_dedup, warc
+from modelwatch.llm import decontamination, license_scans, minhash, paragraph_dedup, quality_classifier, quality_rules, secret_scans, sentence_pieces, suffix_dedup, warc
 from modelwatch.llm.common import stored, table
 from modelwatch.session import scratch_dir
 
@@ -86,3 +86,9 @@ def op10_suffix_dedup(spark, sf_dir):
 def op4_quality_classifier(spark, sf_dir):
     scored = quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", F.round("p_bad", 6).alias("p_bad"), F.round("p_toxic", 6).alias("p_toxic"), "kept")
+
+
+@query
+def op1_substring_dedup(spark, sf_dir):
+    found = paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_paragraphs", "n_removed", "n_words_removed", "copies_of")
