@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelwatch.llm import decontamination, minhash, quality_classifier, secret_scans, sentence_pieces
-from modelwatch.llm.common import row_key, stored, table
+from modelwatch.llm.common import packed, row_key, stored, table, unpacked
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that share a window with the benchmark."""
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select(F.col("key").alias("__hit")).distinct()
-    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
-    return keyed.join(hit, F.col("__key") == F.col("__hit"), "left_anti").select(*docs.columns)
+    hit = found.where("contaminated").select("key").distinct()
+    return packed(docs, key=row_key("doc_id", "text")).join(hit, "key", "left_anti").select(*unpacked("row", docs.columns))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,6 +55,17 @@ def row_key(*names: str):
     )
 
 
+def packed(df: DataFrame, **more) -> DataFrame:
+    """All columns of ``df`` as one struct ``row``, whatever their names, beside the columns given here."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    return df.select(row, *[c.alias(name) for name, c in more.items()])
+
+
+def unpacked(row: str, names: Sequence[str], **changed) -> list:
+    """The columns of a struct again, some of them replaced."""
+    return [changed[n].alias(n) if n in changed else F.col(row)[n].alias(n) for n in names]
+
+
 def map_texts(
     df: DataFrame,
     keep: Sequence[str],

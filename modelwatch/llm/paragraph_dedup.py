@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelwatch.llm.common import WordHashes, mix64, row_key, shingle_hashes, signed, space_words, stored
+from modelwatch.llm.common import WordHashes, mix64, packed, row_key, shingle_hashes, signed, space_words, stored, unpacked
 from modelwatch.llm.components import connected_components
 from modelwatch.llm.decontamination import bit_filter
 from modelwatch.llm.minhash import links_across, verified
-from modelwatch.llm.suffix_dedup import gathered, smallest_in_windows
+from modelwatch.llm.suffix_dedup import gathered, smallest_in_windows, without
 
 WIDTH, PERCENT = 5, 80
 #: One row per band: paragraphs are short and 5-word shingles rare, so a shared minimum is already telling. Four bands miss
@@ -135,8 +135,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     paragraphs. Rows that repeat an id and a text are one document: one row each, equal. Other columns do not matter; an
     empty table gives none.
     """
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("body"))
-    own = own.withColumn("key", row_key("id", "body")).select("id", "key", "body")
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text_col).alias("key"), F.col(f"`{text_col}`").cast("binary").alias("body"))
     shared = stored(band_counts(own).groupBy("h").count().where("count > 1").select("h"), "paragraph-bands")
     bits = own.sparkSession.sparkContext.broadcast(bit_filter(shared, BAND_BITS))
     found = stored(candidate_paragraphs(own, bits), "paragraphs")
@@ -211,26 +210,17 @@ def long_runs(per_doc: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the spans of ``found`` (from ``repeated_paragraphs``) cut out of their texts."""
-    from modelwatch.llm.suffix_dedup import without
-
-    spans = found.where("n_removed > 0").select(F.col("key").alias("__of"), F.col("spans").alias("__spans")).dropDuplicates(["__of"])
-    keyed = docs.withColumn("__key", F.struct(*row_key_fields(id_col, text_col)))
-    joined = keyed.join(spans, F.col("__key") == F.col("__of"), "left").select(*docs.columns, "__spans")
-    schema, at = docs.schema, docs.columns.index(text_col)
+    spans = found.where("n_removed > 0").select("key", "spans").dropDuplicates(["key"])
+    body = F.col(f"`{text_col}`")
+    joined = packed(docs, key=row_key(id_col, text_col), body=body).join(spans, "key", "left").select("row", "body", "spans")
+    schema = T.StructType([joined.schema["row"], joined.schema["body"]])
 
     def run(batches):
         for batch in batches:
             cut = [
                 t if t is None or not s else without(t.encode(), s).decode()
-                for t, s in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
+                for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
             ]
-            columns = list(batch.columns[:-1])
-            columns[at] = pa.array(cut, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return joined.mapInArrow(run, schema)
-
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, batch.schema.field("body").type)], names=["row", "body"])
 
-def row_key_fields(id_col: str, text_col: str):
-    i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("binary")
-    return F.xxhash64(i, t).alias("a"), F.xxhash64(F.lit(2), t, i).alias("b")
+    return joined.mapInArrow(run, schema).select(*unpacked("row", docs.columns, **{text_col: F.col("body")}))

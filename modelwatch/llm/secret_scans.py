@@ -15,7 +15,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.llm.common import map_texts, row_key, sha256_hex, stored
+from modelwatch.llm.common import map_texts, packed, row_key, sha256_hex, stored, unpacked
 
 #: Kinds and patterns of the base scan, in their order.
 ASSIGN = re.compile(
@@ -173,17 +173,15 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]"
     verdicts = (
         verdicts.where("n_live > 0")
         .dropDuplicates(["key"])
-        .select(F.col("key").alias("__verdict"), F.filter("found", lambda x: x["live"]).alias("__live"))
+        .select(F.col("key").alias("verdict"), F.filter("found", lambda x: x["live"]).alias("live"))
     )
     owner = F.lit(None).cast("string") if owner is None else owner.cast("string")
     repository = owner if repository is None else repository.cast("string")
-    own = hit.select(
-        "*", F.struct(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body"), repository.alias("repo"), owner.alias("own")).alias("__own")
-    )
-    keyed = own.withColumn("__key", row_key_of("__own"))
-    joined = keyed.join(verdicts, F.col("__key") == F.col("__verdict"), "left")
-    starts = F.transform("__live", lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e")))
-    body = F.col(f"`{text_col}`")
+    own = F.struct(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body"), repository.alias("repo"), owner.alias("own"))
+    keyed = packed(hit, own=own, body=F.col(f"`{text_col}`")).withColumn("key", row_key_of("own"))
+    joined = keyed.join(verdicts, F.col("key") == F.col("verdict"), "left")
+    starts = F.transform("live", lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e")))
+    body = F.col("body")
     # Left to right: text so far, and the offset up to which the original text is dealt with.
     folded = F.aggregate(
         starts,
@@ -197,8 +195,8 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]"
         ),
         lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))),
     )
-    masked = F.when(F.col("__live").isNull(), body).otherwise(folded)
-    changed = joined.select(*[masked.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    masked = F.when(F.col("live").isNull(), body).otherwise(folded)
+    changed = joined.select(*unpacked("row", docs.columns, **{text_col: masked}))
     return docs.where(~suspect).unionByName(changed)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelwatch.llm.common import mix64
+from modelwatch.llm.common import mix64, packed, unpacked
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -275,20 +275,15 @@ def encode_documents(
     pieces and are lossless. Columns of those four names in ``docs`` are replaced.
     """
     made = ["piece_ids", "n_pieces", "ids_sha256", "lossless"]
-    keep = [c for c in docs.columns if c not in made]
-    source = docs.select(
-        *[F.col(f"`{c}`") for c in keep],
-        F.col(f"`{text_col}`").cast("binary").alias("__text"),
-        F.xxhash64(F.lit(seed), F.col(f"`{id_col}`").cast("string")).alias("__key"),
-    )
-    schema = T.StructType(source.schema.fields[: len(keep)])
-    schema = schema.add("piece_ids", T.ArrayType(T.IntegerType())).add("n_pieces", "long").add("ids_sha256", "string").add("lossless", "boolean")
+    body = F.col(f"`{text_col}`").cast("binary")
+    source = packed(docs, body=body, key=F.xxhash64(F.lit(seed), F.col(f"`{id_col}`").cast("string")))
+    schema = T.StructType([source.schema["row"], T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
+    schema = schema.add("n_pieces", "long").add("ids_sha256", "string").add("lossless", "boolean")
     vocabulary = Vocabulary(model)
-    n_keep = len(keep)
 
     def run(batches):
         for batch in batches:
-            raws, keys = batch.column(n_keep).to_pylist(), batch.column(n_keep + 1).to_pylist()
+            raws, keys = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             low = 0
             while low < len(raws):
                 high, chars = low, 0
@@ -312,21 +307,22 @@ def encode_documents(
             pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32())),
             pa.array(sizes, pa.int64()), pa.array(digests), pa.array(fine),
         ]
-        return pa.RecordBatch.from_arrays([*part.columns[:n_keep], *arrays], names=schema.names)
+        return pa.RecordBatch.from_arrays([part.column(0), *arrays], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    encoded_rows = source.mapInArrow(run, schema)
+    return encoded_rows.select(*unpacked("row", [c for c in docs.columns if c not in made]), *made)
 
 
 def decode_documents(encoded: DataFrame, text_col: str = "text", ids_col: str = "piece_ids", model: str = DEFAULT_MODEL) -> DataFrame:
     """``encoded`` with ``text_col`` decoded from its piece ids; null ids give null."""
     vocabulary = Vocabulary(model)
-    keep = [c for c in encoded.columns if c != text_col]
-    source = encoded.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{ids_col}`").alias("__ids"))
-    schema = T.StructType(source.schema.fields[:-1]).add(text_col, "string")
+    source = packed(encoded, ids=F.col(f"`{ids_col}`"))
+    schema = T.StructType([source.schema["row"], T.StructField("body", T.StringType())])
 
     def run(batches):
         for batch in batches:
-            texts = [None if ids is None else decode_pieces(vocabulary, ids).decode() for ids in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
+            texts = [None if ids is None else decode_pieces(vocabulary, ids).decode() for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "body"])
 
-    return source.mapInArrow(run, schema)
+    names = [c for c in encoded.columns if c != text_col]
+    return source.mapInArrow(run, schema).select(*unpacked("row", names), F.col("body").alias(text_col))
