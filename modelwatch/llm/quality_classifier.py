@@ -13,16 +13,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.llm.common import alnum_words, map_texts, stored
+from modelwatch.llm.common import alnum_words, map_texts, packed, stored, unpacked
 from modelwatch.llm.quality_rules import statistics_of
 
 BUCKETS = 2**20
 #: Documents from which the scorer's weights are fitted, labelled ones first.
-MOST_TRAIN_ROWS = 12_000
+MOST_TRAIN_ROWS = 8_000
 NOTHING, GOOD, BAD = 0, 1, 2
 #: Share of right votes that human labellers are taken to give.
 HUMAN_ACCURACY = 0.98
@@ -62,14 +63,29 @@ def quality_votes(s: tuple[int, ...], r: dict[str, float]) -> list[int]:
     ]
 
 
-def features(raw: bytes, r: dict[str, float]) -> np.ndarray:
-    """Distinct hashed features: words, their beginnings of four to six bytes, and the text's ratios in steps."""
-    seen = set(alnum_words(raw))
-    names = set(seen)
-    for k in (4, 5, 6):
-        names.update(b"^" + w[:k] for w in seen if len(w) > k)
-    names.update(b"#%s:%d" % (k.encode(), min(int(v * 16), 16)) for k, v in r.items())
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(n) % BUCKETS for n in names), np.int32, len(names)))
+class WordFeatures(dict):
+    """Hashed features of a word: itself and its beginnings of four to six bytes. Remembered up to a number of words.
+
+    With ``wanted`` (a mask over the buckets) only features in it are given.
+    """
+
+    def __init__(self, wanted: np.ndarray | None = None, most: int = 300_000) -> None:
+        super().__init__()
+        self.wanted, self.most = wanted, most
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        names = [word, *[b"^" + word[:k] for k in (4, 5, 6) if len(word) > k]]
+        found = [xxhash.xxh3_64_intdigest(n) % BUCKETS for n in names]
+        value = self[word] = tuple(f for f in found if self.wanted is None or self.wanted[f])
+        return value
+
+
+def features(raw: bytes, r: dict[str, float], words: WordFeatures) -> set[int]:
+    """Distinct hashed features of a text: those of its words, and its ratios in steps."""
+    steps = (xxhash.xxh3_64_intdigest(b"#%s:%d" % (k.encode(), min(int(v * 16), 16))) % BUCKETS for k, v in r.items())
+    return set(steps).union(*map(words.__getitem__, set(alnum_words(raw))))
 
 
 @dataclass
@@ -120,20 +136,35 @@ class Linear:
     weights: np.ndarray
     bias: float
 
-    def probability(self, rows: Sequence[np.ndarray]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.array([self.bias + self.weights[r].sum() for r in rows], float)))
+    def probability(self, rows: Sequence[set[int]]) -> np.ndarray:
+        margins = [self.bias + float(self.weights[list(r)].sum()) for r in rows]
+        return 1 / (1 + np.exp(-np.array(margins, float)))
+
+
+@dataclass
+class Sample:
+    """Feature numbers of the sampled documents, one after the other, and how many each has."""
+
+    column: np.ndarray
+    lengths: np.ndarray
 
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
 
-def fit_linear(rows: Sequence[np.ndarray], target: np.ndarray, penalty: float = 1e-3, rounds: int = 200, least: int = 3) -> Linear:
+    def any(self, mask: np.ndarray) -> np.ndarray:
+        """Whether each document has a feature of ``mask``."""
+        return np.bincount(self.rows()[mask[self.column]], minlength=len(self.lengths)) > 0
+
+
+def fit_linear(sample: Sample, target: np.ndarray, penalty: float = 1e-3, rounds: int = 200, least: int = 3) -> Linear:
     """Sparse logistic regression on soft labels: features that tell the classes apart, weighted by accelerated proximal steps."""
     weights = np.zeros(BUCKETS, np.float32)
-    n = len(rows)
+    n = len(sample.lengths)
     rate = float(np.clip(target.mean() if n else 0.5, 1e-3, 1 - 1e-3))
     bias = float(np.log(rate / (1 - rate)))
     if not n:
         return Linear(weights, bias)
-    column = np.concatenate(rows).astype(np.int64)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
+    column, row = sample.column, sample.rows()
     often = np.bincount(column, minlength=BUCKETS)
     mass = np.bincount(column, target[row], BUCKETS)
     z = (mass - often * rate) / np.sqrt(np.maximum(often * rate * (1 - rate), 1e-9))
@@ -171,19 +202,16 @@ def fit_linear(rows: Sequence[np.ndarray], target: np.ndarray, penalty: float =
 
 
 def learned_words(
-    rows: Sequence[np.ndarray], labels: np.ndarray, least: int = 3, least_share: float = 0.02, lift: float = 15.0
+    sample: Sample, labels: np.ndarray, least: int = 3, least_share: float = 0.02, lift: float = 15.0
 ) -> np.ndarray:
     """Features that human-labelled bad documents have far more often than good ones, as a mask over the buckets. Rarer
     ones than ``least`` documents or ``least_share`` of the bad ones may come from copies of one text."""
-    mask = np.zeros(BUCKETS, bool)
-    known = np.flatnonzero(labels >= 0)
-    if not len(known) or not labels[known].any():
-        return mask
-    flat = np.concatenate([rows[i] for i in known]).astype(np.int64)
-    bad = np.repeat(labels[known], [len(rows[i]) for i in known])
-    n_bad, n_good = int((labels[known] == 1).sum()), int((labels[known] == 0).sum())
-    in_bad = np.bincount(flat[bad == 1], minlength=BUCKETS)
-    in_good = np.bincount(flat[bad == 0], minlength=BUCKETS)
+    n_bad, n_good = int((labels == 1).sum()), int((labels == 0).sum())
+    if not n_bad:
+        return np.zeros(BUCKETS, bool)
+    label = labels[sample.rows()]
+    in_bad = np.bincount(sample.column[label == 1], minlength=BUCKETS)
+    in_good = np.bincount(sample.column[label == 0], minlength=BUCKETS)
     return (in_bad >= max(least, least_share * n_bad)) & ((in_bad / n_bad) / ((in_good + 1) / max(n_good, 1)) >= lift)
 
 
@@ -211,6 +239,7 @@ def fit_scorers(
     sample_ids = F.broadcast(stored(sample_ids.select(F.col("id").alias("sample_id"), "quality", "toxic"), "classifier-sample"))
 
     def featured(texts):
+        words = WordFeatures()
         votes, insults, found = [], [], []
         for raw in texts:
             raw = raw or b""
@@ -218,20 +247,31 @@ def fit_scorers(
             r = ratios(raw, s)
             votes.append(quality_votes(s, r))
             insults.append(BAD if INSULTS.search(raw.lower()) else NOTHING)
-            found.append(features(raw, r))
+            found.append(sorted(features(raw, r, words)))
         return [votes, insults, found]
 
     picked = own.join(sample_ids, F.col("id") == F.col("sample_id")).select("id", "quality", "toxic", "body")
-    sample = map_texts(picked, ["id", "quality", "toxic"], "body", featured, "votes array<int>, insults int, found array<int>").toPandas()
-    sample = sample.drop_duplicates("id").sort_values("id", ignore_index=True)
-    rows = [np.asarray(x, np.int32) for x in sample["found"]]
-    toxic = sample["toxic"].fillna(-1).to_numpy(int)
-    lexicon = learned_words(rows, toxic)
+    made = map_texts(picked, ["id", "quality", "toxic"], "body", featured, "votes array<int>, insults int, found array<int>").toArrow()
+    whole = lambda name: np.array([-1 if v is None else v for v in made.column(name).to_pylist()], int)
+    lists = made.column("found").combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+    sample = Sample(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64))
+    quality, toxic, insults = whole("quality"), whole("toxic"), whole("insults")
+    lexicon = learned_words(sample, toxic)
+
+    remembered: list[WordFeatures] = []  # one per task
 
     def voted(texts):
-        made = featured(texts)
-        learned = [BAD if lexicon[x].any() else GOOD for x in made[2]]
-        return [[v + [i, j] for v, i, j in zip(made[0], made[1], learned, strict=True)]]
+        if not remembered:
+            remembered.append(WordFeatures(lexicon))
+        out = []
+        for raw in texts:
+            raw = raw or b""
+            s = statistics_of(raw)
+            insult = BAD if INSULTS.search(raw.lower()) else NOTHING
+            learned = BAD if any(map(remembered[0].__getitem__, set(alnum_words(raw)))) else GOOD
+            out.append([*quality_votes(s, ratios(raw, s)), insult, learned])
+        return [out]
 
     n_quality = len(QUALITY_LABELLERS)
     votes = stored(map_texts(own, ["id"], "body", voted, "votes array<int>"), "classifier-votes")
@@ -247,22 +287,23 @@ def fit_scorers(
         table_ = np.array(patterns[name].tolist(), int).reshape(-1, width)
         models[name] = fit_votes(table_, patterns["count"].to_numpy(float))
 
-    def human_votes(values, bad):
-        return np.array([NOTHING if v != v or v is None or v < 0 else BAD if v == bad else GOOD for v in values], int)
+    def human_votes(values: np.ndarray, bad: int) -> np.ndarray:
+        return np.where(values < 0, NOTHING, np.where(values == bad, BAD, GOOD))
 
-    given = np.array(sample["votes"].tolist(), int).reshape(-1, n_quality)
-    q_votes = np.column_stack([given, human_votes(sample["quality"].fillna(-1), 0)])
-    learned = np.array([BAD if lexicon[x].any() else GOOD for x in rows], int)
-    t_votes = np.column_stack([sample["insults"].to_numpy(int), learned, human_votes(toxic, 1)])
-    return [
-        fit_linear(rows, models["q"].posterior(q_votes.astype(int)) if len(rows) else np.zeros(0)),
-        fit_linear(rows, models["t"].posterior(t_votes.astype(int)) if len(rows) else np.zeros(0)),
-    ]
+    given = np.array(made.column("votes").to_pylist(), int).reshape(-1, n_quality)
+    q_votes = np.column_stack([given, human_votes(quality, 0)])
+    t_votes = np.column_stack([insults, np.where(sample.any(lexicon), BAD, GOOD), human_votes(toxic, 1)])
+    return [fit_linear(sample, models[name].posterior(v)) for name, v in (("q", q_votes), ("t", t_votes))]
 
 
 def score(docs: DataFrame, scorers: list[Linear], keep: list[str], text_col: str, threshold: float) -> DataFrame:
+    used = np.any([s.weights != 0 for s in scorers], axis=0)
+    remembered: list[WordFeatures] = []  # one per task
+
     def fn(texts):
-        found = [features(raw or b"", ratios(raw or b"", statistics_of(raw))) for raw in texts]
+        if not remembered:
+            remembered.append(WordFeatures(used))
+        found = [features(raw or b"", ratios(raw or b"", statistics_of(raw)), remembered[0]) for raw in texts]
         bad, toxic = (s.probability(found) for s in scorers)
         return [bad, toxic, (bad < threshold) & (toxic < threshold)]
 
@@ -290,5 +331,5 @@ def keep_good(
 ) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with all their columns."""
     scorers = fit_scorers(docs, labels, id_col, text_col, **options)
-    scored = score(docs, scorers, docs.columns, text_col, threshold)
-    return scored.where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = score(packed(docs, body=F.col(f"`{text_col}`")), scorers, ["row"], "body", threshold)
+    return scored.where("__kept").select(*unpacked("row", docs.columns))
