@@ -90,44 +90,54 @@ def features(raw: bytes, r: dict[str, float], words: WordFeatures) -> set[int]:
 
 @dataclass
 class VoteModel:
-    """Share of bad documents and, per labeller, the chances of its votes on good and on bad ones."""
+    """Shares of the kinds of documents, and per labeller and kind the chances of its votes.
 
-    prior: float
-    chances: np.ndarray  # labeller, class (good, bad), vote
+    Kind 0 is good; every heuristic labeller has one kind of bad documents, those with the fault it looks for. Labellers
+    for different faults would contradict each other about a single kind of bad.
+    """
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Probability of bad, for rows of votes."""
-        logs = np.log([1 - self.prior, self.prior])[None, :].repeat(len(votes), axis=0)
+    shares: np.ndarray  # kind
+    chances: np.ndarray  # labeller, kind, vote
+
+    def kinds(self, votes: np.ndarray) -> np.ndarray:
+        logs = np.log(self.shares)[None, :].repeat(len(votes), axis=0)
         for j in range(self.chances.shape[0]):
             logs += np.log(self.chances[j][:, votes[:, j]]).T
-        logs -= logs.max(axis=1, keepdims=True)
-        p = np.exp(logs)
-        return p[:, 1] / p.sum(axis=1)
+        p = np.exp(logs - logs.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Probability of bad, for rows of votes."""
+        return 1 - self.kinds(votes)[:, 0]
 
 
 def fit_votes(
-    votes: np.ndarray, counts: np.ndarray, rounds: int = 50, smooth: float = 1.0, human_accuracy: float = HUMAN_ACCURACY
+    votes: np.ndarray, counts: np.ndarray, rounds: int = 50, smooth: float = 0.5, human_accuracy: float = HUMAN_ACCURACY
 ) -> VoteModel:
     """Expectation-maximisation over vote patterns with their counts. The last labeller is human: its accuracy is given and
-    anchors the others'.
-
-    Labellers look for different faults, so it starts from: each bad vote leaves a third of the doubt that a text is bad.
-    """
-    bad = np.clip(1 - (1 / 3.0) ** (votes == BAD).sum(axis=1), 0.02, 0.98)
-    bad = np.where(votes[:, -1] == GOOD, 1 - human_accuracy, np.where(votes[:, -1] == BAD, human_accuracy, bad))
-    model = VoteModel(0.5, np.full((votes.shape[1], 2, 3), 1 / 3))
+    anchors the others'. It starts from documents being of the kinds whose labellers call them bad."""
+    heuristics = votes.shape[1] - 1
+    human = np.tile([human_accuracy, 1 - human_accuracy], (heuristics + 1, 1))
+    human[1:] = human[1:, ::-1]
+    flags = (votes[:, :-1] == BAD).astype(float)
+    kinds = np.column_stack([np.where(flags.any(axis=1), 0.1, np.where(votes[:, -1] == BAD, 0.1, 10.0)), flags + 0.02])
+    kinds /= kinds.sum(axis=1, keepdims=True)
+    model = VoteModel(np.full(heuristics + 1, 1 / (heuristics + 1)), np.full((heuristics + 1, heuristics + 1, 3), 1 / 3))
     for _ in range(rounds if counts.sum() else 0):
-        weight = np.stack([counts * (1 - bad), counts * bad])
-        chances = np.empty((votes.shape[1], 2, 3))
-        for j in range(votes.shape[1]):
+        weight = (kinds * counts[:, None]).T
+        chances = np.empty((heuristics + 1, heuristics + 1, 3))
+        for j in range(heuristics + 1):
             for v in (NOTHING, GOOD, BAD):
                 chances[j, :, v] = weight[:, votes[:, j] == v].sum(axis=1) + smooth
         chances /= chances.sum(axis=2, keepdims=True)
-        chances[-1, :, 1:] = [[human_accuracy, 1 - human_accuracy], [1 - human_accuracy, human_accuracy]]
-        # A labeller's silence tells nothing about the class: texts without a label are not better or worse for it.
-        chances[:, :, NOTHING] = chances[:, :, NOTHING].mean(axis=1, keepdims=True)
-        model = VoteModel(float(np.clip(weight[1].sum() / weight.sum(), 1e-4, 0.5)), chances)
-        bad = model.posterior(votes)
+        # Silence tells nothing about the kind: what a labeller says when it speaks is what counts.
+        spoken = chances[:, :, 1:] / chances[:, :, 1:].sum(axis=2, keepdims=True)
+        spoken[-1] = human
+        chances[:, :, 1:] = spoken * 0.5
+        chances[:, :, NOTHING] = 0.5
+        shares = weight.sum(axis=1) + smooth
+        model = VoteModel(shares / shares.sum(), chances)
+        kinds = model.kinds(votes)
     return model
 
 
@@ -202,7 +212,7 @@ def fit_linear(sample: Sample, target: np.ndarray, penalty: float = 1e-3, rounds
 
 
 def learned_words(
-    sample: Sample, labels: np.ndarray, least: int = 3, least_share: float = 0.02, lift: float = 15.0
+    sample: Sample, labels: np.ndarray, least: int = 3, least_share: float = 0.02, lift: float = 40.0
 ) -> np.ndarray:
     """Features that human-labelled bad documents have far more often than good ones, as a mask over the buckets. Rarer
     ones than ``least`` documents or ``least_share`` of the bad ones may come from copies of one text."""
@@ -212,7 +222,7 @@ def learned_words(
     label = labels[sample.rows()]
     in_bad = np.bincount(sample.column[label == 1], minlength=BUCKETS)
     in_good = np.bincount(sample.column[label == 0], minlength=BUCKETS)
-    return (in_bad >= max(least, least_share * n_bad)) & ((in_bad / n_bad) / ((in_good + 1) / max(n_good, 1)) >= lift)
+    return (in_bad >= max(least, least_share * n_bad)) & ((in_bad / n_bad) / ((in_good + 0.5) / max(n_good, 1)) >= lift)
 
 
 def fit_scorers(
