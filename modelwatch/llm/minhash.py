@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from modelwatch.llm.common import WordHashes, map_texts, mix64, row_key, shingle_hashes, signed, space_words, stored
+from modelwatch.llm.common import WordHashes, map_texts, mix64, packed, row_key, shingle_hashes, signed, space_words, stored, unpacked
 from modelwatch.llm.components import connected_components
 
 #: 32 bands of 4 rows miss a pair of similarity 0.8 with probability (1 - 0.8**4)**32, about 5e-8.
 BANDS, ROWS = 32, 4
 BLOCK = 256
+#: Members of a bucket that are held against each other in one task.
+BUCKET_BLOCK = 500
 
 
 def second_permutation(x: np.ndarray) -> np.ndarray:
@@ -100,6 +102,75 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return both.mapInArrow(run, T.StructType([pairs.schema["x"], pairs.schema["y"]]))
 
 
+def links_across(members: DataFrame, grouped: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (x, y) between different components that share a bucket.
+
+    In each bucket the members outside the largest component (strays) are held against all members. Both are dealt into
+    blocks, and a task gets one block of each, so a bucket of any size is spread over the cluster; pairs stay inside the
+    task and only links leave it.
+    """
+    marked = members.join(grouped, F.col("a") == F.col("node"), "left").select("band", "a", F.coalesce("component", "a").alias("component"))
+    sizes = marked.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    mains = sizes.groupBy("band").agg(
+        F.max(F.struct("n", F.col("component").alias("main"))).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")
+    )
+    blocks = lambda n: F.ceil(n / BUCKET_BLOCK).cast("int")
+    mains = mains.where("parts > 1 and n > 2").select(
+        "band", F.col("top.main").alias("main"), blocks(F.col("n")).alias("m_blocks"), blocks(F.col("n") - F.col("top.n")).alias("s_blocks")
+    )
+    inside = stored(marked.join(mains, "band"), "minhash-open")
+    own = lambda n: F.pmod(F.xxhash64("a"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    dealt = inside.select("band", "a", "component", F.lit(False).alias("stray"), own(F.col("m_blocks")).alias("i"), every(F.col("s_blocks")).alias("j"))
+    strays = inside.where("component <> main").select(
+        "band", "a", "component", F.lit(True).alias("stray"), every(F.col("m_blocks")).alias("i"), own(F.col("s_blocks")).alias("j")
+    )
+    tasks = dealt.unionByName(strays).join(texts, "a").select("band", "i", "j", "a", "component", "stray", "body")
+    tasks = tasks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def run(batches):
+        cache, group, at = WordHashes(), [], None
+        for batch in batches:
+            links = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[:3] != at:
+                    links += across(group, cache, width, percent)
+                    group, at = [], row[:3]
+                group.append(row[3:])
+            yield as_links(links)
+        yield as_links(across(group, cache, width, percent))
+
+    def as_links(links):
+        xs, ys = zip(*links, strict=True) if links else ([], [])
+        return pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
+
+    return tasks.mapInArrow(run, "x long, y long").distinct()
+
+
+def across(group: list[tuple[int, int, bool, bytes]], cache: WordHashes, width: int, percent: int) -> list[tuple[int, int]]:
+    """Links of the strays of one block with its members; rows are (class, component, stray?, text)."""
+    members, strays = [r for r in group if not r[2]], [r for r in group if r[2]]
+    if not members or not strays:
+        return []
+    sets = {r[0]: shingle_set(r[3], width, cache) for r in group}
+    _, codes = np.unique(np.concatenate([sets[r[0]] for r in members] + [sets[r[0]] for r in strays]), return_inverse=True)
+    sizes = np.array([len(sets[r[0]]) for r in members])
+    starts = np.cumsum(sizes) - sizes
+    inside, at = codes[: sizes.sum()], sizes.sum()
+    component = np.array([r[1] for r in members])
+    present, out = np.zeros(codes.max() + 1, np.int32), []
+    for a, own, _, _ in strays:
+        n = len(sets[a])
+        mine = codes[at : at + n]
+        at += n
+        present[mine] = 1
+        common = np.add.reduceat(present[inside], starts)
+        present[mine] = 0
+        for i in np.flatnonzero((100 * common >= percent * (sizes + n - common)) & (component != own)):
+            out.append((a, members[i][0]))
+    return out
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -117,9 +188,9 @@ def near_duplicates(
     of null ids alone has a null ``component_id`` and its rows are kept. Rows that repeat an id share its fate. ``grp`` names
     the component's class (null without words), ``key`` the row. Other columns do not matter; an empty table gives none.
 
-    Candidates are tested in three rounds, so that no bucket is ever expanded into all its pairs: against the bucket's
-    smallest class, then (buckets still in several components) against its largest, then the rest across components only.
-    Links inside one component would not change the result and are not tested.
+    Candidates are tested twice, so that no bucket is expanded into its pairs: each against the bucket's smallest class,
+    then, where a bucket still holds several components, the members outside its largest one against all others. Links
+    inside one component would not change the result and are not tested.
     """
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body")).withColumn("key", row_key("id", "body"))
     rows_of = stored(sketches(own, ["id", "key"], "body", width, bands, rows), "minhash-rows")
@@ -133,29 +204,11 @@ def near_duplicates(
     texts = needed.join(own.select("id", "body"), F.col("of_id").eqNullSafe(F.col("id"))).select("a", "body")
     texts = stored(matching(texts, width).dropDuplicates(["a"]), "minhash-texts")
 
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        return stored(verified(pairs.distinct(), texts, width, percent), f"minhash-{name}")
-
-    found = links(members.where("a <> low").select(F.col("a").alias("x"), F.col("low").alias("y")), "first")
-    for rule in ("high", "rest"):
-        grouped = connected_components(found, "minhash")
-        marked = members.join(grouped, F.col("a") == F.col("node"), "left")
-        marked = marked.select("band", "a", "low", "high", F.coalesce("component", "a").alias("component"))
-        split = marked.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n"))
-        open_ = stored(marked.join(split.where("c1 < c2 and n > 2").select("band"), "band"), "minhash-open")
-        if open_.isEmpty():
-            break
-        if rule == "high":
-            top = open_.where("a = high").select("band", F.col("component").alias("top"))
-            pairs = open_.join(top, "band").where("component <> top and a <> low").select(F.col("a").alias("x"), F.col("high").alias("y"))
-        else:
-            other = open_.select("band", F.col("a").alias("y"), F.col("component").alias("y_component"))
-            pairs = (
-                open_.join(other, "band")
-                .where("component < y_component and a <> low and y <> low and a <> high and y <> high")
-                .select(F.col("a").alias("x"), "y")
-            )
-        found = found.unionByName(links(pairs, rule))
+    stars = members.where("a <> low").select(F.col("a").alias("x"), F.col("low").alias("y")).distinct()
+    found = stored(verified(stars, texts, width, percent), "minhash-first")
+    grouped = connected_components(found, "minhash")
+    rest = stored(links_across(members.select("band", "a"), grouped, texts, width, percent), "minhash-rest")
+    found = found.unionByName(rest)
     grouped = connected_components(found, "minhash")
     named = classes.select("a", "b", "id").join(grouped, F.col("a") == F.col("node"), "left")
     named = named.select("a", "b", "id", F.coalesce("component", "a").alias("grp"))
@@ -189,8 +242,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row of each component: the representative's, and of rows that repeat it any one."""
     judged = near_duplicates(docs, id_col, text_col, **options)
     group = F.struct("grp", F.when(F.col("grp").isNull(), F.col("key")).alias("own"))
-    one = judged.where("kept").groupBy(group.alias("g")).agg(F.min("key").alias("__one"))
-    keyed = docs.withColumn("__key", row_key(id_col, text_col))
-    joined = keyed.join(one.select("__one"), F.col("__key") == F.col("__one"))
-    copy = F.row_number().over(W.Window.partitionBy("__key").orderBy("__key"))
-    return joined.withColumn("__copy", copy).where("__copy = 1").select(*docs.columns)
+    one = judged.where("kept").groupBy(group.alias("g")).agg(F.min("key").alias("one"))
+    keyed = packed(docs, key=row_key(id_col, text_col)).join(one.select("one"), F.col("key") == F.col("one"))
+    copy = F.row_number().over(W.Window.partitionBy("key").orderBy("key"))
+    return keyed.withColumn("copy", copy).where("copy = 1").select(*unpacked("row", docs.columns))
