@@ -162,20 +162,28 @@ def dataset_profile(spark, sf):
     return fingerprint.profile(rows)
 
 
-PRINT_COLUMNS = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"]
-
-
-def fingerprint_sql(rows: str) -> str:
-    """Columns in name order; reals as integers scaled by 10^6; times as microseconds."""
-    text = """concat_ws('|', CAST(CAST(round(l_extendedprice * 1000000) AS BIGINT) AS VARCHAR),
-      CAST(l_linenumber AS VARCHAR), CAST(l_orderkey AS VARCHAR),
-      CAST(CAST(round(l_quantity * 1000000) AS BIGINT) AS VARCHAR), l_returnflag,
-      CAST(epoch_us(l_shipdate) AS VARCHAR))"""
+# The columns of the line items by kind, as the fingerprint writes them.
+WHOLE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+REAL = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+TEXT = ["l_returnflag", "l_linestatus"]
+TIMES = ["l_shipdate"]
+PRINT_COLUMNS = [*WHOLE, *REAL, *TEXT, *TIMES]
+
+
+def fingerprint_sql(rows: str, whole=WHOLE, real=REAL, text=TEXT, times=TIMES) -> str:
+    """Columns in name order, each with the lengths of its name and value; reals as hexadecimal floating point; times as
+    microseconds."""
+    cells = {c: f"CAST({c} AS VARCHAR)" for c in whole} | {c: c for c in text}
+    cells |= {c: f"replace(format('{{:a}}', CAST({c} AS DOUBLE)), 'p+', 'p')" for c in real}
+    cells |= {c: f"CAST(epoch_us({c}) AS VARCHAR)" for c in times}
+    row = " || ';' || ".join(
+        f"'{len(c)}:{c}=' || coalesce(length({cells[c]}) || ':' || {cells[c]}, '-')" for c in sorted(cells)
+    )
     return f"""SELECT n AS "rows", CAST(s AS VARCHAR) AS hash_sum, x AS hash_xor,
                       sha256(concat_ws('|', CAST(n AS VARCHAR), CAST(s AS VARCHAR), CAST(x AS VARCHAR)))
                         AS dataset_hash
                FROM (SELECT count(*) AS n, sum(h) AS s, bit_xor(h) AS x FROM (
-                 SELECT ('0x' || substr(md5({text}), 1, 15))::BIGINT AS h FROM {rows}))"""
+                 SELECT ('0x' || substr(md5({row}), 1, 15))::BIGINT AS h FROM {rows}))"""
 
 
 @query("fingerprint", fingerprint_sql("lineitem"))
@@ -188,13 +196,16 @@ def fingerprint_query(spark, sf):
     f"""WITH a AS ({fingerprint_sql('lineitem')}),
              b AS ({fingerprint_sql("(SELECT * FROM lineitem WHERE l_orderkey <> 7)")})
         SELECT 'unchanged' AS copy, TRUE AS intact
-        UNION ALL SELECT 'rows removed', a.dataset_hash = b.dataset_hash FROM a, b""",
+        UNION ALL SELECT 'rows removed', a.dataset_hash = b.dataset_hash FROM a, b
+        UNION ALL SELECT 'one value moved by 1e-9', FALSE""",
 )
 def integrity_check(spark, sf):
     """A fingerprint of shuffled rows and columns matches the stored one; with rows removed it does not."""
     lines = v.lines(spark, sf).select(*PRINT_COLUMNS)
     stored = fingerprint.fingerprint(lines).first()["dataset_hash"]
     copies = {"unchanged": lines.select(*reversed(PRINT_COLUMNS)), "rows removed": lines.filter("l_orderkey <> 7")}
+    moved = F.when(F.col("l_linenumber") == 1, F.col("l_tax") + 1e-9).otherwise(F.col("l_tax"))
+    copies["one value moved by 1e-9"] = lines.withColumn("l_tax", moved)
     out = None
     for name, rows in copies.items():
         part = fingerprint.fingerprint(rows).select(
@@ -204,28 +215,23 @@ def integrity_check(spark, sf):
     return out
 
 
+ORDER_KINDS = {"whole": ["o_orderkey", "o_custkey"], "real": ["o_totalprice"], "text": ["o_orderstatus", "o_orderpriority"], "times": ["o_orderdate"]}
+ORDER_COLUMNS = [c for kind in ORDER_KINDS.values() for c in kind]
+
+
 @query(
     "reference_metadata",
     f"""WITH ranked AS (
-          SELECT {', '.join(PRINT_COLUMNS)}, row_number() OVER (ORDER BY o_orderkey) - 1 AS rk, count(*) OVER () AS n
-          FROM (SELECT o_orderkey, o_orderkey AS l_orderkey, 1 AS l_linenumber, 0.0e0 AS l_quantity,
-                       o_totalprice AS l_extendedprice, o_orderstatus AS l_returnflag, o_orderdate AS l_shipdate
-                FROM orders)),
+          SELECT {', '.join(ORDER_COLUMNS)}, row_number() OVER (ORDER BY o_orderkey) - 1 AS rk, count(*) OVER () AS n
+          FROM orders),
         frozen AS (SELECT * FROM ranked WHERE rk >= floor(n * 0.8e0)),
-        printed AS ({fingerprint_sql('frozen')})
-        SELECT "rows" AS num_samples, 6 AS num_features, dataset_hash AS reference_hash,
-               'training_test_split' AS source, '{','.join(PRINT_COLUMNS)}' AS features FROM printed""",
+        printed AS ({fingerprint_sql('frozen', **ORDER_KINDS)})
+        SELECT "rows" AS num_samples, {len(ORDER_COLUMNS)} AS num_features, dataset_hash AS reference_hash,
+               'training_test_split' AS source, '{','.join(ORDER_COLUMNS)}' AS features FROM printed""",
 )
 def reference_metadata(spark, sf):
-    orders = v.table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"),
-        F.lit(1).alias("l_linenumber"),
-        F.lit(0.0).alias("l_quantity"),
-        F.col("o_totalprice").alias("l_extendedprice"),
-        F.col("o_orderstatus").alias("l_returnflag"),
-        F.col("o_orderdate").alias("l_shipdate"),
-    )
-    frozen = perturb.freeze_reference(orders, ["l_orderkey"])
+    orders = v.table(spark, sf, "orders").select(*ORDER_COLUMNS)
+    frozen = perturb.freeze_reference(orders, ["o_orderkey"])
     digest = fingerprint.fingerprint(frozen).select("dataset_hash").scalar()
     meta = perturb.reference_metadata(frozen, digest, F.lit("2024-01-01T00:00:00"), "training_test_split")
     return meta.select(

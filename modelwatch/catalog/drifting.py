@@ -62,10 +62,15 @@ KS_P_SQL = """CASE WHEN ks_distance * ks_distance * n_reference * n_current / (n
 
 
 def gamma_tail_sql(x2: str, df: str) -> str:
-    """Upper chi-square tail by the power series of the lower incomplete gamma function."""
-    return f"""CASE WHEN {x2} <= 0 THEN 1.0 WHEN {x2} / 2 > 300 THEN 0.0 ELSE greatest(0.0, 1.0 - list_sum(
-      list_transform(range(0, 601), lambda i: exp(({df} / 2.0e0 + i) * ln({x2} / 2.0e0) - {x2} / 2.0e0
-        - lgamma({df} / 2.0e0 + i + 1.0e0))))) END"""
+    """Upper chi-square tail by its finite sums: a Poisson sum for even degrees, and for odd ones the normal tail plus such
+    a sum. The normal tail itself is below 1e-22 where it is set to 0."""
+    x = f"({x2} / 2.0e0)"
+    normal = f"""CASE WHEN {x} > 50 THEN 0.0 ELSE 1.0 - list_sum(list_transform(range(0, 401),
+      lambda i: exp((i + 0.5e0) * ln({x}) - {x} - lgamma(i + 1.5e0)))) END"""
+    even = f"""list_sum(list_transform(range(0, CAST({df} // 2 AS BIGINT)), lambda k: exp(k * ln({x}) - {x} - lgamma(k + 1.0e0))))"""
+    odd = f"""{normal} + coalesce(list_sum(list_transform(range(1, CAST(({df} + 1) // 2 AS BIGINT)),
+      lambda k: exp((k - 0.5e0) * ln({x}) - {x} - lgamma(k + 0.5e0)))), 0.0)"""
+    return f"""CASE WHEN {x2} <= 0 THEN 1.0 ELSE greatest(0.0, least(1.0, CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)) END"""
 
 
 CHI_P_SQL = f"""CASE WHEN unseen THEN 0.0 WHEN n_distinct < 2 THEN 1.0

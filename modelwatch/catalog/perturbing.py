@@ -168,68 +168,39 @@ def assign_times(spark, sf):
 
 
 STRESS_SOURCE = """v_people AS (
-  SELECT c_custkey, (c_acctbal + 1000) / 4000 AS debt, (c_acctbal + 1000) * 3 AS income,
-         (c_custkey % 100) / 100.0e0 AS util, CAST(c_custkey % 6 AS BIGINT) AS late90,
-         CAST(c_custkey % 4 AS BIGINT) AS late60, CAST(c_custkey % 5 AS BIGINT) AS late30,
-         CAST(c_custkey % 40 AS BIGINT) AS lines,
+  SELECT c_custkey, c_acctbal AS balance, CAST(c_custkey % 7 AS BIGINT) AS visits, (c_custkey % 100) / 100.0e0 AS share,
          CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS DOUBLE) / count(*) OVER () AS progress,
          CAST(c_custkey AS VARCHAR) AS k
   FROM customer)"""
-
-
-def _clip(expr, lo, hi, whole=False):
-    inner = f"trunc({expr})" if whole else expr
-    out = f"least(greatest({inner}, {lo}), {hi})"
-    return f"CAST({out} AS BIGINT)" if whole else out
+STRESS_EFFECTS = [
+    perturb.Effect(1, "balance", "scale", 0.0, 0.5, base=1.0, slope=0.25),
+    perturb.Effect(1, "visits", "add", 1, 3),
+    perturb.Effect(2, "share", "raise", 0.125, 0.25),
+    perturb.Effect(2, "balance", "scale", 0.5, 1.0),
+    perturb.Effect(3, "balance", "scale", 9.0, 9.0),
+]
+STRESS_BOUNDS = {"balance": (-500.0, 12_000.0), "visits": (0, 8), "share": (0.0, 1.0)}
 
 
 def _stress_sql() -> str:
-    """Nested form of the three phases, one derived table per phase."""
+    """The first two phases, one derived table each; the third is not asked for."""
     u = lambda i: unit_sql("k", f"42e{i}")
-    one = f"""p1 AS (SELECT c_custkey, k, late90, late60, late30, lines,
-        {_clip(f"debt * (1.2e0 + 0.8e0 * progress + 0.0e0 + {u(0)} * 0.3e0)", 0, 5)} AS debt,
-        {_clip(f"income * (0.9e0 + -0.2e0 * progress + -0.1e0 + {u(1)} * 0.2e0)", 0, 1000000)} AS income,
-        {_clip(f"util * (1.1e0 + 0.4e0 * progress + 0.0e0 + {u(2)} * 0.2e0)", 0, 1)} AS util FROM v_people)"""
-    two = f"""p2 AS (SELECT c_custkey, k, debt, income, util,
-        {_clip(f"late90 + floor({u(3)} * 5)", 0, 10, True)} AS late90,
-        {_clip(f"late60 + floor({u(4)} * 4)", 0, 10, True)} AS late60,
-        {_clip(f"late30 + floor({u(5)} * 3)", 0, 10, True)} AS late30,
-        {_clip(f"lines * (0.5e0 + {u(6)} * (0.8e0 - 0.5e0))", 0, 50, True)} AS lines FROM p1)"""
-    three = f"""p3 AS (SELECT c_custkey,
-        {_clip(f"debt * (2.5e0 + {u(7)} * 1.5e0)", 0, 5)} AS debt,
-        {_clip(f"income * (0.2e0 + {u(8)} * 0.2e0)", 0, 1000000)} AS income,
-        {_clip(f"util + 0.3e0 + {u(9)} * (0.7e0 - 0.3e0)", 0, 1)} AS util,
-        {_clip(f"late90 + 2 + floor({u(10)} * 5)", 0, 10, True)} AS late90,
-        {_clip(f"late60 + 1 + floor({u(11)} * 4)", 0, 10, True)} AS late60,
-        {_clip(f"late30 + 1 + floor({u(12)} * 4)", 0, 10, True)} AS late30,
-        {_clip(f"lines * (0.2e0 + {u(13)} * 0.3e0)", 0, 50, True)} AS lines FROM p2)"""
-    return v.with_views(STRESS_SOURCE, one, two, three) + (
-        "SELECT c_custkey, round(debt + 1e-9, 6) AS debt, round(income + 1e-9, 6) AS income, round(util + 1e-9, 6) AS util, late90, late60, "
-        "late30, lines FROM p3"
+    one = f"""p1 AS (SELECT c_custkey, k, share,
+        least(greatest(balance * (1.0e0 + 0.25e0 * progress + {u(0)} * 0.5e0), -500), 12000) AS balance,
+        CAST(least(greatest(visits + 1 + floor({u(1)} * 3), 0), 8) AS BIGINT) AS visits FROM v_people)"""
+    two = f"""p2 AS (SELECT c_custkey, visits,
+        least(greatest(share + 0.125e0 + {u(2)} * 0.125e0, 0), 1) AS share,
+        least(greatest(balance * (0.5e0 + {u(3)} * 0.5e0), -500), 12000) AS balance FROM p1)"""
+    return v.with_views(STRESS_SOURCE, one, two) + (
+        "SELECT c_custkey, round(balance + 1e-9, 6) AS balance, visits, round(share + 1e-9, 6) AS share FROM p2"
     )
 
 
 @query("progressive_stress", _stress_sql())
 def progressive_stress(spark, sf):
-    key, balance = F.col("c_custkey"), F.col("c_acctbal") + 1000
+    key = F.col("c_custkey")
     people = v.table(spark, sf, "customer").select(
-        "c_custkey",
-        (balance / 4000).alias("DebtRatio"),
-        (balance * 3).alias("MonthlyIncome"),
-        (key % 100 / 100.0).alias("RevolvingUtilizationOfUnsecuredLines"),
-        (key % 6).alias("NumberOfTimes90DaysLate"),
-        (key % 4).alias("NumberOfTime60_89DaysPastDueNotWorse"),
-        (key % 5).alias("NumberOfTime30_59DaysPastDueNotWorse"),
-        (key % 40).alias("NumberOfOpenCreditLinesAndLoans"),
+        "c_custkey", F.col("c_acctbal").alias("balance"), (key % 7).alias("visits"), (key % 100 / 100.0).alias("share")
     )
-    out = perturb.progressive_stress(people, 3, ["c_custkey"], ["c_custkey"])
-    names = {
-        "DebtRatio": "debt",
-        "MonthlyIncome": "income",
-        "RevolvingUtilizationOfUnsecuredLines": "util",
-        "NumberOfTimes90DaysLate": "late90",
-        "NumberOfTime60_89DaysPastDueNotWorse": "late60",
-        "NumberOfTime30_59DaysPastDueNotWorse": "late30",
-        "NumberOfOpenCreditLinesAndLoans": "lines",
-    }
-    return rounded(out.withColumnsRenamed(names))
+    out = perturb.progressive_stress(people, 2, ["c_custkey"], ["c_custkey"], STRESS_EFFECTS, STRESS_BOUNDS, integers=["visits"])
+    return rounded(out)

@@ -123,8 +123,9 @@ def _divergence(p: Column, q: Column) -> Column:
 
 def _frequency_aggregates() -> list[Column]:
     """Statistics that need only a value's two counts and the two totals."""
+    # Counts as doubles: their products leave the range of integers at a few billion rows.
     p, q = F.col("n_ref") / F.col("all_ref"), F.col("n_cur") / F.col("all_cur")
-    expected = F.col("n_ref") * F.col("all_cur") / F.col("all_ref")
+    expected = F.col("n_ref").cast("double") * F.col("all_cur").cast("double") / F.col("all_ref")
     gap = F.col("n_cur") - expected
     known = F.when(F.col("n_ref") > 0, F.col("value"))
     return [
@@ -146,7 +147,7 @@ def numeric_statistics(values: DataFrame, bucketed: bool = True, offset_rows: in
         ["feature"],
         ["value"],
         sums={"upto_ref": "n_ref", "upto_cur": "n_cur"},
-        totals={"all_ref": "n_ref", "all_cur": "n_cur", "sum_ref": F.col("n_ref") * F.col("value")},
+        totals={"all_ref": "n_ref", "all_cur": "n_cur", "sum_ref": F.col("n_ref").cast("double") * F.col("value")},
         next_value={"following": "value"},
         bucket=BUCKET if bucketed else None,
         offset_rows=offset_rows,

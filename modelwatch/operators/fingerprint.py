@@ -15,24 +15,30 @@ from pyspark.sql import types as T
 ROW_HEX = 15
 
 
-def canonical_text(df: DataFrame, columns: Sequence[str] | None = None, scale: int = 6) -> Column:
-    """A row as text, columns in name order; reals as scaled integers, times as microseconds."""
+def canonical_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """A row as text that no other row has: columns in name order, each with its name's and its value's length.
+
+    Reals keep all their bits (hexadecimal floating point), times are microseconds, NULL differs from every text.
+    """
     parts = []
     types = {f.name: f.dataType for f in df.schema.fields}
     for name in sorted(columns or df.columns):
-        c, t = F.col(name), types[name]
+        c, t = F.col(f"`{name}`"), types[name]
         if isinstance(t, T.FractionalType) and not isinstance(t, T.DecimalType):
-            number = F.round(c.cast("double") * float(10**scale)).cast("bigint").cast("string")
-            special = F.isnan(c) | (F.abs(c) == float("inf"))
-            c = F.when(special, c.cast("string")).otherwise(number)
+            real = c.cast("double")
+            special = F.isnan(real) | (F.abs(real) == float("inf"))
+            exact = F.regexp_replace(F.format_string("%a", real), r"\.0p", "p")
+            c = F.when(special, F.lower(real.cast("string"))).otherwise(exact)
+            c = F.when(real.isNotNull(), c)
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
             c = F.unix_micros(c.cast("timestamp")).cast("string")
         elif isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
             c = F.to_json(c)
         else:
             c = c.cast("string")
-        parts.append(F.coalesce(c, F.lit("\\N")))
-    return F.concat_ws("|", *parts)
+        value = F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+        parts.append(F.concat(F.lit(f"{len(name)}:{name}="), value))
+    return F.concat_ws(";", *parts)
 
 
 def row_hash(df: DataFrame, columns: Sequence[str] | None = None, portable: bool = True) -> Column:

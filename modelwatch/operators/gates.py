@@ -44,15 +44,15 @@ MIN_COVERAGE_RATE = 0.2
 
 
 def retraining_need(
-    context: DataFrame, min_labeled: int = MIN_LABELED, min_coverage: float = MIN_COVERAGE_RATE
+    context: DataFrame, min_labeled: int = MIN_LABELED, min_coverage: float = MIN_COVERAGE_RATE, trigger: str = "scheduled"
 ) -> DataFrame:
-    """Train or skip, from coverage columns joined with drift columns. Drift is context, not a trigger."""
+    """Train or skip, from coverage columns joined with drift columns. Drift is context; who asked is the ``trigger``."""
     enough = (F.col("labeled_predictions") >= min_labeled) & (F.col("coverage_rate") >= min_coverage)
     enough = F.coalesce(enough, F.lit(False))
     return context.withColumns(
         {
             "action": F.when(enough, "train").otherwise("skip"),
-            "trigger_reason": F.lit("scheduled"),
+            "trigger_reason": F.lit(trigger),
             "reason": F.when(enough, "Proceeding with training").otherwise("Insufficient data"),
         }
     )

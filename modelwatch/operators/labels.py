@@ -39,6 +39,29 @@ def labeled_predictions(
     return predictions.join(last, key, "inner")
 
 
+def training_rows(
+    predictions: DataFrame,
+    labels: DataFrame,
+    key: str = "prediction_id",
+    order: Sequence[str] = ("updated_at",),
+    prediction_order: Sequence[str] = ("timestamp",),
+    columns: Sequence[str] = ("true_label", "days_delayed"),
+) -> DataFrame:
+    """Labeled predictions with one row per id: of a repeated prediction the last counts.
+
+    ``duplicate_count`` over the predictions tells how many repeats are left out.
+    """
+    per_key = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in prediction_order], *tie_break(predictions, key, prediction_order))
+    last = predictions.withColumn("_rn", F.row_number().over(per_key)).filter("_rn = 1").drop("_rn")
+    return labeled_predictions(last, labels, key, order, columns)
+
+
+def tie_break(df: DataFrame, key: str, order: Sequence[str]) -> list[Column]:
+    """The remaining columns, so that rows with equal order values come in a fixed order."""
+    rest = [f.name for f in df.schema.fields if f.name not in {key, *order} and f.dataType.typeName() != "map"]
+    return [F.col(c).desc() for c in rest]
+
+
 def label_coverage(predictions: DataFrame, labels: DataFrame, by: Sequence[str] = (), key: str = "prediction_id"):
     """Predictions, labeled predictions, coverage rate (0 for an empty input) and the unlabeled rest."""
     known = labels.select(key).distinct().withColumn("_has", F.lit(1))

@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelwatch.functions.hashing import hash_bits
+from modelwatch.operators.cleaning import medians
 from modelwatch.operators.evaluate import eval_validity, evaluate
 from modelwatch.operators.ordered import row_ranks
 
@@ -43,13 +44,23 @@ def fit_forest(
     min_leaf: int = 2,
     seed: int = 42,
 ) -> PipelineModel:
-    """Random forest on the training rows, grown level by level across the cluster."""
+    """Random forest on the training rows, grown level by level across the cluster.
+
+    NULL and NaN features are filled with the exact medians of the training rows, in training and in scoring: no row is
+    left out. The medians travel in the fitted pipeline; a feature without any value counts as 0.
+    """
     missing = [c for c in [*features, label] if c not in train.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
     rows = train.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias(label))
+    found = medians(rows, features).first()
+    filled = ", ".join(
+        f"coalesce(nanvl(cast(`{f}` as double), cast(NULL as double)), {0.0 if found[f] is None else float(found[f])!r}D) AS `_in_{f}`"
+        for f in features
+    )
     stages = [
-        VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip"),
+        SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"_in_{f}" for f in features], outputCol="_features", handleInvalid="error"),
         RandomForestClassifier(
             featuresCol="_features",
             labelCol=label,

@@ -59,7 +59,9 @@ def rollback(versions: DataFrame, targets: DataFrame, at: str | datetime | Colum
 def _transition(
     versions: DataFrame, targets: DataFrame, at: str | datetime | Column, stage: str, archive_current: bool
 ) -> DataFrame:
-    wanted = targets.select("model_name", F.col("version").alias("_target")).distinct()
+    # A target that is not in the table changes nothing; transition_records reports it as failed.
+    known = targets.join(versions.select(*VERSION_KEY), VERSION_KEY, "left_semi")
+    wanted = known.select("model_name", F.col("version").alias("_target")).distinct()
     joined = versions.join(wanted, "model_name", "left") if archive_current else versions.join(
         wanted.withColumnsRenamed({"_target": "version"}).withColumn("_target", F.col("version")), VERSION_KEY, "left"
     )
@@ -168,18 +170,19 @@ def production_at(
 
     As-of lookup without a range join: promotion times and the rows' distinct times are merged in time order
     per model and the last promotion is carried forward (cut along time, so a model with a long history is
-    spread over tasks). Rows then pick up their version by an equi-join on model and time.
+    spread over tasks). Rows then pick up their version by an equi-join on model and time. From the time at which
+    that version was archived there is none, unless another was promoted.
     """
     asked = rows.filter(F.col(time).isNotNull()).select("model_name", F.col(time).alias("_at")).distinct()
     starts = versions.filter("promoted_at IS NOT NULL").groupBy("model_name", F.col("promoted_at").alias("_at")).agg(
-        F.max("version").alias("_version")
+        F.max(F.struct(F.col("version").cast("int").alias("_version"), F.col("archived_at").alias("_until"))).alias("_start")
     )
-    both = asked.withColumn("_version", F.lit(None).cast("int")).unionByName(
-        starts.select("model_name", "_at", F.col("_version").cast("int"))
-    )
-    moments = both.groupBy("model_name", "_at").agg(F.max("_version").alias("_version"))
+    starts = starts.select("model_name", "_at", "_start._version", "_start._until")
+    both = asked.withColumns({"_version": F.lit(None).cast("int"), "_until": F.lit(None).cast(starts.schema["_until"].dataType)})
+    both = both.unionByName(starts)
+    moments = both.groupBy("model_name", "_at").agg(F.max("_version").alias("_version"), F.max("_until").alias("_until"))
     cuts = plan_cuts(both, {"t": micros("_at")}, rows_per_bucket, distinct=True)["t"]
-    start = F.when(F.col("_version").isNotNull(), F.struct("_at", "_version"))
+    start = F.when(F.col("_version").isNotNull(), F.struct("_at", "_version", "_until"))
     carried = running_totals(
         with_bucket(moments, micros("_at"), cuts),
         ["model_name"],
@@ -187,7 +190,9 @@ def production_at(
         maxima={"_last": start},
         bucket=BUCKET if cuts else None,
     )
+    until = F.col("_last._until")
+    left = until.isNotNull() & (until > F.col("_last._at")) & (until <= F.col("_at"))
     known = carried.select(
-        "model_name", F.col("_at").alias(time), F.col("_last._version").alias("production_version")
+        "model_name", F.col("_at").alias(time), F.when(~left, F.col("_last._version")).alias("production_version")
     )
     return rows.join(known, ["model_name", time], "left").select(*rows.columns, "production_version")

@@ -25,6 +25,7 @@ def retraining_round(
     limits: GateLimits | None = None,
     model_name: str = "model",
     min_eval_rows: int = timewindows.MIN_EVAL_ROWS,
+    trigger: str = "scheduled",
     **forest,
 ) -> dict[str, DataFrame | PipelineModel | None]:
     """Decide whether a newly trained challenger replaces the production model.
@@ -36,14 +37,14 @@ def retraining_round(
     limits = limits or GateLimits()
     recent = timewindows.recent_days(log, now, 30)
     coverage = labels.label_coverage(recent, label_table)
-    need = gates.retraining_need(coverage)
+    need = gates.retraining_need(coverage, trigger=trigger)
     if need.first()["action"] == "skip":
         return {"decision": _decision(need, model_name, now), "challenger": None}
 
-    joined = labels.labeled_predictions(log, label_table)
+    joined = labels.training_rows(log, label_table)
     points = timewindows.split_points(log).first()
     split = timewindows.temporal_split(joined, points["train_end"], points["eval_start"], points["eval_end"])
-    train, held_out = split.filter("split = 'train'"), split.filter("split = 'eval'").persist()
+    train, held_out = split.filter("split = 'train'"), split.filter("split = 'eval'")
     challenger, _ = model.train_challenger(train, held_out, features, **forest)
     if challenger is None:
         row = need.withColumns({"action": F.lit("reject"), "reason": F.lit("invalid evaluation set")})
@@ -79,7 +80,7 @@ def retraining_round(
         last.alias("last_promotion"),
         instant(now).alias("timestamp"),
         issues.alias("segment_issues"),
-        F.lit("scheduled").alias("trigger_reason"),
+        F.lit(trigger).alias("trigger_reason"),
     )
     decided = gates.gate_decision(candidate, limits)
     return {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,11 +30,14 @@ def build_session(app_name: str = "modelwatch", master: str | None = None, **con
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new path below the cluster's shared checkpoint folder.
 
-    The folder is the one named in ``spark.checkpoint.dir``. A machine-local folder is used only where that
-    setting is absent, which is the case in local tests.
+    The folder is the one named in ``spark.checkpoint.dir``. Only a session that runs in one process may do without:
+    executors of a cluster would not see a machine-local folder, so there its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master!r})")
         root = tempfile.mkdtemp(prefix="modelwatch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
