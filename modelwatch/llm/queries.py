@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from modelwatch.llm import decontamination, license_scans, minhash, paragraph_dedup, quality_classifier, quality_rules, secret_scans, sentence_pieces, suffix_dedup, warc
 from modelwatch.llm.common import stored, table
+from modelwatch.llm.sql import SQL  # noqa: F401  (the twins of these queries)
 from modelwatch.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):

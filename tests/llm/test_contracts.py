@@ -209,3 +209,21 @@ def test_decontamination_query(spark, table_rows):
 def test_warc_query(spark):
     pages = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()]
     same(queries.QUERIES["op5_warc"](spark, SF), PAGES, brute.warc(pages))
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql_twin_on_the_smallest_tables(spark, name):
+    """The SQL twins against the plain versions; the queries themselves are held against both."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    docs = con.execute("SELECT doc_id, text, lang, source FROM documents").fetchall()
+    want = {
+        "op2_minhash_near_dedup": lambda: brute.near_duplicates(docs),
+        "op3_decontamination": lambda: brute.contamination(docs, con.execute("SELECT item_id, text FROM benchmark").fetchall()),
+        "op5_warc": lambda: brute.warc(con.execute("SELECT page_id, url, html FROM pages").fetchall()),
+        "op10_suffix_dedup": lambda: brute.repeats(docs),
+    }[name]()
+    assert sorted(con.execute(queries.SQL[name]).fetchall(), key=repr) == sorted(want, key=repr)
