@@ -28,12 +28,11 @@ AT_SQL = f"TIMESTAMP '{AT}'"
          SELECT model_version, total_predictions, labeled_predictions, {v.r6('coverage_rate')},
                 CASE WHEN labeled_predictions >= 60 AND coverage_rate >= 0.03 THEN 'train' ELSE 'skip' END AS action,
                 'scheduled' AS trigger_reason,
-                CASE WHEN labeled_predictions >= 60 AND coverage_rate >= 0.03 THEN 'Proceeding with training'
-                     ELSE 'Insufficient data' END AS reason,
+                CASE WHEN labeled_predictions >= 60 AND coverage_rate >= 0.03 THEN 'enough labels to train'
+                     ELSE 'too few labels' END AS reason,
                 {v.r6('drift_share')}, num_drifted_features, drift_share > 0 AS drift_seen,
-                CASE WHEN drift_share > 0 THEN printf('Dataset-level drift detected (drift_share=%.3f). '
-                  || 'Feature attribution available for %d features.', drift_share, num_drifted_features)
-                  ELSE 'No significant drift detected.' END AS drift_interpretation
+                CASE WHEN drift_share > 0 THEN printf('drift in the data set: share %.3f, %d features', drift_share, num_drifted_features)
+                  ELSE 'no drift seen' END AS drift_interpretation
          FROM coverage JOIN v_signal USING (model_version)""",
 )
 def retrain_need(spark, sf):
@@ -119,17 +118,17 @@ for _i, _name in enumerate(["samples", "coverage", "cooldown", "improvement", "c
                  'calibration_degraded', 'segment_regression', NULL][first_failed + 1] AS reason_code,
                 CASE first_failed
                   WHEN 0 THEN printf('Insufficient samples: %d < 200', num_samples)
-                  WHEN 1 THEN 'Insufficient label coverage: '
+                  WHEN 1 THEN 'label coverage too low: '
                     || coalesce(CAST(id % 100 AS VARCHAR) || '.0%', 'missing') || ' < 30.0%'
-                  WHEN 2 THEN printf('Cooldown active: last promotion %d days ago, need %d more days',
+                  WHEN 2 THEN printf('promoted %d days ago; %d days of cooldown left',
                                      days_since_promotion, 7 - days_since_promotion)
-                  WHEN 3 THEN 'Insufficient F1 improvement: '
+                  WHEN 3 THEN 'F1 gain too small: '
                     || coalesce(printf('%.2f%%', f1_improvement_pct), 'missing') || ' < 2.0%'
-                  WHEN 4 THEN 'Calibration degraded: Brier change '
+                  WHEN 4 THEN 'calibration got worse, Brier by '
                     || coalesce(printf('%.4f', brier_change), 'missing') || ' > 0.01'
-                  WHEN 5 THEN 'Segment regression: lang=de: F1 dropped 9.1%'
-                  ELSE printf('All gates passed. F1 improved %.2f%%, calibration maintained (Brier: %+.4f), '
-                              || 'no segment regression.', f1_improvement_pct, brier_change) END AS reason
+                  WHEN 5 THEN 'segments got worse: lang=de: F1 dropped 9.1%'
+                  ELSE printf('passed every gate: F1 by %.2f%%, Brier by %+.4f, all segments hold',
+                              f1_improvement_pct, brier_change) END AS reason
          FROM v_first""".replace(
         "coalesce(CAST(id % 100 AS VARCHAR) || '.0%', 'missing')",
         "CASE WHEN coverage_rate IS NULL THEN 'missing' ELSE CAST(id % 100 AS VARCHAR) || '.0%' END",
@@ -221,7 +220,7 @@ def replay_gate(spark, sf):
     v.with_views(D, VER)
     + """SELECT c_custkey, m.model_name, m.production_version, m.production_version IS NULL AS is_first_deployment,
                 CASE WHEN m.production_version IS NULL THEN 'promote' END AS first_action,
-                CASE WHEN m.production_version IS NULL THEN 'First model deployment - no comparison needed' END
+                CASE WHEN m.production_version IS NULL THEN 'no model in production yet' END
                   AS first_reason
          FROM (SELECT c_custkey, 'model_' || CAST(c_custkey % 25 AS VARCHAR) AS model_name, production_version
                FROM customer LEFT JOIN (

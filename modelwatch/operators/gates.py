@@ -53,7 +53,7 @@ def retraining_need(
         {
             "action": F.when(enough, "train").otherwise("skip"),
             "trigger_reason": F.lit(trigger),
-            "reason": F.when(enough, "Proceeding with training").otherwise("Insufficient data"),
+            "reason": F.when(enough, "enough labels to train").otherwise("too few labels"),
         }
     )
 
@@ -101,14 +101,14 @@ def cooldown(rows: DataFrame, days: int = 7, now: str = "timestamp") -> DataFram
     since = whole_days("last_promotion", now)
     passed = F.col("last_promotion").isNull() | (since >= days)
     message = (
-        F.when(F.col("last_promotion").isNull(), "No previous promotions found")
+        F.when(F.col("last_promotion").isNull(), "never promoted before")
         .when(
             since < days,
             F.format_string(
-                "Cooldown active: last promotion %d days ago, need %d more days", since, F.lit(days) - since
+                "promoted %d days ago; %d days of cooldown left", since, F.lit(days) - since
             ),
         )
-        .otherwise(F.format_string("Cooldown satisfied: %d days since last promotion", since))
+        .otherwise(F.format_string("cooldown over, %d days after the last promotion", since))
     )
     return rows.withColumns({"days_since_promotion": since, "cooldown_passed": passed, "cooldown_message": message})
 
@@ -157,6 +157,7 @@ def _judge(limits: GateLimits) -> list[tuple[str, Column, Column, str]]:
         (
             GATES[0],
             F.coalesce(samples >= limits.min_samples, F.lit(False)),
+            # Fixed value: callers look for these two words.
             F.concat(F.lit("Insufficient samples: "), text(samples, "%d"), F.lit(f" < {limits.min_samples}")),
             "insufficient_samples",
         ),
@@ -164,7 +165,7 @@ def _judge(limits: GateLimits) -> list[tuple[str, Column, Column, str]]:
             GATES[1],
             cover,
             F.concat(
-                F.lit("Insufficient label coverage: "), text(coverage, "%.1f%%"), F.lit(f" < {limits.min_coverage_pct}%")
+                F.lit("label coverage too low: "), text(coverage, "%.1f%%"), F.lit(f" < {limits.min_coverage_pct}%")
             ),
             "insufficient_coverage",
         ),
@@ -173,7 +174,7 @@ def _judge(limits: GateLimits) -> list[tuple[str, Column, Column, str]]:
             GATES[3],
             F.coalesce(gain >= limits.min_f1_improvement_pct, F.lit(False)),
             F.concat(
-                F.lit("Insufficient F1 improvement: "), text(gain, "%.2f%%"), F.lit(f" < {limits.min_f1_improvement_pct}%")
+                F.lit("F1 gain too small: "), text(gain, "%.2f%%"), F.lit(f" < {limits.min_f1_improvement_pct}%")
             ),
             "insufficient_improvement",
         ),
@@ -181,7 +182,7 @@ def _judge(limits: GateLimits) -> list[tuple[str, Column, Column, str]]:
             GATES[4],
             F.coalesce(brier <= limits.max_brier_degradation, F.lit(False)),
             F.concat(
-                F.lit("Calibration degraded: Brier change "), text(brier, "%.4f"),
+                F.lit("calibration got worse, Brier by "), text(brier, "%.4f"),
                 F.lit(f" > {limits.max_brier_degradation}"),
             ),
             "calibration_degraded",
@@ -189,7 +190,7 @@ def _judge(limits: GateLimits) -> list[tuple[str, Column, Column, str]]:
         (
             GATES[5],
             F.coalesce(F.size(issues) == 0, F.lit(True)),
-            F.concat(F.lit("Segment regression: "), F.coalesce(F.array_join(issues, ", "), F.lit(""))),
+            F.concat(F.lit("segments got worse: "), F.coalesce(F.array_join(issues, ", "), F.lit(""))),
             "segment_regression",
         ),
     ]
@@ -237,7 +238,7 @@ def gate_decision(candidates: DataFrame, limits: GateLimits | None = None, now:
         ]
     )
     summary = F.format_string(
-        "All gates passed. F1 improved %.2f%%, calibration maintained (Brier: %+.4f), no segment regression.",
+        "passed every gate: F1 by %.2f%%, Brier by %+.4f, all segments hold",
         F.col("f1_improvement_pct"),
         F.col("brier_change"),
     )
@@ -269,7 +270,7 @@ def first_deployment(candidates: DataFrame, versions: DataFrame) -> DataFrame:
         {
             "is_first_deployment": first,
             "first_action": F.when(first, "promote"),
-            "first_reason": F.when(first, "First model deployment - no comparison needed"),
+            "first_reason": F.when(first, "no model in production yet"),
         }
     )
 
@@ -278,13 +279,13 @@ def drift_interpretation(rows: DataFrame) -> DataFrame:
     """A sentence on the drift context of a decision."""
     found = F.coalesce(F.col("drift_share") > 0, F.lit(False))
     text = F.format_string(
-        "Dataset-level drift detected (drift_share=%.3f). Feature attribution available for %d features.",
+        "drift in the data set: share %.3f, %d features",
         F.col("drift_share"),
         F.col("num_drifted_features"),
     )
     return rows.withColumns(
         {
             "drift_seen": found,
-            "drift_interpretation": F.when(found, text).otherwise("No significant drift detected."),
+            "drift_interpretation": F.when(found, text).otherwise("no drift seen"),
         }
     )

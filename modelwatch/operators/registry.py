@@ -124,9 +124,9 @@ def model_timeline(versions: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.select(*columns).orderBy(F.col("version").desc(), "model_name")
 
 
-def recent_monitoring(runs: DataFrame, limit: int = 50, tie_break: str = "model_version") -> DataFrame:
-    """Newest monitoring runs, at most 100 (a top-k report)."""
-    picked = runs.orderBy(F.col("timestamp").desc(), tie_break).limit(min(100, limit))
+def recent_monitoring(runs: DataFrame, limit: int = 100, tie_break: str = "model_version") -> DataFrame:
+    """The newest ``limit`` monitoring runs (a top-k report)."""
+    picked = runs.orderBy(F.col("timestamp").desc(), tie_break).limit(limit)
     return picked.select(
         "timestamp", tie_break, "num_predictions", "feature_drift_ratio", "dataset_drift_detected", "positive_rate",
         "entropy",

@@ -51,7 +51,7 @@ def retraining_round(
         return {"decision": _decision(row, model_name, now), "challenger": None}
     if production is None:
         row = need.withColumns(
-            {"action": F.lit("promote"), "reason": F.lit("First model deployment - no comparison needed")}
+            {"action": F.lit("promote"), "reason": F.lit("no model in production yet")}
         )
         return {"decision": _decision(row, model_name, now), "challenger": challenger}
     if held_out.count() < min_eval_rows:

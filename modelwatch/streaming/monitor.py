@@ -24,9 +24,11 @@ def ingest(stream: DataFrame, rules: Sequence[Rule], good: str, rejects: str, ch
 
     def write(batch: DataFrame, batch_id: int) -> None:
         tagged = with_reasons(batch, rules).persist()
-        write_batch(tagged.filter(F.size("reject_reasons") == 0).drop("reject_reasons"), good, batch_id)
-        write_batch(tagged.filter(F.size("reject_reasons") > 0), rejects, batch_id)
-        tagged.unpersist()
+        try:
+            write_batch(tagged.filter(F.size("reject_reasons") == 0).drop("reject_reasons"), good, batch_id)
+            write_batch(tagged.filter(F.size("reject_reasons") > 0), rejects, batch_id)
+        finally:
+            tagged.unpersist()
 
     return each_batch(stream, write, checkpoint)
 

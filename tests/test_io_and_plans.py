@@ -297,9 +297,9 @@ def test_retraining_round(spark):
     )["decision"].first()
     assert again["action"] == "reject" and again["failed_gate"] == "metric_improvement"
     first = retraining_round(log, label_table, X, "2024-01-20 00:00:00", None, num_trees=3, max_depth=2)
-    assert first["decision"].first()["reason"].startswith("First model")
+    assert first["decision"].first()["reason"].startswith("no model in production")
     few = retraining_round(log, label_table.limit(50), X, "2024-01-20 00:00:00", None)["decision"].first()
-    assert few["action"] == "skip" and few["reason"] == "Insufficient data"
+    assert few["action"] == "skip" and few["reason"] == "too few labels"
 
 
 def test_python_model_scoring(spark):
