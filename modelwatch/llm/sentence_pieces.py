@@ -32,7 +32,7 @@ WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Stands for a literal U+2581 inside a lattice; it occurs in no valid text.
 LITERAL = "\ud800"
 #: Texts are taken together up to about so many characters; it bounds memory and changes no result.
-CHARS_PER_ROUND = 4_000_000
+CHARS_PER_ROUND = 1_200_000
 
 
 class Vocabulary:
