@@ -148,7 +148,11 @@ def links_across(members: DataFrame, grouped: DataFrame, texts: DataFrame, width
 
 
 def across(group: list[tuple[int, int, bool, bytes]], cache: WordHashes, width: int, percent: int) -> list[tuple[int, int]]:
-    """Links of the strays of one block with its members; rows are (class, component, stray?, text)."""
+    """Links of the strays of one block with its members; rows are (class, component, stray?, text).
+
+    Of the links between the same components one is enough, and so is a chain of them: those that join what earlier links
+    of the block have joined already are not put out.
+    """
     members, strays = [r for r in group if not r[2]], [r for r in group if r[2]]
     if not members or not strays:
         return []
@@ -159,6 +163,14 @@ def across(group: list[tuple[int, int, bool, bytes]], cache: WordHashes, width:
     inside, at = codes[: sizes.sum()], sizes.sum()
     component = np.array([r[1] for r in members])
     present, out = np.zeros(codes.max() + 1, np.int32), []
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := parent.get(c, c)) != c:
+            parent[c] = parent.get(up, up)
+            c = up
+        return c
+
     for a, own, _, _ in strays:
         n = len(sets[a])
         mine = codes[at : at + n]
@@ -166,8 +178,12 @@ def across(group: list[tuple[int, int, bool, bytes]], cache: WordHashes, width:
         present[mine] = 1
         common = np.add.reduceat(present[inside], starts)
         present[mine] = 0
-        for i in np.flatnonzero((100 * common >= percent * (sizes + n - common)) & (component != own)):
-            out.append((a, members[i][0]))
+        linked = np.flatnonzero((100 * common >= percent * (sizes + n - common)) & (component != own))
+        for c, i in zip(*np.unique(component[linked], return_index=True), strict=True):
+            one, other = root(own), root(int(c))
+            if one != other:
+                parent[one] = other
+                out.append((a, members[linked[i]][0]))
     return out
 
 
