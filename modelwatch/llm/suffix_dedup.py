@@ -25,9 +25,9 @@ LENGTH, GRAM = 400, 40
 #: Bytes of a text that are worked on at a time; texts may be longer.
 PIECE = 1 << 18
 #: Hashes with more different segments than this are compared by the hashes of single windows, dealt out over the cluster.
-MOST_SEGMENTS = 4_096
+MOST_SEGMENTS = 1_024
 #: Text sorted together in one task.
-SORT_BYTES = 3_000_000
+SORT_BYTES = 750_000
 #: Bits of the filter over keys of texts that are needed again; its size is fixed.
 KEY_BITS = 2**26
 
@@ -408,20 +408,27 @@ def merged_spans(spans: DataFrame) -> DataFrame:
     names = schema.names
 
     def run(batches):
+        kind = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         for batch in batches:
-            removed, counts, joined = [], [], []
-            for raw in batch.column(1).to_pylist():
-                out: list[list[int]] = []
-                for r in raw:
-                    if out and r["start"] <= out[-1][1]:
-                        out[-1][1] = max(out[-1][1], r["end"])
-                    else:
-                        out.append([r["start"], r["end"]])
-                removed.append(sum(b - a for a, b in out))
-                counts.append(len(out))
-                joined.append([{"start": a, "end": b} for a, b in out])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            arrays = [pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(joined, kind)]
+            lists = batch.column(1)
+            offsets = lists.offsets.to_numpy()
+            fields = lists.values
+            starts, ends = (fields.field(n).to_numpy(zero_copy_only=False) for n in ("start", "end"))
+            removed, counts, firsts, lasts = [], [], [], []
+            for low, high in zip(offsets[:-1], offsets[1:], strict=True):
+                # Ranges are sorted: one begins a new run where it starts behind all ends so far.
+                reach = np.maximum.accumulate(ends[low:high])
+                new = np.flatnonzero(starts[low + 1 : high] > reach[:-1]) + 1
+                first, last = starts[low:high][np.append(0, new)], np.append(reach[new - 1], reach[-1])
+                removed.append(int((last - first).sum()))
+                counts.append(len(first))
+                firsts.append(first)
+                lasts.append(last)
+            flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (firsts, lasts)]
+            joined = pa.ListArray.from_arrays(
+                pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.StructArray.from_arrays(flat, fields=list(kind))
+            )
+            arrays = [pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), joined]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
 
     return spans.mapInArrow(run, schema)
