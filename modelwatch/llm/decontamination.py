@@ -75,9 +75,9 @@ def bit_filter(prints: DataFrame, n_bits: int = FILTER_BITS) -> np.ndarray:
     words = prints.select(
         F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")
     )
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(n_bits // 64, np.int64)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return out.view(np.uint64)
 
 

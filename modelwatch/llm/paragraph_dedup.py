@@ -9,6 +9,8 @@ paragraphs of a component but the first are removed.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelwatch.llm.common import WordHashes, mix64, packed, row_key, shingle_hashes, signed, space_words, stored, unpacked
+from modelwatch.llm.common import WordHashes, mix64, packed, row_key, shingle_hashes, signed, stored, unpacked
 from modelwatch.llm.components import connected_components
 from modelwatch.llm.decontamination import bit_filter
 from modelwatch.llm.minhash import links_across, verified
-from modelwatch.llm.suffix_dedup import gathered, smallest_in_windows, without
+from modelwatch.llm.suffix_dedup import smallest_in_windows, without
 
 WIDTH, PERCENT = 5, 80
 #: One row per band: paragraphs are short and 5-word shingles rare, so a shared minimum is already telling. Four bands miss
@@ -31,7 +33,7 @@ REACH = 6
 #: Shorter paragraphs are left alone, and so are removals of fewer consecutive words.
 LEAST_WORDS, LEAST_RUN_WORDS = 6, 15
 #: Bits of the filter over bands that occur twice; its size is fixed.
-BAND_BITS = 2**27
+BAND_BITS = 2**26
 WORD = re.compile(rb"[^ \t-\r]+")
 TOP = np.uint64(2**64 - 1)
 STRIDE = np.full(1, 0xD6E8FEB86659FD93, np.uint64)
@@ -49,35 +51,64 @@ def cuts(lines: list[int], pairs: np.ndarray, reach: int) -> np.ndarray:
     return np.union1d(inner, first)
 
 
-def paragraphs(raw: bytes, cache: WordHashes, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, end, two 64-bit hashes as columns, band hashes as columns) of every paragraph of a text."""
-    lines = [n for n in (len(line.split()) for line in raw.split(b"\n")) if n]
+@dataclass
+class Paragraphs:
+    """Paragraphs of several texts: first word and end (counted over all texts), text, two hashes and band hashes of each."""
+
+    start: np.ndarray
+    end: np.ndarray
+    text: np.ndarray
+    first_word: np.ndarray  # of each text
+    digests: np.ndarray
+    bands: np.ndarray
+
+
+def paragraphs(raws: Sequence[bytes | None], cache: WordHashes, reach: int = REACH, digests: bool = True) -> Paragraphs:
+    """Cut texts into paragraphs; texts are taken together but do not see each other, as lines do not."""
+    lines: list[int] = []
+    own_text: list[int] = []
+    spoken: list[bytes] = []
+    first_word = np.zeros(len(raws), np.int64)
+    for i, raw in enumerate(raws):
+        first_word[i] = len(spoken)
+        for line in (raw or b"").lower().split(b"\n"):
+            if found := line.split():
+                lines.append(len(found))
+                own_text.append(i)
+                spoken += found
     if not lines:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, np.zeros((0, 2), np.uint64), np.zeros((0, BANDS), np.uint64)
-    words = cache.of(space_words(raw))
-    ends_of_lines = np.cumsum(lines) - 1
+        none = np.zeros(0, np.int64)
+        return Paragraphs(none, none, none, first_word, np.zeros((0, 2), np.uint64), np.zeros((0, BANDS), np.uint64))
+    words = cache.of(spoken)
     pairs = mix64(words * np.uint64(0x9E3779B97F4A7C15) + np.append(words[1:], np.uint64(0)))
-    pairs[ends_of_lines] = TOP
+    line_ends = np.cumsum(lines)
+    pairs[line_ends - 1] = TOP
     start = cuts(lines, pairs, reach)
     end = np.append(start[1:], len(words))
+    text = np.array(own_text)[np.searchsorted(line_ends, start, side="right")]
     own = np.repeat(np.arange(len(start)), end - start)
-    place = (np.arange(len(words)) - start[own]).astype(np.uint64)
-    digests = np.column_stack(
-        [np.add.reduceat(mix64(words + mix64(place + np.uint64(c))), start) for c in (0x1F3D5B79, 0x2E4C6A88)]
-    )
+    made = np.zeros((len(start), 2), np.uint64)
+    if digests:
+        place = (np.arange(len(words)) - start[own]).astype(np.uint64)
+        made = np.column_stack([np.add.reduceat(mix64(words + mix64(place + np.uint64(c))), start) for c in (0x1F3D5B79, 0x2E4C6A88)])
     shingles = np.full(len(words), TOP)
     if len(words) >= WIDTH:
         whole = shingle_hashes(words, WIDTH)
         fits = np.flatnonzero(np.arange(len(whole)) + WIDTH <= end[own[: len(whole)]])
         shingles[fits] = whole[fits]
-    bands = np.column_stack(
-        [
-            np.minimum.reduceat(np.where(shingles == TOP, TOP, mix64(shingles + STRIDE * np.array(c, np.uint64))), start)
-            for c in range(1, BANDS + 1)
-        ]
-    )
-    return start, end, digests, mix64(bands + np.arange(BANDS, dtype=np.uint64))
+    nothing = shingles == TOP
+    columns = []
+    for c in range(1, BANDS + 1):
+        other = mix64(shingles + STRIDE * np.array(c, np.uint64))
+        other[nothing] = TOP
+        columns.append(np.minimum.reduceat(other, start))
+    return Paragraphs(start, end, text, first_word, made, mix64(np.column_stack(columns) + np.arange(BANDS, dtype=np.uint64)))
+
+
+def chunks(batch: pa.RecordBatch, column: int, rows: int = 100):
+    """(low, texts) of consecutive parts of a batch."""
+    for low in range(0, batch.num_rows, rows):
+        yield low, batch.column(column).slice(low, rows).to_pylist()
 
 
 def band_counts(own: DataFrame) -> DataFrame:
@@ -86,11 +117,11 @@ def band_counts(own: DataFrame) -> DataFrame:
     def run(batches):
         cache = WordHashes()
         for batch in batches:
-            for body in batch.column(0):
-                start, end, _, bands = paragraphs(body.as_py() or b"", cache)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(bands[end - start >= LEAST_WORDS].ravel()))], names=["h"])
+            for _, raws in chunks(batch, 0):
+                p = paragraphs(raws, cache, digests=False)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(p.bands[p.end - p.start >= LEAST_WORDS].ravel()))], names=["h"])
 
-    return own.select("body").mapInArrow(gathered(run, 100_000), "h long")
+    return own.select("body").mapInArrow(run, "h long")
 
 
 UNIT = "no int, n_words int, start int, end int, d1 long, d2 long, bands array<long>, body binary"
@@ -105,24 +136,29 @@ def candidate_paragraphs(own: DataFrame, bits) -> DataFrame:
     def run(batches):
         cache = WordHashes()
         for batch in batches:
-            for i, body in enumerate(batch.column(2)):
-                raw = body.as_py() or b""
-                start, end, digests, bands = paragraphs(raw, cache)
-                word = bits.value[((bands & mask) >> np.uint64(6)).astype(np.int64)]
-                shared = ((word >> (bands & np.uint64(63))) & np.uint64(1)).any(axis=1)
-                hit = np.flatnonzero(shared & (end - start >= LEAST_WORDS))
-                rows = [(-1, len(start), 0, 0, None, None, None, None)]
-                if len(hit):
-                    places = [m.span() for m in WORD.finditer(raw)]
-                    for k in hit.tolist():
-                        a, b = places[start[k]][0], places[end[k] - 1][1]
-                        d1, d2 = signed(digests[k]).tolist()
-                        rows.append((k, int(end[k] - start[k]), a, b, d1, d2, signed(bands[k]).tolist(), raw[a:b]))
-                head = batch.slice(i, 1).take(pa.array(np.zeros(len(rows), np.int64)))
+            for low, raws in chunks(batch, 2):
+                p = paragraphs(raws, cache)
+                word = bits.value[((p.bands & mask) >> np.uint64(6)).astype(np.int64)]
+                shared = ((word >> (p.bands & np.uint64(63))) & np.uint64(1)).any(axis=1)
+                hit = np.flatnonzero(shared & (p.end - p.start >= LEAST_WORDS))
+                first = np.searchsorted(p.text, np.arange(len(raws)))
+                counts = np.bincount(p.text, minlength=len(raws))
+                rows = [(-1, int(n), 0, 0, None, None, None, None) for n in counts]
+                of = list(range(len(raws)))
+                at, places = -1, []
+                for k, i in zip(hit.tolist(), p.text[hit].tolist(), strict=True):
+                    if i != at:
+                        at, places = i, [m.span() for m in WORD.finditer(raws[i])]
+                    base = int(p.first_word[i])
+                    a, b = places[p.start[k] - base][0], places[p.end[k] - base - 1][1]
+                    d1, d2 = signed(p.digests[k]).tolist()
+                    rows.append((k - int(first[i]), int(p.end[k] - p.start[k]), a, b, d1, d2, signed(p.bands[k]).tolist(), raws[i][a:b]))
+                    of.append(i)
+                head = batch.slice(low, len(raws)).take(pa.array(of))
                 columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*head.columns[:2], *columns], names=names)
 
-    return own.select("id", "key", "body").mapInArrow(gathered(run), schema)
+    return own.select("id", "key", "body").mapInArrow(run, schema)
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

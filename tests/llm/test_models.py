@@ -168,13 +168,16 @@ def test_repeated_passages_go_and_clean_documents_stay(spark):
 
 
 def test_paragraphs_cover_every_word_once():
+    """Alone or together, texts fall into the same paragraphs, and these hold every word."""
     from modelwatch.llm.common import WordHashes
 
-    for _, text, *_ in brute.documents():
-        raw = (text or "").encode()
-        start, end, digests, bands = paragraph_dedup.paragraphs(raw, WordHashes())
-        assert np.array_equal(np.append(start, len(raw.split())), np.concatenate([[0], end]) if len(end) else [0])
-        assert len(digests) == len(bands) == len(start)
+    texts = [(t or "").encode() for _, t, *_ in brute.documents()]
+    together = paragraph_dedup.paragraphs(texts, WordHashes())
+    assert np.array_equal(np.append(together.start, sum(len(t.split()) for t in texts)), np.append(0, together.end))
+    for i, raw in enumerate(texts):
+        alone, own = paragraph_dedup.paragraphs([raw], WordHashes()), together.text == i
+        assert np.array_equal(alone.start + together.first_word[i], together.start[own])
+        assert np.array_equal(alone.digests, together.digests[own]) and np.array_equal(alone.bands, together.bands[own])
 
 
 def test_near_paragraphs_are_linked(spark):
@@ -182,7 +185,7 @@ def test_near_paragraphs_are_linked(spark):
     from modelwatch.llm.common import WordHashes
 
     def alone(text):
-        return len(paragraph_dedup.paragraphs(text.encode(), WordHashes())[0]) == 1
+        return len(paragraph_dedup.paragraphs([text.encode()], WordHashes()).start) == 1
 
     lines = (brute.prose(21, seed, 9000) for seed in range(2000))
     line = next(x for x in lines if alone(x) and alone(x.rsplit(" ", 1)[0] + " other"))
