@@ -39,8 +39,22 @@ TOP = np.uint64(2**64 - 1)
 STRIDE = np.full(1, 0xD6E8FEB86659FD93, np.uint64)
 
 
+def spaced(at: np.ndarray, line: np.ndarray, least: int) -> np.ndarray:
+    """Positions of which no two of a line are nearer than ``least``: from left to right, those too near the last are left out."""
+    keep, last = np.ones(len(at), bool), 0
+    for i in np.flatnonzero((np.diff(at) < least) & (np.diff(line) == 0)).tolist():
+        if keep[i]:
+            last = at[i]
+        keep[i + 1] = at[i + 1] - last >= least
+    return at[keep]
+
+
 def cuts(lines: list[int], pairs: np.ndarray, reach: int) -> np.ndarray:
-    """First words of all paragraphs: line starts, and words whose pair hash is smallest within ``reach`` words of its line."""
+    """First words of all paragraphs: line starts, and words whose pair hash is smallest within ``reach`` words of its line.
+
+    Equal hashes (repetitive text) do not cut nearer than ``reach`` + 1 words, and no cut leaves fewer than ``LEAST_WORDS``
+    words to its line's start or end: only whole lines are shorter.
+    """
     line = np.repeat(np.arange(len(lines)), lines)
     first = np.cumsum(lines) - lines
     at = np.arange(len(pairs)) + reach * (line + 1)  # lines stand apart, so they do not look at each other's words
@@ -48,7 +62,9 @@ def cuts(lines: list[int], pairs: np.ndarray, reach: int) -> np.ndarray:
     padded[at] = pairs
     least = smallest_in_windows(padded, 2 * reach + 1)[at - reach]
     inner = np.flatnonzero((pairs == least) & (pairs != TOP))
-    return np.union1d(inner, first)
+    place, size = inner - first[line[inner]], np.asarray(lines)[line[inner]]
+    inner = inner[(place >= LEAST_WORDS) & (size - place >= LEAST_WORDS)]
+    return np.union1d(spaced(inner, line[inner], reach + 1), first)
 
 
 @dataclass

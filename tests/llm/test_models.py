@@ -189,6 +189,21 @@ def test_paragraphs_cover_every_word_once():
         assert np.array_equal(alone.digests, together.digests[own]) and np.array_equal(alone.bands, together.bands[own])
 
 
+@pytest.mark.parametrize("period", range(1, 8))
+def test_repetitive_text_is_cut_into_long_enough_paragraphs(spark, period):
+    """A line that says the same 1 to 7 words again and again, alone and inside other text."""
+    from modelwatch.llm.common import WordHashes
+
+    line = " ".join(f"p{i % period}" for i in range(60))
+    inside = f"{brute.prose(40, 71, 9000)} {line} {brute.prose(40, 72, 9000)}"
+    for text in (line, inside):
+        made = paragraph_dedup.paragraphs([text.encode()], WordHashes())
+        assert (made.end - made.start).min() >= paragraph_dedup.LEAST_WORDS
+    rows = [(i, f"{brute.prose(30, i, 9000)}\n{line}", "en", "s") for i in (1, 2)]
+    found = {r["doc_id"]: r for r in paragraph_dedup.repeated_paragraphs(brute.frame(spark, rows)).collect()}
+    assert found[2]["n_words_removed"] == 60
+
+
 def test_near_paragraphs_are_linked(spark):
     """Two lines of one paragraph each that differ in their last word only: 17 shingles each, 16 of them shared."""
     from modelwatch.llm.common import WordHashes
