@@ -1,9 +1,9 @@
 """Substring dedup: repeated paragraphs inside documents, found by MinHash banding.
 
-A paragraph is a line, and a long line is cut further where the text itself says so (at words whose hash is smallest among
-their neighbours), so a passage inside running text falls into the same paragraphs wherever it stands. Paragraphs that
-share a band are joined, verified by the exact Jaccard similarity of their shingles and clustered into components; all
-paragraphs of a component but the first are removed.
+Lines are compared whole, and a long line is also cut into paragraphs where the text itself says so (at words whose hash is
+smallest among their neighbours), so a passage inside running text falls into the same paragraphs wherever it stands. Lines
+and paragraphs that share a band are joined, verified by the exact Jaccard similarity of their shingles and clustered into
+components. All lines of a component but the first are removed, then all paragraphs of what is left but the first.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ WIDTH, PERCENT = 5, 80
 BANDS = 4
 #: Words to both sides among which a cut must have the smallest hash: paragraphs inside a line have 13 words on average.
 REACH = 6
-#: Shorter paragraphs are left alone, and so are removals of fewer consecutive words.
+#: A repeated line of so many words goes by itself; passages inside lines, and shorter lines, go in runs of so many words.
 LEAST_WORDS, LEAST_RUN_WORDS = 6, 15
 #: Bits of the filter over bands that occur twice; its size is fixed.
 BAND_BITS = 2**26
@@ -69,7 +69,10 @@ def cuts(lines: list[int], pairs: np.ndarray, reach: int) -> np.ndarray:
 
 @dataclass
 class Paragraphs:
-    """Paragraphs of several texts: first word and end (counted over all texts), text, two hashes and band hashes of each."""
+    """Paragraphs of several texts: first word and end (counted over all texts), text, two hashes and band hashes of each.
+
+    ``line`` is each paragraph's line; ``lines`` holds whole lines in the same way, one for each number in ``line``.
+    """
 
     start: np.ndarray
     end: np.ndarray
@@ -77,6 +80,8 @@ class Paragraphs:
     first_word: np.ndarray  # of each text
     digests: np.ndarray
     bands: np.ndarray
+    line: np.ndarray
+    lines: Paragraphs | None = None
 
 
 def paragraphs(raws: Sequence[bytes | None], cache: WordHashes, reach: int = REACH, digests: bool = True) -> Paragraphs:
@@ -94,31 +99,51 @@ def paragraphs(raws: Sequence[bytes | None], cache: WordHashes, reach: int = REA
                 spoken += found
     if not lines:
         none = np.zeros(0, np.int64)
-        return Paragraphs(none, none, none, first_word, np.zeros((0, 2), np.uint64), np.zeros((0, BANDS), np.uint64))
+        empty = none, none, none, first_word, np.zeros((0, 2), np.uint64), np.zeros((0, BANDS), np.uint64), none
+        return Paragraphs(*empty, Paragraphs(*empty))
     words = cache.of(spoken)
     pairs = mix64(words * np.uint64(0x9E3779B97F4A7C15) + np.append(words[1:], np.uint64(0)))
     line_ends = np.cumsum(lines)
     pairs[line_ends - 1] = TOP
     start = cuts(lines, pairs, reach)
-    end = np.append(start[1:], len(words))
-    text = np.array(own_text)[np.searchsorted(line_ends, start, side="right")]
-    own = np.repeat(np.arange(len(start)), end - start)
-    made = np.zeros((len(start), 2), np.uint64)
-    if digests:
-        place = (np.arange(len(words)) - start[own]).astype(np.uint64)
-        made = np.column_stack([np.add.reduceat(mix64(words + mix64(place + np.uint64(c))), start) for c in (0x1F3D5B79, 0x2E4C6A88)])
-    shingles = np.full(len(words), TOP)
-    if len(words) >= WIDTH:
-        whole = shingle_hashes(words, WIDTH)
-        fits = np.flatnonzero(np.arange(len(whole)) + WIDTH <= end[own[: len(whole)]])
-        shingles[fits] = whole[fits]
-    nothing = shingles == TOP
+    line = np.searchsorted(line_ends, start, side="right")
+    whole = shingle_hashes(words, WIDTH) if len(words) >= WIDTH else np.zeros(0, np.uint64)
+    banded = [mix64(whole + STRIDE * np.array(c, np.uint64)) for c in range(1, BANDS + 1)]
+    first = line_ends - lines
+    made = Paragraphs(first, line_ends, np.array(own_text), first_word, *sketch(words, banded, first, digests), np.arange(len(lines)))
+    return Paragraphs(start, np.append(start[1:], len(words)), made.text[line], first_word, *sketch(words, banded, start, digests), line, made)
+
+
+def sketch(words: np.ndarray, banded: list[np.ndarray], start: np.ndarray, digests: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes (zeros if not asked for) and the band hashes of all runs of words that begin at ``start``, each up to the next.
+
+    ``banded`` holds the hashes of all shingles, once for each band. A run of fewer words than a shingle has no other
+    shingle than itself.
+    """
+    size = np.diff(np.append(start, len(words)))
+
+    def summed(of: np.ndarray, constant: int) -> np.ndarray:
+        lengths = size[of]
+        first = np.cumsum(lengths) - lengths
+        place = np.arange(lengths.sum()) - np.repeat(first, lengths)
+        spelled = words[place + np.repeat(start[of], lengths)]
+        return np.add.reduceat(mix64(spelled + mix64(place.astype(np.uint64) + np.uint64(constant))), first)
+
+    every, constants = np.arange(len(start)), (0x1F3D5B79, 0x2E4C6A88)
+    made = np.column_stack([summed(every, c) for c in constants]) if digests else np.zeros((len(start), 2), np.uint64)
+    ends = np.repeat(start + size, size)
+    nothing = np.arange(len(words)) + WIDTH > ends
+    short = np.flatnonzero(size < WIDTH)
+    itself = summed(short, constants[0]) if len(short) else np.zeros(0, np.uint64)
     columns = []
-    for c in range(1, BANDS + 1):
-        other = mix64(shingles + STRIDE * np.array(c, np.uint64))
+    for c, hashes in enumerate(banded, 1):
+        other = np.full(len(words), TOP)
+        other[: len(hashes)] = hashes
         other[nothing] = TOP
-        columns.append(np.minimum.reduceat(other, start))
-    return Paragraphs(start, end, text, first_word, made, mix64(np.column_stack(columns) + np.arange(BANDS, dtype=np.uint64)))
+        least = np.minimum.reduceat(other, start)
+        least[short] = mix64(itself + STRIDE * np.array(c, np.uint64))
+        columns.append(least)
+    return made, mix64(np.column_stack(columns) + np.arange(BANDS, dtype=np.uint64))
 
 
 def chunks(batch: pa.RecordBatch, column: int, rows: int = 100):
@@ -128,48 +153,63 @@ def chunks(batch: pa.RecordBatch, column: int, rows: int = 100):
 
 
 def band_counts(own: DataFrame) -> DataFrame:
-    """Band hashes of all paragraphs that are long enough, one row each."""
+    """Band hashes of all paragraphs, and of all lines of several, one row each."""
 
     def run(batches):
         cache = WordHashes()
         for batch in batches:
             for _, raws in chunks(batch, 0):
                 p = paragraphs(raws, cache, digests=False)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(p.bands[p.end - p.start >= LEAST_WORDS].ravel()))], names=["h"])
+                cut = np.bincount(p.line, minlength=len(p.lines.start)) > 1
+                for bands in (p.bands, p.lines.bands[cut]):
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(bands.ravel()))], names=["h"])
 
     return own.select("body").mapInArrow(run, "h long")
 
 
-UNIT = "no int, n_words int, start int, end int, d1 long, d2 long, bands array<long>, body binary"
+UNIT = """no int, line int, is_line boolean, is_piece boolean, n_pieces int, start int, end int, n_all int,
+          d1 long, d2 long, bands array<long>, body binary"""
 
 
 def candidate_paragraphs(own: DataFrame, bits) -> DataFrame:
-    """Paragraphs with a band that occurs twice, with their text; and one row (no = -1) per document with its number of them."""
+    """Paragraphs and whole lines with a band that occurs twice, with their text; and one row (no = -1) per document with its
+    number of paragraphs. ``start`` and ``end`` are words of the document, which has ``n_all``; a line of one paragraph is
+    one row."""
     schema = T.StructType([*own.schema.fields[:2], *T.StructType.fromDDL(UNIT).fields])
     names, mask = schema.names, np.uint64(BAND_BITS - 1)
-    kinds = [pa.int32()] * 4 + [pa.int64()] * 2 + [pa.list_(pa.int64()), pa.binary()]
+    kinds = [pa.int32()] * 2 + [pa.bool_()] * 2 + [pa.int32()] * 4 + [pa.int64()] * 2 + [pa.list_(pa.int64()), pa.binary()]
+
+    def hits(p: Paragraphs) -> np.ndarray:
+        word = bits.value[((p.bands & mask) >> np.uint64(6)).astype(np.int64)]
+        return ((word >> (p.bands & np.uint64(63))) & np.uint64(1)).any(axis=1)
 
     def run(batches):
         cache = WordHashes()
         for batch in batches:
             for low, raws in chunks(batch, 2):
                 p = paragraphs(raws, cache)
-                word = bits.value[((p.bands & mask) >> np.uint64(6)).astype(np.int64)]
-                shared = ((word >> (p.bands & np.uint64(63))) & np.uint64(1)).any(axis=1)
-                hit = np.flatnonzero(shared & (p.end - p.start >= LEAST_WORDS))
-                first = np.searchsorted(p.text, np.arange(len(raws)))
                 counts = np.bincount(p.text, minlength=len(raws))
-                rows = [(-1, int(n), 0, 0, None, None, None, None) for n in counts]
+                first = np.cumsum(counts) - counts
+                n_all = np.bincount(p.lines.text, weights=p.lines.end - p.lines.start, minlength=len(raws)).astype(int)
+                pieces = np.bincount(p.line, minlength=len(p.lines.start))
+                first_line = np.searchsorted(p.lines.text, np.arange(len(raws)))
+                first_piece = np.cumsum(pieces) - pieces
+                several = np.flatnonzero(hits(p.lines) & (pieces > 1))
+                found = [(p.text[k], p, k, k, pieces[p.line[k]] == 1, True, 1) for k in np.flatnonzero(hits(p))]
+                found += [(p.lines.text[k], p.lines, k, first_piece[k], True, False, pieces[k]) for k in several]
+                found.sort(key=lambda x: x[0])
+                rows = [(-1, 0, False, False, n, 0, 0, m, None, None, None, None) for n, m in zip(counts.tolist(), n_all.tolist(), strict=True)]
                 of = list(range(len(raws)))
                 at, places = -1, []
-                for k, i in zip(hit.tolist(), p.text[hit].tolist(), strict=True):
+                for i, u, k, no, is_line, is_piece, n in found:
                     if i != at:
                         at, places = i, [m.span() for m in WORD.finditer(raws[i])]
-                    base = int(p.first_word[i])
-                    a, b = places[p.start[k] - base][0], places[p.end[k] - base - 1][1]
-                    d1, d2 = signed(p.digests[k]).tolist()
-                    rows.append((k - int(first[i]), int(p.end[k] - p.start[k]), a, b, d1, d2, signed(p.bands[k]).tolist(), raws[i][a:b]))
-                    of.append(i)
+                    a, b = int(u.start[k] - p.first_word[i]), int(u.end[k] - p.first_word[i])
+                    d1, d2 = signed(u.digests[k]).tolist()
+                    body = raws[i][places[a][0] : places[b - 1][1]]
+                    place = int(no - first[i]), int(u.line[k] - first_line[i]), bool(is_line), is_piece, int(n), a, b, int(n_all[i])
+                    rows.append((*place, d1, d2, signed(u.bands[k]).tolist(), body))
+                    of.append(int(i))
                 head = batch.slice(low, len(raws)).take(pa.array(of))
                 columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*head.columns[:2], *columns], names=names)
@@ -178,14 +218,15 @@ def candidate_paragraphs(own: DataFrame, bits) -> DataFrame:
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its paragraphs, those removed and their words, the byte spans to remove, and where the kept
+    """One row per document: its paragraphs, those removed and their words, the spans of words to remove, and where the kept
     copies are (``copies_of``: ids of the documents, distinct and sorted).
 
-    Words stand between ASCII white space, A-Z lower-cased. Paragraphs are linked when the Jaccard similarity of their
-    5-word shingles is 0.8 or more. Of a component the paragraph of the smallest id (null ids first), and in it the first,
-    stays. Runs of fewer than ``LEAST_RUN_WORDS`` consecutive removed words are put back. Null and empty texts have no
-    paragraphs. Rows that repeat an id and a text are one document: one row each, equal. Other columns do not matter; an
-    empty table gives none.
+    Words stand between ASCII white space, A-Z lower-cased. Lines and paragraphs are linked when the Jaccard similarity of
+    their 5-word shingles (a shorter one is a shingle itself) is 0.8 or more. Of a component the line of the smallest id
+    (null ids first), and in it the first, stays; then the same holds for paragraphs outside removed lines. Runs of fewer
+    than ``LEAST_RUN_WORDS`` consecutive removed words are put back, unless they hold a whole line of ``LEAST_WORDS`` or are
+    all of their document. Null and empty texts have no paragraphs. Rows that repeat an id and a text are one document: one
+    row each, equal. Other columns do not matter; an empty table gives none.
     """
     own = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text_col).alias("key"), F.col(f"`{text_col}`").cast("binary").alias("body"))
     shared = stored(band_counts(own).groupBy("h").count().where("count > 1").select("h"), "paragraph-bands")
@@ -210,22 +251,32 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = classes.join(grouped, F.col("d1") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "d1").alias("component"))
     several = named.groupBy("component").agg(F.sum("n").alias("n_units")).where("n_units > 1").select("component")
     named = named.join(several, "component").select("d1", "d2", "component")
-    repeats = units.join(named, ["d1", "d2"]).select("id", "key", "no", "n_words", "start", "end", "component")
-    keepers = repeats.groupBy("component").agg(F.min(F.struct("id", "key", "no")).alias("keeper"))
-    removed = repeats.join(keepers, "component").where(~F.struct("id", "key", "no").eqNullSafe(F.col("keeper")))
-    removed = removed.select("key", "no", "n_words", "start", "end", F.col("keeper.id").alias("kept_in")).distinct()
-    per_doc = removed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("no", "n_words", "start", "end", "kept_in"))).alias("units"))
+    place = ["id", "key", "no", "line", "is_line", "is_piece", "n_pieces", "start", "end", "n_all"]
+    repeats = stored(units.join(named, ["d1", "d2"]).select(*place, "component"), "paragraph-repeats")
+    lines = stored(but_first(repeats.where("is_line")), "paragraph-lines")
+    gone = lines.select("key", "line").distinct()
+    inside = but_first(repeats.where("is_piece").join(gone, ["key", "line"], "left_anti"))
+    columns = ["key", "start", "end", "is_line", "n_pieces", "n_all", "kept_in"]
+    removed = lines.select(*columns).unionByName(inside.select(*columns)).distinct()
+    per_doc = removed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*columns[1:]))).alias("units"))
     judged = long_runs(per_doc)
     none = F.lit(0).cast("long")
     return found.where("no = -1").join(judged, "key", "left").select(
-        F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_paragraphs"), F.coalesce("n_removed", none).alias("n_removed"),
+        F.col("id").alias(id_col), F.col("n_pieces").cast("long").alias("n_paragraphs"), F.coalesce("n_removed", none).alias("n_removed"),
         F.coalesce("n_words_removed", none).alias("n_words_removed"),
         F.coalesce("copies_of", F.array().cast(judged.schema["copies_of"].dataType)).alias("copies_of"), "spans", "key",
     )
 
 
+def but_first(units: DataFrame) -> DataFrame:
+    """Units of ``repeats`` but the first of each component, with the id of the document that keeps it."""
+    keepers = units.groupBy("component").agg(F.min(F.struct("id", "key", "no")).alias("keeper"))
+    others = units.join(keepers, "component").where(~F.struct("id", "key", "no").eqNullSafe(F.col("keeper")))
+    return others.withColumn("kept_in", F.col("keeper.id")).drop("keeper")
+
+
 def long_runs(per_doc: DataFrame) -> DataFrame:
-    """Keep removals that come in runs of enough words, and join each run to one byte span."""
+    """Keep removals that come in runs of enough words, hold a whole line, or are a whole document; join each run to one span."""
     unit = per_doc.schema["units"].dataType.elementType
     ids = T.ArrayType(unit["kept_in"].dataType)
     schema = T.StructType(
@@ -242,15 +293,20 @@ def long_runs(per_doc: DataFrame) -> DataFrame:
             out = [[], [], [], []]
             for units in batch.column(1).to_pylist():
                 runs: list[list[dict]] = []
+                end = -1  # of the run
                 for u in units:
-                    if runs and runs[-1][-1]["no"] + 1 == u["no"]:
+                    if u["start"] <= end:
                         runs[-1].append(u)
                     else:
                         runs.append([u])
-                runs = [r for r in runs if sum(u["n_words"] for u in r) >= LEAST_RUN_WORDS]
-                out[0].append(sum(map(len, runs)))
-                out[1].append(sum(u["n_words"] for r in runs for u in r))
-                out[2].append([{"start": r[0]["start"], "end": r[-1]["end"]} for r in runs])
+                    end = max(end, u["end"])
+                sized = [(r, r[0]["start"], max(u["end"] for u in r)) for r in runs]
+                whole = lambda r: any(u["is_line"] and u["end"] - u["start"] >= LEAST_WORDS for u in r)
+                sized = [(r, a, b) for r, a, b in sized if b - a >= min(LEAST_RUN_WORDS, r[0]["n_all"]) or whole(r)]
+                runs = [r for r, _, _ in sized]
+                out[0].append(sum(u["n_pieces"] for r in runs for u in r))
+                out[1].append(sum(b - a for _, a, b in sized))
+                out[2].append([{"start": a, "end": b} for _, a, b in sized])
                 out[3].append(sorted({u["kept_in"] for r in runs for u in r if u["kept_in"] is not None}))
             id_type = batch.schema.field("units").type.value_type.field("kept_in").type
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(id_type)]
@@ -260,6 +316,12 @@ def long_runs(per_doc: DataFrame) -> DataFrame:
     return per_doc.mapInArrow(run, schema)
 
 
+def bytes_of(raw: bytes, spans: Sequence[dict[str, int]]) -> list[dict[str, int]]:
+    """Spans of words as spans of bytes."""
+    places = [m.span() for m in WORD.finditer(raw)]
+    return [{"start": places[s["start"]][0], "end": places[s["end"] - 1][1]} for s in spans]
+
+
 def without_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the spans of ``found`` (from ``repeated_paragraphs``) cut out of their texts."""
     spans = found.where("n_removed > 0").select("key", "spans").dropDuplicates(["key"])
@@ -270,7 +332,7 @@ def without_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", t
     def run(batches):
         for batch in batches:
             cut = [
-                t if t is None or not s else without(t.encode(), s).decode()
+                t if t is None or not s else without(raw := t.encode(), bytes_of(raw, s)).decode()
                 for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, batch.schema.field("body").type)], names=["row", "body"])

@@ -204,6 +204,23 @@ def test_repetitive_text_is_cut_into_long_enough_paragraphs(spark, period):
     assert found[2]["n_words_removed"] == 60
 
 
+def test_copies_lose_all_their_words_and_repeated_lines_go(spark):
+    """Exact copies of sample documents, one of a single word among them; a 9-word line between texts of its own."""
+    sample = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").select("doc_id", "text").collect()
+    rows = [(1000 * i + r["doc_id"], r["text"], "en", "s") for i in range(2) for r in sample] + [(9000, "Once", "en", "s"), (9001, "once", "en", "s")]
+    line = brute.prose(9, 77, 9000)
+    rows += [(9100 + i, f"{brute.prose(30, 500 + i, 9000)}\n{line}\n{brute.prose(30, 600 + i, 9000)}", "en", "s") for i in range(3)]
+    docs = brute.frame(spark, rows)
+    found = paragraph_dedup.repeated_paragraphs(docs)
+    by_id = {r["doc_id"]: r for r in found.collect()}
+    for i, text, *_ in rows:
+        if 1000 <= i < 2000 or i == 9001:
+            assert by_id[i]["n_words_removed"] == len((text or "").encode().split()) and by_id[i]["n_removed"] == by_id[i]["n_paragraphs"]
+    assert [by_id[9100 + i]["n_words_removed"] for i in range(3)] == [0, 9, 9]
+    cut = {r["doc_id"]: r["text"] for r in paragraph_dedup.without_repeats(docs, found).collect()}
+    assert not cut[9001] and line not in cut[9101] and not any((cut[i] or "").split() for i in range(1000, 1060) if i in cut)
+
+
 def test_near_paragraphs_are_linked(spark):
     """Two lines of one paragraph each that differ in their last word only: 17 shingles each, 16 of them shared."""
     from modelwatch.llm.common import WordHashes
