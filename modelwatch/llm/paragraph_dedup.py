@@ -3,7 +3,8 @@
 Lines are compared whole, and a long line is also cut into paragraphs where the text itself says so (at words whose hash is
 smallest among their neighbours), so a passage inside running text falls into the same paragraphs wherever it stands. Lines
 and paragraphs that share a band are joined, verified by the exact Jaccard similarity of their shingles and clustered into
-components. All lines of a component but the first are removed, then all paragraphs of what is left but the first.
+components. All lines of a component but the first are removed, then all paragraphs of what is left but the first, with the
+words beside them that stand beside the first as well.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,7 +113,8 @@ def paragraphs(raws: Sequence[bytes | None], cache: WordHashes, reach: int = REA
     banded = [mix64(whole + STRIDE * np.array(c, np.uint64)) for c in range(1, BANDS + 1)]
     first = line_ends - lines
     made = Paragraphs(first, line_ends, np.array(own_text), first_word, *sketch(words, banded, first, digests), np.arange(len(lines)))
-    return Paragraphs(start, np.append(start[1:], len(words)), made.text[line], first_word, *sketch(words, banded, start, digests), line, made)
+    end = np.append(start[1:], len(words))
+    return Paragraphs(start, end, made.text[line], first_word, *sketch(words, banded, start, digests), line, made)
 
 
 def sketch(words: np.ndarray, banded: list[np.ndarray], start: np.ndarray, digests: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -168,16 +171,17 @@ def band_counts(own: DataFrame) -> DataFrame:
 
 
 UNIT = """no int, line int, is_line boolean, is_piece boolean, n_pieces int, start int, end int, n_all int,
-          d1 long, d2 long, bands array<long>, body binary"""
+          low int, high int, d1 long, d2 long, bands array<long>, body binary"""
 
 
 def candidate_paragraphs(own: DataFrame, bits) -> DataFrame:
     """Paragraphs and whole lines with a band that occurs twice, with their text; and one row (no = -1) per document with its
     number of paragraphs. ``start`` and ``end`` are words of the document, which has ``n_all``; a line of one paragraph is
-    one row."""
+    one row. From ``low`` to ``high`` a paragraph inside a line is looked at for more equal words: as far as the paragraphs
+    beside it and, as their cuts may be missing elsewhere, ``REACH`` + 1 words more."""
     schema = T.StructType([*own.schema.fields[:2], *T.StructType.fromDDL(UNIT).fields])
     names, mask = schema.names, np.uint64(BAND_BITS - 1)
-    kinds = [pa.int32()] * 2 + [pa.bool_()] * 2 + [pa.int32()] * 4 + [pa.int64()] * 2 + [pa.list_(pa.int64()), pa.binary()]
+    kinds = [pa.int32()] * 2 + [pa.bool_()] * 2 + [pa.int32()] * 6 + [pa.int64()] * 2 + [pa.list_(pa.int64()), pa.binary()]
 
     def hits(p: Paragraphs) -> np.ndarray:
         word = bits.value[((p.bands & mask) >> np.uint64(6)).astype(np.int64)]
@@ -198,7 +202,7 @@ def candidate_paragraphs(own: DataFrame, bits) -> DataFrame:
                 found = [(p.text[k], p, k, k, pieces[p.line[k]] == 1, True, 1) for k in np.flatnonzero(hits(p))]
                 found += [(p.lines.text[k], p.lines, k, first_piece[k], True, False, pieces[k]) for k in several]
                 found.sort(key=lambda x: x[0])
-                rows = [(-1, 0, False, False, n, 0, 0, m, None, None, None, None) for n, m in zip(counts.tolist(), n_all.tolist(), strict=True)]
+                rows = [(-1, 0, False, False, n, 0, 0, m, None, None, None, None, None, None) for n, m in zip(counts.tolist(), n_all.tolist(), strict=True)]
                 of = list(range(len(raws)))
                 at, places = -1, []
                 for i, u, k, no, is_line, is_piece, n in found:
@@ -208,7 +212,12 @@ def candidate_paragraphs(own: DataFrame, bits) -> DataFrame:
                     d1, d2 = signed(u.digests[k]).tolist()
                     body = raws[i][places[a][0] : places[b - 1][1]]
                     place = int(no - first[i]), int(u.line[k] - first_line[i]), bool(is_line), is_piece, int(n), a, b, int(n_all[i])
-                    rows.append((*place, d1, d2, signed(u.bands[k]).tolist(), body))
+                    low_word, high_word = a, b
+                    if not is_line:
+                        left, right = int(p.lines.start[p.line[k]]), int(p.lines.end[p.line[k]])
+                        low_word = max(left, int(p.start[max(k - 1, 0)]) - REACH - 1) - int(p.first_word[i])
+                        high_word = min(right, int(p.end[min(k + 1, len(p.end) - 1)]) + REACH + 1) - int(p.first_word[i])
+                    rows.append((*place, low_word, high_word, d1, d2, signed(u.bands[k]).tolist(), body))
                     of.append(int(i))
                 head = batch.slice(low, len(raws)).take(pa.array(of))
                 columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -223,8 +232,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Words stand between ASCII white space, A-Z lower-cased. Lines and paragraphs are linked when the Jaccard similarity of
     their 5-word shingles (a shorter one is a shingle itself) is 0.8 or more. Of a component the line of the smallest id
-    (null ids first), and in it the first, stays; then the same holds for paragraphs outside removed lines. Runs of fewer
-    than ``LEAST_RUN_WORDS`` consecutive removed words are put back, unless they hold a whole line of ``LEAST_WORDS`` or are
+    (null ids first), and in it the first, stays; then the same holds for paragraphs outside removed lines, and words beside
+    a removed paragraph go as far as they equal those beside the one that stays. Runs of fewer than ``LEAST_RUN_WORDS`` consecutive removed words are put back, unless they hold a whole line of ``LEAST_WORDS`` or are
     all of their document. Null and empty texts have no paragraphs. Rows that repeat an id and a text are one document: one
     row each, equal. Other columns do not matter; an empty table gives none.
     """
@@ -251,11 +260,11 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = classes.join(grouped, F.col("d1") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "d1").alias("component"))
     several = named.groupBy("component").agg(F.sum("n").alias("n_units")).where("n_units > 1").select("component")
     named = named.join(several, "component").select("d1", "d2", "component")
-    place = ["id", "key", "no", "line", "is_line", "is_piece", "n_pieces", "start", "end", "n_all"]
+    place = ["id", "key", "no", "line", "is_line", "is_piece", "n_pieces", "start", "end", "n_all", "low", "high"]
     repeats = stored(units.join(named, ["d1", "d2"]).select(*place, "component"), "paragraph-repeats")
     lines = stored(but_first(repeats.where("is_line")), "paragraph-lines")
     gone = lines.select("key", "line").distinct()
-    inside = but_first(repeats.where("is_piece").join(gone, ["key", "line"], "left_anti"))
+    inside = extended(but_first(repeats.where("is_piece").join(gone, ["key", "line"], "left_anti")), own)
     columns = ["key", "start", "end", "is_line", "n_pieces", "n_all", "kept_in"]
     removed = lines.select(*columns).unionByName(inside.select(*columns)).distinct()
     per_doc = removed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*columns[1:]))).alias("units"))
@@ -268,11 +277,69 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+AROUND = ["start", "end", "low", "high"]
+
+
 def but_first(units: DataFrame) -> DataFrame:
-    """Units of ``repeats`` but the first of each component, with the id of the document that keeps it."""
-    keepers = units.groupBy("component").agg(F.min(F.struct("id", "key", "no")).alias("keeper"))
-    others = units.join(keepers, "component").where(~F.struct("id", "key", "no").eqNullSafe(F.col("keeper")))
-    return others.withColumn("kept_in", F.col("keeper.id")).drop("keeper")
+    """Units of ``repeats`` but the first of each component, with the id of the document that keeps it and the unit kept."""
+    keepers = units.groupBy("component").agg(F.min(F.struct("id", "key", "no", *AROUND)).alias("keeper"))
+    others = units.join(keepers, "component").where(~F.struct("id", "key", "no", *AROUND).eqNullSafe(F.col("keeper")))
+    return others.withColumn("kept_in", F.col("keeper.id"))
+
+
+def equal_words(a: bytes, b: bytes) -> int:
+    """Equal words at the front of both, of four bytes each."""
+    n = min(len(a), len(b))
+    different = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
+    return (8 * n - different.bit_length()) // 32
+
+
+def words_beside(wanted: DataFrame, own: DataFrame) -> DataFrame:
+    """``wanted`` (key and ``AROUND``) with ``before`` and ``after``: 32 bits of the hash of each word beside it, nearest first."""
+    asked = wanted.groupBy("key").agg(F.collect_list(F.struct(*AROUND)).alias("places"))
+    texts = own.select("key", "body").join(asked.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    joined = texts.join(asked, "key").select("key", "body", "places")
+    schema = T.StructType([joined.schema["key"], *T.StructType.fromDDL("start int, end int, before binary, after binary").fields])
+
+    def run(batches):
+        cache = WordHashes()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                spelled = (cache.of(batch.column(1)[i].as_py().lower().split()) & np.uint64(2**32 - 1)).astype(">u4")
+                ahead, back, n = spelled.tobytes(), spelled[::-1].tobytes(), len(spelled)
+                rows = [
+                    (p["start"], p["end"], back[4 * (n - p["start"]) : 4 * (n - p["low"])], ahead[4 * p["end"] : 4 * p["high"]])
+                    for p in batch.column(2)[i].as_py()
+                ]
+                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(rows))), *columns], names=schema.names)
+
+    return joined.mapInArrow(run, schema)
+
+
+def extended(units: DataFrame, own: DataFrame) -> DataFrame:
+    """``units`` with ``start`` and ``end`` moved out over the words that also stand beside the unit that is kept."""
+    units = stored(units, "paragraph-inside")
+    kept = units.select(F.col("keeper.key").alias("key"), *[F.col(f"keeper.{c}").alias(c) for c in AROUND])
+    beside = stored(words_beside(units.select("key", *AROUND).unionByName(kept).distinct(), own), "paragraph-beside")
+    other = {"key": "kept_key", "start": "kept_start", "end": "kept_end", "before": "kept_before", "after": "kept_after"}
+    units = units.withColumns({other[c]: F.col(f"keeper.{c}") for c in ("key", "start", "end")}).drop("keeper", "low", "high")
+    units = units.join(beside, ["key", "start", "end"]).join(beside.withColumnsRenamed(other), ["kept_key", "kept_start", "kept_end"])
+    sides = ["before", "kept_before", "after", "kept_after"]
+    source = units.select("key", "start", "end", "is_line", "n_pieces", "n_all", "kept_in", *sides)
+    schema = T.StructType(source.schema.fields[:-4])
+    names = schema.names
+
+    def run(batches):
+        for batch in batches:
+            before, kept_before, after, kept_after = (batch.column(c).to_pylist() for c in sides)
+            left = pa.array(list(map(equal_words, before, kept_before)), pa.int32())
+            right = pa.array(list(map(equal_words, after, kept_after)), pa.int32())
+            moved = {"start": pc.subtract(batch.column("start"), left), "end": pc.add(batch.column("end"), right)}
+            yield pa.RecordBatch.from_arrays([moved.get(c, batch.column(c)) for c in names], names=names)
+
+    return source.mapInArrow(run, schema)
 
 
 def long_runs(per_doc: DataFrame) -> DataFrame:

@@ -236,6 +236,28 @@ def test_near_paragraphs_are_linked(spark):
     assert found[1]["n_removed"] == 0 and found[2]["n_words_removed"] == 21 and found[2]["copies_of"] == [1]
 
 
+def test_near_lines_go_whole_and_passages_to_their_last_word(spark):
+    """Lines of 50, 110 and 200 words with 1, 2 and 4 changed words; a passage inside other text, from end to end."""
+    rows, sizes = [], {}
+    for i in range(30):
+        n, edits = [(50, 1), (110, 2), (200, 4)][i % 3]
+        words = brute.prose(n, 800 + i, 9000).split()
+        rows.append((i, " ".join(words), "en", "s"))
+        for j in range(edits):
+            words[(j + 1) * n // (edits + 1)] = f"new{i}x{j}"
+        rows.append((100 + i, " ".join(words), "en", "s"))
+        sizes[100 + i] = n
+    rows += [(i + 300, t, *more) for i, t, *more in planted()[:12]]
+    found = {r["doc_id"]: r["n_words_removed"] for r in paragraph_dedup.repeated_paragraphs(brute.frame(spark, rows)).collect()}
+    assert {i: found[i] for i in sizes} == sizes
+    assert found[300] == 0 and all(found[i] == 60 for i in range(301, 312))
+
+
+def test_equal_words_at_the_front():
+    a = np.array([1, 2, 3, 4], ">u4").tobytes()
+    assert [paragraph_dedup.equal_words(a, np.array(b, ">u4").tobytes()) for b in ([1, 2, 9], [0], [], [1, 2, 3, 4, 5])] == [2, 0, 0, 4]
+
+
 def test_paragraphs_of_awkward_rows(docs):
     found = paragraph_dedup.repeated_paragraphs(docs)
     assert found.count() == docs.count()
