@@ -187,6 +187,26 @@ def segment_regression(spark, sf):
     return rounded(gates.segment_regression(found))
 
 
+def replay_candidate(spark, sf):
+    """What the gates judge of two replayed models; the cooldown counts from the newest promotion of any model."""
+    now = F.lit(AT).cast("timestamp_ntz")
+    rows = v.evaluated(spark, sf)
+    metrics = evaluate.evaluate(rows, ["model"])
+    coverage = labels.label_coverage(v.scored(spark, sf), v.labels(spark, sf)).select("coverage_rate").scalar()
+    promoted = gates.last_promotion(v.decisions(spark, sf), now, by=()).select("last_promotion").scalar()
+    compared = gates.segment_regression(evaluate.segment_metrics(rows, ["lang", "source"], ["model"]))
+    issues = gates.segment_issues(compared, []).select("segment_issues").scalar()
+    return evaluate.compare_models(metrics).select(
+        F.col("shadow_num_samples").alias("num_samples"),
+        coverage.alias("coverage_rate"),
+        "f1_improvement_pct",
+        "brier_change",
+        promoted.alias("last_promotion"),
+        now.alias("timestamp"),
+        issues.alias("segment_issues"),
+    )
+
+
 @query(
     "replay_gate",
     v.with_views(*ev.MODEL_VIEWS, ev.COMPARISON_SQL)
@@ -199,19 +219,8 @@ def segment_regression(spark, sf):
           FROM v_comparison""",
 )
 def replay_gate(spark, sf):
-    """From labeled rows of two models to a decision: metrics, comparison, coverage, gates."""
-    metrics = evaluate.evaluate(v.evaluated(spark, sf), ["model"])
-    coverage = labels.label_coverage(v.scored(spark, sf), v.labels(spark, sf)).select("coverage_rate").scalar()
-    candidate = evaluate.compare_models(metrics).select(
-        F.col("shadow_num_samples").alias("num_samples"),
-        coverage.alias("coverage_rate"),
-        "f1_improvement_pct",
-        "brier_change",
-        F.lit(None).cast("timestamp").alias("last_promotion"),
-        F.lit(AT).cast("timestamp").alias("timestamp"),
-        F.array().cast("array<string>").alias("segment_issues"),
-    )
-    decided = gates.gate_decision(candidate)
+    """From labeled rows of two models to a decision: metrics, comparison, coverage, last promotion, segments, gates."""
+    decided = gates.gate_decision(replay_candidate(spark, sf))
     return rounded(decided.select("num_samples", "f1_improvement_pct", "brier_change", "failed_gate"))
 
 
