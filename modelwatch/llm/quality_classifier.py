@@ -260,7 +260,10 @@ def fit_scorers(
             found.append(sorted(features(raw, r, words)))
         return [votes, insults, found]
 
-    picked = own.join(sample_ids, F.col("id") == F.col("sample_id")).select("id", "quality", "toxic", "body")
+    # One row of each id, whatever repeats it: the text of the smallest hash (and of those that share it, the smallest).
+    one = F.min(F.struct(F.xxhash64("body").alias("hash"), "body"))
+    picked = own.join(sample_ids, F.col("id") == F.col("sample_id")).groupBy("id").agg(one.alias("one"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
+    picked = picked.select("id", "quality", "toxic", F.col("one.body").alias("body")).orderBy("id")
     made = map_texts(picked, ["id", "quality", "toxic"], "body", featured, "votes array<int>, insults int, found array<int>").toArrow()
     whole = lambda name: np.array([-1 if v is None else v for v in made.column(name).to_pylist()], int)
     lists = made.column("found").combine_chunks()

@@ -151,6 +151,23 @@ def test_samples_follow_the_lattice(alpha):
         assert abs(got.get(path, 0) / draws - p) < 5 * np.sqrt(p * (1 - p) / draws) + 1e-9
 
 
+def test_classifier_sample_has_one_row_of_each_id(spark, monkeypatch):
+    """A labelled id that fifty rows repeat does not fill the driver."""
+
+    class Sampled(Exception):
+        pass
+
+    def stop(sample, toxic):
+        raise Sampled(len(toxic))
+
+    monkeypatch.setattr(quality_classifier, "learned_words", stop)
+    rows = [(7, brute.prose(30, i), "en", "s") for i in range(50)] + [(100 + i, brute.prose(30, i), "en", "s") for i in range(10)]
+    labels = spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int")
+    with pytest.raises(Sampled) as seen:
+        quality_classifier.fit_scorers(brute.frame(spark, rows), labels, most_train_rows=5)
+    assert seen.value.args == (5,)
+
+
 PASSAGE = brute.prose(60, 42, 3000)
 
 
