@@ -269,13 +269,13 @@ def rf_replay(spark, sf):
     """Two forests trained on the same rows and compared on one held-out set (rows only: trees are not SQL)."""
     rows = model.stratified_split(documents_with_features(spark, sf), "true_label", "prediction_id", 0.3, 42)
     train, held_out = rows.filter("split = 'train'"), rows.filter("split = 'test'")
-    production = model.fit_forest(train, DOC_FEATURES[:2], num_trees=10, max_depth=4)
-    shadow = model.fit_forest(train, DOC_FEATURES, num_trees=20, max_depth=6)
+    production = model.fit_forest(train, DOC_FEATURES[:2])
+    shadow = model.fit_forest(train, DOC_FEATURES)
     scored = model.replay(held_out, {"production": production, "shadow": shadow}, DOC_FEATURES)
     return rounded(evaluate.evaluate(scored, ["model"]))
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    fitted = model.fit_forest(documents_with_features(spark, sf), DOC_FEATURES, num_trees=20, max_depth=5)
+    fitted = model.fit_forest(documents_with_features(spark, sf), DOC_FEATURES)
     return rounded(model.top_features(model.feature_importance(spark, fitted, DOC_FEATURES), 5))
