@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwatch.llm import decontamination, license_scans, minhash, paragraph_dedup, quality_classifier, quality_rules, secret_scans, sentence_pieces, suffix_dedup, warc
+from modelwatch.llm import (
+    decontamination,
+    license_scans,
+    minhash,
+    paragraph_dedup,
+    pca_clustering,
+    quality_classifier,
+    quality_rules,
+    secret_scans,
+    sentence_pieces,
+    simhash,
+    suffix_dedup,
+    vector_codes,
+    warc,
+)
 from modelwatch.llm.common import stored, table
 from modelwatch.llm.sql import SQL  # noqa: F401  (the twins of these queries)
 from modelwatch.session import scratch_dir
@@ -92,3 +106,21 @@ def op4_quality_classifier(spark, sf_dir):
 def op1_substring_dedup(spark, sf_dir):
     found = paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_paragraphs", "n_removed", "n_words_removed", "copies_of")
+
+
+@query
+def op11_simhash_near_dedup(spark, sf_dir):
+    found = simhash.near_fingerprints(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id", "kept")
+
+
+@query
+def op12_centroid_clustering(spark, sf_dir):
+    found = pca_clustering.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query
+def op13_vector_codes(spark, sf_dir):
+    found = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")

@@ -74,9 +74,77 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spa
        sha256(unhex(CASE WHEN pieces IS NULL THEN h ELSE pieces || substr(h, CAST(2 * last_end + 1 AS BIGINT)) END)) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
 
+
+def _whole(scale: int, sized: str) -> str:
+    """Vectors without null or non-finite components, as integers."""
+    return f"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND {sized}
+    AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(CAST(x AS DOUBLE))]) = len(embedding))"""
+
+
+def clusters(k: int = 8, rounds: int = 10) -> str:
+    """K-means with every round written out; a vector's best (distance, centroid) is one number, distance * k + centroid."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT r, min(d * {k} + c) AS best
+  FROM (SELECT r, c, CAST(sum((x - y) * (x - y)) AS BIGINT) AS d FROM flat JOIN c{i} USING (i) GROUP BY r, c) GROUP BY r),
+c{i + 1} AS MATERIALIZED (
+  SELECT c, i, coalesce(CAST(floor(s / n) AS BIGINT), y) AS y
+  FROM c{i} LEFT JOIN (
+    SELECT best % {k} AS c, i, CAST(sum(x) AS DOUBLE) AS s, count(*) AS n FROM flat JOIN a{i} USING (r) GROUP BY ALL) USING (c, i))""")
+    return f"""
+WITH {_whole(1024, "len(embedding) = 64")},
+flat AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
+seeds AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v
+  FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, v FROM v ORDER BY h, v LIMIT {k})),
+c0 AS MATERIALIZED (SELECT c, unnest(v) AS y, generate_subscripts(v, 1) AS i FROM seeds),{",".join(steps)},
+digests AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(best % {k} AS INTEGER) AS cluster, best // {k} AS distance,
+       CAST(sum(best // {k}) OVER (PARTITION BY best % {k}) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best // {k}) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM v JOIN a{rounds} USING (r) JOIN digests ON c = best % {k}"""
+
+
+def vector_codes(entries: int = 64, rounds: int = 2) -> str:
+    """Product codes with every round written out; parts are 0 to 15, each of four components."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT r, p, min(d * {entries} + e) AS best
+  FROM (SELECT r, p, e, CAST(sum((x - y) * (x - y)) AS BIGINT) AS d FROM flat JOIN b{i} USING (p, i) GROUP BY r, p, e) GROUP BY r, p),
+b{i + 1} AS MATERIALIZED (
+  SELECT p, e, i, coalesce(CAST(floor(s / n) AS BIGINT), y) AS y
+  FROM b{i} LEFT JOIN (
+    SELECT p, best % {entries} AS e, i, CAST(sum(x) AS DOUBLE) AS s, count(*) AS n FROM flat JOIN a{i} USING (r, p) GROUP BY ALL
+  ) USING (p, e, i))""")
+    return f"""
+WITH {_whole(256, "len(embedding) = 64")},
+flat AS MATERIALIZED (
+  SELECT r, x, (s - 1) // 4 AS p, (s - 1) % 4 AS i FROM (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS s FROM v)),
+seeds AS (
+  SELECT row_number() OVER (ORDER BY vec_id, v) - 1 AS e, v FROM (SELECT vec_id, v FROM v ORDER BY vec_id NULLS LAST, v LIMIT {entries})),
+b0 AS MATERIALIZED (
+  SELECT e, y, (s - 1) // 4 AS p, (s - 1) % 4 AS i FROM (SELECT e, unnest(v) AS y, generate_subscripts(v, 1) AS s FROM seeds)),{",".join(steps)},
+codes AS (
+  SELECT r, string_agg(printf('%02x', best % {entries}), '' ORDER BY p) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, e, i)) FROM b{rounds}) AS codebooks_sha256
+FROM v JOIN codes USING (r)"""
+
+
 SQL = {
     "op2_minhash_near_dedup": NEAR_DUPLICATES,
     "op3_decontamination": CONTAMINATION,
     "op5_warc": ARCHIVES,
     "op10_suffix_dedup": REPEATED_BYTES,
+    "op12_centroid_clustering": clusters(),
+    "op13_vector_codes": vector_codes(),
 }
