@@ -40,7 +40,7 @@ def principal_axes(vectors: DataFrame, dims: int) -> np.ndarray:
 
     sums = vectors.select("v").mapInArrow(products, "slot long, value double").groupBy("slot").agg(F.sum("value").alias("value"))
     total = np.zeros(1 + dims + len(upper[0]))
-    for r in sums.toLocalIterator():
+    for r in sums.collect():
         total[r["slot"]] = r["value"]
     n, mean = max(total[0], 1), total[1 : 1 + dims] / max(total[0], 1)
     spread = np.zeros((dims, dims))

@@ -42,11 +42,11 @@ def sums_by(labels: np.ndarray, n: int, values: np.ndarray) -> tuple[np.ndarray,
 def exact_means(partial: DataFrame, old: list[list[int]]) -> list[list[int]]:
     """New centres from tasks' (slot, n, sums): componentwise floor(sum / count); slots without rows keep ``old``.
 
-    The result is as large as ``old``, whatever the number of rows. Totals are 38-digit decimals: no overflow.
+    The driver gets one row per number of ``old``, whatever the number of rows. Totals are 38-digit decimals: no overflow.
     """
     parts = partial.select("slot", "n", F.posexplode("sums").alias("at", "value"))
     exact = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).alias(c)
     new = [list(c) for c in old]
-    for r in parts.groupBy("slot", "at").agg(exact("n"), exact("value")).toLocalIterator():
+    for r in parts.groupBy("slot", "at").agg(exact("n"), exact("value")).collect():
         new[r["slot"]][r["at"]] = int(r["value"]) // int(r["n"])
     return new
