@@ -171,10 +171,13 @@ PRINT_COLUMNS = [*WHOLE, *REAL, *TEXT, *TIMES]
 
 
 def fingerprint_sql(rows: str, whole=WHOLE, real=REAL, text=TEXT, times=TIMES) -> str:
-    """Columns in name order, each with the lengths of its name and value; reals as hexadecimal floating point; times as
-    microseconds."""
+    """Columns in name order, each with the lengths of its name and value; reals as their whole part and the
+    rest in units of 2**-62; times as microseconds."""
     cells = {c: f"CAST({c} AS VARCHAR)" for c in whole} | {c: c for c in text}
-    cells |= {c: f"replace(format('{{:a}}', CAST({c} AS DOUBLE)), 'p+', 'p')" for c in real}
+    cells |= {
+        c: f"CAST(CAST(trunc({c}) AS BIGINT) AS VARCHAR) || '_' || CAST(CAST(({c} - trunc({c})) * 4611686018427387904e0 AS BIGINT) AS VARCHAR)"
+        for c in real
+    }
     cells |= {c: f"CAST(epoch_us({c}) AS VARCHAR)" for c in times}
     row = " || ';' || ".join(
         f"'{len(c)}:{c}=' || coalesce(length({cells[c]}) || ':' || {cells[c]}, '-')" for c in sorted(cells)

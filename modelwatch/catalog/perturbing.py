@@ -40,9 +40,7 @@ def freeze_reference(spark, sf):
         F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("o_totalprice"),
     )
     order = ["o_orderdate", "o_orderkey"]
-    out = perturb.freeze_reference(
-        orders, order, [micros("o_orderdate"), F.col("o_orderkey")], impute=["o_totalprice"], rows_per_bucket=2000
-    )
+    out = perturb.freeze_reference(orders, order, [micros("o_orderdate"), F.col("o_orderkey")], impute=["o_totalprice"])
     return rounded(out.select("o_orderkey", "o_orderdate", "o_totalprice"))
 
 

@@ -13,7 +13,7 @@ from modelwatch.operators.drift import binned_counts
 from modelwatch.operators.labels import keep_last
 from modelwatch.operators.validate import prediction_rules
 from modelwatch.session import scratch_dir
-from modelwatch.streaming import jobs, monitor
+from modelwatch.streaming import jobs, monitor, snapshot
 
 P = v.PREDICTIONS_SQL
 NTZ = "timestamp_ntz"
@@ -74,26 +74,26 @@ def _panes(spark, sf):
 
 
 SLIDING_SQL = f"""v_ends AS (
-  SELECT date_trunc('hour', "timestamp") + INTERVAL 1 HOUR AS pane_end FROM v_predictions
-  WHERE date_trunc('hour', "timestamp") + INTERVAL 1 HOUR <= {CLOSED}),
-v_hours AS (
-  SELECT unnest(generate_series((SELECT min(pane_end) FROM v_ends), (SELECT max(pane_end) FROM v_ends),
-                                INTERVAL 1 HOUR)) AS window_end),
+  SELECT DISTINCT model_version, time_bucket(INTERVAL 5 MINUTE, "timestamp") + INTERVAL 5 MINUTE AS window_end FROM v_predictions
+  WHERE time_bucket(INTERVAL 5 MINUTE, "timestamp") + INTERVAL 5 MINUTE <= {CLOSED}),
 v_sliding AS (
-  SELECT h.window_end, p.* FROM v_hours h JOIN v_predictions p
-    ON p."timestamp" < h.window_end AND p."timestamp" >= h.window_end - INTERVAL 24 HOUR)"""
+  SELECT e.window_end, p.* FROM v_ends e JOIN v_predictions p
+    ON p.model_version = e.model_version AND p."timestamp" < e.window_end AND p."timestamp" >= e.window_end - INTERVAL 24 HOUR)"""
 
 
 @query(
     "stream_sliding",
     v.with_views(P, SLIDING_SQL)
-    + f"""SELECT window_end, model_version, count(*) AS num_predictions, {v.r6('avg(prediction)', 'positive_rate')},
-                 {v.r6('avg(probability)', 'probability_mean')}, {v.r6('stddev_samp(probability)', 'probability_std')}
-          FROM v_sliding GROUP BY window_end, model_version""",
+    + f"""SELECT window_end, model_version, num_predictions, positive_rate, probability_mean, probability_std, {v.r6('entropy')}
+          FROM (SELECT window_end, model_version, count(*) AS num_predictions, {v.r6('avg(prediction)', 'positive_rate')},
+                       {v.r6('avg(probability)', 'probability_mean')}, {v.r6('stddev_samp(probability)', 'probability_std')}
+                FROM v_sliding GROUP BY window_end, model_version)
+          JOIN {v.entropy_sql('v_sliding', 'window_end, model_version')} e USING (window_end, model_version)""",
 )
 def stream_sliding(spark, sf):
-    """A day's lookback, stepping by the hour, from hourly panes."""
-    out = monitor.lookback_from_panes(_panes(spark, sf), "1 HOUR", 24).drop("entropy")
+    """A day's lookback at the end of every five-minute pane."""
+    panes = _run_append(spark, monitor.panes(prediction_stream(spark, sf), "5 minutes", "1 hour"), "panes-5-minutes")
+    out = monitor.lookback_from_panes(panes)
     return rounded(out.withColumn("window_end", F.col("window_end").cast(NTZ)))
 
 
@@ -185,15 +185,58 @@ def document_stream(spark, sf):
 @query(
     "stream_late_labels",
     v.with_views(v.SCORED_SQL, v.LABELS_SQL)
-    + """SELECT s.prediction_id, s."timestamp", l.true_label
-         FROM v_scored s JOIN v_labels l ON l.prediction_id = s.prediction_id
+    + """SELECT s.prediction_id, s."timestamp", l.true_label, l.label_timestamp
+         FROM v_scored s LEFT JOIN v_labels l ON l.prediction_id = s.prediction_id
            AND l.label_timestamp >= s."timestamp" AND l.label_timestamp <= s."timestamp" + INTERVAL 4 DAY""",
 )
 def stream_late_labels(spark, sf):
-    """Labels that come within four days of their prediction; the others are left to the batch join."""
-    joined = monitor.attach_labels(document_stream(spark, sf), label_stream(spark, sf), bound="4 days")
-    out = _run_append(spark, joined.select("prediction_id", "timestamp", "true_label"), "late-labels")
-    return out.filter("true_label IS NOT NULL").withColumn("timestamp", F.col("timestamp").cast(NTZ))
+    """Labels that come within four days of their prediction; predictions whose four days passed without one have none."""
+    root = scratch_dir(spark, "late-label-ends")
+    end = "2200-01-01 00:00:00"
+    predictions = jobs.with_end_marker(document_stream(spark, sf), f"{root}/predictions", "timestamp", end)
+    labels = jobs.with_end_marker(label_stream(spark, sf), f"{root}/labels", "label_timestamp", end)
+    joined = monitor.attach_labels(predictions, labels, bound="4 days")
+    out = _run_append(spark, joined.select("prediction_id", "timestamp", "true_label", "label_timestamp"), "late-labels")
+    known = out.where(F.col("prediction_id") != jobs.END)  # in the stream, this would keep the markers from the watermark
+    return known.withColumns({c: F.col(c).cast(NTZ) for c in ("timestamp", "label_timestamp")})
+
+
+LABEL_LOG_SQL = """v_log AS (
+  SELECT prediction_id, true_label, label_timestamp FROM v_labels
+  UNION ALL SELECT prediction_id, 1 - true_label, label_timestamp - INTERVAL 2 DAY FROM v_labels
+  UNION ALL SELECT prediction_id, 1 - true_label, label_timestamp + to_days(CAST(CAST(prediction_id AS INTEGER) % 3 - 1 AS INTEGER)) FROM v_labels)"""
+
+
+@query(
+    "stream_label_snapshot",
+    v.with_views(v.LABELS_SQL, LABEL_LOG_SQL)
+    + """SELECT prediction_id, true_label, label_timestamp FROM (
+           SELECT *, row_number() OVER (PARTITION BY prediction_id ORDER BY label_timestamp DESC, true_label DESC) AS rn FROM v_log)
+         WHERE rn = 1""",
+)
+def stream_label_snapshot(spark, sf):
+    """A log of three versions per label, in files out of order and each row twice, folded batch by batch into a table of the
+    latest; then the whole log once more from another source."""
+    root = scratch_dir(spark, "label-snapshot")
+    labels = v.labels(spark, sf).select("prediction_id", "true_label", F.col("label_timestamp").cast("timestamp").alias("label_timestamp"))
+    day = lambda n: F.make_dt_interval(days=n)
+    shift = (F.col("prediction_id").cast("int") % 3 - 1).cast("int")
+    flipped, at = (1 - F.col("true_label")).alias("true_label"), F.col("label_timestamp")
+    versions = F.array(
+        F.struct("true_label", at.alias("label_timestamp")),
+        F.struct(flipped, (at - day(F.lit(2))).alias("label_timestamp")),
+        F.struct(flipped, (at + day(shift)).alias("label_timestamp")),
+    )
+    log = labels.select("prediction_id", F.inline(versions))
+    twice = log.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    twice.repartition(5, F.xxhash64("copy", "label_timestamp")).drop("copy").write.parquet(f"{root}/log")
+    for source in ("first", "again"):
+        stream = jobs.file_stream(spark, f"{root}/log", log.schema, max_files=2)
+        jobs.drain(
+            snapshot.label_snapshot(stream, f"{root}/table", f"{root}/{source}", order=["label_timestamp"], source=source, n_buckets=8)
+        )
+    latest = snapshot.read_snapshot(spark, f"{root}/table", schema=log.schema)
+    return latest.withColumn("label_timestamp", F.col("label_timestamp").cast(NTZ))
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelwatch.operators.ordered import exact_quantiles, plan_cuts, value_counts  # noqa: F401
+from modelwatch.operators.selection import exact_medians
 from modelwatch.tables import FEATURES
 
 # Allowed range per monitored feature.
@@ -52,34 +52,19 @@ def project_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.select(*features)
 
 
-def medians(df: DataFrame, columns: Sequence[str], rows_per_bucket: int | None = None) -> DataFrame:
-    """One row with the exact median of each column."""
-    cuts = plan_cuts(df, columns, rows_per_bucket)
-    small = [c for c in columns if not cuts[c]]
-    parts = []
-    if small:
-        clean = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c)) for c in small]
-        parts.append(df.agg(*[F.percentile(v, 0.5).alias(c) for c, v in zip(small, clean)]))
-    for c in columns:
-        if cuts[c]:
-            parts.append(exact_quantiles(df, [], c, {c: 0.5}, cuts[c]))
-    out = parts[0].withColumn("_k", F.lit(0))
-    for part in parts[1:]:
-        out = out.join(part.withColumn("_k", F.lit(0)), "_k")
-    return out.drop("_k").select(*columns)
-
-
-def impute_median(
-    df: DataFrame, columns: Sequence[str] | None = None, rows_per_bucket: int | None = None
-) -> DataFrame:
-    """Fill NULL and NaN with the column's exact median. The medians are one row of numbers."""
+def medians(df: DataFrame, columns: Sequence[str], **options) -> dict[str, float | None]:
+    """The exact median of each column, None without values; two scans for any number of columns."""
+    return exact_medians(df, columns, **options)
+
+
+def impute_median(df: DataFrame, columns: Sequence[str] | None = None, **options) -> DataFrame:
+    """Fill NULL and NaN with the column's exact median; ``options`` go to the selection."""
     columns = list(columns or numeric_columns(df))
-    found = medians(df, columns, rows_per_bucket).first()
+    found = medians(df, columns, **options)
 
     def fill(c: str) -> Column:
         value = F.col(c).cast("double")
-        middle = F.lit(None if found[c] is None else float(found[c])).cast("double")
-        return F.when(value.isNull() | F.isnan(value), middle).otherwise(value)
+        return F.when(value.isNull() | F.isnan(value), F.lit(found[c]).cast("double")).otherwise(value)
 
     return df.withColumns({c: fill(c) for c in columns})
 

@@ -8,28 +8,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROW_HEX = 15
+#: What tells one state of a file from another.
+FILE = ["file_path", "file_size", "file_modification_time"]
+SCALE = float(1 << 62)
 
 
 def canonical_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     """A row as text that no other row has: columns in name order, each with its name's and its value's length.
 
-    Reals keep all their bits (hexadecimal floating point), times are microseconds, NULL differs from every text.
+    Reals keep all their bits (-0 is 0), times are microseconds, NULL differs from every text.
     """
     parts = []
     types = {f.name: f.dataType for f in df.schema.fields}
     for name in sorted(columns or df.columns):
         c, t = F.col(f"`{name}`"), types[name]
         if isinstance(t, T.FractionalType) and not isinstance(t, T.DecimalType):
-            real = c.cast("double")
-            special = F.isnan(real) | (F.abs(real) == float("inf"))
-            exact = F.regexp_replace(F.format_string("%a", real), r"\.0p", "p")
-            c = F.when(special, F.lower(real.cast("string"))).otherwise(exact)
-            c = F.when(real.isNotNull(), c)
+            c = exact_real(c.cast("double"))
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
             c = F.unix_micros(c.cast("timestamp")).cast("string")
         elif isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
@@ -41,6 +40,22 @@ def canonical_text(df: DataFrame, columns: Sequence[str] | None = None) -> Colum
     return F.concat_ws(";", *parts)
 
 
+def exact_real(x: Column) -> Column:
+    """A double as text, its whole part and its rest in units of 2**-62; both are exact integers for all but extreme values.
+
+    Values from 2**62 on, and those with bits below 2**-62, are written in hexadecimal floating point, which costs far more.
+    """
+    inside = F.abs(x) < F.lit(SCALE)
+    whole = F.when(inside, x).cast("bigint")
+    rest = (x - whole.cast("double")) * F.lit(SCALE)
+    units = F.when(inside, rest).cast("bigint")
+    two = F.concat(whole.cast("string"), F.lit("_"), units.cast("string"))
+    hexadecimal = F.regexp_replace(F.format_string("%a", x), r"\.0p", "p")
+    special = F.isnan(x) | (F.abs(x) == float("inf"))
+    text = F.when(special, F.lower(x.cast("string"))).when(inside & (units.cast("double") == rest), two).otherwise(hexadecimal)
+    return F.when(x.isNotNull(), text)
+
+
 def row_hash(df: DataFrame, columns: Sequence[str] | None = None, portable: bool = True) -> Column:
     """A 60-bit row hash: from md5 (repeatable in any engine) or from xxhash64 (faster)."""
     if portable:
@@ -48,18 +63,71 @@ def row_hash(df: DataFrame, columns: Sequence[str] | None = None, portable: bool
     return F.shiftrightunsigned(F.xxhash64(*[F.col(c) for c in sorted(columns or df.columns)]), 4)
 
 
+def _halves(h: str = "_h") -> list[Column]:
+    """Rows, xor, and the sums of the upper and lower 30 bits of row hashes: none overflows below 8e9 rows of one group, and
+    the parts add up as decimals."""
+    return [
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.shiftright(h, 30)).alias("_high"),
+        F.sum(F.col(h).bitwiseAND(F.lit((1 << 30) - 1))).alias("_low"),
+        F.bit_xor(h).alias("hash_xor"),
+    ]
+
+
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None, portable: bool = True) -> DataFrame:
     """One row: rows, sum and xor of the row hashes, and a digest of the three."""
-    hashed = df.select(row_hash(df, columns, portable).alias("_h"))
-    combined = hashed.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.col("_h").cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")).alias("_sum"),
-        F.coalesce(F.bit_xor("_h"), F.lit(0)).alias("hash_xor"),
+    hashed = df.select(row_hash(df, columns, portable).alias("_h"), F.spark_partition_id().alias("_p"))
+    return combine(hashed.groupBy("_p").agg(*_halves()))
+
+
+def file_fingerprints(df: DataFrame, columns: Sequence[str] | None = None, portable: bool = True) -> DataFrame:
+    """One row per file that ``df`` reads: its path, size and time of change, and the part of the fingerprint its rows make.
+
+    ``df`` is a plain read of files. Parts of any files add up with ``combine``, so a table of them answers for unchanged files.
+    """
+    meta = [F.col(f"_metadata.{c}").alias(c) for c in FILE]
+    return df.select(*meta, row_hash(df, columns, portable).alias("_h")).groupBy(*FILE).agg(*_halves())
+
+
+def combine(parts: DataFrame) -> DataFrame:
+    """The fingerprint of all rows of some parts: sums add up, xors combine."""
+    exact = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    total = (exact("_high") * F.lit(1 << 30).cast("decimal(10,0)") + exact("_low")).cast("decimal(38,0)")
+    combined = parts.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), total.alias("_sum"), F.coalesce(F.bit_xor("hash_xor"), F.lit(0)).alias("hash_xor")
     )
     text = F.concat_ws("|", F.col("rows").cast("string"), F.col("_sum").cast("string"), F.col("hash_xor").cast("string"))
     return combined.select("rows", F.col("_sum").cast("string").alias("hash_sum"), "hash_xor", F.sha2(text, 256).alias("dataset_hash"))
 
 
+def current_files(spark: SparkSession, path: str) -> DataFrame:
+    """Path, size and time of change of the Parquet files below ``path``, without reading them."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    return found.select(
+        F.col("path").alias("file_path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("file_modification_time")
+    )
+
+
+def refreshed_parts(
+    spark: SparkSession, path: str, known: DataFrame | None, columns: Sequence[str] | None = None, portable: bool = True
+) -> tuple[DataFrame, int]:
+    """Parts of all files below ``path``, and how many files had to be read for them.
+
+    Files whose path, size and time of change are in ``known`` (an earlier result, stored) keep their parts; only others are
+    read. Parts of files that are gone are left out. Paths of files to read come to the driver, as they do for any read.
+    """
+    files = current_files(spark, path)
+    if known is None:
+        fresh, kept = files, None
+    else:
+        fresh, kept = files.join(known.select(*FILE), FILE, "left_anti"), known.join(files, FILE, "left_semi")
+    paths = [r["file_path"] for r in fresh.select("file_path").collect()]
+    if not paths:
+        return known.where(F.lit(False)) if kept is None else kept, 0
+    made = file_fingerprints(spark.read.parquet(*paths), columns, portable)
+    return made if kept is None else kept.unionByName(made), len(paths)
+
+
 def profile(df: DataFrame) -> DataFrame:
     """Rows, columns, missing cells and duplicate rows.
 

@@ -53,7 +53,7 @@ def fit_forest(
     if missing:
         raise ValueError(f"missing columns: {missing}")
     rows = train.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias(label))
-    found = medians(rows, features).first()
+    found = medians(rows, features)
     filled = ", ".join(
         f"coalesce(nanvl(cast(`{f}` as double), cast(NULL as double)), {0.0 if found[f] is None else float(found[f])!r}D) AS `_in_{f}`"
         for f in features

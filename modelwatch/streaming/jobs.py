@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,6 +30,25 @@ def file_stream(
     return reader.parquet(path)
 
 
+#: Key of rows that only move the watermark.
+END = "<end of stream>"
+
+
+def with_end_marker(stream: DataFrame, path: str, time: str, at: str, key: str = "prediction_id") -> DataFrame:
+    """``stream`` and one more row below ``path``: ``time`` is ``at``, ``key`` is ``END``, all other columns are null.
+
+    Once it has been read, the watermark stands past everything before, so windows close and joined rows leave their state with
+    no further input. Take ``at`` beyond the last time plus delays and bounds, and drop rows of this key from what the sink has got:
+    a filter in the stream may be moved below the watermark (which is also why the key is not null: joins filter nulls early).
+    """
+    spark = stream.sparkSession
+    kind = T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema.fields])
+    known = {time: F.lit(at), key: F.lit(END)}
+    row = spark.range(1).select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields])
+    row.coalesce(1).write.mode("overwrite").parquet(path)
+    return stream.unionByName(file_stream(spark, path, kind))
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None) -> StreamingQuery:
     """Append to a Parquet table with the file sink's exactly-once commit log; runs over what is there, then ends."""
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).option("path", path)

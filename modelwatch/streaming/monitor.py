@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -66,7 +66,11 @@ def _names() -> list[str]:
 
 def merge_panes(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Metrics from summed panes: count, rate, mean, sample standard deviation, entropy."""
-    summed = rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in _names()])
+    return _metrics(rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in _names()]), by)
+
+
+def _metrics(summed: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Metrics from rows that hold the sums of their panes."""
     n = F.col("n").cast("double")
     variance = F.when(n > 1, F.greatest(F.lit(0.0), (F.col("sum_pp") - F.col("sum_p") * F.col("sum_p") / n) / (n - 1)))
     return summed.select(
@@ -90,19 +94,25 @@ def hourly_metrics(
     return counted.select(F.col("window.start").alias("hour"), *by, "n", "positives", "mean_score")
 
 
-def lookback_from_panes(
-    rows: DataFrame, step: str = "5 minutes", span_panes: int = 288, by: Sequence[str] = ("model_version",)
-) -> DataFrame:
-    """Sliding lookback over panes: each pane is counted in the ``span_panes`` windows that end at or after it.
+def lookback_from_panes(rows: DataFrame, span_hours: float = 24, by: Sequence[str] = ("model_version",)) -> DataFrame:
+    """Metrics over the hours that end with each pane: one row per pane, none is multiplied.
 
-    Works on panes, never on raw rows: the expansion is bounded by panes per group times the span.
+    Measures and bins are summed from a group's first pane on; a window is the difference between its pane's totals and
+    those of the last pane that lies a whole span before. Score sums are totalled as decimals, so the difference loses nothing,
+    however long the history. One shuffle by group; a group has one row per pane, whatever its traffic.
     """
-    last = rows.agg(F.max("end")).scalar()
-    ends = F.sequence(
-        F.col("end"), F.least(F.col("end") + F.expr(f"INTERVAL {step}") * (span_panes - 1), last), F.expr(f"INTERVAL {step}")
-    )
-    spread = rows.select(*by, *_names(), F.explode(ends).alias("window_end"))
-    return merge_panes(spread, [*by, "window_end"])
+    exact = {c: "decimal(38,18)" if c.startswith("sum_") else "bigint" for c in _names()}
+    end = F.unix_micros(F.col("end").cast("timestamp"))
+    length = round(span_hours * 3_600_000_000)
+    ordered = Window.partitionBy(*by).orderBy("_end")
+    total = rows.select(*by, F.col("end").alias("window_end"), end.alias("_end"), *[F.col(c).cast(k).alias(c) for c, k in exact.items()])
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = total.select(*by, "window_end", "_end", *[F.sum(c).over(upto).alias(c) for c in exact])
+    before = F.last(F.struct(*exact)).over(ordered.rangeBetween(Window.unboundedPreceding, -length))
+    total = total.withColumn("_before", before)
+    within = [(F.col(c) - F.coalesce(F.col(f"_before.{c}"), F.lit(0).cast(k))).alias(c) for c, k in exact.items()]
+    window = total.select(*by, "window_end", *within)
+    return _metrics(window.withColumns({c: F.col(c).cast("double") for c in exact if c.startswith("sum_")}), [*by, "window_end"])
 
 
 def trends_from_panes(rows: DataFrame, hours: Sequence[int] = (1, 6, 24)) -> DataFrame:

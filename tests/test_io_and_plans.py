@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import numpy as np
 import pandas as pd
@@ -216,16 +217,20 @@ def test_panes_equal_batch(spark, stream_folder, tmp_path):
     assert closed is None or closed.count() <= panes.count()
 
 
-def test_lookback_over_288_panes_equals_filter(spark, stream_folder):
+def test_lookback_at_every_pane_equals_filter(spark, stream_folder):
     folder, _ = stream_folder
     batch = spark.read.parquet(folder)
     panes = monitor.panes(batch, "5 minutes", "1 hour")
-    last = panes.agg(F.max("end")).first()[0]
-    got = monitor.lookback_from_panes(panes).filter(F.col("window_end") == F.lit(last)).orderBy("model_version").collect()
-    window = batch.filter((F.col("timestamp") >= F.lit(last) - F.expr("INTERVAL 24 HOUR")) & (F.col("timestamp") < F.lit(last)))
-    want = summary(window, ["model_version"]).orderBy("model_version").collect()
-    assert [r["num_predictions"] for r in got] == [r["num_predictions"] for r in want]
-    assert got[0]["probability_std"] == pytest.approx(want[0]["probability_std"])
+    lookback = monitor.lookback_from_panes(panes)
+    assert "Generate" not in lookback._jdf.queryExecution().executedPlan().toString()
+    got = {(r["model_version"], r["window_end"]): r for r in lookback.collect()}
+    ends = [tuple(r) for r in panes.select("model_version", "end").collect()]
+    assert sorted(got) == sorted(ends)  # one row per pane
+    for version, end in random.Random(5).sample(ends, 6) + [max(ends, key=lambda e: e[1])]:
+        inside = (F.col("timestamp") >= F.lit(end) - F.expr("INTERVAL 24 HOUR")) & (F.col("timestamp") < F.lit(end))
+        want = summary(batch.filter(inside & (F.col("model_version") == version)), ["model_version"]).first()
+        for c in ("num_predictions", "positive_rate", "probability_mean", "probability_std", "entropy"):
+            assert got[version, end][c] == (pytest.approx(want[c]) if want[c] is not None else None)
 
 
 def test_latest_labels_over_batches(spark, tmp_path):

@@ -212,8 +212,8 @@ def test_median_imputation_paths_agree(spark):
     values = [None if i % 7 == 0 else float(x) for i, x in enumerate(rng.normal(size=500))]
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
     want = float(np.median([v for v in values if v is not None]))
-    for size in (None, 40):
-        out = cleaning.impute_median(rows, ["v"], size).filter("i = 0").first()["v"]
+    for options in ({}, {"accuracy": 20, "most_rows": 40}):
+        out = cleaning.impute_median(rows, ["v"], **options).filter("i = 0").first()["v"]
         assert out == pytest.approx(want)
 
 
