@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modelwatch.session import scratch_dir
+from modelwatch.sources.commits import delete
 
 ASCII_SPACE = b" \t\n\r\x0b\f"
 #: Bytes of word characters stay (A-Z lower-cased), everything else below 0x80 becomes a space.
@@ -34,7 +35,15 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once everything that reads them has been stored itself."""
+    for df in frames:
+        delete(df.sparkSession, df.stored_at)
 
 
 def space_words(text: bytes) -> list[bytes]:

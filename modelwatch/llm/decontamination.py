@@ -2,8 +2,8 @@
 
 Of every window of consecutive k-grams the one with the smallest hash is kept. Two texts that share a span as long as
 k + window - 1 words share the k-grams of one window, hence a fingerprint, so no such span is missed. Fingerprints of
-documents and benchmark items are joined; each hit names a diagonal (document position minus item position), along which
-it is extended word by word.
+documents and benchmark items are joined by value, whatever the number of places they stand in. Every hit is then extended to both
+sides as far as a shared span around it can reach, and the stretches are held against the item word by word.
 """
 
 from __future__ import annotations
@@ -23,12 +23,21 @@ FILTER_BITS = 2**26
 
 
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the smallest hash of every window (the rightmost of equal ones), each once."""
+    """Positions of the smallest hash of every window, each once; of equal ones so many that every window has one.
+
+    Repetitive text has equal hashes everywhere; there a position stands for all windows that reach it.
+    """
     n = len(hashes)
     if n < window:
         return np.zeros(0, np.int64)
     views = np.lib.stride_tricks.sliding_window_view(hashes, window)[:, ::-1]
-    return np.unique(np.arange(n - window + 1) + window - 1 - views.argmin(axis=1))
+    at = np.unique(np.arange(n - window + 1) + window - 1 - views.argmin(axis=1))
+    keep, last = np.ones(len(at), bool), -1
+    for i in np.flatnonzero((hashes[at[1:-1]] == hashes[at[:-2]]) & (hashes[at[1:-1]] == hashes[at[2:]])) + 1 if len(at) > 2 else ():
+        if keep[i - 1]:
+            last = at[i - 1]
+        keep[i] = at[i + 1] - last > window
+    return at[keep]
 
 
 def sized(hashes: np.ndarray, n_words: int) -> np.ndarray:
@@ -53,6 +62,18 @@ def fingerprints(words: np.ndarray, span: int, gram: int, short: list[int]) -> t
     return np.concatenate(hashes), np.concatenate(places)
 
 
+PRINTS = "array<struct<h:long,at:int>>"
+
+
+def print_lists(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """(hashes, positions) of several texts as one list array."""
+    ends = np.cumsum([0] + [len(h) for h, _ in found])
+    h, at = (np.concatenate([x[i] for x in found]) if found else np.zeros(0) for i in (0, 1))
+    fields = [pa.field("h", pa.int64()), pa.field("at", pa.int32())]
+    both = pa.StructArray.from_arrays([pa.array(h.astype(np.uint64).view(np.int64)), pa.array(at.astype(np.int32))], fields=fields)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both)
+
+
 def item_fingerprints(items: DataFrame, keep: list[str], text_col: str, span: int, gram: int) -> DataFrame:
     """Fingerprints of every item: winnowed k-grams, or the whole item where it is shorter than the span."""
 
@@ -61,12 +82,11 @@ def item_fingerprints(items: DataFrame, keep: list[str], text_col: str, span: in
         for raw in texts:
             words = cache.of(alnum_words(raw or b""))
             n = len(words)
-            hashes, places = fingerprints(words, span, gram, [n] if 0 < n < span else [])
-            prints.append([{"h": int(h), "at": int(p)} for h, p in zip(signed(hashes), places, strict=True)])
+            prints.append(fingerprints(words, span, gram, [n] if 0 < n < span else []))
             sizes.append(n)
-        return [sizes, prints]
+        return [sizes, print_lists(prints)]
 
-    return map_texts(items, keep, text_col, fn, "n long, prints array<struct<h:long,at:int>>")
+    return map_texts(items, keep, text_col, fn, f"n long, prints {PRINTS}")
 
 
 def bit_filter(prints: DataFrame, n_bits: int = FILTER_BITS) -> np.ndarray:
@@ -81,10 +101,18 @@ def bit_filter(prints: DataFrame, n_bits: int = FILTER_BITS) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def equal_runs(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Runs of at least ``least`` equal elements, as (start, end)."""
-    edges = np.diff(np.concatenate([[0], (a == b).astype(np.int8), [0]]))
-    return [(s, e) for s, e in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True) if e - s >= least]
+def window_numbers(codes: np.ndarray, size: int) -> np.ndarray:
+    """A number for every run of ``size`` codes; equal runs, and only these, have equal numbers.
+
+    Runs of twice the length are numbered by pairs of numbers, so no hash is involved.
+    """
+    numbers, length = codes, 1
+    while length < size:
+        step = min(length, size - length)
+        high, low = numbers[:-step], numbers[step:]
+        numbers = np.unique(high * (len(codes) + numbers.max() + 1) + low, return_inverse=True)[1]
+        length += step
+    return numbers
 
 
 def contamination(
@@ -102,7 +130,7 @@ def contamination(
     A window is ``span`` consecutive words of an item, or a whole item that is shorter and not empty. ``spans`` lists the
     maximal hit runs (first word, end). Null and empty texts have no words. Rows that repeat an id and a text get equal
     rows. Items with a null id count for the hits and are not listed. Other columns do not matter. Empty tables on either
-    side give no hits.
+    side give no hits. Time and memory follow the length of texts, also where they say the same few words again and again.
     """
     spark = docs.sparkSession
     bench = items.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").alias("body"))
@@ -122,24 +150,24 @@ def contamination(
             word = bits.value[(slot >> np.uint64(6)).astype(np.int64)]
             hit = np.flatnonzero((word >> (hashes & np.uint64(63))) & np.uint64(1))
             sizes.append(len(words))
-            prints.append([{"h": h, "at": p} for h, p in zip(signed(hashes[hit]).tolist(), places[hit].tolist(), strict=True)])
+            prints.append((hashes[hit], places[hit]))
             kept.append(raw if len(hit) else None)
-        return [sizes, prints, kept]
+        return [sizes, print_lists(prints), kept]
 
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body")).withColumn("key", row_key("id", "body"))
-    scanned = map_texts(own, ["id", "key"], "body", fn, "n_words long, prints array<struct<h:long,at:int>>, body binary")
+    scanned = map_texts(own, ["id", "key"], "body", fn, f"n_words long, prints {PRINTS}, body binary")
     scanned = stored(scanned, "contamination")
-    likely = scanned.where(F.size("prints") > 0)
-    hits = likely.select("key", F.explode("prints").alias("p")).select("key", "p.h", F.col("p.at").alias("doc_at"))
+    likely = scanned.where(F.size("prints") > 0).select("key", "prints", "body").dropDuplicates(["key"])
+    shared = likely.select("key", F.explode(F.array_distinct(F.transform("prints", lambda p: p["h"]))).alias("h"))
     pairs = (
-        hits.join(item_prints, "h")
+        shared.join(item_prints.select("of", "h").distinct(), "h")
         .groupBy("key", "of")
-        .agg(F.collect_set(F.col("doc_at") - F.col("at")).alias("diagonals"))
+        .agg(F.collect_list("h").alias("shared"))
         .join(bench_prints.select("of", "item", "item_text"), "of")
         .groupBy("key")
-        .agg(F.collect_list(F.struct("item", F.col("item_text").cast("binary").alias("item_text"), "diagonals")).alias("candidates"))
+        .agg(F.collect_list(F.struct("item", F.col("item_text").cast("binary").alias("item_text"), "shared")).alias("candidates"))
     )
-    extended = extend(likely.select("key", "body").join(pairs, "key"), span).dropDuplicates(["key"])
+    extended = extend(likely.join(pairs, "key"), span, gram)
     none = F.lit(0).cast("long")
     return scanned.join(extended, "key", "left").select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"),
@@ -148,24 +176,45 @@ def contamination(
     )
 
 
-def extend(candidates: DataFrame, span: int) -> DataFrame:
-    """Follow every candidate diagonal through the whole document and item, and mark runs of equal words."""
+def shared_words(text: np.ndarray, item: np.ndarray, hits: np.ndarray, size: int, gram: int) -> np.ndarray:
+    """Positions in ``text`` of all words inside a run of ``size`` words that the item has too.
+
+    ``hits`` are positions of shared fingerprints; every such run holds one, so only words in reach of them are looked at.
+    """
+    reach = np.zeros(len(text) + 1, np.int64)
+    np.add.at(reach, np.maximum(0, hits - max(0, size - gram)), 1)
+    np.add.at(reach, np.minimum(len(text), hits + size), -1)
+    at = np.flatnonzero(np.cumsum(reach[:-1]))
+    # Stretches, and the item, stand apart: the code between two is nobody's word.
+    gaps = np.flatnonzero(np.diff(at) > 1) + 1
+    apart = text.max(initial=0) + 2 + np.arange(len(gaps) + 1)
+    row, place = np.insert(text[at], gaps, apart[1:]), np.insert(at, gaps, -1)
+    numbers = window_numbers(np.concatenate([row, apart[:1], item]), size)
+    found = np.flatnonzero(np.isin(numbers[: max(0, len(row) - size + 1)], numbers[len(row) + 1 :]))
+    cover = np.zeros(len(row) + 1, np.int64)
+    np.add.at(cover, found, 1)
+    np.add.at(cover, found + size, -1)
+    return place[np.cumsum(cover[:-1]) > 0]
+
+
+def extend(candidates: DataFrame, span: int, gram: int) -> DataFrame:
+    """Extend the hits of every candidate item, and mark the words of the document that stand in a shared window."""
 
     def run(batches):
         for batch in batches:
             out = [[], [], [], [], []]
-            for raw, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for i in range(batch.num_rows):
                 codes: dict[bytes, int] = {}
-                text = np.array([codes.setdefault(w, len(codes)) for w in alnum_words(raw)], np.int64)
+                text = np.array([codes.setdefault(w, len(codes)) for w in alnum_words(batch.column(1)[i].as_py())], np.int64)
+                prints = batch.column(2)[i].values
+                hashes, places = (prints.field(n).to_numpy(zero_copy_only=False) for n in ("h", "at"))
                 hit, ids = np.zeros(len(text), bool), set()
-                for candidate in found:
-                    item = np.array([codes.get(w, -1) for w in alnum_words(candidate["item_text"])], np.int64)
-                    least, any_run = min(span, len(item)), False
-                    for d in candidate["diagonals"]:
-                        low, high = max(0, d), min(len(text), d + len(item))
-                        for s, e in equal_runs(text[low:high], item[low - d : high - d], least):
-                            hit[low + s : low + e] = any_run = True
-                    if any_run and candidate["item"] is not None:
+                for candidate in batch.column(3)[i].as_py():
+                    item = np.array([codes.get(w, -1) for w in alnum_words(candidate["item_text"])], np.int64) + 1
+                    at = places[np.isin(hashes, candidate["shared"])].astype(np.int64)
+                    words = shared_words(text + 1, item, at, min(span, len(item)), gram)
+                    hit[words] = True
+                    if len(words) and candidate["item"] is not None:
                         ids.add(candidate["item"])
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
                 listed = sorted(ids)
@@ -183,4 +232,4 @@ def extend(candidates: DataFrame, span: int) -> DataFrame:
         "n_hit long, n_items long, items_sha256 string, item_ids array<string>, spans array<struct<first:int,end:int>>"
     )
     schema = T.StructType([candidates.schema["key"], *added.fields])
-    return candidates.select("key", "body", "candidates").mapInArrow(run, schema)
+    return candidates.select("key", "body", "prints", "candidates").mapInArrow(run, schema)

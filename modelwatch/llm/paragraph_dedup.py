@@ -1,10 +1,10 @@
 """Substring dedup: repeated paragraphs inside documents, found by MinHash banding.
 
-Lines are compared whole, and a long line is also cut into paragraphs where the text itself says so (at words whose hash is
-smallest among their neighbours), so a passage inside running text falls into the same paragraphs wherever it stands. Lines
-and paragraphs that share a band are joined, verified by the exact Jaccard similarity of their shingles and clustered into
-components. All lines of a component but the first are removed, then all paragraphs of what is left but the first, with the
-words beside them that stand beside the first as well.
+Lines are compared whole: those that share a band are joined, verified by the exact Jaccard similarity of their shingles and
+clustered into components, and all lines of a component but the first go. Passages inside running text need smaller units: lines
+are also cut into pieces where the text itself says so (at words whose hash is smallest among their neighbours), so a passage falls
+into the same pieces wherever it stands. In pieces this short one changed word ends any similarity, so they are joined when equal.
+Runs of consecutive repeated pieces are then verified word by word, and extended to both sides within a small edit distance.
 """
 
 from __future__ import annotations
@@ -15,23 +15,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import window as W
 
-from modelwatch.llm.common import WordHashes, mix64, packed, row_key, shingle_hashes, signed, stored, unpacked
+from modelwatch.llm.common import WordHashes, mix64, packed, release, row_key, shingle_hashes, signed, stored, unpacked
 from modelwatch.llm.components import connected_components
 from modelwatch.llm.decontamination import bit_filter
 from modelwatch.llm.minhash import links_across, verified
-from modelwatch.llm.suffix_dedup import smallest_in_windows, without
+from modelwatch.llm.suffix_dedup import only_needed, smallest_in_windows, without
 
 WIDTH, PERCENT = 5, 80
-#: One row per band: paragraphs are short and 5-word shingles rare, so a shared minimum is already telling. Four bands miss
-#: a pair of similarity 0.8 with probability 0.2**4 = 0.0016.
-BANDS = 4
-#: Words to both sides among which a cut must have the smallest hash: paragraphs inside a line have 13 words on average.
+#: Eight bands of two rows miss a pair of similarity 0.8 with probability (1 - 0.8**2)**8 = 0.0003; of lines that merely share a
+#: common shingle few share the least of two orders.
+BANDS, ROWS = 8, 2
+#: Words to both sides among which a cut must have the smallest hash: pieces inside a line have 13 words on average.
 REACH = 6
+#: No cut leaves fewer words than this to its line's start or end.
+PIECE_WORDS = 6
+#: Words to both sides of a run of repeated pieces that are looked at for more of the passage.
+BESIDE = 40
+#: Equal words that must follow an edit.
+RESUME = 4
 #: A repeated line of so many words goes by itself; passages inside lines, and shorter lines, go in runs of so many words.
 LEAST_WORDS, LEAST_RUN_WORDS = 6, 15
 #: Bits of the filter over bands that occur twice; its size is fixed.
@@ -54,7 +60,7 @@ def spaced(at: np.ndarray, line: np.ndarray, least: int) -> np.ndarray:
 def cuts(lines: list[int], pairs: np.ndarray, reach: int) -> np.ndarray:
     """First words of all paragraphs: line starts, and words whose pair hash is smallest within ``reach`` words of its line.
 
-    Equal hashes (repetitive text) do not cut nearer than ``reach`` + 1 words, and no cut leaves fewer than ``LEAST_WORDS``
+    Equal hashes (repetitive text) do not cut nearer than ``reach`` + 1 words, and no cut leaves fewer than ``PIECE_WORDS``
     words to its line's start or end: only whole lines are shorter.
     """
     line = np.repeat(np.arange(len(lines)), lines)
@@ -65,29 +71,31 @@ def cuts(lines: list[int], pairs: np.ndarray, reach: int) -> np.ndarray:
     least = smallest_in_windows(padded, 2 * reach + 1)[at - reach]
     inner = np.flatnonzero((pairs == least) & (pairs != TOP))
     place, size = inner - first[line[inner]], np.asarray(lines)[line[inner]]
-    inner = inner[(place >= LEAST_WORDS) & (size - place >= LEAST_WORDS)]
+    inner = inner[(place >= PIECE_WORDS) & (size - place >= PIECE_WORDS)]
     return np.union1d(spaced(inner, line[inner], reach + 1), first)
 
 
 @dataclass
 class Paragraphs:
-    """Paragraphs of several texts: first word and end (counted over all texts), text, two hashes and band hashes of each.
+    """Pieces and lines of several texts. Words are counted over all texts; ``first_word`` is each text's.
 
-    ``line`` is each paragraph's line; ``lines`` holds whole lines in the same way, one for each number in ``line``.
+    Pieces have a first word, an end, a line and two hashes; lines have these, the text they stand in, and band hashes.
     """
 
     start: np.ndarray
     end: np.ndarray
-    text: np.ndarray
-    first_word: np.ndarray  # of each text
+    line: np.ndarray
     digests: np.ndarray
+    line_start: np.ndarray
+    line_end: np.ndarray
+    line_digests: np.ndarray
     bands: np.ndarray
-    line: np.ndarray
-    lines: Paragraphs | None = None
+    text: np.ndarray
+    first_word: np.ndarray
 
 
-def paragraphs(raws: Sequence[bytes | None], cache: WordHashes, reach: int = REACH, digests: bool = True) -> Paragraphs:
-    """Cut texts into paragraphs; texts are taken together but do not see each other, as lines do not."""
+def paragraphs(raws: Sequence[bytes | None], cache: WordHashes, reach: int = REACH) -> Paragraphs:
+    """Cut texts into lines and pieces; texts are taken together but do not see each other, as lines do not."""
     lines: list[int] = []
     own_text: list[int] = []
     spoken: list[bytes] = []
@@ -100,53 +108,43 @@ def paragraphs(raws: Sequence[bytes | None], cache: WordHashes, reach: int = REA
                 own_text.append(i)
                 spoken += found
     if not lines:
-        none = np.zeros(0, np.int64)
-        empty = none, none, none, first_word, np.zeros((0, 2), np.uint64), np.zeros((0, BANDS), np.uint64), none
-        return Paragraphs(*empty, Paragraphs(*empty))
+        none, two = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
+        return Paragraphs(none, none, none, two, none, none, two, np.zeros((0, BANDS), np.uint64), none, first_word)
     words = cache.of(spoken)
     pairs = mix64(words * np.uint64(0x9E3779B97F4A7C15) + np.append(words[1:], np.uint64(0)))
-    line_ends = np.cumsum(lines)
-    pairs[line_ends - 1] = TOP
+    line_end = np.cumsum(lines)
+    line_start = line_end - lines
+    pairs[line_end - 1] = TOP
     start = cuts(lines, pairs, reach)
-    line = np.searchsorted(line_ends, start, side="right")
-    whole = shingle_hashes(words, WIDTH) if len(words) >= WIDTH else np.zeros(0, np.uint64)
-    banded = [mix64(whole + STRIDE * np.array(c, np.uint64)) for c in range(1, BANDS + 1)]
-    first = line_ends - lines
-    made = Paragraphs(first, line_ends, np.array(own_text), first_word, *sketch(words, banded, first, digests), np.arange(len(lines)))
-    end = np.append(start[1:], len(words))
-    return Paragraphs(start, end, made.text[line], first_word, *sketch(words, banded, start, digests), line, made)
+    return Paragraphs(
+        start, np.append(start[1:], len(words)), np.searchsorted(line_end, start, side="right"), digests(words, start),
+        line_start, line_end, digests(words, line_start), band_hashes(words, line_start, line_end), np.array(own_text), first_word,
+    )
 
 
-def sketch(words: np.ndarray, banded: list[np.ndarray], start: np.ndarray, digests: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes (zeros if not asked for) and the band hashes of all runs of words that begin at ``start``, each up to the next.
+def digests(words: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Two hashes of all runs of words that begin at ``start``, each up to the next: sums over words mixed with their places."""
+    place = (np.arange(len(words)) - np.repeat(start, np.diff(np.append(start, len(words))))).astype(np.uint64)
+    return np.column_stack([np.add.reduceat(mix64(words + mix64(place + np.uint64(c))), start) for c in (0x1F3D5B79, 0x2E4C6A88)])
 
-    ``banded`` holds the hashes of all shingles, once for each band. A run of fewer words than a shingle has no other
-    shingle than itself.
-    """
-    size = np.diff(np.append(start, len(words)))
-
-    def summed(of: np.ndarray, constant: int) -> np.ndarray:
-        lengths = size[of]
-        first = np.cumsum(lengths) - lengths
-        place = np.arange(lengths.sum()) - np.repeat(first, lengths)
-        spelled = words[place + np.repeat(start[of], lengths)]
-        return np.add.reduceat(mix64(spelled + mix64(place.astype(np.uint64) + np.uint64(constant))), first)
-
-    every, constants = np.arange(len(start)), (0x1F3D5B79, 0x2E4C6A88)
-    made = np.column_stack([summed(every, c) for c in constants]) if digests else np.zeros((len(start), 2), np.uint64)
-    ends = np.repeat(start + size, size)
-    nothing = np.arange(len(words)) + WIDTH > ends
+
+def band_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """MinHash bands of every line. A line of fewer words than a shingle has no other shingle than itself."""
+    shingles = np.full(len(words), TOP)
+    if len(words) >= WIDTH:
+        shingles[: len(words) - WIDTH + 1] = shingle_hashes(words, WIDTH)
+    size = end - start
+    crossing = np.arange(len(words)) + WIDTH > np.repeat(end, size)
     short = np.flatnonzero(size < WIDTH)
-    itself = summed(short, constants[0]) if len(short) else np.zeros(0, np.uint64)
-    columns = []
-    for c, hashes in enumerate(banded, 1):
-        other = np.full(len(words), TOP)
-        other[: len(hashes)] = hashes
-        other[nothing] = TOP
-        least = np.minimum.reduceat(other, start)
-        least[short] = mix64(itself + STRIDE * np.array(c, np.uint64))
-        columns.append(least)
-    return made, mix64(np.column_stack(columns) + np.arange(BANDS, dtype=np.uint64))
+    itself = digests(words, start)[short, 0]
+    out = np.zeros((len(start), BANDS), np.uint64)
+    for c in range(BANDS * ROWS):
+        order = mix64(shingles + STRIDE * np.array(c + 1, np.uint64))
+        order[crossing] = TOP
+        least = np.minimum.reduceat(order, start)
+        least[short] = mix64(itself + STRIDE * np.array(c + 1, np.uint64))
+        out[:, c // ROWS] = mix64(out[:, c // ROWS] * np.uint64(0x9E3779B97F4A7C15) + least)
+    return mix64(out + np.arange(BANDS, dtype=np.uint64))
 
 
 def chunks(batch: pa.RecordBatch, column: int, rows: int = 100):
@@ -155,120 +153,156 @@ def chunks(batch: pa.RecordBatch, column: int, rows: int = 100):
         yield low, batch.column(column).slice(low, rows).to_pylist()
 
 
-def band_counts(own: DataFrame) -> DataFrame:
-    """Band hashes of all paragraphs, and of all lines of several, one row each."""
+def hashed_units(own: DataFrame) -> DataFrame:
+    """Band hashes of all lines and one hash of all pieces, one row each."""
 
     def run(batches):
         cache = WordHashes()
         for batch in batches:
             for _, raws in chunks(batch, 0):
-                p = paragraphs(raws, cache, digests=False)
-                cut = np.bincount(p.line, minlength=len(p.lines.start)) > 1
-                for bands in (p.bands, p.lines.bands[cut]):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(bands.ravel()))], names=["h"])
+                p = paragraphs(raws, cache)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([p.bands.ravel(), p.digests[:, 0]])))], names=["h"])
 
     return own.select("body").mapInArrow(run, "h long")
 
 
-UNIT = """no int, line int, is_line boolean, is_piece boolean, n_pieces int, start int, end int, n_all int,
-          low int, high int, d1 long, d2 long, bands array<long>, body binary"""
+PLACE = ["start", "end", "low", "high"]
+UNIT = """no int, line int, is_line boolean, n_pieces int, start int, end int, low int, high int, n_all int,
+          d1 long, d2 long, bands array<long>"""
 
 
-def candidate_paragraphs(own: DataFrame, bits) -> DataFrame:
-    """Paragraphs and whole lines with a band that occurs twice, with their text; and one row (no = -1) per document with its
-    number of paragraphs. ``start`` and ``end`` are words of the document, which has ``n_all``; a line of one paragraph is
-    one row. From ``low`` to ``high`` a paragraph inside a line is looked at for more equal words: as far as the paragraphs
-    beside it and, as their cuts may be missing elsewhere, ``REACH`` + 1 words more."""
+def candidate_units(own: DataFrame, bits) -> DataFrame:
+    """Lines with a band that occurs twice and pieces whose hash does, by place; and one row (no = -1) per document with its
+    number of pieces. ``start`` and ``end`` are words of the document, which has ``n_all``; from ``low`` to ``high`` are the words
+    of the line that are looked at for more of a passage. Texts do not travel."""
     schema = T.StructType([*own.schema.fields[:2], *T.StructType.fromDDL(UNIT).fields])
     names, mask = schema.names, np.uint64(BAND_BITS - 1)
-    kinds = [pa.int32()] * 2 + [pa.bool_()] * 2 + [pa.int32()] * 6 + [pa.int64()] * 2 + [pa.list_(pa.int64()), pa.binary()]
 
-    def hits(p: Paragraphs) -> np.ndarray:
-        word = bits.value[((p.bands & mask) >> np.uint64(6)).astype(np.int64)]
-        return ((word >> (p.bands & np.uint64(63))) & np.uint64(1)).any(axis=1)
+    def hits(hashes: np.ndarray) -> np.ndarray:
+        word = bits.value[((hashes & mask) >> np.uint64(6)).astype(np.int64)]
+        return ((word >> (hashes & np.uint64(63))) & np.uint64(1)).astype(bool)
 
     def run(batches):
         cache = WordHashes()
         for batch in batches:
             for low, raws in chunks(batch, 2):
-                p = paragraphs(raws, cache)
-                counts = np.bincount(p.text, minlength=len(raws))
-                first = np.cumsum(counts) - counts
-                n_all = np.bincount(p.lines.text, weights=p.lines.end - p.lines.start, minlength=len(raws)).astype(int)
-                pieces = np.bincount(p.line, minlength=len(p.lines.start))
-                first_line = np.searchsorted(p.lines.text, np.arange(len(raws)))
-                first_piece = np.cumsum(pieces) - pieces
-                several = np.flatnonzero(hits(p.lines) & (pieces > 1))
-                found = [(p.text[k], p, k, k, pieces[p.line[k]] == 1, True, 1) for k in np.flatnonzero(hits(p))]
-                found += [(p.lines.text[k], p.lines, k, first_piece[k], True, False, pieces[k]) for k in several]
-                found.sort(key=lambda x: x[0])
-                rows = [(-1, 0, False, False, n, 0, 0, m, None, None, None, None, None, None) for n, m in zip(counts.tolist(), n_all.tolist(), strict=True)]
-                of = list(range(len(raws)))
-                at, places = -1, []
-                for i, u, k, no, is_line, is_piece, n in found:
-                    if i != at:
-                        at, places = i, [m.span() for m in WORD.finditer(raws[i])]
-                    a, b = int(u.start[k] - p.first_word[i]), int(u.end[k] - p.first_word[i])
-                    d1, d2 = signed(u.digests[k]).tolist()
-                    body = raws[i][places[a][0] : places[b - 1][1]]
-                    place = int(no - first[i]), int(u.line[k] - first_line[i]), bool(is_line), is_piece, int(n), a, b, int(n_all[i])
-                    low_word, high_word = a, b
-                    if not is_line:
-                        left, right = int(p.lines.start[p.line[k]]), int(p.lines.end[p.line[k]])
-                        low_word = max(left, int(p.start[max(k - 1, 0)]) - REACH - 1) - int(p.first_word[i])
-                        high_word = min(right, int(p.end[min(k + 1, len(p.end) - 1)]) + REACH + 1) - int(p.first_word[i])
-                    rows.append((*place, low_word, high_word, d1, d2, signed(u.bands[k]).tolist(), body))
-                    of.append(int(i))
-                head = batch.slice(low, len(raws)).take(pa.array(of))
-                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*head.columns[:2], *columns], names=names)
+                yield units(batch.slice(low, len(raws)), raws, cache)
+
+    def units(rows, raws, cache):
+        p, n = paragraphs(raws, cache), len(raws)
+        piece_text = p.text[p.line] if len(p.line) else p.line
+        counts = np.bincount(piece_text, minlength=n)
+        n_all = np.bincount(p.text, weights=p.line_end - p.line_start, minlength=n).astype(np.int64)
+        first_piece, first_line = np.cumsum(counts) - counts, np.searchsorted(p.text, np.arange(n))
+        pieces = np.bincount(p.line, minlength=len(p.line_start))
+        lines, parts = np.flatnonzero(hits(p.bands).any(axis=1)), np.flatnonzero(hits(p.digests[:, 0]))
+        of = np.concatenate([np.arange(n), p.text[lines], piece_text[parts]]).astype(np.int64)
+        before = p.first_word[of]
+        none = np.zeros(n, np.int64)
+        line = np.concatenate([none, lines, p.line[parts]]).astype(np.int64)
+        start = np.concatenate([before[:n], p.line_start[lines], p.start[parts]])
+        end = np.concatenate([before[:n], p.line_end[lines], p.end[parts]])
+        left, right = (np.append(x, 0)[line] for x in (p.line_start, p.line_end))
+        is_line = np.arange(len(of)) - n < len(lines)
+        columns = [
+            np.concatenate([none - 1, lines - first_line[p.text[lines]], parts - first_piece[piece_text[parts]]]),
+            np.where(np.arange(len(of)) < n, 0, line - first_line[of]), None,
+            np.concatenate([counts, pieces[lines], np.ones(len(parts), np.int64)]),
+            start - before, end - before, np.maximum(left, start - BESIDE) - before, np.minimum(right, end + BESIDE) - before, n_all[of],
+        ]
+        arrays = [pa.array(c.astype(np.int32)) if c is not None else pa.array(is_line & (np.arange(len(of)) >= n)) for c in columns]
+        known = np.concatenate([np.zeros((n, 2), np.uint64), p.line_digests[lines], p.digests[parts]])
+        arrays += [pa.array(signed(known[:, j])) for j in (0, 1)]
+        bands = [None] * n + list(signed(p.bands[lines])) + [None] * len(parts)
+        arrays.append(pa.array(bands, pa.list_(pa.int64())))
+        head = rows.take(pa.array(of))
+        return pa.RecordBatch.from_arrays([*head.columns[:2], *arrays], names=names)
 
     return own.select("id", "key", "body").mapInArrow(run, schema)
 
 
-def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its paragraphs, those removed and their words, the spans of words to remove, and where the kept
-    copies are (``copies_of``: ids of the documents, distinct and sorted).
+def spoken_words(places: DataFrame, own: DataFrame) -> DataFrame:
+    """(key, low, high, words): the words of each place, lower-cased, with one space between them."""
+    asked = places.groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("places"))
+    texts = only_needed(own.select("key", "body"), asked.select("key")).join(asked.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    joined = texts.join(asked, "key").select("key", "body", "places")
+    schema = T.StructType([joined.schema["key"], *T.StructType.fromDDL("low int, high int, words binary").fields])
 
-    Words stand between ASCII white space, A-Z lower-cased. Lines and paragraphs are linked when the Jaccard similarity of
-    their 5-word shingles (a shorter one is a shingle itself) is 0.8 or more. Of a component the line of the smallest id
-    (null ids first), and in it the first, stays; then the same holds for paragraphs outside removed lines, and words beside
-    a removed paragraph go as far as they equal those beside the one that stays. Runs of fewer than ``LEAST_RUN_WORDS`` consecutive removed words are put back, unless they hold a whole line of ``LEAST_WORDS`` or are
-    all of their document. Null and empty texts have no paragraphs. Rows that repeat an id and a text are one document: one
-    row each, equal. Other columns do not matter; an empty table gives none.
-    """
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text_col).alias("key"), F.col(f"`{text_col}`").cast("binary").alias("body"))
-    shared = stored(band_counts(own).groupBy("h").count().where("count > 1").select("h"), "paragraph-bands")
-    bits = own.sparkSession.sparkContext.broadcast(bit_filter(shared, BAND_BITS))
-    found = stored(candidate_paragraphs(own, bits), "paragraphs")
-    units = found.where("no >= 0")
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                spoken = batch.column(1)[i].as_py().lower().split()
+                found = [(p["low"], p["high"]) for p in batch.column(2)[i].as_py()]
+                columns = [pa.array([p[j] for p in found], pa.int32()) for j in (0, 1)]
+                words = pa.array([b" ".join(spoken[a:b]) for a, b in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(found))), *columns, words], names=schema.names)
 
-    classes = units.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), *[F.first(F.col("bands")[j]).alias(f"b{j}") for j in range(BANDS)])
-    classes = stored(classes, "paragraph-classes")
-    banded = classes.select(F.col("d1").alias("a"), F.explode(F.array(*[f"b{j}" for j in range(BANDS)])).alias("band"))
-    low = banded.groupBy("band").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low < high").select("band", "low")
-    members = stored(banded.join(low, "band"), "paragraph-buckets")
+    return joined.mapInArrow(run, schema)
+
+
+def similar_lines(lines: DataFrame, own: DataFrame) -> DataFrame:
+    """(d1, d2, component) of the lines that are not alone: equal ones, and those linked by similarity."""
+    place = F.first(F.struct("key", "start", "end")).alias("place")
+    first_bands = [F.first(F.col("bands")[j]).alias(f"b{j}") for j in range(BANDS)]
+    size = F.greatest(F.first(F.col("end") - F.col("start")) - WIDTH + 1, F.lit(1)).alias("size")
+    classes = stored(lines.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), size, place, *first_bands), "paragraph-classes")
+    banded = classes.select(F.col("d1").alias("a"), "size", F.explode(F.array(*[f"b{j}" for j in range(BANDS)])).alias("band"))
+    low = banded.groupBy("band").agg(F.min(F.struct("a", "size")).alias("low"), F.max("a").alias("high")).where("low.a < high")
+    members = stored(banded.join(low, "band").select("band", "a", "size", "low"), "paragraph-buckets")
     needed = members.select(F.col("a").alias("d1")).distinct()
-    texts = units.join(needed, "d1").select(F.col("d1").alias("a"), "body").dropDuplicates(["a"])
-    texts = stored(texts, "paragraph-texts")
-    stars = members.where("a <> low").select(F.col("a").alias("x"), F.col("low").alias("y")).distinct()
+    places = classes.join(needed, "d1").select("d1", "place.key", F.col("place.start").alias("low"), F.col("place.end").alias("high"))
+    texts = places.join(spoken_words(places, own), ["key", "low", "high"]).select(F.col("d1").alias("a"), F.col("words").alias("body"))
+    texts = stored(texts.dropDuplicates(["a"]), "paragraph-texts")
+    comparable = PERCENT * F.greatest("size", "low.size") <= 100 * F.least("size", "low.size")
+    stars = members.where((F.col("a") != F.col("low.a")) & comparable).select(F.col("a").alias("x"), F.col("low.a").alias("y")).distinct()
     links = stored(verified(stars, texts, WIDTH, PERCENT), "paragraph-links")
     grouped = connected_components(links, "paragraph")
     rest = stored(links_across(members.select("band", "a"), grouped, texts, WIDTH, PERCENT), "paragraph-rest")
+    release(texts, members)
     grouped = connected_components(links.unionByName(rest), "paragraph")
-
     named = classes.join(grouped, F.col("d1") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "d1").alias("component"))
     several = named.groupBy("component").agg(F.sum("n").alias("n_units")).where("n_units > 1").select("component")
-    named = named.join(several, "component").select("d1", "d2", "component")
-    place = ["id", "key", "no", "line", "is_line", "is_piece", "n_pieces", "start", "end", "n_all", "low", "high"]
-    repeats = stored(units.join(named, ["d1", "d2"]).select(*place, "component"), "paragraph-repeats")
-    lines = stored(but_first(repeats.where("is_line")), "paragraph-lines")
-    gone = lines.select("key", "line").distinct()
-    inside = extended(but_first(repeats.where("is_piece").join(gone, ["key", "line"], "left_anti")), own)
+    named = stored(named.join(several, "component").select("d1", "d2", "component"), "paragraph-components")
+    release(classes, links, rest)
+    return named
+
+
+def repeated_paragraphs(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    least_words: int = LEAST_WORDS,
+    least_run_words: int = LEAST_RUN_WORDS,
+) -> DataFrame:
+    """One row per document: its pieces, those removed and their words, the spans of words to remove, and where the kept
+    copies are (``copies_of``: ids of the documents, distinct and sorted).
+
+    Words stand between ASCII white space, A-Z lower-cased. Lines are linked when the Jaccard similarity of their 5-word
+    shingles (a shorter one is a shingle itself) is 0.8 or more. Of a component the line of the smallest id (null ids first), and
+    in it the first, stays. Of equal pieces outside removed lines the first stays too; runs of the others go, with the words
+    beside them that stand beside the kept one as well, edits of a word or two apart where ``RESUME`` equal words follow.
+
+    A line of fewer than ``least_words`` words and a run of fewer than ``least_run_words`` are put back, unless they are all of
+    their document; with 0 for both everything that was found goes. Null, empty and white-space texts have no pieces. Rows that
+    repeat an id and a text are one document: one row each, equal. Ties go to the smaller key of the row. Texts of any length are
+    taken whole. Other columns do not matter; an empty table gives none.
+    """
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text_col).alias("key"), F.col(f"`{text_col}`").cast("binary").alias("body"))
+    shared = stored(hashed_units(own).groupBy("h").count().where("count > 1").select("h"), "paragraph-hashes")
+    bits = own.sparkSession.sparkContext.broadcast(bit_filter(shared, BAND_BITS))
+    release(shared)
+    found = stored(candidate_units(own, bits), "paragraphs")
+    units = found.where("no >= 0")
+    lines = units.where("is_line")
+    repeats = lines.join(similar_lines(lines, own), ["d1", "d2"]).withColumnRenamed("component", "class")
+    removed_lines = stored(but_first(repeats), "paragraph-lines")
+    gone = removed_lines.select("key", "line").distinct()
+    pieces = units.where("not is_line").join(gone, ["key", "line"], "left_anti").withColumn("class", F.struct("d1", "d2"))
+    inside = extended(but_first(pieces), own)
     columns = ["key", "start", "end", "is_line", "n_pieces", "n_all", "kept_in"]
-    removed = lines.select(*columns).unionByName(inside.select(*columns)).distinct()
+    removed = removed_lines.select(*columns).unionByName(inside.select(*columns)).distinct()
     per_doc = removed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*columns[1:]))).alias("units"))
-    judged = long_runs(per_doc)
+    judged = long_runs(per_doc, least_words, least_run_words)
     none = F.lit(0).cast("long")
     return found.where("no = -1").join(judged, "key", "left").select(
         F.col("id").alias(id_col), F.col("n_pieces").cast("long").alias("n_paragraphs"), F.coalesce("n_removed", none).alias("n_removed"),
@@ -277,72 +311,69 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-AROUND = ["start", "end", "low", "high"]
-
-
 def but_first(units: DataFrame) -> DataFrame:
-    """Units of ``repeats`` but the first of each component, with the id of the document that keeps it and the unit kept."""
-    keepers = units.groupBy("component").agg(F.min(F.struct("id", "key", "no", *AROUND)).alias("keeper"))
-    others = units.join(keepers, "component").where(~F.struct("id", "key", "no", *AROUND).eqNullSafe(F.col("keeper")))
+    """Units but the first of each class, with the id of the document that keeps it and the unit kept."""
+    place = F.struct("id", "key", "no", "line", *PLACE)
+    keepers = units.groupBy("class").agg(F.min(place).alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    others = units.join(keepers, "class").where(~place.eqNullSafe(F.col("keeper")))
     return others.withColumn("kept_in", F.col("keeper.id"))
 
 
-def equal_words(a: bytes, b: bytes) -> int:
-    """Equal words at the front of both, of four bytes each."""
-    n = min(len(a), len(b))
-    different = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
-    return (8 * n - different.bit_length()) // 32
-
-
-def words_beside(wanted: DataFrame, own: DataFrame) -> DataFrame:
-    """``wanted`` (key and ``AROUND``) with ``before`` and ``after``: 32 bits of the hash of each word beside it, nearest first."""
-    asked = wanted.groupBy("key").agg(F.collect_list(F.struct(*AROUND)).alias("places"))
-    texts = own.select("key", "body").join(asked.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    joined = texts.join(asked, "key").select("key", "body", "places")
-    schema = T.StructType([joined.schema["key"], *T.StructType.fromDDL("start int, end int, before binary, after binary").fields])
-
-    def run(batches):
-        cache = WordHashes()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                spelled = (cache.of(batch.column(1)[i].as_py().lower().split()) & np.uint64(2**32 - 1)).astype(">u4")
-                ahead, back, n = spelled.tobytes(), spelled[::-1].tobytes(), len(spelled)
-                rows = [
-                    (p["start"], p["end"], back[4 * (n - p["start"]) : 4 * (n - p["low"])], ahead[4 * p["end"] : 4 * p["high"]])
-                    for p in batch.column(2)[i].as_py()
-                ]
-                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(rows))), *columns], names=schema.names)
+def resumed(a: Sequence[bytes], b: Sequence[bytes]) -> int:
+    """Words at the front of ``a`` that stand at the front of ``b`` too, but for edits of one or two words that ``RESUME`` equal
+    words follow."""
+    i = j = 0
+    while True:
+        while i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        for x, y in ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2)):
+            ahead = a[i + x : i + x + RESUME]
+            if len(ahead) == RESUME and ahead == b[j + y : j + y + RESUME]:
+                i, j = i + x, j + y
+                break
+        else:
+            return i
 
-    return joined.mapInArrow(run, schema)
 
+def extended(pieces: DataFrame, own: DataFrame) -> DataFrame:
+    """Runs of consecutive pieces whose kept copies are consecutive too, moved out over what else the two places share.
 
-def extended(units: DataFrame, own: DataFrame) -> DataFrame:
-    """``units`` with ``start`` and ``end`` moved out over the words that also stand beside the unit that is kept."""
-    units = stored(units, "paragraph-inside")
-    kept = units.select(F.col("keeper.key").alias("key"), *[F.col(f"keeper.{c}").alias(c) for c in AROUND])
-    beside = stored(words_beside(units.select("key", *AROUND).unionByName(kept).distinct(), own), "paragraph-beside")
-    other = {"key": "kept_key", "start": "kept_start", "end": "kept_end", "before": "kept_before", "after": "kept_after"}
-    units = units.withColumns({other[c]: F.col(f"keeper.{c}") for c in ("key", "start", "end")}).drop("keeper", "low", "high")
-    units = units.join(beside, ["key", "start", "end"]).join(beside.withColumnsRenamed(other), ["kept_key", "kept_start", "kept_end"])
-    sides = ["before", "kept_before", "after", "kept_after"]
-    source = units.select("key", "start", "end", "is_line", "n_pieces", "n_all", "kept_in", *sides)
-    schema = T.StructType(source.schema.fields[:-4])
-    names = schema.names
+    A run whose words are not those of its kept copy is left out.
+    """
+    kept = ["key", "no", *PLACE]
+    flat = pieces.select("key", "line", "no", *PLACE, "n_all", "kept_in", *[F.col(f"keeper.{c}").alias(f"kept_{c}") for c in kept])
+    flat = flat.withColumn("shift", F.col("kept_no") - F.col("no")).distinct()
+    together = ["key", "line", "kept_key", "shift"]
+    flat = flat.withColumn("run", F.col("no") - F.row_number().over(W.Window.partitionBy(*together).orderBy("no")))
+    ends = [f(c).alias(c) for c, f in zip(PLACE, (F.min, F.max, F.min, F.max), strict=True)]
+    ends += [f(f"kept_{c}").alias(f"kept_{c}") for c, f in zip(PLACE, (F.min, F.max, F.min, F.max), strict=True)]
+    runs = flat.groupBy(*together, "run").agg(*ends, F.count(F.lit(1)).cast("int").alias("n_pieces"), F.first("n_all").alias("n_all"), F.first("kept_in").alias("kept_in"))
+    runs = stored(runs, "paragraph-runs")
+    places = runs.select("key", "low", "high").unionByName(runs.select(F.col("kept_key").alias("key"), F.col("kept_low").alias("low"), F.col("kept_high").alias("high")))
+    words = stored(spoken_words(places, own), "paragraph-words")
+    other = words.withColumnsRenamed({c: f"kept_{c}" for c in words.columns})
+    both = runs.join(words, ["key", "low", "high"]).join(other, ["kept_key", "kept_low", "kept_high"])
+    source = both.select("key", *PLACE, *[f"kept_{c}" for c in PLACE], "words", "kept_words", "n_pieces", "n_all", "kept_in")
+    schema = T.StructType([source.schema[c] for c in ("key", "start", "end", "n_pieces", "n_all", "kept_in")])
 
     def run(batches):
         for batch in batches:
-            before, kept_before, after, kept_after = (batch.column(c).to_pylist() for c in sides)
-            left = pa.array(list(map(equal_words, before, kept_before)), pa.int32())
-            right = pa.array(list(map(equal_words, after, kept_after)), pa.int32())
-            moved = {"start": pc.subtract(batch.column("start"), left), "end": pc.add(batch.column("end"), right)}
-            yield pa.RecordBatch.from_arrays([moved.get(c, batch.column(c)) for c in names], names=names)
+            where = [batch.column(i).to_numpy() for i in range(1, 9)]
+            starts, ends, sure = [], [], []
+            for i in range(batch.num_rows):
+                start, end, low, _, kept_start, kept_end, kept_low, _ = (int(c[i]) for c in where)
+                a, b = (batch.column(n)[i].as_py().split(b" ") for n in ("words", "kept_words"))
+                sure.append(a[start - low : end - low] == b[kept_start - kept_low : kept_end - kept_low])
+                starts.append(start - resumed(a[: start - low][::-1], b[: kept_start - kept_low][::-1]))
+                ends.append(end + resumed(a[end - low :], b[kept_end - kept_low :]))
+            moved = {"start": pa.array(starts, pa.int32()), "end": pa.array(ends, pa.int32())}
+            out = pa.RecordBatch.from_arrays([moved.get(c, batch.column(c)) for c in schema.names], names=schema.names)
+            yield out.filter(pa.array(sure, pa.bool_()))
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).withColumn("is_line", F.lit(False))
 
 
-def long_runs(per_doc: DataFrame) -> DataFrame:
+def long_runs(per_doc: DataFrame, least_words: int, least_run_words: int) -> DataFrame:
     """Keep removals that come in runs of enough words, hold a whole line, or are a whole document; join each run to one span."""
     unit = per_doc.schema["units"].dataType.elementType
     ids = T.ArrayType(unit["kept_in"].dataType)
@@ -368,8 +399,8 @@ def long_runs(per_doc: DataFrame) -> DataFrame:
                         runs.append([u])
                     end = max(end, u["end"])
                 sized = [(r, r[0]["start"], max(u["end"] for u in r)) for r in runs]
-                whole = lambda r: any(u["is_line"] and u["end"] - u["start"] >= LEAST_WORDS for u in r)
-                sized = [(r, a, b) for r, a, b in sized if b - a >= min(LEAST_RUN_WORDS, r[0]["n_all"]) or whole(r)]
+                whole = lambda r: any(u["is_line"] and u["end"] - u["start"] >= least_words for u in r)
+                sized = [(r, a, b) for r, a, b in sized if b - a >= min(least_run_words, r[0]["n_all"]) or whole(r)]
                 runs = [r for r, _, _ in sized]
                 out[0].append(sum(u["n_pieces"] for r in runs for u in r))
                 out[1].append(sum(b - a for _, a, b in sized))
@@ -390,7 +421,11 @@ def bytes_of(raw: bytes, spans: Sequence[dict[str, int]]) -> list[dict[str, int]
 
 
 def without_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans of ``found`` (from ``repeated_paragraphs``) cut out of their texts."""
+    """``docs`` with the spans of ``found`` (from ``repeated_paragraphs``) cut out of their texts.
+
+    Null texts stay null; a text that is repeated as a whole keeps its white space only. Rows and all other columns stay, repeated
+    rows and clashing names included; an empty table gives none.
+    """
     spans = found.where("n_removed > 0").select("key", "spans").dropDuplicates(["key"])
     body = F.col(f"`{text_col}`")
     joined = packed(docs, key=row_key(id_col, text_col), body=body).join(spans, "key", "left").select("row", "body", "spans")

@@ -4,13 +4,14 @@ A byte is removed when it lies in a string of ``length`` bytes that also starts
 window is filed under the smallest k-gram hash inside it, which is the same wherever the window occurs. Runs of windows
 with one smallest hash are segments. Equal segments repeat as a whole; where one hash has several different segments, the
 suffixes at all their windows are sorted: two suffixes are compared by prefix polynomial hashes and binary search for
-their common extension, neighbours that share ``length`` bytes are repeats, and every repeat is confirmed byte by byte.
+their common extension, and neighbours that share ``length`` bytes are repeats. Nothing is removed on hashes alone: equal
+segments, sorted neighbours and windows that were only counted are all confirmed byte by byte.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +19,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import window as W
 
-from modelwatch.llm.common import mix64, row_key, stored
+from modelwatch.llm.common import mix64, release, row_key, stored
 
 LENGTH, GRAM = 400, 40
 #: Bytes of a text that are worked on at a time; texts may be longer.
 PIECE = 1 << 18
-#: Hashes with more different segments than this are compared by the hashes of single windows, dealt out over the cluster.
+#: Hashes with more different segments than this are compared by the hashes of single windows, dealt out over the cluster,
+#: and runs of windows that seem to repeat are then held against the bytes of one that stands for them.
 MOST_SEGMENTS = 1_024
-#: Text sorted together in one task.
-SORT_BYTES = 750_000
+#: Text sorted together in one task; sorting takes some 200 times as many bytes of memory.
+SORT_BYTES = 200_000
 #: Bits of the filter over keys of texts that are needed again; its size is fixed.
 KEY_BITS = 2**26
 
@@ -73,7 +76,12 @@ def smallest_in_windows(values: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(backward[: n - window + 1], forward[window - 1 : n])
 
 
-def segments(raw: bytes, length: int, gram: int) -> list[tuple[int, int, int, int, int, bool]]:
+def segment_digest(body: bytes) -> int:
+    """128 bits that equal segments share; different ones that share them are told apart by their bytes."""
+    return xxhash.xxh3_128_intdigest(body)
+
+
+def segments(raw: bytes, length: int, gram: int, digest_of: Callable[[bytes], int] = segment_digest) -> list[tuple[int, int, int, int, int, bool]]:
     """(hash, digest, digest, first window, last window, may repeat itself) of every run of windows with one smallest hash.
 
     Runs are cut where they would exceed the number of k-grams in a window, and between pieces of a long text.
@@ -91,7 +99,7 @@ def segments(raw: bytes, length: int, gram: int) -> list[tuple[int, int, int, in
             starts = np.unique(np.concatenate([starts, *[np.arange(a, a + n, window) for a, n in zip(starts, lengths) if n > window]]))
         values = least[starts[:-1]]
         for lo, end, v in zip(starts[:-1].tolist(), starts[1:].tolist(), values, strict=True):
-            digest = xxhash.xxh3_128_intdigest(piece[lo : end - 1 + length])
+            digest = digest_of(piece[lo : end - 1 + length])
             again = np.count_nonzero(grams[lo : end - 1 + window] == v) > 1
             out.append((int(v), digest >> 64, digest & (2**64 - 1), at + lo, at + end - 1, again))
     return out
@@ -118,10 +126,10 @@ def merge_sort(text: np.ndarray, prefixes: np.ndarray, suffixes: np.ndarray, run
 
     All runs are merged at once, bottom-up: an element's new place is its own rank plus its rank in the neighbouring block.
     """
-    edges = np.flatnonzero(np.diff(runs, prepend=-1))
-    sizes = np.diff(np.append(edges, len(runs)))
+    edges = np.flatnonzero(np.diff(runs, prepend=-1)).astype(np.int32)
+    sizes = np.diff(np.append(edges, len(runs))).astype(np.int32)
     start, size = np.repeat(edges, sizes), np.repeat(sizes, sizes)
-    local = np.arange(len(runs)) - start
+    local = np.arange(len(runs), dtype=np.int32) - start
     width = 1
     while len(sizes) and width < sizes.max():
         block = local // width
@@ -150,24 +158,28 @@ def repeated_windows(texts: Sequence[bytes], groups: Sequence[int], length: int)
     text = np.frombuffer(b"".join(texts) + b"\0" * 8, np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     starts = ends - np.array([len(t) for t in texts])
-    own = np.repeat(np.arange(len(texts)), sizes)
     window = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    suffix = starts[own] + window
-    group = np.asarray(groups)[own]
+    suffix = (np.repeat(starts, sizes) + window).astype(np.int32)
+    group = np.repeat(np.asarray(groups, np.int32), sizes)
+    del window
     head = np.zeros(len(text) - 8, np.uint64)
     for j in range(8):
         head |= text[j : len(text) - 8 + j].astype(np.uint64) << np.uint64(56 - 8 * j)
     prefixes = FIRST.prefixes(text)
 
-    order = np.lexsort((head[suffix], group))
+    own_head = head[suffix]
+    order = np.lexsort((own_head, group)).astype(np.int32)
+    group, own_head = group[order], own_head[order]
     new = np.ones(len(order), bool)
-    new[1:] = (group[order][1:] != group[order][:-1]) | (head[suffix[order]][1:] != head[suffix[order]][:-1])
-    run = np.cumsum(new)
+    new[1:] = (group[1:] != group[:-1]) | (own_head[1:] != own_head[:-1])
+    del head, own_head, group
+    run = np.cumsum(new, dtype=np.int32)
     again = np.zeros(len(new), bool)
     again[:-1] |= ~new[1:]
     again |= ~new
     sorted_ = merge_sort(text, prefixes, suffix[order[again]], run[again], length)
     runs = run[again]
+    del order, run
 
     equal = np.zeros(len(sorted_), bool)
     equal[1:] = (runs[1:] == runs[:-1]) & (
@@ -201,8 +213,8 @@ def confirm(text: np.ndarray, suffixes: np.ndarray, leaders: np.ndarray, length:
     chained = np.flatnonzero(follows)
     good[chained] = text[s[chained] + length - 1] == text[lead[chained] + length - 1]
     whole = np.flatnonzero(~follows & (s != lead))
-    for at in range(0, len(whole), 10_000):
-        part = whole[at : at + 10_000]
+    for at in range(0, len(whole), 2_000):
+        part = whole[at : at + 2_000]
         offsets = np.arange(length)
         good[part] = (text[s[part, None] + offsets] == text[lead[part, None] + offsets]).all(axis=1)
     # A failure breaks the chain behind it: those windows are not confirmed either.
@@ -227,7 +239,7 @@ SEGMENT = "m long, d1 long, d2 long, lo long, hi long, again boolean"
 RANGES = "array<struct<lo:long,hi:long>>"
 
 
-def find_segments(own: DataFrame, length: int, gram: int) -> DataFrame:
+def find_segments(own: DataFrame, length: int, gram: int, digest_of: Callable[[bytes], int]) -> DataFrame:
     added = T.StructType.fromDDL(SEGMENT)
     source = own.where(F.octet_length("body") >= length).select("key", "id", "body")
     schema = T.StructType([*source.schema.fields[:2], *added.fields])
@@ -236,7 +248,7 @@ def find_segments(own: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                found = segments(batch.column(2)[i].as_py(), length, gram)
+                found = segments(batch.column(2)[i].as_py(), length, gram, digest_of)
                 columns = list(zip(*found, strict=True))
                 columns[:3] = [[signed64(v) for v in c] for c in columns[:3]]
                 rows = batch.slice(i, 1).take(pa.array(np.zeros(len(found), np.int64)))
@@ -280,33 +292,43 @@ def only_needed(own: DataFrame, keys: DataFrame) -> DataFrame:
     return own.mapInArrow(run, schema)
 
 
-def segment_texts(candidates: DataFrame, own: DataFrame, length: int) -> DataFrame:
-    """The bytes of every candidate segment, or, for hashes with too many segments, two hashes of each of its windows."""
-    wanted = candidates.groupBy("key", "id").agg(F.collect_list(F.struct("m", "d1", "d2", "lo", "hi", "hot")).alias("wanted"))
-    wanted = wanted.select(F.col("key").alias("of_key"), F.col("id").alias("of_id"), "wanted")
-    texts = only_needed(own, candidates.select("key").distinct())
-    both = texts.join(wanted, (F.col("key") == F.col("of_key")) & F.col("id").eqNullSafe(F.col("of_id"))).select("body", "wanted")
-    schema = "m long, d1 long, d2 long, body binary, h1 array<long>, h2 array<long>"
-    names = ["m", "d1", "d2", "body", "h1", "h2"]
-    kinds = [pa.int64()] * 3 + [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+#: What names a segment's class: its smallest hash, its digest, and a number that tells different bytes of one digest apart.
+CLASS = ["m", "d1", "d2", "c"]
+
+
+def segment_texts(wanted: DataFrame, own: DataFrame, length: int) -> DataFrame:
+    """The bytes of every wanted segment, with its class and place; for ``hot`` ones two hashes of each window as well."""
+    kept = [*CLASS, "lo", "copy", "sort", "hot"]
+    listed = wanted.groupBy("key", "id").agg(F.collect_list(F.struct(*kept, "hi")).alias("wanted"))
+    listed = listed.select(F.col("key").alias("of_key"), F.col("id").alias("of_id"), "wanted")
+    texts = only_needed(own, wanted.select("key").distinct())
+    both = texts.join(listed, (F.col("key") == F.col("of_key")) & F.col("id").eqNullSafe(F.col("of_id"))).select("key", "id", "body", "wanted")
+    added = T.StructType.fromDDL("m long, d1 long, d2 long, c int, lo long, copy boolean, sort boolean, hot boolean, body binary, h1 array<long>, h2 array<long>")
+    schema = T.StructType([*both.schema.fields[:2], *added.fields])
+    names = schema.names
+    kinds = [pa.int64()] * 3 + [pa.int32(), pa.int64()] + [pa.bool_()] * 3 + [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches):
         for batch in batches:
-            for raw, found in zip(batch.column(0), batch.column(1), strict=True):
-                raw, rows = raw.as_py(), []
-                for s in found.as_py():
+            for i in range(batch.num_rows):
+                raw, rows = batch.column(2)[i].as_py(), []
+                for s in batch.column(3)[i].as_py():
                     body = raw[s["lo"] : s["hi"] + length]
                     h1 = h2 = None
                     if s["hot"]:
                         text = np.frombuffer(body, np.uint8)
                         at = np.arange(len(text) - length + 1)
-                        h1, h2 = (mix64(p.of(p.prefixes(text), at, length)).view(np.int64) for p in (FIRST, SECOND))
-                        body = None
-                    rows.append((s["m"], s["d1"], s["d2"], body, h1, h2))
+                        h1, h2 = (window_hashes(p, text, at, length).view(np.int64) for p in (FIRST, SECOND))
+                    rows.append((*[s[k] for k in kept], body, h1, h2))
                 arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                head = batch.slice(i, 1).take(pa.array(np.zeros(len(rows), np.int64)))
+                yield pa.RecordBatch.from_arrays([*head.columns[:2], *arrays], names=names)
 
-    return both.mapInArrow(gathered(run, 2_000), schema).dropDuplicates(["m", "d1", "d2"])
+    return both.mapInArrow(gathered(run, 2_000), schema)
+
+
+def window_hashes(polynomial: Polynomial, text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    return mix64(polynomial.of(polynomial.prefixes(text), at, length))
 
 
 def sorted_repeats(texts: DataFrame, length: int) -> DataFrame:
@@ -315,75 +337,128 @@ def sorted_repeats(texts: DataFrame, length: int) -> DataFrame:
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for i in range(batch.num_rows):
+                row = [c[i].as_py() for c in batch.columns]
                 if size >= SORT_BYTES and held[-1][0] != row[0]:
                     yield done(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[-1])
         if held:
             yield done(held)
 
     def done(held):
         groups = np.cumsum([0] + [a[0] != b[0] for a, b in zip(held, held[1:], strict=False)])
-        hits = repeated_windows([r[3] for r in held], groups, length)
+        hits = repeated_windows([r[-1] for r in held], groups, length)
         at, out = 0, []
-        for m, d1, d2, body in held:
+        for *own, body in held:
             n = len(body) - length + 1
             if hits[at : at + n].any():
-                out.append((m, d1, d2, ranges(hits[at : at + n])))
+                out.append((*own, ranges(hits[at : at + n])))
             at += n
-        columns = list(zip(*out, strict=True)) or [[], [], [], []]
-        kinds = [pa.int64()] * 3 + [pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["m", "d1", "d2", "found"])
-
-    grouped = texts.where("body is not null").select("m", "d1", "d2", "body").repartition("m").sortWithinPartitions("m")
-    return grouped.mapInArrow(run, f"m long, d1 long, d2 long, found {RANGES}")
-
-
-def hashed_repeats(texts: DataFrame) -> DataFrame:
-    """The same for hashes with very many segments: windows are counted by their two hashes, each wherever it falls."""
-    each = texts.where("body is null").select("m", "d1", "d2", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h"))
-    each = each.select("m", "d1", "d2", "at", "h.h1", "h.h2")
-    again = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    hit = each.join(again, ["h1", "h2"])
-    at = F.col("at").cast("long")
-    return hit.groupBy("m", "d1", "d2").agg(F.collect_list(F.struct(at.alias("lo"), at.alias("hi"))).alias("found"))
+        columns = list(zip(*out, strict=True)) or [[]] * (len(CLASS) + 1)
+        kinds = [pa.int64()] * 3 + [pa.int32(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*CLASS, "found"])
+
+    grouped = texts.where("sort and not hot").select(*CLASS, "body").repartition("m").sortWithinPartitions("m")
+    return grouped.mapInArrow(run, f"m long, d1 long, d2 long, c int, found {RANGES}")
+
+
+def counted_repeats(texts: DataFrame, length: int) -> DataFrame:
+    """The same for hashes with very many segments. Windows are counted by two hashes, each wherever it falls; the smallest
+    window of each pair of hashes stands for it. Runs of windows that have consecutive stand-ins are held against the
+    bytes of these, and windows of a run that differs are grouped by their bytes."""
+    hot = texts.where("hot")
+    each = hot.select(F.struct(*CLASS).alias("s"), F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).select("s", "at", "h.h1", "h.h2")
+    again = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("s", "at")).alias("first")).where("n > 1")
+    hits = each.join(again, ["h1", "h2"]).select("s", "at", F.col("first.s").alias("of"), (F.col("first.at") - F.col("at")).alias("shift"))
+    in_order = W.Window.partitionBy("s", "of", "shift").orderBy("at")
+    runs = hits.withColumn("run", F.col("at") - F.row_number().over(in_order)).groupBy("s", "of", "shift", "run")
+    runs = runs.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    bodies = hot.select(F.struct(*CLASS).alias("s"), "body")
+    stands = bodies.select(F.col("s").alias("of"), F.col("body").alias("of_body"))
+    start = lambda at: (at + 1).cast("int")
+    size = (F.col("hi") - F.col("lo") + length).cast("int")
+    own, other = F.substring("body", start(F.col("lo")), size), F.substring("of_body", start(F.col("lo") + F.col("shift")), size)
+    held = runs.join(bodies, "s").join(stands, "of").select("s", "lo", "hi", (own == other).alias("same"))
+    held = stored(held, "suffix-runs")
+    sure, doubtful = held.where("same").select("s", "lo", "hi"), held.where("not same")
+    if not doubtful.isEmpty():
+        # Two strings share both hashes: all windows with the hashes of such runs are grouped by their bytes instead.
+        windows = doubtful.select("s", F.explode(F.sequence("lo", "hi")).alias("at"))
+        odd = each.join(windows, ["s", "at"]).select("h1", "h2").distinct()
+        spelled = each.join(odd, ["h1", "h2"]).join(bodies, "s").select("s", "at", F.substring("body", start(F.col("at")), F.lit(length)).alias("w"))
+        equal = spelled.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
+        exact = spelled.join(equal, "w").select("s", F.col("at").alias("lo"), F.col("at").alias("hi"))
+        single = sure.select("s", F.explode(F.sequence("lo", "hi")).alias("at")).join(spelled.select("s", "at"), ["s", "at"], "left_anti")
+        sure = single.select("s", F.col("at").alias("lo"), F.col("at").alias("hi")).unionByName(exact)
+    found = F.collect_list(F.struct(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")))
+    return sure.groupBy("s").agg(found.alias("found")).select(*[f"s.{k}" for k in CLASS], "found")
+
+
+def told_apart(found: DataFrame, texts: DataFrame, own: DataFrame, length: int) -> DataFrame | None:
+    """``found`` with different numbers ``c`` for different bytes of one digest; None where every digest has one string."""
+    copies = texts.where("copy").groupBy(*CLASS).agg(F.min("body").alias("first"), F.max("body").alias("last"))
+    mixed = stored(copies.where("first <> last").select(*CLASS), "suffix-collisions")
+    if mixed.isEmpty():
+        return None
+    places = ["key", "id", "lo"]
+    rows = found.join(mixed, CLASS).select(*places, *CLASS, "hi", *[F.lit(False).alias(n) for n in ("copy", "sort", "hot")])
+    spelled = segment_texts(rows, own, length).select(*places, *CLASS, "body")
+    strings = spelled.select(*CLASS, "body").distinct()
+    numbered = strings.withColumn("number", F.row_number().over(W.Window.partitionBy(*CLASS).orderBy("body")))
+    number = spelled.join(numbered, [*CLASS, "body"]).select("key", "id", "lo", "number").distinct()
+    renamed = number.select(F.col("key").alias("of_key"), F.col("id").alias("of_id"), F.col("lo").alias("of_lo"), "number")
+    same_row = (F.col("key") == F.col("of_key")) & F.col("id").eqNullSafe(F.col("of_id")) & (F.col("lo") == F.col("of_lo"))
+    joined = found.join(renamed, same_row, "left").withColumn("c", F.coalesce("number", "c"))
+    return stored(joined.select(*found.columns), "suffix-segments")
+
+
+def repeated_ranges(found: DataFrame, own: DataFrame, length: int, most_segments: int) -> DataFrame:
+    """Maximal repeated spans of each text, every repeat confirmed by its bytes."""
+    while True:
+        place = F.first(F.struct("key", "id", "lo", "hi")).alias("place")
+        same = found.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"), place)
+        same = stored(same, "suffix-distinct")
+        mixed = same.groupBy("m").agg(F.count(F.lit(1)).alias("kinds"), F.max("again").alias("any_again")).where("kinds > 1 or any_again")
+        flags = F.lit(False).alias("copy"), F.lit(True).alias("sort"), (F.col("kinds") > most_segments).alias("hot")
+        one_of_each = same.join(mixed, "m").select("place.key", "place.id", *CLASS, "place.lo", "place.hi", *flags)
+        flags = F.lit(True).alias("copy"), F.lit(False).alias("sort"), F.lit(False).alias("hot")
+        copies = found.join(same.where("n > 1").select(*CLASS), CLASS).select("key", "id", *CLASS, "lo", "hi", *flags)
+        texts = stored(segment_texts(one_of_each.unionByName(copies), own, length), "suffix-texts")
+        apart = told_apart(found, texts, own, length)
+        if apart is None:
+            break
+        release(found, same, texts)
+        found = apart
+    whole = same.where("n > 1").select(
+        *CLASS, F.array(F.struct(F.lit(0).cast("long").alias("lo"), (F.col("place.hi") - F.col("place.lo")).alias("hi"))).alias("found")
+    )
+    repeats = whole.unionByName(sorted_repeats(texts, length)).unionByName(counted_repeats(texts, length))
+    repeats = repeats.select(*CLASS, F.explode("found").alias("r"))
+    covered = found.select("key", *CLASS, F.col("lo").alias("base")).join(repeats, CLASS)
+    covered = covered.select("key", (F.col("base") + F.col("r.lo")).alias("start"), (F.col("base") + F.col("r.hi") + length).alias("end"))
+    spans = covered.distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("raw"))
+    spans = stored(merged_spans(spans), "suffix-spans")
+    release(found, same, texts)
+    return spans
 
 
 def repeated_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
-    most_segments: int = MOST_SEGMENTS,
+    most_segments: int = MOST_SEGMENTS, digest_of: Callable[[bytes], int] = segment_digest,
 ) -> DataFrame:
     """One row per document: bytes, bytes and maximal runs to remove, SHA-256 of what is left, and the runs (start, end).
 
     Texts are UTF-8 bytes, null is empty; nothing matches across documents. Texts shorter than ``length`` bytes lose
-    nothing. Texts that occur twice, repeated rows included, lose everything if they are long enough. Other columns do not
-    matter; an empty table gives none. Repeats are judged on the input, so all occurrences of a string go.
+    nothing. Texts that occur twice, repeated rows included, lose everything if they are long enough. Very long texts are
+    worked on in pieces. Other columns do not matter; an empty table gives none. Repeats are judged on the input, so all
+    occurrences of a string go. ``most_segments`` and ``digest_of`` (128 bits of a segment) decide how repeats are found, not which.
     """
     body = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit("").cast("binary"))
     own = docs.select(F.col(f"`{id_col}`").alias("id"), body.alias("body")).withColumn("key", row_key("body"))
-    found = stored(find_segments(own, length, gram), "suffix-segments")
-    same = found.groupBy("m", "d1", "d2").agg(
-        F.count(F.lit(1)).alias("n"), F.max("again").alias("again"), F.first("key.a").alias("ka"), F.first("key.b").alias("kb"),
-        F.first(F.struct("id")).alias("id"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
-    )
-    same = stored(same, "suffix-distinct")
-    mixed = same.groupBy("m").agg(F.count(F.lit(1)).alias("kinds"), F.max("again").alias("any_again")).where("kinds > 1 or any_again")
-    candidates = same.join(mixed, "m").select(
-        F.struct(F.col("ka").alias("a"), F.col("kb").alias("b")).alias("key"), F.col("id.id").alias("id"),
-        "m", "d1", "d2", "lo", "hi", (F.col("kinds") > most_segments).alias("hot"),
-    )
-    texts = stored(segment_texts(stored(candidates, "suffix-candidates"), own, length), "suffix-texts")
-    whole = same.where("n > 1").select(
-        "m", "d1", "d2", F.array(F.struct(F.lit(0).cast("long").alias("lo"), (F.col("hi") - F.col("lo")).alias("hi"))).alias("found")
-    )
-    repeats = whole.unionByName(sorted_repeats(texts, length)).unionByName(hashed_repeats(texts))
-    repeats = repeats.select("m", "d1", "d2", F.explode("found").alias("r"))
-    covered = found.select("key", "m", "d1", "d2", F.col("lo").alias("base")).join(repeats, ["m", "d1", "d2"])
-    covered = covered.select("key", (F.col("base") + F.col("r.lo")).alias("start"), (F.col("base") + F.col("r.hi") + length).alias("end"))
-    spans = covered.distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("raw"))
-    spans = stored(merged_spans(spans), "suffix-spans")
+    found = stored(find_segments(own, length, gram, digest_of).withColumn("c", F.lit(0)), "suffix-segments")
+    spans = repeated_ranges(found, own, length, most_segments)
 
     base = own.select("id", "key", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("own_sha"))
     sizes = base.select("key", "n_bytes").distinct()

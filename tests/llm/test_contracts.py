@@ -1,6 +1,7 @@
 """The corpus operators against plain versions, on rows with every awkward case and on the smallest tables."""
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +228,53 @@ def test_sql_twin_on_the_smallest_tables(spark, name):
         "op10_suffix_dedup": lambda: brute.repeats(docs),
     }[name]()
     assert sorted(con.execute(queries.SQL[name]).fetchall(), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("most_segments", [1, 1024])
+def test_repeats_are_told_by_bytes_when_hashes_collide(spark, monkeypatch, most_segments):
+    """Texts of one length whose segments and windows have equal hashes: some equal, some not, one inside another text."""
+    monkeypatch.setattr(suffix_dedup, "window_hashes", lambda polynomial, text, at, length: (at * 0).astype("uint64"))
+    rows = [(i, brute.prose(140, 50 + i % 4, 90), "en", "s") for i in range(6)]
+    rows += [(10 + i, f"{brute.prose(60, 300 + i)} {brute.prose(110, 7)} {brute.prose(20 + i, 400 + i)}", "en", "s") for i in range(3)]
+    frame = brute.frame(spark, rows).repartition(3)
+    found = suffix_dedup.repeated_spans(frame, length=200, gram=20, most_segments=most_segments, digest_of=len)
+    found_rows = rows_of(found)
+    monkeypatch.undo()
+    plain = suffix_dedup.repeated_spans(frame, length=200, gram=20)
+    same(plain, REPEATS, found_rows)
+    assert 0 < sum(r[2] for r in found_rows) < sum(r[1] for r in found_rows)
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.select(*REPEATS).collect()]
+
+
+def test_contamination_of_repetitive_texts(spark):
+    """A million equal words against items of many equal words: time follows the length of both."""
+    rows = [(1, "spam " * 1_000_000, "en", "s"), (2, "ham spam " * 30_000 + "spam " * 8, "en", "s"), (3, "a b c a b c a b c a b c", "en", "s")]
+    items = [(1, "spam " * 100_000), (2, "ham " * 20), (3, "spam ham " * 40_000), (4, "b c a b c a b c a b"), (5, "spam spam spam")]
+    found = decontamination.contamination(brute.frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r["doc_id"]: (r["n_hit"], r["item_ids"]) for r in found.collect()}
+    assert got[1] == (1_000_000, ["1", "5"])
+    assert got[2] == (60_008, ["3", "5"])
+    assert got[3] == (10, ["4"])
+
+
+@pytest.mark.parametrize("period", [1, 2, 3, 5, 6, 7, 11])
+def test_thinned_fingerprints_are_in_every_window(period):
+    words = np.tile(np.arange(period), 200)[:137].astype(np.uint64)
+    hashes = decontamination.shingle_hashes(decontamination.mix64(words), 5)
+    at = decontamination.winnow(hashes, 6)
+    for low in range(len(hashes) - 5):
+        inside = at[(at >= low) & (at < low + 6)]
+        assert hashes[low : low + 6].min() in hashes[inside]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 10, 16])
+def test_numbers_of_windows(size):
+    codes = np.random.default_rng(size).integers(0, 3, 300)
+    numbers = decontamination.window_numbers(codes, size)
+    spelled = [tuple(codes[i : i + size]) for i in range(len(codes) - size + 1)]
+    assert len(numbers) == len(spelled)
+    for i in range(0, len(spelled), 7):
+        assert [n == numbers[i] for n in numbers] == [s == spelled[i] for s in spelled]

@@ -194,7 +194,7 @@ def test_repeated_passages_go_and_clean_documents_stay(spark):
 
 
 def test_paragraphs_cover_every_word_once():
-    """Alone or together, texts fall into the same paragraphs, and these hold every word."""
+    """Alone or together, texts fall into the same lines and pieces, and these hold every word."""
     from modelwatch.llm.common import WordHashes
 
     texts = [(t or "").encode() for _, t, *_ in brute.documents()]
@@ -202,8 +202,10 @@ def test_paragraphs_cover_every_word_once():
     assert np.array_equal(np.append(together.start, sum(len(t.split()) for t in texts)), np.append(0, together.end))
     for i, raw in enumerate(texts):
         alone, own = paragraph_dedup.paragraphs([raw], WordHashes()), together.text == i
-        assert np.array_equal(alone.start + together.first_word[i], together.start[own])
-        assert np.array_equal(alone.digests, together.digests[own]) and np.array_equal(alone.bands, together.bands[own])
+        pieces = own[together.line] if len(own) else own
+        assert np.array_equal(alone.start + together.first_word[i], together.start[pieces])
+        assert np.array_equal(alone.digests, together.digests[pieces])
+        assert np.array_equal(alone.bands, together.bands[own]) and np.array_equal(alone.line_digests, together.line_digests[own])
 
 
 @pytest.mark.parametrize("period", range(1, 8))
@@ -215,7 +217,7 @@ def test_repetitive_text_is_cut_into_long_enough_paragraphs(spark, period):
     inside = f"{brute.prose(40, 71, 9000)} {line} {brute.prose(40, 72, 9000)}"
     for text in (line, inside):
         made = paragraph_dedup.paragraphs([text.encode()], WordHashes())
-        assert (made.end - made.start).min() >= paragraph_dedup.LEAST_WORDS
+        assert (made.end - made.start).min() >= paragraph_dedup.PIECE_WORDS
     rows = [(i, f"{brute.prose(30, i, 9000)}\n{line}", "en", "s") for i in (1, 2)]
     found = {r["doc_id"]: r for r in paragraph_dedup.repeated_paragraphs(brute.frame(spark, rows)).collect()}
     assert found[2]["n_words_removed"] == 60
@@ -270,9 +272,95 @@ def test_near_lines_go_whole_and_passages_to_their_last_word(spark):
     assert found[300] == 0 and all(found[i] == 60 for i in range(301, 312))
 
 
-def test_equal_words_at_the_front():
-    a = np.array([1, 2, 3, 4], ">u4").tobytes()
-    assert [paragraph_dedup.equal_words(a, np.array(b, ">u4").tobytes()) for b in ([1, 2, 9], [0], [], [1, 2, 3, 4, 5])] == [2, 0, 0, 4]
+def test_words_that_resume_after_an_edit():
+    same = lambda a, b: paragraph_dedup.resumed(a.split(), b.split())
+    assert same("a b c d", "a b x d e f") == 2 and same("", "a") == 0 and same("a b", "a b c") == 2
+    assert same("a b X c d e f g", "a b Y c d e f z") == 7  # another word, four equal ones behind it
+    assert same("a b c d e f", "a b Y c d e f") == 6 and same("a b X Y c d e f", "a b c d e f") == 8
+    assert same("a X c d e Z g h i j", "a c d e W g h i j") == 1  # too few equal words between the edits
+
+
+@pytest.mark.parametrize("words,edits", [(60, 0), (60, 1), (100, 1), (100, 2), (200, 3)])
+def test_near_passages_inside_other_text_lose_nine_words_of_ten(spark, words, edits):
+    """Forty pairs of documents that share a passage with changed words, each inside text of its own."""
+    rows, lost = [], 0
+    for i in range(40):
+        passage = brute.prose(words, 5000 + 100 * edits + i, 9000).split()
+        around = [brute.prose(30 + i % 9, 7000 + 10 * i + j, 9000) for j in range(4)]
+        rows.append((i, f"{around[0]} {' '.join(passage)} {around[1]}", "en", "s"))
+        for j in range(edits):
+            passage[(j + 1) * words // (edits + 1) - i % 7] = f"new{i}x{j}"
+        rows.append((100 + i, f"{around[2]} {' '.join(passage)} {around[3]}", "en", "s"))
+    found = {r["doc_id"]: r["n_words_removed"] for r in paragraph_dedup.repeated_paragraphs(brute.frame(spark, rows)).collect()}
+    assert all(found[i] == 0 for i in range(40)) and all(found[100 + i] <= words for i in range(40))
+    lost = sum(found[100 + i] for i in range(40))
+    print(words, edits, lost / (40 * words))
+    assert lost >= 0.9 * 40 * words
+
+
+def plain_repeats(rows, least_words, least_run_words):
+    """Words removed per (doc_id, text), from all pairs of lines and all equal pieces; the cuts are the operator's own."""
+    from modelwatch.llm.common import WordHashes
+
+    cache, lines, pieces = WordHashes(), [], []
+    for n, (i, text) in enumerate(rows):
+        p = paragraph_dedup.paragraphs([(text or "").encode()], cache)
+        spoken = (text or "").encode().lower().split()
+        place = ((i is not None, i or 0), n)
+        lines += [(place, k, a, b, tuple(spoken[a:b])) for k, (a, b) in enumerate(zip(p.line_start, p.line_end, strict=True))]
+        pieces += [(place, k, a, b, tuple(spoken[a:b]), p.line[k]) for k, (a, b) in enumerate(zip(p.start, p.end, strict=True))]
+    shingles = [{w[j : j + 5] for j in range(max(1, len(w) - 4))} for *_, w in lines]
+    group = list(range(len(lines)))
+    for x in range(len(lines)):
+        for y in range(x):
+            common = len(shingles[x] & shingles[y])
+            if group[x] != group[y] and 100 * common >= 80 * (len(shingles[x]) + len(shingles[y]) - common):
+                old, new = group[x], group[y]
+                group = [new if g == old else g for g in group]
+    first = {}
+    for g, line in sorted(zip(group, lines, strict=True), key=lambda x: x[1][:2]):
+        first.setdefault(g, line[:2])
+    gone = {n: [] for n in range(len(rows))}
+    whole = set()
+    for g, (place, k, a, b, _) in zip(group, lines, strict=True):
+        if first[g] != (place, k):
+            gone[place[1]].append((a, b, True))
+            whole.add((place, k))
+    left = sorted((p for p in pieces if (p[0], p[5]) not in whole), key=lambda p: p[:2])
+    seen = {}
+    for place, k, a, b, w, line in left:
+        if w in seen:
+            gone[place[1]].append((a, b, False))
+        seen.setdefault(w, (place, k))
+    out = []
+    for n, (_, text) in enumerate(rows):
+        spans, total = [], len((text or "").split())
+        for a, b, is_line in sorted(gone[n]):
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(b, spans[-1][1])
+                spans[-1][2] |= is_line and b - a >= least_words
+            else:
+                spans.append([a, b, is_line and b - a >= least_words])
+        out.append(sum(b - a for a, b, line in spans if line or b - a >= min(least_run_words, total)))
+    return out
+
+
+@pytest.mark.parametrize("least", [(6, 15), (0, 0)])
+def test_units_links_and_components_against_all_pairs(spark, monkeypatch, least):
+    """Lines near and equal, in groups and chains; equal pieces of other lines, here not extended."""
+    monkeypatch.setattr(paragraph_dedup, "resumed", lambda a, b: 0)
+    rows = []
+    for i in range(12):
+        words = brute.prose(40, 900 + i % 3, 9000).split()
+        for j in range(i // 3):
+            words[5 + 9 * j] = f"e{i}x{j}"
+        rows.append((i, f"{' '.join(words)}\nown line {i} of few\n{brute.prose(25, 40 + i, 9000)}\nshort line\nSame line of seven words in all"))
+    rows += [(20, None), (21, " \n"), (3, rows[3][1] + "\nmore"), (None, rows[5][1] + "\nnull " * 3)]
+    frame = brute.frame(spark, [(i, t, "en", "s") for i, t in rows]).repartition(3)
+    found = paragraph_dedup.repeated_paragraphs(frame, least_words=least[0], least_run_words=least[1])
+    got = sorted(((r["doc_id"], r["n_words_removed"]) for r in found.collect()), key=repr)
+    want = sorted(((i, n) for (i, _), n in zip(rows, plain_repeats(rows, *least), strict=True)), key=repr)
+    assert got == want
 
 
 def test_paragraphs_of_awkward_rows(docs):
