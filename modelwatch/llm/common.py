@@ -40,6 +40,26 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return out
 
 
+#: Most bytes and rows of one exchange with a Python worker where texts are long or lists many.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
+def stored_by_small_batches(df: DataFrame, purpose: str) -> DataFrame:
+    """As ``stored``, with small batches to and from Python workers, so that neither side of an executor holds many texts at once.
+
+    The settings are the session's again afterwards.
+    """
+    conf = df.sparkSession.conf
+    before = {name: conf.get(name) for name in BATCH}
+    try:
+        for name, value in BATCH.items():
+            conf.set(name, value)
+        return stored(df, purpose)
+    finally:
+        for name, value in before.items():
+            conf.set(name, value)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables that ``stored`` wrote, once everything that reads them has been stored itself."""
     for df in frames:

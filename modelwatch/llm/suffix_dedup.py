@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from modelwatch.llm.common import mix64, release, row_key, stored
+from modelwatch.llm.common import mix64, release, row_key
+from modelwatch.llm.common import stored_by_small_batches as stored
 
 LENGTH, GRAM = 400, 40
 #: Bytes of a text that are worked on at a time; texts may be longer.
@@ -51,12 +52,16 @@ class Polynomial:
                 factors[0] = 1
                 setattr(self, name, np.multiply.accumulate(factors))
 
-    def prefixes(self, text: np.ndarray) -> np.ndarray:
-        self._reach(len(text) + 1)
-        out = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum(self.table[text] * self.powers[: len(text)], out=out[1:])
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Prefix hashes over 64-bit values."""
+        self._reach(len(values) + 1)
+        out = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.powers[: len(values)], out=out[1:])
         return out
 
+    def prefixes(self, text: np.ndarray) -> np.ndarray:
+        return self.sums(self.table[text])
+
     def of(self, prefixes: np.ndarray, start: np.ndarray, length) -> np.ndarray:
         """Hashes of the strings of ``length`` bytes at ``start``."""
         return (prefixes[start + length] - prefixes[start]) * self.inverses[start]
@@ -466,7 +471,8 @@ def repeated_spans(
     partial = stored(partial, "suffix-partial")
     texts_left = only_needed(own, partial.select(F.col("of_key").alias("key")))
     kept = kept_digests(texts_left.join(partial, F.col("key") == F.col("of_key")).select("key", "body", "spans"))
-    kept = kept.dropDuplicates(["key"])
+    kept = stored(kept.dropDuplicates(["key"]), "suffix-kept")
+    release(partial)
     none = F.lit(0).cast("long")
     return base.join(spans, "key", "left").join(kept, "key", "left").select(
         F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"),
