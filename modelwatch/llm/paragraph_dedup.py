@@ -20,16 +20,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from modelwatch.llm.common import WordHashes, mix64, packed, release, row_key, shingle_hashes, signed, stored, unpacked
+from modelwatch.llm.common import mix64, packed, release, row_key, shingle_hashes, signed, unpacked
+from modelwatch.llm.common import stored_by_small_batches as stored
 from modelwatch.llm.components import connected_components
 from modelwatch.llm.decontamination import bit_filter
-from modelwatch.llm.minhash import links_across, verified
-from modelwatch.llm.suffix_dedup import only_needed, smallest_in_windows, without
+from modelwatch.llm.minhash import links_across, second_permutation, verified
+from modelwatch.llm.suffix_dedup import Polynomial, only_needed, smallest_in_windows, without
 
 WIDTH, PERCENT = 5, 80
-#: Eight bands of two rows miss a pair of similarity 0.8 with probability (1 - 0.8**2)**8 = 0.0003; of lines that merely share a
+#: Six bands of two rows miss a pair of similarity 0.8 with probability (1 - 0.8**2)**6 = 0.002; of lines that merely share a
 #: common shingle few share the least of two orders.
-BANDS, ROWS = 8, 2
+BANDS, ROWS = 6, 2
 #: Words to both sides among which a cut must have the smallest hash: pieces inside a line have 13 words on average.
 REACH = 6
 #: No cut leaves fewer words than this to its line's start or end.
@@ -41,10 +42,9 @@ RESUME = 4
 #: A repeated line of so many words goes by itself; passages inside lines, and shorter lines, go in runs of so many words.
 LEAST_WORDS, LEAST_RUN_WORDS = 6, 15
 #: Bits of the filter over bands that occur twice; its size is fixed.
-BAND_BITS = 2**26
+BAND_BITS = 2**28
 WORD = re.compile(rb"[^ \t-\r]+")
 TOP = np.uint64(2**64 - 1)
-STRIDE = np.full(1, 0xD6E8FEB86659FD93, np.uint64)
 
 
 def spaced(at: np.ndarray, line: np.ndarray, least: int) -> np.ndarray:
@@ -57,7 +57,7 @@ def spaced(at: np.ndarray, line: np.ndarray, least: int) -> np.ndarray:
     return at[keep]
 
 
-def cuts(lines: list[int], pairs: np.ndarray, reach: int) -> np.ndarray:
+def cuts(lines: np.ndarray, pairs: np.ndarray, reach: int) -> np.ndarray:
     """First words of all paragraphs: line starts, and words whose pair hash is smallest within ``reach`` words of its line.
 
     Equal hashes (repetitive text) do not cut nearer than ``reach`` + 1 words, and no cut leaves fewer than ``PIECE_WORDS``
@@ -94,57 +94,89 @@ class Paragraphs:
     first_word: np.ndarray
 
 
-def paragraphs(raws: Sequence[bytes | None], cache: WordHashes, reach: int = REACH) -> Paragraphs:
+SPACE = np.zeros(256, bool)
+SPACE[list(b" \t\n\r\x0b\f")] = True
+#: Bytes that are hashed at a time.
+SLICE = 1 << 22
+SPELLING = Polynomial(5)
+
+
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and 64-bit hash of every word of a text, from prefix hashes over its bytes, slice by slice."""
+    starts, hashes, at = [], [], 0
+    while at < len(data):
+        piece = np.frombuffer(data, np.uint8, min(SLICE, len(data) - at), at)
+        space = SPACE[piece]
+        if at + len(piece) < len(data):  # no word is cut in two: the slice ends behind its last space
+            last = np.flatnonzero(space)
+            end = at + int(last[-1]) + 1 if len(last) else next_space(data, at + len(piece))
+            piece = np.frombuffer(data, np.uint8, end - at, at)
+            space = SPACE[piece]
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
+        first, size = edges[::2], edges[1::2] - edges[::2]
+        hashes.append(mix64(SPELLING.of(SPELLING.prefixes(piece), first, size) + size.astype(np.uint64)))
+        starts.append(first + at)
+        at += len(piece)
+    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def next_space(data: bytes, at: int) -> int:
+    """Position behind the next space from ``at`` on."""
+    found = re.compile(rb"[ \t-\r]").search(data, at)
+    return found.end() if found else len(data)
+
+
+def paragraphs(raws: Sequence[bytes | None], reach: int = REACH) -> Paragraphs:
     """Cut texts into lines and pieces; texts are taken together but do not see each other, as lines do not."""
-    lines: list[int] = []
-    own_text: list[int] = []
-    spoken: list[bytes] = []
-    first_word = np.zeros(len(raws), np.int64)
-    for i, raw in enumerate(raws):
-        first_word[i] = len(spoken)
-        for line in (raw or b"").lower().split(b"\n"):
-            if found := line.split():
-                lines.append(len(found))
-                own_text.append(i)
-                spoken += found
-    if not lines:
+    parts = [(raw or b"").lower() for raw in raws]
+    data = b"\n".join(parts)
+    text_at = np.cumsum([0] + [len(part) + 1 for part in parts[:-1]]) if parts else np.zeros(0, np.int64)
+    word_at, words = hashed_words(data)
+    first_word = np.searchsorted(word_at, text_at)
+    if not len(words):
         none, two = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
         return Paragraphs(none, none, none, two, none, none, two, np.zeros((0, BANDS), np.uint64), none, first_word)
-    words = cache.of(spoken)
+    breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    in_line = np.searchsorted(breaks, word_at)
+    line_start = np.flatnonzero(np.diff(in_line, prepend=-1))
+    line_end = np.append(line_start[1:], len(words))
+    lines, own_text = line_end - line_start, np.searchsorted(text_at, word_at[line_start], side="right") - 1
     pairs = mix64(words * np.uint64(0x9E3779B97F4A7C15) + np.append(words[1:], np.uint64(0)))
-    line_end = np.cumsum(lines)
-    line_start = line_end - lines
     pairs[line_end - 1] = TOP
     start = cuts(lines, pairs, reach)
+    end, lines_at = np.append(start[1:], len(words)), (line_start, line_end)
+    sums = [p.sums(words) for p in POLYNOMIALS]
+    of_runs = lambda a, b: np.column_stack([mix64(p.of(s, a, b - a)) for p, s in zip(POLYNOMIALS, sums, strict=True)])
+    line_digests = of_runs(*lines_at)
     return Paragraphs(
-        start, np.append(start[1:], len(words)), np.searchsorted(line_end, start, side="right"), digests(words, start),
-        line_start, line_end, digests(words, line_start), band_hashes(words, line_start, line_end), np.array(own_text), first_word,
+        start, end, np.searchsorted(line_end, start, side="right"), of_runs(start, end), *lines_at, line_digests,
+        band_hashes(words, *lines_at, line_digests[:, 0]), own_text, first_word,
     )
 
 
-def digests(words: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Two hashes of all runs of words that begin at ``start``, each up to the next: sums over words mixed with their places."""
-    place = (np.arange(len(words)) - np.repeat(start, np.diff(np.append(start, len(words))))).astype(np.uint64)
-    return np.column_stack([np.add.reduceat(mix64(words + mix64(place + np.uint64(c))), start) for c in (0x1F3D5B79, 0x2E4C6A88)])
+#: Prefix hashes over the words of a text give the hashes of all its pieces and lines.
+POLYNOMIALS = (Polynomial(3), Polynomial(4))
 
 
-def band_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """MinHash bands of every line. A line of fewer words than a shingle has no other shingle than itself."""
-    shingles = np.full(len(words), TOP)
+def band_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray, itself: np.ndarray) -> np.ndarray:
+    """MinHash bands of every line; orders of shingles are permutations of 32 bits. A line of fewer words than a shingle has no
+    other shingle than ``itself``."""
+    spread = np.zeros(len(words), np.uint32)
     if len(words) >= WIDTH:
-        shingles[: len(words) - WIDTH + 1] = shingle_hashes(words, WIDTH)
+        spread[: len(words) - WIDTH + 1] = shingle_hashes(words, WIDTH) >> np.uint64(32)
     size = end - start
     crossing = np.arange(len(words)) + WIDTH > np.repeat(end, size)
     short = np.flatnonzero(size < WIDTH)
-    itself = digests(words, start)[short, 0]
+    alone = (itself[short] >> np.uint64(32)).astype(np.uint32)
     out = np.zeros((len(start), BANDS), np.uint64)
     for c in range(BANDS * ROWS):
-        order = mix64(shingles + STRIDE * np.array(c + 1, np.uint64))
-        order[crossing] = TOP
+        shift = np.uint32((c + 1) * 0x9E3779B1 % 2**32)
+        order = second_permutation(spread + shift)
+        order[crossing] = 0xFFFFFFFF
         least = np.minimum.reduceat(order, start)
-        least[short] = mix64(itself + STRIDE * np.array(c + 1, np.uint64))
-        out[:, c // ROWS] = mix64(out[:, c // ROWS] * np.uint64(0x9E3779B97F4A7C15) + least)
-    return mix64(out + np.arange(BANDS, dtype=np.uint64))
+        least[short] = second_permutation(alone + shift)
+        out[:, c // ROWS] = (out[:, c // ROWS] << np.uint64(32)) | least
+    return mix64(out * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
 def chunks(batch: pa.RecordBatch, column: int, rows: int = 100):
@@ -157,10 +189,9 @@ def hashed_units(own: DataFrame) -> DataFrame:
     """Band hashes of all lines and one hash of all pieces, one row each."""
 
     def run(batches):
-        cache = WordHashes()
         for batch in batches:
             for _, raws in chunks(batch, 0):
-                p = paragraphs(raws, cache)
+                p = paragraphs(raws)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([p.bands.ravel(), p.digests[:, 0]])))], names=["h"])
 
     return own.select("body").mapInArrow(run, "h long")
@@ -183,13 +214,12 @@ def candidate_units(own: DataFrame, bits) -> DataFrame:
         return ((word >> (hashes & np.uint64(63))) & np.uint64(1)).astype(bool)
 
     def run(batches):
-        cache = WordHashes()
         for batch in batches:
             for low, raws in chunks(batch, 2):
-                yield units(batch.slice(low, len(raws)), raws, cache)
+                yield units(batch.slice(low, len(raws)), raws)
 
-    def units(rows, raws, cache):
-        p, n = paragraphs(raws, cache), len(raws)
+    def units(rows, raws):
+        p, n = paragraphs(raws), len(raws)
         piece_text = p.text[p.line] if len(p.line) else p.line
         counts = np.bincount(piece_text, minlength=n)
         n_all = np.bincount(p.text, weights=p.line_end - p.line_start, minlength=n).astype(np.int64)
@@ -342,12 +372,13 @@ def extended(pieces: DataFrame, own: DataFrame) -> DataFrame:
     """
     kept = ["key", "no", *PLACE]
     flat = pieces.select("key", "line", "no", *PLACE, "n_all", "kept_in", *[F.col(f"keeper.{c}").alias(f"kept_{c}") for c in kept])
-    flat = flat.withColumn("shift", F.col("kept_no") - F.col("no")).distinct()
+    flat = flat.withColumn("shift", F.col("kept_no") - F.col("no"))
     together = ["key", "line", "kept_key", "shift"]
-    flat = flat.withColumn("run", F.col("no") - F.row_number().over(W.Window.partitionBy(*together).orderBy("no")))
+    # Rows that repeat a document have its pieces again: the dense rank takes them as one.
+    flat = flat.withColumn("run", F.col("no") - F.dense_rank().over(W.Window.partitionBy(*together).orderBy("no")))
     ends = [f(c).alias(c) for c, f in zip(PLACE, (F.min, F.max, F.min, F.max), strict=True)]
     ends += [f(f"kept_{c}").alias(f"kept_{c}") for c, f in zip(PLACE, (F.min, F.max, F.min, F.max), strict=True)]
-    runs = flat.groupBy(*together, "run").agg(*ends, F.count(F.lit(1)).cast("int").alias("n_pieces"), F.first("n_all").alias("n_all"), F.first("kept_in").alias("kept_in"))
+    runs = flat.groupBy(*together, "run").agg(*ends, (F.max("no") - F.min("no") + 1).alias("n_pieces"), F.first("n_all").alias("n_all"), F.first("kept_in").alias("kept_in"))
     runs = stored(runs, "paragraph-runs")
     places = runs.select("key", "low", "high").unionByName(runs.select(F.col("kept_key").alias("key"), F.col("kept_low").alias("low"), F.col("kept_high").alias("high")))
     words = stored(spoken_words(places, own), "paragraph-words")

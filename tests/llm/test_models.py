@@ -195,13 +195,11 @@ def test_repeated_passages_go_and_clean_documents_stay(spark):
 
 def test_paragraphs_cover_every_word_once():
     """Alone or together, texts fall into the same lines and pieces, and these hold every word."""
-    from modelwatch.llm.common import WordHashes
-
     texts = [(t or "").encode() for _, t, *_ in brute.documents()]
-    together = paragraph_dedup.paragraphs(texts, WordHashes())
+    together = paragraph_dedup.paragraphs(texts)
     assert np.array_equal(np.append(together.start, sum(len(t.split()) for t in texts)), np.append(0, together.end))
     for i, raw in enumerate(texts):
-        alone, own = paragraph_dedup.paragraphs([raw], WordHashes()), together.text == i
+        alone, own = paragraph_dedup.paragraphs([raw]), together.text == i
         pieces = own[together.line] if len(own) else own
         assert np.array_equal(alone.start + together.first_word[i], together.start[pieces])
         assert np.array_equal(alone.digests, together.digests[pieces])
@@ -211,12 +209,10 @@ def test_paragraphs_cover_every_word_once():
 @pytest.mark.parametrize("period", range(1, 8))
 def test_repetitive_text_is_cut_into_long_enough_paragraphs(spark, period):
     """A line that says the same 1 to 7 words again and again, alone and inside other text."""
-    from modelwatch.llm.common import WordHashes
-
     line = " ".join(f"p{i % period}" for i in range(60))
     inside = f"{brute.prose(40, 71, 9000)} {line} {brute.prose(40, 72, 9000)}"
     for text in (line, inside):
-        made = paragraph_dedup.paragraphs([text.encode()], WordHashes())
+        made = paragraph_dedup.paragraphs([text.encode()])
         assert (made.end - made.start).min() >= paragraph_dedup.PIECE_WORDS
     rows = [(i, f"{brute.prose(30, i, 9000)}\n{line}", "en", "s") for i in (1, 2)]
     found = {r["doc_id"]: r for r in paragraph_dedup.repeated_paragraphs(brute.frame(spark, rows)).collect()}
@@ -242,10 +238,8 @@ def test_copies_lose_all_their_words_and_repeated_lines_go(spark):
 
 def test_near_paragraphs_are_linked(spark):
     """Two lines of one paragraph each that differ in their last word only: 17 shingles each, 16 of them shared."""
-    from modelwatch.llm.common import WordHashes
-
     def alone(text):
-        return len(paragraph_dedup.paragraphs([text.encode()], WordHashes()).start) == 1
+        return len(paragraph_dedup.paragraphs([text.encode()]).start) == 1
 
     lines = (brute.prose(21, seed, 9000) for seed in range(2000))
     line = next(x for x in lines if alone(x) and alone(x.rsplit(" ", 1)[0] + " other"))
@@ -298,13 +292,21 @@ def test_near_passages_inside_other_text_lose_nine_words_of_ten(spark, words, ed
     assert lost >= 0.9 * 40 * words
 
 
+@pytest.mark.parametrize("slice_bytes", [7, 64, 1 << 22])
+def test_words_are_found_and_hashed_as_split_finds_them(monkeypatch, slice_bytes):
+    monkeypatch.setattr(paragraph_dedup, "SLICE", slice_bytes)
+    for text in (b"", b" \n", b"one", b" a  b\tc\x0bd\x0ce\rf\n\ng ", b"x" * 50 + b" y " + b"z" * 20, "é 日本 ü a".encode(), brute.prose(300, 3).encode()):
+        at, hashes = paragraph_dedup.hashed_words(text)
+        words = text.split()
+        assert [text[a : a + len(w)] for a, w in zip(at, words, strict=True)] == words
+        assert len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
+
+
 def plain_repeats(rows, least_words, least_run_words):
     """Words removed per (doc_id, text), from all pairs of lines and all equal pieces; the cuts are the operator's own."""
-    from modelwatch.llm.common import WordHashes
-
-    cache, lines, pieces = WordHashes(), [], []
+    lines, pieces = [], []
     for n, (i, text) in enumerate(rows):
-        p = paragraph_dedup.paragraphs([(text or "").encode()], cache)
+        p = paragraph_dedup.paragraphs([(text or "").encode()])
         spoken = (text or "").encode().lower().split()
         place = ((i is not None, i or 0), n)
         lines += [(place, k, a, b, tuple(spoken[a:b])) for k, (a, b) in enumerate(zip(p.line_start, p.line_end, strict=True))]
