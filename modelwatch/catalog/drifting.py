@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from modelwatch.catalog import views as v
 from modelwatch.catalog.registry import query, rounded
-from modelwatch.operators import drift
+from modelwatch.operators import drift, reference_values
+from modelwatch.session import scratch_dir
 
 FEATURES = v.LINE_FEATURES
 SCALED = {"l_quantity": "l_quantity * 1.3e0", "l_discount": "l_discount + 0.02e0"}
@@ -198,6 +199,16 @@ def drift_selected(spark, sf):
     return rounded(found.select(*JUDGED))
 
 
+@query("drift_from_stored_reference", v.with_views(*selected_views()) + SELECTED_OUT)
+def drift_from_stored_reference(spark, sf):
+    """The reference's distinct values are counted once and stored; the run reads these and the current rows."""
+    path = scratch_dir(spark, "reference-values")
+    reference_values.store_reference_values(v.reference_features(spark, sf), FEATURES, path)
+    stored = reference_values.open_reference_values(spark, path)
+    found = reference_values.drift_from_stored(stored, v.current_features(spark, sf))
+    return rounded(found.select(*JUDGED))
+
+
 @query("drift_after_scaling", v.with_views(*selected_views(SCALED)) + SELECTED_OUT)
 def drift_after_scaling(spark, sf):
     found = drift.detect_drift(v.reference_features(spark, sf), shifted(spark, sf), FEATURES)

@@ -275,6 +275,32 @@ def rf_replay(spark, sf):
     return rounded(evaluate.evaluate(scored, ["model"]))
 
 
+@query(
+    "replay_counts",
+    """WITH known AS (
+         SELECT CAST(d.doc_id AS VARCHAR) AS prediction_id, toxic AS true_label,
+                ('0x' || substr(md5(CAST(d.doc_id AS VARCHAR) || '|42'), 1, 13))::BIGINT AS u
+         FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+       ranked AS (
+         SELECT *, row_number() OVER (PARTITION BY true_label ORDER BY u, prediction_id) - 1 AS rk,
+                count(*) OVER (PARTITION BY true_label) AS n FROM known)
+       SELECT model, count(*) AS n, CAST(sum(true_label) AS BIGINT) AS positives, 0 AS unscored
+       FROM ranked, (SELECT unnest(['broad', 'narrow', 'single']) AS model) WHERE rk < round(n * 0.3e0) GROUP BY model""",
+)
+def replay_counts(spark, sf):
+    """Three forests replayed on the same held-out rows in one pass: rows and class sums per model, and rows without a score."""
+    rows = model.stratified_split(documents_with_features(spark, sf), "true_label", "prediction_id", 0.3, 42)
+    train, held_out = rows.filter("split = 'train'").persist(), rows.filter("split = 'test'")
+    chosen = {"broad": DOC_FEATURES, "narrow": DOC_FEATURES[:2], "single": DOC_FEATURES[:1]}
+    fitted = {name: model.fit_forest(train, features) for name, features in chosen.items()}
+    train.unpersist()
+    scored = model.replay(held_out, fitted, DOC_FEATURES)
+    missing = F.col("probability").isNull() | F.isnan("probability")
+    return scored.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("true_label").cast("bigint")).alias("positives"), F.count_if(missing).cast("int").alias("unscored")
+    )
+
+
 @query("feature_importance")
 def feature_importance(spark, sf):
     fitted = model.fit_forest(documents_with_features(spark, sf), DOC_FEATURES)

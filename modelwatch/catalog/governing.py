@@ -9,6 +9,9 @@ from modelwatch.catalog import views as v
 from modelwatch.catalog.drifting import SIGNAL_SQL, run_reports
 from modelwatch.catalog.registry import query, rounded
 from modelwatch.operators import drift, evaluate, gates, labels, registry
+from modelwatch.plans import rounds
+from modelwatch.session import scratch_dir
+from modelwatch.sources import commits
 
 D, VER, P = v.DECISIONS_SQL, v.VERSIONS_SQL, v.PREDICTIONS_SQL
 AT = "2002-01-01 00:00:00"
@@ -187,6 +190,14 @@ def segment_regression(spark, sf):
     return rounded(gates.segment_regression(found))
 
 
+#: Segments of at least 30 rows whose F1 the challenger loses by more than five per cent.
+REGRESSED_SQL = v.with_views(ev.SEGMENT_ROWS, *ev.full_views("v_segments", ev.SEGMENT_BY)) + """
+  SELECT p.segment FROM (SELECT * FROM v_metrics WHERE model = 'production' AND num_samples >= 30) p
+  JOIN (SELECT * FROM v_metrics WHERE model = 'shadow' AND num_samples >= 30) s
+    ON p.segment_feature = s.segment_feature AND p.segment = s.segment
+  WHERE p.f1_score > 0 AND (s.f1_score - p.f1_score) / p.f1_score * 100 < -5"""
+
+
 def replay_candidate(spark, sf):
     """What the gates judge of two replayed models; the cooldown counts from the newest promotion of any model."""
     now = F.lit(AT).cast("timestamp_ntz")
@@ -209,13 +220,16 @@ def replay_candidate(spark, sf):
 
 @query(
     "replay_gate",
-    v.with_views(*ev.MODEL_VIEWS, ev.COMPARISON_SQL)
+    v.with_views(D, *ev.MODEL_VIEWS, ev.COMPARISON_SQL)
     + f"""SELECT shadow_num_samples AS num_samples, {v.r6('f1_improvement_pct')}, {v.r6('brier_change')},
                  CASE WHEN shadow_num_samples < 200 THEN 'sufficient_samples'
                       WHEN (SELECT count(*) FROM v_labels) / (SELECT count(*) FROM v_scored) * 100 < 30
                         THEN 'minimum_coverage'
+                      WHEN (SELECT max("timestamp") FROM v_decisions WHERE action = 'promote' AND "timestamp" <= {AT_SQL})
+                           > {AT_SQL} - INTERVAL 7 DAY THEN 'promotion_cooldown'
                       WHEN f1_improvement_pct < 2 THEN 'metric_improvement'
-                      WHEN brier_change > 0.01 THEN 'calibration_maintained' END AS failed_gate
+                      WHEN brier_change > 0.01 THEN 'calibration_maintained'
+                      WHEN EXISTS (FROM ({REGRESSED_SQL})) THEN 'no_segment_regression' END AS failed_gate
           FROM v_comparison""",
 )
 def replay_gate(spark, sf):
@@ -354,6 +368,54 @@ def version_upsert(spark, sf):
     return rounded(out.select(*columns))
 
 
+ROUND_SQL = """v_round AS (
+  SELECT model_name, CAST(max(version) + 1 AS INTEGER) AS version,
+         CASE CAST(substr(model_name, 7) AS INTEGER) % 3 WHEN 0 THEN 'promote' WHEN 1 THEN 'reject' ELSE 'skip' END AS action
+  FROM v_versions GROUP BY model_name),
+v_drift AS (SELECT model_name, avg(feature_drift_ratio) AS feature_drift_ratio FROM v_decisions GROUP BY model_name)"""
+
+
+@query(
+    "round_state",
+    v.with_views(D, VER, ROUND_SQL)
+    + f"""SELECT s.*, CASE WHEN s.version = r.version THEN r.action END AS decided,
+                 CASE WHEN s.version = r.version THEN {v.r6('d.feature_drift_ratio', 'x').replace(' AS x', '')} END AS drift_at_decision
+          FROM (
+            SELECT m.model_name, m.version,
+                   CASE WHEN r.action = 'promote' AND stage = 'Production' THEN 'Archived' ELSE stage END AS stage, promoted_at,
+                   CASE WHEN r.action = 'promote' AND stage = 'Production' THEN {AT_SQL} ELSE archived_at END AS archived_at
+            FROM v_versions m JOIN v_round r USING (model_name)
+            UNION ALL
+            SELECT model_name, version, CASE action WHEN 'promote' THEN 'Production' ELSE 'Archived' END,
+                   CASE action WHEN 'promote' THEN {AT_SQL} END, CASE action WHEN 'reject' THEN {AT_SQL} END
+            FROM v_round WHERE action <> 'skip') s
+          JOIN v_round r USING (model_name) JOIN v_drift d USING (model_name)""",
+)
+def round_state(spark, sf):
+    """One round over all models: challengers promoted, rejected or skipped; version table, decisions and records in one commit.
+    A second round that was decided on the state before it is turned away."""
+    root = scratch_dir(spark, "rounds")
+    start = rounds.publish_round(spark, root, commits.latest(spark, root), v.versions(spark, sf))
+    number = F.col("model_name").substr(7, 9).cast("int") % 3
+    newest = rounds.read_round(spark, root)["versions"].groupBy("model_name").agg((F.max("version") + 1).cast("int").alias("version"))
+    context = v.decisions(spark, sf).groupBy("model_name").agg(F.avg("feature_drift_ratio").alias("feature_drift_ratio"))
+    action = F.when(number == 0, "promote").when(number == 1, "reject").otherwise("skip")
+    decision = newest.withColumns({"action": action, "timestamp": F.lit(AT).cast("timestamp_ntz")}).join(context, "model_name")
+    decision = decision.withColumnRenamed("version", "shadow_model_version")
+    challengers = newest.withColumns({"stage": F.lit("Staging"), "trained_at": F.lit(AT).cast("timestamp_ntz")})
+    rounds.finish_round(spark, root, start, decision, challengers, AT)
+    try:
+        rounds.finish_round(spark, root, start, decision.withColumn("action", F.lit("promote")), challengers, AT)
+        raise AssertionError("a stale round was published")
+    except commits.StaleVersion:
+        state = rounds.read_round(spark, root)
+    made = state["decisions"].select(
+        "model_name", F.col("shadow_model_version").alias("version"), F.col("action").alias("decided"),
+        F.col("feature_drift_ratio").alias("drift_at_decision"),
+    )
+    return rounded(state["versions"].select(*STATE).join(made, ["model_name", "version"], "left"))
+
+
 @query(
     "model_timeline",
     v.with_views(D, VER)

@@ -51,7 +51,8 @@ DEFAULT_RULES = (
 )
 
 
-def _melt(df: DataFrame, features: Sequence[str], cuts: Cuts, reference: bool) -> DataFrame:
+def melted(df: DataFrame, features: Sequence[str], cuts: Cuts, reference: bool) -> DataFrame:
+    """One row per finite cell: feature (its position in the list), bucket, value, and 1 in the count of its side."""
     wide = df.select(*[F.col(f).cast("double").alias(f) for f in features])
     buckets = {f: F.lit(0) for f in features}
     for i, f in enumerate(features):
@@ -77,11 +78,15 @@ def plan_feature_cuts(
 ) -> dict[str, list[float]]:
     """Cut values per feature, from sketches over both sides."""
     both = reference.select(*features).unionByName(current.select(*features))
-    finite = {
+    return plan_cuts(both, finite(features), rows_per_bucket)
+
+
+def finite(features: Sequence[str]) -> dict[str, Column]:
+    """Each feature with NaN and infinite values taken as missing."""
+    return {
         f: F.when(~F.isnan(F.col(f).cast("double")) & (F.abs(F.col(f).cast("double")) != float("inf")), F.col(f))
         for f in features
     }
-    return plan_cuts(both, finite, rows_per_bucket)
 
 
 def value_table(
@@ -91,12 +96,12 @@ def value_table(
 
     With ``named=False`` a feature is its position in the list.
     """
-    both = _melt(reference, features, cuts, True).unionByName(_melt(current, features, cuts, False))
+    both = melted(reference, features, cuts, True).unionByName(melted(current, features, cuts, False))
     counts = both.groupBy("feature", BUCKET, "value").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
-    return _name_features(counts, features) if named else counts
+    return name_features(counts, features) if named else counts
 
 
-def _name_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
+def name_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     names = F.array(*[F.lit(f) for f in features])
     return df.withColumn("feature", F.element_at(names, F.col("feature") + 1))
 
@@ -219,7 +224,7 @@ def feature_statistics(
         values = value_table(reference, current, numeric, cuts, named=False)
         bound = sum(bucket_bound(cuts.get(f, ())) for f in numeric)
         stats = numeric_statistics(values, bucketed=any(cuts.values()), offset_rows=bound)
-        parts.append(_name_features(stats, numeric).withColumn("categorical", F.lit(False)))
+        parts.append(name_features(stats, numeric).withColumn("categorical", F.lit(False)))
     if categorical:
         stats = categorical_statistics(category_table(reference, current, list(categorical)))
         parts.append(stats.withColumn("categorical", F.lit(True)))

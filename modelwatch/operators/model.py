@@ -123,17 +123,25 @@ def top_features(importance: DataFrame, n: int = 5) -> DataFrame:
 def replay(
     rows: DataFrame, models: Mapping[str, Transformer], features: Sequence[str], label: str = "true_label"
 ) -> DataFrame:
-    """Score the same labeled rows with every model; one output row per (row, model)."""
+    """Score the same labeled rows with every model; one output row per (row, model).
+
+    All models are applied to a row in one pass, so the rows are read once however many models there are.
+    """
     missing = [c for c in [label, *features] if c not in rows.columns]
     if missing:
         raise ValueError(f"missing columns for replay: {missing}")
-    out: DataFrame | None = None
-    for name, fitted in models.items():
-        part = score(rows, fitted).withColumn("model", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    if not models:
         raise ValueError("no models to replay")
-    return out
+    plain = rows.drop("prediction", "probability", "model")
+    wide, scored = plain, []
+    for i, (name, fitted) in enumerate(models.items()):
+        out = fitted.transform(wide)
+        one = F.struct(
+            F.col("_class").cast("int").alias("prediction"), vector_to_array("_probability")[1].alias("probability"), F.lit(name).alias("model")
+        )
+        wide = out.select(*wide.columns, one.alias(f"_scored_{i}"))
+        scored.append(f"_scored_{i}")
+    return wide.select(*plain.columns, F.inline(F.array(*scored)))
 
 
 def train_challenger(

@@ -20,6 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_BUCKET = 100_000
 MAX_BUCKETS = 20_000
@@ -203,6 +204,26 @@ def previous_values(
     return out.select(*df.columns, *[F.col(f"_prev.{n}").alias(n) for n in columns])
 
 
+def numeric_form(df: DataFrame, name: str) -> Column:
+    """A number that grows with a column's sort order: the value itself, microseconds, days, or the first six bytes of a text.
+
+    Values that share the number share a bucket, so cuts on it never change a result.
+    """
+    c, kind = F.col(name), df.schema[name].dataType.typeName()
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(c.cast("timestamp"))
+    if kind == "date":
+        return F.unix_date(c)
+    if kind == "boolean":
+        return c.cast("int")
+    if kind in ("string", "binary", "char", "varchar"):
+        head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("bigint")
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        return c
+    raise TypeError(f"rows cannot be cut along {name}, which is {kind}")
+
+
 def row_ranks(
     df: DataFrame,
     groups: Sequence[str],
@@ -214,13 +235,13 @@ def row_ranks(
 ) -> DataFrame:
     """Add the exact 0-based rank of each row in its group; ``order`` (one or two columns) is a total order.
 
-    ``numbers`` are numeric forms of the order columns (for example microseconds) to cut on. On large inputs
+    ``numbers`` are numeric forms of the order columns to cut on; without them ``numeric_form`` gives them. On large inputs
     the rank is the count of rows with a smaller first column, from pre-aggregated counts, plus the rank
     among the rows that tie on it, which is cut on the second column: one hot order value is split as well.
     """
     one = F.lit(1).cast("bigint")
     totals = {total: one} if total else None
-    numbers = list(numbers) if numbers else [F.col(c) for c in order]
+    numbers = list(numbers) if numbers else [numeric_form(df, c) for c in order]
     keys = [f"_k{i}" for i in range(len(order))]
     cuts = plan_cuts(df, dict(zip(keys, numbers)), rows_per_bucket, distinct=False)
     if not any(cuts.values()):

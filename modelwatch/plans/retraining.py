@@ -14,6 +14,17 @@ from modelwatch.operators import evaluate, gates, labels, model, timewindows
 from modelwatch.operators.gates import GateLimits
 
 
+#: What a decision keeps of the drift it was made under.
+DRIFT_CONTEXT = {
+    "feature_drift_ratio": "double",
+    "num_drifted_features": "int",
+    "dataset_drift_detected": "boolean",
+    "drifted_features": "array<string>",
+    "drift_summary_ref": "string",
+    "evaluation_report_ref": "string",
+}
+
+
 def retraining_round(
     log: DataFrame,
     label_table: DataFrame,
@@ -26,20 +37,32 @@ def retraining_round(
     model_name: str = "model",
     min_eval_rows: int = timewindows.MIN_EVAL_ROWS,
     trigger: str = "scheduled",
+    drift: DataFrame | None = None,
+    challenger_version: int | None = None,
+    production_version: int | None = None,
     **forest,
 ) -> dict[str, DataFrame | PipelineModel | None]:
     """Decide whether a newly trained challenger replaces the production model.
 
     Returns ``decision`` (one row for the decision table), and where the round got that far ``metrics``,
-    ``segments``, ``comparison`` and the fitted ``challenger``. Only counts, cut points and the decision
-    reach the driver.
+    ``segments``, ``comparison`` and the fitted ``challenger``, and always ``duplicates``: how many repeated predictions
+    the training rows left out. ``drift`` is one row of drift context (columns of ``DRIFT_CONTEXT``) that the decision keeps.
+    Only counts, cut points and the decision reach the driver.
     """
     limits = limits or GateLimits()
+    known = {"shadow_model_version": challenger_version, "production_model_version": production_version}
+    context = {c: drift.select(c).scalar() for c in DRIFT_CONTEXT if drift is not None and c in drift.columns}
+    duplicates = labels.duplicate_count(log, ["prediction_id"])
+
+    def decided_as(row: DataFrame, **more) -> dict[str, DataFrame | PipelineModel | None]:
+        row = row.withColumns({**context, **{c: F.lit(x).cast("int") for c, x in known.items()}})
+        return {"decision": _decision(row, model_name, now), "duplicates": duplicates, **more}
+
     recent = timewindows.recent_days(log, now, 30)
     coverage = labels.label_coverage(recent, label_table)
     need = gates.retraining_need(coverage, trigger=trigger)
     if need.first()["action"] == "skip":
-        return {"decision": _decision(need, model_name, now), "challenger": None}
+        return decided_as(need, challenger=None)
 
     joined = labels.training_rows(log, label_table)
     points = timewindows.split_points(log).first()
@@ -48,12 +71,12 @@ def retraining_round(
     challenger, _ = model.train_challenger(train, held_out, features, **forest)
     if challenger is None:
         row = need.withColumns({"action": F.lit("reject"), "reason": F.lit("invalid evaluation set")})
-        return {"decision": _decision(row, model_name, now), "challenger": None}
+        return decided_as(row, challenger=None)
     if production is None:
         row = need.withColumns(
             {"action": F.lit("promote"), "reason": F.lit("no model in production yet")}
         )
-        return {"decision": _decision(row, model_name, now), "challenger": challenger}
+        return decided_as(row, challenger=challenger)
     if held_out.count() < min_eval_rows:
         raise ValueError("insufficient evaluation rows")
 
@@ -83,14 +106,9 @@ def retraining_round(
         F.lit(trigger).alias("trigger_reason"),
     )
     decided = gates.gate_decision(candidate, limits)
-    return {
-        "decision": _decision(decided, model_name, now),
-        "metrics": metrics,
-        "comparison": comparison,
-        "segments": found,
-        "gates": gates.gate_rows(decided, ["timestamp"]),
-        "challenger": challenger,
-    }
+    return decided_as(
+        decided, metrics=metrics, comparison=comparison, segments=found, gates=gates.gate_rows(decided, ["timestamp"]), challenger=challenger
+    )
 
 
 def _decision(row: DataFrame, model_name: str, now: str | datetime) -> DataFrame:
@@ -99,6 +117,9 @@ def _decision(row: DataFrame, model_name: str, now: str | datetime) -> DataFrame
         "failed_gate": "string",
         "f1_improvement_pct": "double",
         "brier_change": "double",
+        "shadow_model_version": "int",
+        "production_model_version": "int",
+        **DRIFT_CONTEXT,
     }
     columns = [
         F.sha2(F.concat_ws("|", F.lit(model_name), instant(now).cast("string")), 256).alias("id"),
@@ -111,5 +132,5 @@ def _decision(row: DataFrame, model_name: str, now: str | datetime) -> DataFrame
         (F.col("coverage_rate") * 100.0).alias("coverage_pct"),
     ]
     for name, kind in optional.items():
-        columns.append(F.col(name) if name in row.columns else F.lit(None).cast(kind).alias(name))
+        columns.append(F.col(name).cast(kind).alias(name) if name in row.columns else F.lit(None).cast(kind).alias(name))
     return row.select(*columns)

@@ -100,3 +100,17 @@ def test_null_order_and_group_values_are_kept(spark, size):
     out = ordered.row_ranks(df, ["g"], ["v", "id"], name="rk", rows_per_bucket=size)
     assert sorted(r["rk"] for r in out.filter("g IS NULL").collect()) == [0, 1, 2, 3]
     assert sorted(r["rk"] for r in out.filter("g = 'a'").collect()) == list(range(20))
+
+
+def test_ranks_by_other_than_numbers(spark):
+    """Texts, dates, times and flags as order columns, below and above the switch."""
+    rows = [(i, f"{'é' if i % 3 else 'e'}{i % 7:02d}{i * 37 % 101:03d}", i % 2 == 0) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, name string, flag boolean")
+    df = df.withColumns({"day": F.date_add(F.lit("2024-01-01"), (F.col("id") % 5).cast("int")), "at": F.timestamp_seconds(F.col("id") * 977 % 350)})
+    for order in (["name", "id"], ["day", "name"], ["at", "id"], ["flag", "id"]):
+        want = [r["id"] for r in df.orderBy(*order).collect()]
+        for size in (None, 10):
+            got = ordered.row_ranks(df, [], order, name="rk", rows_per_bucket=size).orderBy("rk").collect()
+            assert [r["id"] for r in got] == want and [r["rk"] for r in got] == list(range(150))
+    with pytest.raises(TypeError):
+        ordered.row_ranks(df.withColumn("a", F.array("id")), [], ["a"])
