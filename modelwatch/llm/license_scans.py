@@ -104,8 +104,10 @@ def exact_places(text: str) -> list[tuple[int, str]]:
     """(first word, label) of every place of a phrase, in a text of words joined by single spaces."""
     out = []
     for phrase, label in PHRASES.items():
+        word = at = 0
         for m in re.finditer(rf"(?<![^ ]){phrase}(?![^ ])", text):
-            out.append((text.count(" ", 0, m.start()), label))
+            word, at = word + text.count(" ", at, m.start()), m.start()
+            out.append((word, label))
     return sorted(out)
 
 
@@ -119,7 +121,8 @@ def scan_licenses(
 
     ``notices`` lists the fuzzy places (words from 0, both ends included). ``score`` is 1 with an exact phrase, else the
     best notice's share of unedited characters, else 0. Null and empty texts have no words, no labels and score 0.
-    Repeated rows are scanned each; other columns do not matter; an empty table gives an empty result.
+    Repeated rows are scanned each; other columns do not matter; an empty table gives an empty result. Texts are scanned whole,
+    in time that follows their length.
     """
     chosen = NOTICES if notices is None else notices
     scanner: list[Scanner] = []
@@ -132,10 +135,12 @@ def scan_licenses(
             words = alnum_words(raw or b"")
             text = b" ".join(words).decode("utf-8", "replace")
             base = exact_places(text) if "license" in text else []
-            spans, best = [], 1.0 if base else 0.0
+            spans, best, first, at = [], 1.0 if base else 0.0, 0, 0
             for start, end, i, edits in scanner[0].find(text):
                 notice = scanner[0].notices[i]
-                first = text.count(" ", 0, start + (text[start : start + 1] == " "))
+                begins = start + (text[start : start + 1] == " ")
+                first += text.count(" ", at, begins) if begins >= at else -text.count(" ", begins, at)
+                at = begins
                 last = first + text[start:end].strip(" ").count(" ")
                 spans.append({"label": notice.label, "first_word": first, "last_word": last, "edits": edits, "notice": notice.text})
                 best = max(best, 1 - edits / len(notice.text))

@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership frequency.
 
-Candidates are found by patterns in each whole text. The hash of each candidate's value is then counted over distinct
-repositories and owners of the whole corpus: a value that many owners carry is an example that was copied around, a
-value of few owners that also looks random is a live-looking credential.
+Candidates are found by patterns in each whole text, and beside them all random-looking tokens. The hash of each value is then
+counted over distinct repositories and owners of the whole corpus, wherever it stands: a value that many owners carry is an example
+that was copied around, a value of few owners that also looks random is a live-looking credential. Tokens that hold such a
+credential without a keyword beside it are spans as well.
 """
 
 from __future__ import annotations
@@ -35,10 +36,17 @@ PROVIDERS = {
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     "pem": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
 }
-KINDS = [*BASE_KINDS, *PROVIDERS]
+#: Kind of a token that is no candidate by itself; it becomes a span where another place shows that its value is a credential.
+BARE = "known"
+KINDS = [*BASE_KINDS, *PROVIDERS, BARE]
+#: It has a digit, or a capital behind a small letter: what neither has cannot be told from words.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9]|[A-Za-z0-9+/_.=-]*?[a-z][A-Z])[A-Za-z0-9+/_.=-]{12,}")
+#: A value that more than this share of all owners carry (of few owners: more than ``LEAST_OWNERS``) was copied around.
+OWNER_SHARE, LEAST_OWNERS = 0.1, 1
 #: Matches wherever any of the patterns above can.
 SUSPECT = (
-    r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{16}|gh[opsur]_|xox[abprs]-|AIza|k_live_|eyJ|-----BEGIN "
+    r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{16}|gh[opsur]_|xox[abprs]-|AIza|k_live_|eyJ|-----BEGIN |"
+    r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*+[0-9]|[A-Za-z0-9+/_.=-]*?[a-z][A-Z])[A-Za-z0-9+/_.=-]{12}"
 )
 PLACEHOLDER = re.compile(r"example|changeme|placeholder|xxxx|your[_-]|dummy|sample", re.IGNORECASE)
 
@@ -61,12 +69,26 @@ def candidates(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def bare_tokens(text: str, found: list[tuple[str, int, int, str]], least_entropy: float) -> list[tuple[str, int, int, str]]:
+    """Random-looking tokens with letters and digits outside the spans found."""
+    out, spans, at, end = [], sorted((s, e) for _, s, e, _ in found), 0, 0
+    for m in TOKEN.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            end = max(end, spans[at][1])
+            at += 1
+        value = m[0]
+        if end <= m.start() and any(map(str.isalpha, value)) and entropy(value) >= least_entropy:
+            out.append((BARE, m.start(), m.end(), value))
+    return out
+
+
 def listed(found) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end, *_ in found)
 
 
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text", least_entropy: float = 2.5) -> DataFrame:
-    """Every row's candidates: counts per base kind, digest of the base spans, all spans with hashes of their values.
+    """Every row's candidates: counts per base kind, digest of the base spans, their spans; with hashes of values, these and
+    bare tokens.
 
     A null or empty text has no candidates. Rows are taken as they come: repeated rows are scanned each.
     """
@@ -74,13 +96,15 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text", least_entropy
     def fn(texts: list[bytes | None]):
         counts, digests, strings, spans = [[], [], []], [], [], []
         for raw in texts:
-            found = candidates(raw.decode("utf-8", "replace")) if raw else []
+            text = raw.decode("utf-8", "replace") if raw else ""
+            found = candidates(text)
             base = [x for x in found if x[0] in BASE_KINDS]
             n = Counter(x[0] for x in base)
             for out, kind in zip(counts, BASE_KINDS, strict=True):
                 out.append(n[kind])
             digests.append(sha256_hex(listed(base)))
             strings.append(listed(found))
+            bare = bare_tokens(text, found, least_entropy)
             spans.append(
                 [
                     {
@@ -90,7 +114,7 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text", least_entropy
                         "value": hashlib.blake2b(value.encode(), digest_size=16).digest(),
                         "random": entropy(value) >= least_entropy and not PLACEHOLDER.search(value),
                     }
-                    for kind, start, end, value in found
+                    for kind, start, end, value in found + bare
                 ]
             )
         return [*counts, digests, strings, spans]
@@ -118,13 +142,15 @@ def find_secrets(
     text_col: str = "text",
     repository: Column | None = None,
     owner: Column | None = None,
-    most_owners: int = 2,
+    owner_share: float = OWNER_SHARE,
+    least_owners: int = LEAST_OWNERS,
 ) -> DataFrame:
     """One row per document with its spans and the corpus-wide verdict on each.
 
-    ``found`` lists (kind, start, end, n_repositories, n_owners, live). A span is ``live`` when its value looks random
-    and at most ``most_owners`` owners have it. Documents without candidates have zero counts and an empty list; so
-    have null and empty texts. Rows that repeat id, text, repository and owner get equal results, one row each. Other
+    ``found`` lists (kind, start, end, n_repositories, n_owners, live). A span is ``live`` when its value looks random and at most
+    ``owner_share`` of all owners of the corpus have it, ``least_owners`` at least. A bare token is a span, and live, where its
+    value is a live candidate somewhere else; ``spans`` lists these too. A null owner is an owner. Documents without spans
+    have zero counts and no list; so have null and empty texts. Very long texts are scanned whole. Rows that repeat id, text, repository and owner get equal results, one row each. Other
     columns of ``docs``, whatever their names, do not matter.
     """
     owner = F.lit(None).cast("string") if owner is None else owner.cast("string")
@@ -133,18 +159,27 @@ def find_secrets(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body"), repository.alias("repo"), owner.alias("own")
     ).withColumn("key", row_key("id", "body", "repo", "own"))
     scanned = stored(scan(own, ["id", "key", "repo", "own"], "body"), "secrets")
+    n_owners = scanned.select("own").distinct().count()
+    most_owners = max(least_owners, int(owner_share * n_owners))
     spans = scanned.where(F.size("found") > 0).dropDuplicates(["key"]).select("key", "repo", "own", F.explode("found").alias("f"))
     spans = spans.select("key", "repo", "own", "f.*")
+    asked = spans.where(F.col("kind") != BARE).select("value").distinct()
+    spans = stored(spans.join(asked, "value"), "secret-values")
     counts = ownership(spans, "value", "repo", "own")
+    order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     judged = (
         spans.join(counts, "value")
         .withColumn("live", F.col("random") & (F.col("n_owners") <= most_owners))
+        .where(F.col("live") | (F.col("kind") != BARE))
+        .withColumn("text", F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string")))
         .groupBy("key")
         .agg(
             F.array_sort(
                 F.collect_list(F.struct("start", "end", "kind", "n_repositories", "n_owners", "live"))
             ).alias("found"),
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", order.alias("kind"), "text"))), lambda x: x["text"]), ",").alias("all"),
             F.count_if("live").alias("n_live"),
+            F.count_if(F.col("kind") == BARE).alias("n_known"),
             F.count_if(F.col("n_owners") > most_owners).alias("n_shared"),
         )
     )
@@ -152,9 +187,10 @@ def find_secrets(
         scanned.drop("found")
         .join(judged, "key", "left")
         .select(
-            F.col("id").alias(id_col), "key", "n_assign", "n_access", "n_hex", "base_sha256", "spans",
+            F.col("id").alias(id_col), "key", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("all", "spans").alias("spans"),
             F.coalesce("n_live", F.lit(0).cast("long")).alias("n_live"),
             F.coalesce("n_shared", F.lit(0).cast("long")).alias("n_shared"),
+            F.coalesce("n_known", F.lit(0).cast("long")).alias("n_known"),
             "found",
         )
     )
@@ -163,7 +199,9 @@ def find_secrets(
 def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with every live-looking credential in ``text_col`` replaced by ``mask``; rows and other columns stay.
 
-    Overlapping spans are masked as one. Only rows that can hold a candidate are joined with the verdicts.
+    Overlapping spans are masked as one. Only rows that can hold a candidate or a bare token are scanned and joined with the
+    verdicts. Null and empty texts stay as they are; repeated rows are masked alike; texts of any length are masked whole; columns
+    of clashing names stay; an empty table gives none.
     """
     suspect = F.coalesce(F.col(f"`{text_col}`").rlike(SUSPECT), F.lit(False))
     hit = docs.where(suspect)

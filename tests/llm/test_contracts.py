@@ -278,3 +278,38 @@ def test_numbers_of_windows(size):
     assert len(numbers) == len(spelled)
     for i in range(0, len(spelled), 7):
         assert [n == numbers[i] for n in numbers] == [s == spelled[i] for s in spelled]
+
+
+def test_ownership_tells_examples_from_credentials(spark):
+    """Thirty owners; copied examples, and keys of one owner that also stand without a keyword in that owner's other texts."""
+    import random
+
+    draw = random.Random(8)
+    value = lambda: "".join(draw.choice("abcdefghjkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(24))
+    shared, own, rows, truth = [value() for _ in range(5)], {}, [], {}
+    for i in range(30):
+        own[i] = value()
+        rows.append((10 * i, f"the token = '{own[i]}' of {i}", "en", f"owner{i}"))
+        rows.append((10 * i + 1, f"curl -u {own[i]} https://host/{value().lower()[:9]} done", "en", f"owner{i}"))
+        rows.append((10 * i + 2, f"as in the manual: password={shared[i % 5]} or {shared[(i + 1) % 5]}", "en", f"owner{i}"))
+        rows.append((10 * i + 3, f"nothing here but {value()} of nobody", "en", f"owner{i}"))
+        truth |= {10 * i: 1, 10 * i + 1: 1, 10 * i + 2: 0, 10 * i + 3: 0}
+    found = {r["doc_id"]: r for r in secret_scans.find_secrets(brute.frame(spark, rows), owner=F.col("source")).collect()}
+    assert {i: found[i]["n_live"] for i in truth} == truth  # precision and recall of 1 on the planted cases
+    assert all(found[10 * i + 1]["spans"] == f"known:8:{8 + 24}" and found[10 * i + 1]["n_known"] == 1 for i in range(30))
+    assert all(found[10 * i + 2]["n_shared"] == 1 and found[10 * i + 3]["spans"] == "" for i in range(30))
+    masked = secret_scans.mask_secrets(brute.frame(spark, rows), owner=F.col("source"))
+    texts = {r["doc_id"]: r["text"] for r in masked.select("doc_id", "text").collect()}
+    assert all(own[i] not in texts[10 * i] + texts[10 * i + 1] for i in range(30))
+    assert all(texts[r[0]] == r[1] for r in rows if r[0] % 10 > 1)
+
+
+def test_license_places_in_a_long_text():
+    """Ten megabytes of one phrase: word numbers follow from the place before, not from the start."""
+    import time
+
+    text = "mit license " * 800_000
+    start = time.process_time()
+    places = license_scans.exact_places(text.strip())
+    assert time.process_time() - start < 10
+    assert len(places) == 800_000 and places[-1] == (1_599_998, "mit")
