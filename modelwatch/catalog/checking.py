@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from modelwatch.catalog import views as v
 from modelwatch.catalog.registry import query
 from modelwatch.operators import fingerprint, perturb, validate
+from modelwatch.session import scratch_dir
 
 
 def log_with_features(spark, sf):
@@ -218,6 +219,32 @@ def integrity_check(spark, sf):
     return out
 
 
+@query(
+    "integrity_incremental",
+    f"""SELECT p.*, f.step, f.n_read FROM (VALUES ('first', 3), ('unchanged', 0), ('one more file', 1)) AS f(step, n_read)
+        JOIN (SELECT 'all' AS part, * FROM ({fingerprint_sql('lineitem')})
+              UNION ALL SELECT 'most', * FROM ({fingerprint_sql('(SELECT * FROM lineitem WHERE l_linenumber % 4 <> 3)')})) p
+          ON p.part = CASE f.step WHEN 'one more file' THEN 'all' ELSE 'most' END""",
+)
+def integrity_incremental(spark, sf):
+    """Three files are fingerprinted, checked again unread, and checked with a fourth that alone is read."""
+    root = scratch_dir(spark, "parts")
+    lines = v.lines(spark, sf).select(*PRINT_COLUMNS)
+    number = F.col("l_linenumber") % 4
+    out = None
+    known = None
+    for step, files in (("first", (0, 1, 2)), ("unchanged", ()), ("one more file", (3,))):
+        for i in files:
+            lines.where(number == i).coalesce(1).write.parquet(f"{root}/table/{i}")
+        parts, n_read = fingerprint.refreshed_parts(spark, f"{root}/table", known, PRINT_COLUMNS)
+        parts.write.parquet(f"{root}/parts/{step.replace(' ', '-')}")
+        known = spark.read.parquet(f"{root}/parts/{step.replace(' ', '-')}")
+        part = F.lit("all" if step == "one more file" else "most").alias("part")
+        row = fingerprint.combine(known).select(part, "rows", "hash_sum", "hash_xor", "dataset_hash", F.lit(step).alias("step"), F.lit(n_read).alias("n_read"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 ORDER_KINDS = {"whole": ["o_orderkey", "o_custkey"], "real": ["o_totalprice"], "text": ["o_orderstatus", "o_orderpriority"], "times": ["o_orderdate"]}
 ORDER_COLUMNS = [c for kind in ORDER_KINDS.values() for c in kind]
 

@@ -83,6 +83,27 @@ def median_impute(spark, sf):
     return rounded(cleaning.impute_median(rows, ["l_quantity", "l_extendedprice"]))
 
 
+#: Forty-eight columns: every feature times 1 to 12, with gaps in another seventh of the rows for each.
+WIDE = [(f"{c}_{k}", c, k) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax") for k in range(1, 13)]
+
+
+def _wide_sql() -> str:
+    gaps = ", ".join(f"CASE WHEN (l_orderkey + {k}) % 7 <> 0 THEN {c} * {k} END AS {n}" for n, c, k in WIDE)
+    mids = ", ".join(f"median({n}) AS {n}" for n, _, _ in WIDE)
+    means = ", ".join(v.r6(f"avg(coalesce(g.{n}, m.{n}))", n) for n, _, _ in WIDE)
+    return f"""WITH gaps AS (SELECT l_returnflag, {gaps} FROM lineitem), mids AS (SELECT {mids} FROM gaps)
+               SELECT l_returnflag, {means} FROM gaps g CROSS JOIN mids m GROUP BY l_returnflag"""
+
+
+@query("median_impute_wide", _wide_sql())
+def median_impute_wide(spark, sf):
+    """Two scans find the medians of all columns; means per return flag after filling the gaps."""
+    lines = v.lines(spark, sf)
+    gaps = [F.when((F.col("l_orderkey") + k) % 7 != 0, F.col(c) * k).alias(n) for n, c, k in WIDE]
+    filled = cleaning.impute_median(lines.select("l_returnflag", *gaps), [n for n, _, _ in WIDE])
+    return rounded(filled.groupBy("l_returnflag").agg(*[F.avg(n).alias(n) for n, _, _ in WIDE]))
+
+
 @query(
     "numeric_only",
     """SELECT l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem""",

@@ -219,3 +219,23 @@ def test_small_and_null_segments_are_left_out(spark):
 def test_comparison_of_missing_model(spark):
     metrics = evaluate.evaluate(labeled(spark, [0, 1], [0.2, 0.9])).withColumn("model", F.lit("production"))
     assert evaluate.compare_models(metrics).first()["status"] == "insufficient_data"
+
+
+def test_stored_reference_is_not_read_as_rows(spark, tmp_path):
+    """Drift against stored values equals drift against the rows, with small buckets too, and does not scan the rows."""
+    from modelwatch.operators import reference_values
+
+    rng = np.random.default_rng(11)
+    frame = lambda n, shift: spark.createDataFrame([(float(x), float(round(y, 1)), None if i % 9 else 1.0) for i, (x, y) in enumerate(rng.normal(shift, 1, (n, 2)))], "a double, b double, c double")
+    frame(3000, 0).write.parquet(f"{tmp_path}/rows")
+    reference, current = spark.read.parquet(f"{tmp_path}/rows"), frame(1200, 0.4)
+    for name, size in (("plain", None), ("small", 50)):
+        reference_values.store_reference_values(reference, ["a", "b", "c"], f"{tmp_path}/{name}", size)
+        stored = reference_values.open_reference_values(spark, f"{tmp_path}/{name}")
+        found = reference_values.drift_from_stored(stored, current)
+        assert found.inputFiles() and all(f"/{name}/values/" in f for f in found.inputFiles())
+        want = {r["feature"]: r for r in drift.detect_drift(reference, current, ["a", "b", "c"]).collect()}
+        for r in found.collect():
+            assert r["test"] == want[r["feature"]]["test"] and r["drift_detected"] == want[r["feature"]]["drift_detected"]
+            assert r["statistic"] == pytest.approx(want[r["feature"]]["statistic"])
+        assert len(want) == 3
