@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["monitoring", "labeling", "drifting", "evaluating", "governing", "checking", "perturbing", "streams"]
+MODULES = ["monitoring", "labeling", "drifting", "evaluating", "governing", "checking", "perturbing", "storing", "streams"]
 
 
 def load():
