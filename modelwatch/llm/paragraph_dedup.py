@@ -342,9 +342,13 @@ def repeated_paragraphs(
 
 
 def but_first(units: DataFrame) -> DataFrame:
-    """Units but the first of each class, with the id of the document that keeps it and the unit kept."""
+    """Units but the first of each class, with the id of the document that keeps it and the unit kept.
+
+    Kept units are stored first, so that the join with them is between two shuffles and a hot class can be split.
+    """
     place = F.struct("id", "key", "no", "line", *PLACE)
     keepers = units.groupBy("class").agg(F.min(place).alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    keepers = stored(keepers, "paragraph-keepers")
     others = units.join(keepers, "class").where(~place.eqNullSafe(F.col("keeper")))
     return others.withColumn("kept_in", F.col("keeper.id"))
 
