@@ -94,3 +94,20 @@ def test_models_are_replayed_in_one_scan(spark, tmp_path):
         assert scored.where(F.col("model") == name).select("id", "prediction", "probability").orderBy("id").collect() == alone
     with pytest.raises(ValueError):
         model.replay(rows, {}, ["x"])
+
+
+def test_a_decision_keeps_the_drift_and_versions_it_was_made_under(spark):
+    from modelwatch.plans.retraining import retraining_round
+
+    log = spark.sql(
+        "SELECT prediction_id, t AS timestamp, t AS application_date FROM VALUES ('a', TIMESTAMP_NTZ '2024-04-29'), ('a', TIMESTAMP_NTZ '2024-04-30'), ('b', TIMESTAMP_NTZ '2024-04-30') AS v(prediction_id, t)"
+    )
+    known = spark.sql("SELECT 'a' AS prediction_id, 1 AS true_label, 1 AS days_delayed, TIMESTAMP_NTZ '2024-04-30' AS updated_at")
+    seen = spark.sql("SELECT 0.4D AS feature_drift_ratio, 2 AS num_drifted_features, true AS dataset_drift_detected, array('x', 'y') AS drifted_features")
+    out = retraining_round(log, known, ["x"], AT, None, drift=seen, production_version=3, trigger="drift_alert")
+    row = out["decision"].first()
+    assert (row["action"], row["trigger_reason"], row["production_model_version"], row["shadow_model_version"]) == ("skip", "drift_alert", 3, None)
+    assert (row["feature_drift_ratio"], row["num_drifted_features"], row["dataset_drift_detected"], row["drifted_features"]) == (0.4, 2, True, ["x", "y"])
+    assert out["duplicates"].first()["duplicate_rows"] == 1
+    plain = retraining_round(log, known, ["x"], AT, None)["decision"]
+    assert plain.columns == out["decision"].columns and plain.first()["feature_drift_ratio"] is None
