@@ -82,12 +82,12 @@ def smallest_in_windows(values: np.ndarray, window: int) -> np.ndarray:
 
 
 def segment_digest(body: bytes) -> int:
-    """128 bits that equal segments share; different ones that share them are told apart by their bytes."""
-    return xxhash.xxh3_128_intdigest(body)
+    """64 bits that equal segments share; different ones of one smallest hash that share them are told apart by their bytes."""
+    return xxhash.xxh3_64_intdigest(body)
 
 
-def segments(raw: bytes, length: int, gram: int, digest_of: Callable[[bytes], int] = segment_digest) -> list[tuple[int, int, int, int, int, bool]]:
-    """(hash, digest, digest, first window, last window, may repeat itself) of every run of windows with one smallest hash.
+def segments(raw: bytes, length: int, gram: int, digest_of: Callable[[bytes], int] = segment_digest) -> list[tuple[int, int, int, int, bool]]:
+    """(hash, digest, first window, last window, may repeat itself) of every run of windows with one smallest hash.
 
     Runs are cut where they would exceed the number of k-grams in a window, and between pieces of a long text.
     """
@@ -106,7 +106,7 @@ def segments(raw: bytes, length: int, gram: int, digest_of: Callable[[bytes], in
         for lo, end, v in zip(starts[:-1].tolist(), starts[1:].tolist(), values, strict=True):
             digest = digest_of(piece[lo : end - 1 + length])
             again = np.count_nonzero(grams[lo : end - 1 + window] == v) > 1
-            out.append((int(v), digest >> 64, digest & (2**64 - 1), at + lo, at + end - 1, again))
+            out.append((int(v), digest, at + lo, at + end - 1, again))
     return out
 
 
@@ -240,7 +240,7 @@ def signed64(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-SEGMENT = "m long, d1 long, d2 long, lo long, hi long, again boolean"
+SEGMENT = "m long, d1 long, lo long, hi long, again boolean"
 RANGES = "array<struct<lo:long,hi:long>>"
 
 
@@ -248,14 +248,14 @@ def find_segments(own: DataFrame, length: int, gram: int, digest_of: Callable[[b
     added = T.StructType.fromDDL(SEGMENT)
     source = own.where(F.octet_length("body") >= length).select("key", "id", "body")
     schema = T.StructType([*source.schema.fields[:2], *added.fields])
-    names, kinds = schema.names, [pa.int64()] * 5 + [pa.bool_()]
+    names, kinds = schema.names, [pa.int64()] * 4 + [pa.bool_()]
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 found = segments(batch.column(2)[i].as_py(), length, gram, digest_of)
                 columns = list(zip(*found, strict=True))
-                columns[:3] = [[signed64(v) for v in c] for c in columns[:3]]
+                columns[:2] = [[signed64(v) for v in c] for c in columns[:2]]
                 rows = batch.slice(i, 1).take(pa.array(np.zeros(len(found), np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [*rows.columns[:2], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names
@@ -298,7 +298,7 @@ def only_needed(own: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 #: What names a segment's class: its smallest hash, its digest, and a number that tells different bytes of one digest apart.
-CLASS = ["m", "d1", "d2", "c"]
+CLASS = ["m", "d1", "c"]
 
 
 def segment_texts(wanted: DataFrame, own: DataFrame, length: int) -> DataFrame:
@@ -308,10 +308,10 @@ def segment_texts(wanted: DataFrame, own: DataFrame, length: int) -> DataFrame:
     listed = listed.select(F.col("key").alias("of_key"), F.col("id").alias("of_id"), "wanted")
     texts = only_needed(own, wanted.select("key").distinct())
     both = texts.join(listed, (F.col("key") == F.col("of_key")) & F.col("id").eqNullSafe(F.col("of_id"))).select("key", "id", "body", "wanted")
-    added = T.StructType.fromDDL("m long, d1 long, d2 long, c int, lo long, copy boolean, sort boolean, hot boolean, body binary, h1 array<long>, h2 array<long>")
+    added = T.StructType.fromDDL("m long, d1 long, c int, lo long, copy boolean, sort boolean, hot boolean, body binary, h1 array<long>, h2 array<long>")
     schema = T.StructType([*both.schema.fields[:2], *added.fields])
     names = schema.names
-    kinds = [pa.int64()] * 3 + [pa.int32(), pa.int64()] + [pa.bool_()] * 3 + [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    kinds = [pa.int64()] * 2 + [pa.int32(), pa.int64()] + [pa.bool_()] * 3 + [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches):
         for batch in batches:
@@ -362,11 +362,11 @@ def sorted_repeats(texts: DataFrame, length: int) -> DataFrame:
                 out.append((*own, ranges(hits[at : at + n])))
             at += n
         columns = list(zip(*out, strict=True)) or [[]] * (len(CLASS) + 1)
-        kinds = [pa.int64()] * 3 + [pa.int32(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))]
+        kinds = [pa.int64()] * 2 + [pa.int32(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*CLASS, "found"])
 
     grouped = texts.where("sort and not hot").select(*CLASS, "body").repartition("m").sortWithinPartitions("m")
-    return grouped.mapInArrow(run, f"m long, d1 long, d2 long, c int, found {RANGES}")
+    return grouped.mapInArrow(run, f"m long, d1 long, c int, found {RANGES}")
 
 
 def counted_repeats(texts: DataFrame, length: int) -> DataFrame:
@@ -403,8 +403,8 @@ def counted_repeats(texts: DataFrame, length: int) -> DataFrame:
 
 def told_apart(found: DataFrame, texts: DataFrame, own: DataFrame, length: int) -> DataFrame | None:
     """``found`` with different numbers ``c`` for different bytes of one digest; None where every digest has one string."""
-    copies = texts.where("copy").groupBy(*CLASS).agg(F.min("body").alias("first"), F.max("body").alias("last"))
-    mixed = stored(copies.where("first <> last").select(*CLASS), "suffix-collisions")
+    strings = texts.where("copy").select(*CLASS, "body").distinct()
+    mixed = stored(strings.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*CLASS), "suffix-collisions")
     if mixed.isEmpty():
         return None
     places = ["key", "id", "lo"]
@@ -458,7 +458,7 @@ def repeated_spans(
     Texts are UTF-8 bytes, null is empty; nothing matches across documents. Texts shorter than ``length`` bytes lose
     nothing. Texts that occur twice, repeated rows included, lose everything if they are long enough. Very long texts are
     worked on in pieces. Other columns do not matter; an empty table gives none. Repeats are judged on the input, so all
-    occurrences of a string go. ``most_segments`` and ``digest_of`` (128 bits of a segment) decide how repeats are found, not which.
+    occurrences of a string go. ``most_segments`` and ``digest_of`` (64 bits of a segment) decide how repeats are found, not which.
     """
     body = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit("").cast("binary"))
     own = docs.select(F.col(f"`{id_col}`").alias("id"), body.alias("body")).withColumn("key", row_key("body"))
