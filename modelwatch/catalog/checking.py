@@ -163,6 +163,23 @@ def dataset_profile(spark, sf):
     return fingerprint.profile(rows)
 
 
+@query(
+    "dataset_profile_all",
+    """WITH d AS (
+         SELECT * REPLACE (CASE WHEN l_returnflag <> 'A' THEN l_quantity END AS l_quantity, CASE WHEN l_tax > 0 THEN l_tax END AS l_tax)
+         FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1))
+       SELECT (SELECT count(*) FROM d) AS dataset_rows, (SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE lineitem)) AS dataset_columns,
+              (SELECT CAST(count(*) - count(l_quantity) + count(*) - count(l_tax) AS BIGINT) FROM d) AS missing_cells,
+              (SELECT CAST((SELECT count(*) FROM d) - count(*) AS BIGINT) FROM (SELECT DISTINCT * FROM d)) AS duplicate_rows""",
+)
+def dataset_profile_all(spark, sf):
+    """All columns of all rows, with gaps in two of them and the first line of every order once more."""
+    lines = v.lines(spark, sf)
+    rows = lines.unionByName(lines.where("l_linenumber = 1"))
+    gaps = {"l_quantity": F.when(F.col("l_returnflag") != "A", F.col("l_quantity")), "l_tax": F.when(F.col("l_tax") > 0, F.col("l_tax"))}
+    return fingerprint.profile(rows.withColumns(gaps))
+
+
 # The columns of the line items by kind, as the fingerprint writes them.
 WHOLE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 REAL = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
