@@ -43,17 +43,12 @@ def canonical_text(df: DataFrame, columns: Sequence[str] | None = None) -> Colum
 def exact_real(x: Column) -> Column:
     """A double as text, its whole part and its rest in units of 2**-62; both are exact integers for all but extreme values.
 
-    Values from 2**62 on, and those with bits below 2**-62, are written in hexadecimal floating point, which costs far more.
+    Values from 2**63 on, and those with bits below 2**-62, are written as the shortest decimal that reads back as the value.
     """
-    inside = F.abs(x) < F.lit(SCALE)
-    whole = F.when(inside, x).cast("bigint")
+    whole = x.try_cast("bigint")
     rest = (x - whole.cast("double")) * F.lit(SCALE)
-    units = F.when(inside, rest).cast("bigint")
-    two = F.concat(whole.cast("string"), F.lit("_"), units.cast("string"))
-    hexadecimal = F.regexp_replace(F.format_string("%a", x), r"\.0p", "p")
-    special = F.isnan(x) | (F.abs(x) == float("inf"))
-    text = F.when(special, F.lower(x.cast("string"))).when(inside & (units.cast("double") == rest), two).otherwise(hexadecimal)
-    return F.when(x.isNotNull(), text)
+    units = rest.try_cast("bigint")
+    return F.when(units.cast("double") == rest, F.concat_ws("_", whole, units)).otherwise(F.lower(x.cast("string")))
 
 
 def row_hash(df: DataFrame, columns: Sequence[str] | None = None, portable: bool = True) -> Column:
