@@ -27,14 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the cluster's shared checkpoint folder and read it back.
 
     Cuts lineage: what is read later does not depend on executors that computed it.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -45,7 +45,8 @@ BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.executio
 
 
 def stored_by_small_batches(df: DataFrame, purpose: str) -> DataFrame:
-    """As ``stored``, with small batches to and from Python workers, so that neither side of an executor holds many texts at once.
+    """As ``stored``, with small batches to and from Python workers, so that neither side of an executor holds many texts at once,
+    and with a compression that suits texts.
 
     The settings are the session's again afterwards.
     """
@@ -54,7 +55,7 @@ def stored_by_small_batches(df: DataFrame, purpose: str) -> DataFrame:
     try:
         for name, value in BATCH.items():
             conf.set(name, value)
-        return stored(df, purpose)
+        return stored(df, purpose, "zstd")
     finally:
         for name, value in before.items():
             conf.set(name, value)
