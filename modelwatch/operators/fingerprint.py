@@ -104,10 +104,12 @@ def current_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def refreshed_parts(
-    spark: SparkSession, path: str, known: DataFrame | None, columns: Sequence[str] | None = None, portable: bool = True
+    spark: SparkSession, path: str, known: DataFrame | None, columns: Sequence[str] | None = None, portable: bool = True, unit: Column | None = None
 ) -> tuple[DataFrame, int]:
     """Parts of all files below ``path``, and how many files had to be read for them.
 
+    ``unit`` (of ``file_path``, the folder for instance) counts units instead: those to which no part that is kept belongs.
+
     Files whose path, size and time of change are in ``known`` (an earlier result, stored) keep their parts; only others are
     read. Parts of files that are gone are left out. Paths of files to read come to the driver, as they do for any read.
     """
@@ -119,8 +121,12 @@ def refreshed_parts(
     paths = [r["file_path"] for r in fresh.select("file_path").collect()]
     if not paths:
         return known.where(F.lit(False)) if kept is None else kept, 0
+    n_read = len(paths)
+    if unit is not None:
+        units = fresh.select(unit.alias("unit")).distinct()
+        n_read = (units if kept is None else units.join(kept.select(unit.alias("unit")), "unit", "left_anti")).count()
     made = file_fingerprints(spark.read.parquet(*paths), columns, portable)
-    return made if kept is None else kept.unionByName(made), len(paths)
+    return made if kept is None else kept.unionByName(made), n_read
 
 
 def profile(df: DataFrame) -> DataFrame:

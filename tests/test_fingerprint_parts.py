@@ -65,3 +65,26 @@ def test_texts_of_reals(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double")
     got = [r["t"] for r in df.orderBy("i").select(fingerprint.exact_real(F.col("x")).alias("t")).collect()]
     assert got == ["0_0", "0_0", f"1_{2**61}", f"-1_-{2**61}", "nan", "infinity", None, f"{2**62}_0", "1.0e300"]
+
+
+def test_folders_are_written_by_all_tasks_and_counted_once(spark, tmp_path, monkeypatch):
+    """integrity_incremental over four input files: a folder gets several files, and counts as one that is read."""
+    from modelwatch.catalog import checking
+
+    kinds = [f"{c} {'timestamp_ntz' if c == 'l_shipdate' else 'string' if c in ('l_returnflag', 'l_linestatus') else 'long'}" for c in checking.PRINT_COLUMNS]
+    names = [k.split()[0] for k in kinds]
+    row = lambda i: tuple(i % 9 if n == "l_linenumber" else None if k.endswith("timestamp_ntz") else f"{i}" if k.endswith("string") else i for n, k in zip(names, kinds, strict=True))
+    data = spark.createDataFrame([row(i) for i in range(400)] + [row(7)], ", ".join(kinds)).repartition(4)
+    data.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(checking, "scratch_dir", lambda spark, purpose: f"{tmp_path}/shared/{purpose}")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # a task for each file
+    try:
+        got = {r["step"]: r for r in checking.integrity_incremental(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {s: r["n_read"] for s, r in got.items()} == {"first": 3, "unchanged": 0, "one more file": 1}
+    lines = spark.read.parquet(f"{tmp_path}/lineitem.parquet").select(*checking.PRINT_COLUMNS)
+    for step, rows in (("first", lines.where("l_linenumber % 4 <> 3")), ("unchanged", lines.where("l_linenumber % 4 <> 3")), ("one more file", lines)):
+        assert got[step]["dataset_hash"] == fingerprint.fingerprint(rows).first()["dataset_hash"]
+    for i in range(4):
+        assert len(list((tmp_path / "shared" / "parts" / "table" / str(i)).glob("*.parquet"))) == 4
