@@ -11,13 +11,18 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A sketch's ranks are off by at most one in so many.
 ACCURACY = 4_000
 #: Rows of one column that may be combined to distinct values in one group; above, the range is narrowed by another scan.
 MOST_ROWS = 20_000_000
+#: Values inside the ranges that a task holds before it combines them.
+HELD_ROWS = 1_000_000
 #: Points of a narrowing sketch.
 POINTS = 128
 
@@ -113,13 +118,9 @@ def _read_off(df: DataFrame, exprs: Mapping[str, Column], ranges: Mapping[str, _
     names = list(ranges)
     if not names:
         return {}
-    cells = []
-    for i, n in enumerate(names):
-        c, r = exprs[n], ranges[n]
-        below = F.lit(False) if r.low is None else c < F.lit(r.low)
-        kept = c.isNotNull() if r.high is None else c <= F.lit(r.high)
-        cells.append(F.struct(F.when(kept, F.lit(i)).alias("column"), F.when(~below, c).alias("value")))
-    counted = df.select(F.inline(F.array(*cells))).where("column IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    cells = df.select(*[exprs[n].alias(f"c{i}") for i, n in enumerate(names)])
+    counts = inside_counts(cells, [(ranges[n].low, ranges[n].high) for n in names])
+    counted = counts.groupBy("column", "value").agg(F.sum("n").alias("n"))
     ordered = Window.partitionBy("column").orderBy(F.col("value").asc_nulls_first())
     upto = counted.withColumn("upto", F.sum("n").over(ordered))
     picks = [F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("below"), F.max("upto").alias("upto")]
@@ -138,6 +139,54 @@ def _read_off(df: DataFrame, exprs: Mapping[str, Column], ranges: Mapping[str, _
     return {n: out.get(n) for n in names}
 
 
+def inside_counts(cells: DataFrame, bounds: Sequence[tuple[Any, Any]]) -> DataFrame:
+    """(column, value, n) of the values inside each column's bounds, and with a NULL value the number of those below; for numeric
+    columns of one type without NaN. A column without bounds counts whole. Values may come more than once.
+
+    Cells are counted a column at a time: one row for each cell costs many times the scan.
+    """
+    kind = cells.schema[0].dataType
+    schema = T.StructType([T.StructField("column", T.IntegerType()), T.StructField("value", kind), T.StructField("n", T.LongType())])
+
+    def run(batches):
+        held: list[list[pa.Array]] = [[] for _ in bounds]
+        below, n_held = [0] * len(bounds), 0
+        limits = None
+
+        def rows(i: int, values: pa.Array, n: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([i] * len(values), pa.int32()), values, n.cast(pa.int64())], names=schema.names)
+
+        def flushed():
+            for i, chunks in enumerate(held):
+                if chunks:
+                    found = pa.chunked_array(chunks).value_counts()
+                    yield rows(i, found.field("values"), found.field("counts"))
+                    chunks.clear()
+
+        for batch in batches:
+            limits = limits or [[None if x is None else pa.scalar(x, batch.column(0).type) for x in b] for b in bounds]
+            for i, (low, high) in enumerate(limits):
+                c = batch.column(i).drop_null()
+                if high is not None:
+                    c = c.filter(pc.less_equal(c, high))
+                if low is not None:
+                    inside = c.filter(pc.greater_equal(c, low))
+                    below[i] += len(c) - len(inside)
+                    c = inside
+                if len(c):
+                    held[i].append(c)
+                    n_held += len(c)
+            if n_held >= HELD_ROWS:
+                yield from flushed()
+                n_held = 0
+        yield from flushed()
+        for i, n in enumerate(below):
+            if n:
+                yield rows(i, pa.nulls(1, limits[i][0].type), pa.array([n]))
+
+    return cells.mapInArrow(run, schema)
+
+
 def exact_medians(df: DataFrame, columns: Sequence[str], **options) -> dict[str, float | None]:
     """The exact median of each column, the mean of the middle two where they differ; None without values."""
     middle = lambda n: [(n - 1) // 2, n // 2]

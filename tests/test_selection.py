@@ -89,3 +89,24 @@ def test_nothing_to_select(spark):
     none = frame(spark, [])
     assert cleaning.medians(none, ["v"]) == {"v": None}
     assert selection.from_rank(none, [F.col("v")], 0.8).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["double", "float", "long", "int", "decimal(12,2)"])
+def test_cells_are_counted_without_a_row_for_each(spark, monkeypatch, kind):
+    """The second scan makes no row for every cell of a row, and no cell below a range is handed on."""
+    from pyspark.sql import types as T
+
+    draw = random.Random(6)
+    made = []
+    monkeypatch.setattr(F, "inline", lambda *a: pytest.fail("a row for each cell"))
+    inner = selection.inside_counts
+    monkeypatch.setattr(selection, "inside_counts", lambda *a: made.append(inner(*a)) or made[-1])
+    values = [(draw.choice([None, draw.randrange(-5_000, 5_000)]), draw.randrange(3)) for _ in range(9_000)]
+    df = spark.createDataFrame(values, "a long, b long").select(F.col("a").cast(kind), F.col("b").cast(kind)).repartition(3)
+    found = selection.select_ranks(df, {"a": F.col("a"), "b": F.col("b")}, 0.5, lambda n: [(n - 1) // 2, n // 2], accuracy=100)
+    for i, n in enumerate("ab"):
+        known = sorted(v[i] for v in values if v[i] is not None)
+        ranks = [(len(known) - 1) // 2, len(known) // 2]
+        assert found[n].values == [known[r] for r in ranks] and found[n].below == [known.index(known[r]) for r in ranks]
+    assert len(made) == 1 and isinstance(made[0].schema["value"].dataType, T.NumericType)
+    assert made[0].where("value IS NOT NULL").agg(F.sum("n")).first()[0] < 9_000 + 9_000 // 10
